@@ -6,6 +6,7 @@ from panelscope.plans.registry import REGISTRY, Ctx, as_callable
 def _load_all() -> None:
     # importing the modules registers their queries
     from panelscope.plans import (  # noqa: F401
+        q_cleaning,
         q_features,
     )
 

@@ -97,7 +97,8 @@ LEFT JOIN (SELECT client_id, min(trs_date) AS first_purchase_date,
                   min(ship_date) AS first_transaction_date
            FROM trs GROUP BY client_id) f ON f.client_id = c.c_custkey""",
     "crc": """
-SELECT user_id AS client_id, event_id AS appointment_id, ts AS creation_date,
+SELECT CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS BIGINT) ELSE user_id END AS client_id,
+  event_id AS appointment_id, ts AS creation_date,
   CASE WHEN event_type = 'error' THEN CAST(NULL AS VARCHAR)
        WHEN event_type = 'purchase' THEN 'Clienteling' ELSE event_type END AS origin,
   CASE WHEN event_type = 'view' THEN CAST(NULL AS DOUBLE)
@@ -143,7 +144,7 @@ GROUP BY t.client_id, s.date_target
 HAVING count(*) FILTER (WHERE {_HIST}) > 0""",
     "panel": f"""
 SELECT g.client_id, g.date_target, g.target_1m, g.target_3m, g.target_1y,
-  CAST(floor(date_diff('day', c.birth_date, g.date_target) / 365.25) AS DOUBLE) AS age,
+  CAST(floor(CAST(date_diff('day', c.birth_date, g.date_target) AS DOUBLE) / CAST(365.25 AS DOUBLE)) AS DOUBLE) AS age,
   {months('g.date_target', 'g._first')} AS seniority,
   {months('g.date_target', 'g._last')} AS recency,
   c.country_of_residency AS residency_country, c.gender, c.residency_market,
@@ -163,7 +164,78 @@ SELECT client_id, date_target,
 FROM panel WHERE date_target = DATE '2000-01-01'""",
 }
 
+REF_DATE = "DATE '2010-01-01'"
+_AGE = f"(CAST(date_diff('day', birth_date, {REF_DATE}) AS DOUBLE) / CAST(365.25 AS DOUBLE))"
+_IMPUTED = "coalesce(spend, CASE WHEN trs_categ = 'Sale' THEN wwprice END, CAST(0.0 AS DOUBLE))"
+_SERIAL = "CASE WHEN serial_number = 'PLACEHOLDER' THEN CAST(NULL AS VARCHAR) ELSE serial_number END"
+_BAD_BIRTH = f"coalesce(year(birth_date) < 1900 OR {_AGE} < 18 OR {_AGE} > 100, false)"
+
+VIEWS.update({
+    "clean_trs": f"""
+SELECT client_id, article_id, trs_date, ship_date, trs_categ, channel, wwprice, qty, categ, flag_he,
+  {_IMPUTED} AS spend,
+  CAST(spend IS NULL AS INTEGER) AS spend_imputed,
+  {_SERIAL} AS serial_number,
+  CAST(({_SERIAL}) IS NOT NULL AS INTEGER) AS serial_number_known,
+  CAST(coalesce(wwprice = 0 AND {_IMPUTED} > 0, false) AS INTEGER) AS wwprice_missing
+FROM trs WHERE spend IS NULL OR spend >= 0""",
+    "clean_clients": f"""
+SELECT client_id, gender, country_of_residency, residency_market, can_be_contacted,
+  creation_channel, first_purchase_date, first_transaction_date,
+  CASE WHEN {_BAD_BIRTH} THEN CAST(NULL AS DATE) ELSE birth_date END AS birth_date,
+  CAST(abs(date_diff('day', first_transaction_date, first_purchase_date)) AS INTEGER)
+    AS purchase_transaction_gap,
+  CAST((CASE WHEN {_BAD_BIRTH} THEN CAST(NULL AS DATE) ELSE birth_date END) IS NOT NULL AS INTEGER)
+    AS birth_date_valid,
+  CAST(coalesce(abs(date_diff('day', first_transaction_date, first_purchase_date)) > 365, false)
+    AS INTEGER) AS purchase_date_anomaly
+FROM clients""",
+    "clean_crc": """
+SELECT *, CAST(appointment_duration IS NOT NULL AS INTEGER) AS has_appointment_duration
+FROM crc WHERE appointment_duration IS NULL OR appointment_duration <= 480""",
+    "clean_ccp": """
+SELECT client_id, serial_number, article_id, creation_date, sale_date, flag_gift AS is_gift,
+  CAST(date_diff('day', creation_date, sale_date) AS INTEGER) AS sale_creation_gap,
+  CAST(sale_date IS NOT NULL AS INTEGER) AS sale_date_valid
+FROM ccp WHERE NOT coalesce(date_diff('day', creation_date, sale_date) > 30, false)""",
+    "clean_panel": """
+SELECT *, CAST(age IS NOT NULL AS INTEGER) AS age_known,
+  CAST(avg_timelapse_trs IS NOT NULL AS INTEGER) AS has_multiple_purchases,
+  CAST(all_repair_pdt_categ IS NOT NULL AS INTEGER) AS has_repair_history
+FROM panel WHERE client_id IS NOT NULL""",
+    "contact_feats": f"""
+SELECT client_id, count(*) AS n_crc_interactions,
+  max(CAST(coalesce(origin = 'Clienteling', false) AS INTEGER)) AS has_clienteling,
+  {mm('appointment_duration')} AS avg_appointment_duration,
+  1 AS has_crc_interaction
+FROM clean_crc WHERE client_id IS NOT NULL GROUP BY client_id""",
+    "registration_feats": """
+SELECT client_id, count(*) AS n_ccp_products,
+  max(CAST(coalesce(is_gift, false) AS INTEGER)) AS has_gift_registered, 1 AS has_ccp
+FROM clean_ccp WHERE client_id IS NOT NULL GROUP BY client_id""",
+    "supp": """
+SELECT i.client_id,
+  coalesce(c.n_crc_interactions, 0) AS n_crc_interactions,
+  coalesce(c.has_clienteling, 0) AS has_clienteling,
+  c.avg_appointment_duration,
+  coalesce(c.has_crc_interaction, 0) AS has_crc_interaction,
+  coalesce(r.n_ccp_products, 0) AS n_ccp_products,
+  coalesce(r.has_gift_registered, 0) AS has_gift_registered,
+  coalesce(r.has_ccp, 0) AS has_ccp,
+  k.birth_date_valid, k.purchase_date_anomaly
+FROM (SELECT DISTINCT client_id FROM (
+        SELECT client_id FROM clean_crc UNION ALL SELECT client_id FROM clean_ccp
+        UNION ALL SELECT client_id FROM clean_clients) u WHERE client_id IS NOT NULL) i
+LEFT JOIN contact_feats c ON i.client_id = c.client_id
+LEFT JOIN registration_feats r ON i.client_id = r.client_id
+LEFT JOIN clean_clients k ON i.client_id = k.client_id""",
+})
+
 DEPS: dict[str, tuple[str, ...]] = {
+    "clean_trs": ("trs",), "clean_clients": ("clients",), "clean_crc": ("crc",),
+    "clean_ccp": ("ccp",), "clean_panel": ("panel",),
+    "contact_feats": ("clean_crc",), "registration_feats": ("clean_ccp",),
+    "supp": ("contact_feats", "registration_feats", "clean_clients"),
     "trs": (), "articles": (), "crc": (), "ccp": (), "snapshots": (),
     "clients": ("trs",),
     "panel_g": ("trs", "snapshots"),

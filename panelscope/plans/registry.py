@@ -58,6 +58,37 @@ class Ctx:
     def scored(self) -> DataFrame:
         return V.scored(self.panel)
 
+    # cleaned tables
+    @cached_property
+    def clean_trs(self) -> DataFrame:
+        from panelscope.operators.cleaning import clean_events
+        return clean_events(self.trs, V.SERIAL_PLACEHOLDER)
+
+    @cached_property
+    def clean_clients(self) -> DataFrame:
+        from panelscope.operators.cleaning import clean_clients
+        return clean_clients(self.clients, dt.date.fromisoformat(V.CLIENT_REFERENCE_DATE))
+
+    @cached_property
+    def clean_crc(self) -> DataFrame:
+        from panelscope.operators.cleaning import clean_contacts
+        return clean_contacts(self.crc)
+
+    @cached_property
+    def clean_ccp(self) -> DataFrame:
+        from panelscope.operators.cleaning import clean_registrations
+        return clean_registrations(self.ccp)
+
+    @cached_property
+    def clean_panel(self) -> DataFrame:
+        from panelscope.operators.cleaning import clean_panel
+        return clean_panel(self.panel)
+
+    @cached_property
+    def supp(self) -> DataFrame:
+        from panelscope.operators.cleaning import supplementary_features
+        return supplementary_features(self.clean_clients, self.clean_crc, self.clean_ccp)
+
     @property
     def last_snapshot(self) -> dt.date:
         return max(dt.date.fromisoformat(d) for d in V.SNAPSHOT_DATES)
