@@ -113,7 +113,7 @@ def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
     joined = sales.join(art, "article_id", "left")
     x = asof_expand(joined, snaps, upper_bound=upper_bound)
     return x.groupBy(*KEYS).agg(
-        F.avg("world_price").alias("avg_article_world_price"),
+        money_mean("world_price").alias("avg_article_world_price"),
         F.max("world_price").alias("max_article_world_price"),
         F.avg("flag_he_art").alias("flag_he_ratio"),
         F.count_distinct("product_category").alias("n_distinct_categories"),
@@ -122,15 +122,44 @@ def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
     )
 
 
-def add_log_targets(df: DataFrame, targets: list[str]) -> DataFrame:
-    """``log1p`` and binary (> 0) versions of each target."""
+def add_log_targets(df: DataFrame, targets) -> DataFrame:
+    """``log1p`` and binary (> 0) versions of each target (log is null
+    below -1, where it is undefined)."""
     cols = []
     for t in targets:
-        cols += [F.round(F.log1p(F.col(t)), 9).alias(f"{t}_log"),
-                 (F.col(t) > 0).cast("int").alias(f"{t}_bin")]
+        x = F.col(t)
+        cols += [F.when(x > -1, F.round(F.log1p(x), 9)).alias(f"{t}_log"),
+                 (x > 0).cast("int").alias(f"{t}_bin")]
     return df.select("*", *cols)
 
 
+# Column roles (defaults follow the test panel; the reference's own lists are
+# the same idea: targets, sparse age, structurally missing measures, lists).
+TARGETS = ("target_1m", "target_3m", "target_1y")
+LOG_TARGETS = ("target_1m", "target_3m")
+PANEL_EXCLUDE = TARGETS + ("age", "stddev_price", "avg_timelapse_trs")
+LIST_PREFIXES = ("all_",)
+RFM_COLS = ("n_transactions", "total_spend", "avg_spend_per_trs", "max_single_spend",
+            "n_distinct_articles", "recency_days", "tenure_days", "spend_recent", "spend_prior",
+            "spend_trend", "n_sale_trs", "n_repair_trs", "repair_ratio", "boutique_ratio",
+            "holiday_purchase_ratio", "avg_days_between_trs", "flag_he_ratio_trs")
+ART_COLS = ("avg_article_world_price", "max_article_world_price", "flag_he_ratio",
+            "n_distinct_categories", "flag_bridal_ratio", "flag_diamond_ratio")
+SUPP_SAFE = ("has_crc_interaction", "has_ccp", "has_gift_registered", "has_clienteling")
+
+
+def panel_feature_columns(columns, exclude=PANEL_EXCLUDE, near_zero=(),
+                          prefixes=LIST_PREFIXES) -> list[str]:
+    """metadata-only choice of panel columns (no job)."""
+    drop = set(exclude) | set(near_zero)
+    return [c for c in columns if c not in drop and not any(c.startswith(p) for p in prefixes)]
+
+
+def select_panel_features(df: DataFrame, **kw) -> DataFrame:
+    """keep usable panel columns; Catalyst prunes the rest from the scan."""
+    return df.select(*panel_feature_columns(df.columns, **kw))
+
+
 def temporal_split(df: DataFrame, cutoff, date_col: str = "date_target") -> tuple[DataFrame, DataFrame]:
     """V1: train = snapshots before the cutoff, test = the cutoff snapshot.
     Later snapshots fall in neither (reported by ``split_remainder``)."""
@@ -157,11 +186,65 @@ def key_is_unique(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def build_master(panel: DataFrame, rfm: DataFrame, art: DataFrame, supp: DataFrame,
-                 supp_cols: list[str]) -> DataFrame:
-    """Panel LEFT JOIN event and article features on (client,
-    snapshot), then LEFT JOIN supplementary flags on client. All right sides
-    are unique on their keys by construction (grouped on them), so the row
-    count equals the panel's (J11)."""
-    out = panel.join(rfm, list(KEYS), "left").join(art, list(KEYS), "left")
-    return out.join(supp.select("client_id", *supp_cols), "client_id", "left")
+def join_panel_features(panel: DataFrame, rfm: DataFrame, art: DataFrame) -> DataFrame:
+    """Panel LEFT JOIN event and article features on (client, snapshot)."""
+    return panel.join(rfm, list(KEYS), "left").join(art, list(KEYS), "left")
+
+
+def join_supplementary(df: DataFrame, supp: DataFrame, cols=SUPP_SAFE) -> DataFrame:
+    """LEFT JOIN per-client flags on client only (safe columns only)."""
+    return df.join(supp.select("client_id", *cols), "client_id", "left")
+
+
+def join_targets(features: DataFrame, targets: DataFrame, cols=TARGETS) -> DataFrame:
+    """Re-attach targets on (client, snapshot)."""
+    return features.join(targets.select(*KEYS, *cols), list(KEYS), "left")
+
+
+def build_master(clean_panel: DataFrame, rfm: DataFrame, art: DataFrame,
+                 supp: DataFrame) -> DataFrame:
+    """V8: F20 panel columns + J1 + J2, targets kept on the panel rows (so no
+    separate J4 join is needed) and F19 log targets.
+
+    Every right side is grouped on its join key, so the master has exactly
+    one row per panel row (J11 checks it)."""
+    feats = select_panel_features(clean_panel)
+    keep = [c for c in feats.columns] + list(TARGETS)
+    base = clean_panel.select(*keep)
+    out = join_supplementary(join_panel_features(base, rfm, art), supp)
+    front = [c for c in out.columns if c not in TARGETS] + list(TARGETS)
+    return add_log_targets(out.select(*front), LOG_TARGETS)
+
+
+def validate_features(train: DataFrame, test: DataFrame, numeric_cols, all_cols,
+                      target: str, key: str = "client_id") -> DataFrame:
+    """V5: feature-set checks as long (check_name, n_violations, status).
+
+    Train-side checks run as one aggregation (per-column std and null share
+    are combined inside it); test-side counts are scalar subqueries."""
+    from functools import reduce
+    from operator import add
+
+    from panelscope.functions.exprs import flag
+    t, tl, tb = F.col(target), F.col(f"{target}_log"), F.col(f"{target}_bin")
+    zero_var = reduce(add, [flag(F.stddev_samp(c) == 0) for c in numeric_cols])
+    high_null = reduce(add, [flag(F.avg(F.col(c).isNull().cast("int")) > 0.5) for c in all_cols])
+    row = train.agg(
+        zero_var.cast("bigint").alias("no_zero_variance"),
+        count_where(~tb.isin(0, 1)).alias("binary_target_01"),
+        count_where(~(tl >= 0)).alias("log_target_non_negative"),
+        count_where(~(t >= 0)).alias("target_non_negative"),
+        high_null.cast("bigint").alias("no_column_over_50pct_null"),
+        F.count_if(F.col(key).isNull()).alias("train_key_not_null"),
+    )
+    n_test = test.agg(F.count(F.lit(1))).scalar()
+    test_null = test.agg(F.count_if(F.col(key).isNull())).scalar()
+    row = row.select("*", F.when(n_test == 0, 1).otherwise(0).cast("bigint").alias("test_not_empty"),
+                     test_null.alias("test_key_not_null"))
+    names = ["test_not_empty", "no_zero_variance", "binary_target_01", "log_target_non_negative",
+             "target_non_negative", "no_column_over_50pct_null", "train_key_not_null",
+             "test_key_not_null"]
+    pairs = ", ".join(f"'{n}', CAST({n} AS BIGINT)" for n in names)
+    long = row.selectExpr(f"stack({len(names)}, {pairs}) as (check_name, n_violations)")
+    return long.select("check_name", "n_violations",
+                       F.when(F.col("n_violations") == 0, "PASS").otherwise("FAIL").alias("status"))

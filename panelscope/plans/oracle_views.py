@@ -264,3 +264,78 @@ def with_views(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+_R, _P = 12, 24   # recent / prior windows in months on the test data
+
+VIEWS["rfm_g"] = f"""
+  SELECT t.client_id, s.date_target,
+    count(t.trs_date) AS n_transactions,
+    {mt('t.spend')} AS total_spend,
+    {mm('t.spend')} AS avg_spend_per_trs,
+    max(t.spend) AS max_single_spend,
+    count(DISTINCT t.article_id) AS n_distinct_articles,
+    max(t.trs_date) AS _last, min(t.trs_date) AS _first,
+    {mt(f"CASE WHEN t.trs_date > s.date_target - INTERVAL {_R} MONTH THEN t.spend END")} AS spend_recent,
+    {mt(f"CASE WHEN t.trs_date > s.date_target - INTERVAL {_P} MONTH AND t.trs_date <= s.date_target - INTERVAL {_R} MONTH THEN t.spend END")} AS spend_prior,
+    count(*) FILTER (WHERE t.trs_categ = 'Sale') AS n_sale_trs,
+    count(*) FILTER (WHERE t.trs_categ = 'Repair') AS n_repair_trs,
+    count(*) FILTER (WHERE t.channel = 'Boutique') AS _n_btq,
+    count(*) FILTER (WHERE month(t.trs_date) IN (2, 12)) AS _n_holiday,
+    avg(t.flag_he) AS flag_he_ratio_trs
+  FROM trs t JOIN snapshots s ON t.trs_date <= s.date_target
+  GROUP BY t.client_id, s.date_target"""
+VIEWS["rfm"] = f"""
+  SELECT client_id, date_target, n_transactions, total_spend, avg_spend_per_trs,
+    max_single_spend, n_distinct_articles,
+    CAST(date_diff('day', _last, date_target) AS INTEGER) AS recency_days,
+    CAST(date_diff('day', _first, _last) AS INTEGER) AS tenure_days,
+    spend_recent, spend_prior,
+    CASE WHEN spend_prior > 0 THEN spend_recent / spend_prior
+         WHEN spend_recent > 0 THEN CAST(2.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS spend_trend,
+    n_sale_trs, n_repair_trs,
+    CAST(n_repair_trs AS DOUBLE) / CAST(n_transactions AS DOUBLE) AS repair_ratio,
+    CAST(_n_btq AS DOUBLE) / CAST(n_transactions AS DOUBLE) AS boutique_ratio,
+    CAST(_n_holiday AS DOUBLE) / CAST(n_transactions AS DOUBLE) AS holiday_purchase_ratio,
+    CASE WHEN n_transactions > 1
+         THEN CAST(date_diff('day', _first, _last) AS DOUBLE) / CAST(n_transactions - 1 AS DOUBLE)
+         ELSE CAST(0.0 AS DOUBLE) END AS avg_days_between_trs,
+    flag_he_ratio_trs
+  FROM rfm_g"""
+DEPS["rfm_g"] = ("trs", "snapshots")
+DEPS["rfm"] = ("rfm_g",)
+
+VIEWS["art"] = f"""
+  SELECT t.client_id, s.date_target,
+    {mm('a.world_price')} AS avg_article_world_price,
+    max(a.world_price) AS max_article_world_price,
+    avg(a.flag_he) AS flag_he_ratio,
+    count(DISTINCT a.product_category) AS n_distinct_categories,
+    avg(a.flag_bridal) AS flag_bridal_ratio,
+    avg(a.flag_diamond) AS flag_diamond_ratio
+  FROM trs t LEFT JOIN articles a ON t.article_id = a.article_id
+  JOIN snapshots s ON t.trs_date <= s.date_target
+  WHERE t.trs_categ = 'Sale'
+  GROUP BY t.client_id, s.date_target"""
+DEPS["art"] = ("trs", "articles", "snapshots")
+
+
+def _master_sql() -> str:
+    from panelscope.operators.features import (ART_COLS, LOG_TARGETS, RFM_COLS, SUPP_SAFE,
+                                                TARGETS, panel_feature_columns)
+    from panelscope.sources.views import PANEL_COLUMNS
+    clean_cols = list(PANEL_COLUMNS) + ["age_known", "has_multiple_purchases", "has_repair_history"]
+    pf = panel_feature_columns(clean_cols)
+    cols = [f"p.{c}" for c in pf] + [f"r.{c}" for c in RFM_COLS] + [f"a.{c}" for c in ART_COLS]
+    cols += [f"s.{c}" for c in SUPP_SAFE] + [f"p.{c}" for c in TARGETS]
+    for t in LOG_TARGETS:
+        cols += [f"CASE WHEN p.{t} > -1 THEN round(ln(1 + p.{t}), 9) END AS {t}_log",
+                 f"CAST(p.{t} > 0 AS INTEGER) AS {t}_bin"]
+    return (f"SELECT {', '.join(cols)}\nFROM clean_panel p\n"
+            "LEFT JOIN rfm r ON p.client_id = r.client_id AND p.date_target = r.date_target\n"
+            "LEFT JOIN art a ON p.client_id = a.client_id AND p.date_target = a.date_target\n"
+            "LEFT JOIN supp s ON p.client_id = s.client_id")
+
+
+VIEWS["master"] = _master_sql()
+DEPS["master"] = ("clean_panel", "rfm", "art", "supp")

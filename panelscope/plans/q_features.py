@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelscope.operators import features as FE
-from panelscope.plans.oracle_views import mm, mt
 from panelscope.plans.registry import Ctx, register
 from panelscope.sources.views import PRIOR_YEARS, RECENT_YEARS
 
@@ -18,57 +17,20 @@ def _rfm(c: Ctx):
                            upper_bound=c.last_snapshot)
 
 
-RFM_SQL = f"""
-WITH rfm_g AS (
-  SELECT t.client_id, s.date_target,
-    count(t.trs_date) AS n_transactions,
-    {mt('t.spend')} AS total_spend,
-    {mm('t.spend')} AS avg_spend_per_trs,
-    max(t.spend) AS max_single_spend,
-    count(DISTINCT t.article_id) AS n_distinct_articles,
-    max(t.trs_date) AS _last, min(t.trs_date) AS _first,
-    {mt(f"CASE WHEN t.trs_date > s.date_target - INTERVAL {_R} MONTH THEN t.spend END")} AS spend_recent,
-    {mt(f"CASE WHEN t.trs_date > s.date_target - INTERVAL {_P} MONTH AND t.trs_date <= s.date_target - INTERVAL {_R} MONTH THEN t.spend END")} AS spend_prior,
-    count(*) FILTER (WHERE t.trs_categ = 'Sale') AS n_sale_trs,
-    count(*) FILTER (WHERE t.trs_categ = 'Repair') AS n_repair_trs,
-    count(*) FILTER (WHERE t.channel = 'Boutique') AS _n_btq,
-    count(*) FILTER (WHERE month(t.trs_date) IN (2, 12)) AS _n_holiday,
-    avg(t.flag_he) AS flag_he_ratio_trs
-  FROM trs t JOIN snapshots s ON t.trs_date <= s.date_target
-  GROUP BY t.client_id, s.date_target),
-rfm AS (
-  SELECT client_id, date_target, n_transactions, total_spend, avg_spend_per_trs,
-    max_single_spend, n_distinct_articles,
-    CAST(date_diff('day', _last, date_target) AS INTEGER) AS recency_days,
-    CAST(date_diff('day', _first, _last) AS INTEGER) AS tenure_days,
-    spend_recent, spend_prior,
-    CASE WHEN spend_prior > 0 THEN spend_recent / spend_prior
-         WHEN spend_recent > 0 THEN CAST(2.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS spend_trend,
-    n_sale_trs, n_repair_trs,
-    CAST(n_repair_trs AS DOUBLE) / CAST(n_transactions AS DOUBLE) AS repair_ratio,
-    CAST(_n_btq AS DOUBLE) / CAST(n_transactions AS DOUBLE) AS boutique_ratio,
-    CAST(_n_holiday AS DOUBLE) / CAST(n_transactions AS DOUBLE) AS holiday_purchase_ratio,
-    CASE WHEN n_transactions > 1
-         THEN CAST(date_diff('day', _first, _last) AS DOUBLE) / CAST(n_transactions - 1 AS DOUBLE)
-         ELSE CAST(0.0 AS DOUBLE) END AS avg_days_between_trs,
-    flag_he_ratio_trs
-  FROM rfm_g)
-"""
-
-_RFM_VIEWS = ("trs", "snapshots")
+_RFM_VIEWS = ("rfm",)
 
 
 def _rfm_subset(name: str, cols: list[str], doc: str):
     sel = ", ".join(["client_id", "date_target", *cols])
 
-    @register(name, RFM_SQL + f"SELECT {sel} FROM rfm", _RFM_VIEWS)
+    @register(name, f"SELECT {sel} FROM rfm", _RFM_VIEWS)
     def q(c: Ctx):
         return _rfm(c).select("client_id", "date_target", *cols)
     q.__doc__ = doc
     return q
 
 
-@register("rfm_snapshot_features", RFM_SQL + "SELECT * FROM rfm", _RFM_VIEWS)
+@register("rfm_snapshot_features", "SELECT * FROM rfm", _RFM_VIEWS)
 def rfm_snapshot_features(c: Ctx):
     """Flagship: J8 + fused A1-A7 + F18 + W1 per (client, snapshot)."""
     return _rfm(c)
@@ -92,7 +54,7 @@ SELECT client_id, date_target, coalesce(avg(gap), 0.0) AS avg_days_between_trs F
     CAST(date_diff('day', lag(t.trs_date) OVER (PARTITION BY t.client_id, s.date_target
          ORDER BY t.trs_date), t.trs_date) AS INTEGER) AS gap
   FROM trs t JOIN snapshots s ON t.trs_date <= s.date_target) x
-GROUP BY client_id, date_target""", _RFM_VIEWS)
+GROUP BY client_id, date_target""", ("trs", "snapshots"))
 def rfm_avg_gap_lag_form(c: Ctx):
     """W1 cross-check with ``lag`` (equals the closed form)."""
     return FE.avg_gap_lag_form(c.trs, c.snapshots, upper_bound=c.last_snapshot)
@@ -100,7 +62,7 @@ def rfm_avg_gap_lag_form(c: Ctx):
 
 @register("asof_snapshot_expand", """
 SELECT s.date_target, t.client_id, t.trs_date, t.article_id, t.spend
-FROM trs t JOIN snapshots s ON t.trs_date <= s.date_target""", _RFM_VIEWS)
+FROM trs t JOIN snapshots s ON t.trs_date <= s.date_target""", ("trs", "snapshots"))
 def asof_snapshot_expand(c: Ctx):
     """Event rows replicated to every snapshot that can see them."""
     return FE.asof_expand(c.trs, c.snapshots, upper_bound=c.last_snapshot).select(
@@ -114,3 +76,184 @@ def asof_filter(c: Ctx):
     """point-in-time rule for one cutoff (pushed into the scan)."""
     return c.trs.filter(F.col("trs_date") <= F.lit(c.test_snapshot)).select(
         "client_id", "trs_date", "spend")
+
+
+# ------------------------------------------------------------------ A8, J1-J4, J11, J12, V1, V5, V8
+def _art(c: Ctx):
+    if "art" not in c._cache:
+        c._cache["art"] = FE.article_features(c.trs, c.articles, c.snapshots,
+                                              upper_bound=c.last_snapshot)
+    return c._cache["art"]
+
+
+def _master(c: Ctx):
+    if "master" not in c._cache:
+        c._cache["master"] = FE.build_master(c.clean_panel, _rfm(c), _art(c), c.supp)
+    return c._cache["master"]
+
+
+@register("article_features", "SELECT * FROM art", ("art",))
+def article_features(c: Ctx):
+    """A8"""
+    return _art(c)
+
+
+@register("join_dimension_left_orphans", """
+SELECT t.client_id, t.trs_date, t.article_id, a.world_price, a.product_category,
+  CAST(a.article_id IS NULL AS INTEGER) AS is_orphan
+FROM trs t LEFT JOIN articles a ON t.article_id = a.article_id
+WHERE t.trs_categ = 'Sale'""", ("trs", "articles"))
+def join_dimension_left_orphans(c: Ctx):
+    """Sales keep orphan articles; ``is_orphan`` marks them."""
+    sales = c.trs.filter(F.col("trs_categ") == "Sale").select("client_id", "trs_date", "article_id")
+    art = c.articles.select("article_id", "world_price", "product_category",
+                            F.lit(0).alias("_hit"))
+    j = sales.join(art, "article_id", "left")
+    return j.select("client_id", "trs_date", "article_id", "world_price", "product_category",
+                    F.col("_hit").isNull().cast("int").alias("is_orphan"))
+
+
+def _panel_feats_sql() -> str:
+    from panelscope.sources.views import PANEL_COLUMNS
+    cols = FE.panel_feature_columns(list(PANEL_COLUMNS) + ["age_known", "has_multiple_purchases",
+                                                           "has_repair_history"])
+    return "SELECT " + ", ".join(cols) + " FROM clean_panel"
+
+
+@register("select_feature_columns", _panel_feats_sql(), ("clean_panel",))
+def select_feature_columns(c: Ctx):
+    """targets, sparse age, structural-missing and list columns excluded."""
+    return FE.select_panel_features(c.clean_panel)
+
+
+_J1 = ", ".join([f"r.{x}" for x in FE.RFM_COLS] + [f"a.{x}" for x in FE.ART_COLS])
+
+
+@register("join_panel_features_left", f"""
+SELECT p.client_id, p.date_target, p.to_full_hist, {_J1}
+FROM panel p
+LEFT JOIN rfm r ON p.client_id = r.client_id AND p.date_target = r.date_target
+LEFT JOIN art a ON p.client_id = a.client_id AND p.date_target = a.date_target""",
+          ("panel", "rfm", "art"))
+def join_panel_features_left(c: Ctx):
+    """J1"""
+    return FE.join_panel_features(c.panel.select("client_id", "date_target", "to_full_hist"),
+                                  _rfm(c), _art(c))
+
+
+@register("join_supplementary_left", f"""
+SELECT p.client_id, p.date_target, {', '.join('s.' + x for x in FE.SUPP_SAFE)}
+FROM panel p LEFT JOIN supp s ON p.client_id = s.client_id""", ("panel", "supp"))
+def join_supplementary_left(c: Ctx):
+    """J2 (as_of=False: the reference's behaviour, see D6)"""
+    return FE.join_supplementary(c.panel.select("client_id", "date_target"), c.supp)
+
+
+@register("join_targets_left", """
+SELECT r.client_id, r.date_target, r.total_spend, p.target_1m, p.target_3m, p.target_1y
+FROM rfm r LEFT JOIN panel p ON r.client_id = p.client_id AND r.date_target = p.date_target""",
+          ("rfm", "panel"))
+def join_targets_left(c: Ctx):
+    """J4"""
+    return FE.join_targets(_rfm(c).select("client_id", "date_target", "total_spend"), c.panel)
+
+
+@register("join_cardinality_guard", """
+SELECT (SELECT count(*) FROM clean_panel) AS n_panel_rows,
+  (SELECT count(*) FROM master) AS n_master_rows,
+  (SELECT count(*) FROM (SELECT article_id FROM articles GROUP BY article_id
+                         HAVING count(*) > 1) d) AS n_duplicate_article_ids,
+  (SELECT count(*) FROM (SELECT client_id FROM supp GROUP BY client_id
+                         HAVING count(*) > 1) d) AS n_duplicate_supp_ids""",
+          ("clean_panel", "master", "articles", "supp"))
+def join_cardinality_guard(c: Ctx):
+    """Row count unchanged by the master joins, and right-side keys unique."""
+    n_master = _master(c).agg(F.count(F.lit(1))).scalar()
+    dup_art = FE.key_is_unique(c.articles, "article_id").agg(F.count(F.lit(1))).scalar()
+    dup_supp = FE.key_is_unique(c.supp, "client_id").agg(F.count(F.lit(1))).scalar()
+    return c.clean_panel.agg(F.count(F.lit(1)).alias("n_panel_rows")).select(
+        "n_panel_rows", n_master.alias("n_master_rows"),
+        dup_art.alias("n_duplicate_article_ids"), dup_supp.alias("n_duplicate_supp_ids"))
+
+
+@register("add_log_targets", """
+SELECT client_id, date_target, target_1m, target_3m, target_1m_log, target_1m_bin,
+  target_3m_log, target_3m_bin FROM master""", ("master",))
+def add_log_targets(c: Ctx):
+    """F19"""
+    return _master(c).select("client_id", "date_target", "target_1m", "target_3m",
+                             "target_1m_log", "target_1m_bin", "target_3m_log", "target_3m_bin")
+
+
+@register("build_master_features", "SELECT * FROM master", ("master",))
+def build_master_features(c: Ctx):
+    """V8: the full master feature table (one plan)."""
+    return _master(c)
+
+
+@register("temporal_split", """
+SELECT CASE WHEN date_target < DATE '2000-01-01' THEN 'train'
+            WHEN date_target = DATE '2000-01-01' THEN 'test' ELSE 'later' END AS split,
+  count(*) AS n_rows
+FROM master GROUP BY 1""", ("master",))
+def temporal_split(c: Ctx):
+    """V1: sizes of train / test / later (D16 remainder reported)."""
+    return FE.split_sizes(_master(c), c.test_snapshot)
+
+
+@register("train_test_id_overlap", """
+SELECT count(*) AS n_train_rows_in_test FROM master m
+WHERE m.date_target < DATE '2000-01-01'
+  AND m.client_id IN (SELECT client_id FROM master WHERE date_target = DATE '2000-01-01')""",
+          ("master",))
+def train_test_id_overlap(c: Ctx):
+    """J12"""
+    train, test = FE.temporal_split(_master(c), c.test_snapshot)
+    return FE.train_test_id_overlap(train, test)
+
+
+def _master_cols():
+    from panelscope.sources.views import PANEL_COLUMNS
+    pf = FE.panel_feature_columns(list(PANEL_COLUMNS) + ["age_known", "has_multiple_purchases",
+                                                         "has_repair_history"])
+    allc = pf + list(FE.RFM_COLS) + list(FE.ART_COLS) + list(FE.SUPP_SAFE) + list(FE.TARGETS)
+    for t in FE.LOG_TARGETS:
+        allc += [f"{t}_log", f"{t}_bin"]
+    skip = {"client_id", "date_target", "residency_country", "gender", "residency_market",
+            *FE.TARGETS, *[f"{t}_log" for t in FE.LOG_TARGETS],
+            *[f"{t}_bin" for t in FE.LOG_TARGETS]}
+    return [x for x in allc if x not in skip], allc
+
+
+def _v5_sql() -> str:
+    num, allc = _master_cols()
+    zv = " + ".join(f"CAST(coalesce(stddev_samp({x}) = 0, false) AS INTEGER)" for x in num)
+    hn = " + ".join(f"CAST(coalesce(avg(CAST({x} IS NULL AS INTEGER)) > 0.5, false) AS INTEGER)"
+                    for x in allc)
+    t = "target_1m"
+    return f"""
+WITH tr AS (SELECT * FROM master WHERE date_target < DATE '2000-01-01'),
+te AS (SELECT * FROM master WHERE date_target = DATE '2000-01-01'),
+r AS (SELECT
+  CASE WHEN (SELECT count(*) FROM te) = 0 THEN 1 ELSE 0 END AS test_not_empty,
+  ({zv}) AS no_zero_variance,
+  count(*) FILTER (WHERE NOT coalesce({t}_bin IN (0, 1), false)) AS binary_target_01,
+  count(*) FILTER (WHERE NOT coalesce({t}_log >= 0, false)) AS log_target_non_negative,
+  count(*) FILTER (WHERE NOT coalesce({t} >= 0, false)) AS target_non_negative,
+  ({hn}) AS no_column_over_50pct_null,
+  count(*) FILTER (WHERE client_id IS NULL) AS train_key_not_null,
+  (SELECT count(*) FILTER (WHERE client_id IS NULL) FROM te) AS test_key_not_null
+  FROM tr)
+SELECT check_name, CAST(n_violations AS BIGINT) AS n_violations,
+  CASE WHEN n_violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM r UNPIVOT (n_violations FOR check_name IN (test_not_empty, no_zero_variance,
+  binary_target_01, log_target_non_negative, target_non_negative, no_column_over_50pct_null,
+  train_key_not_null, test_key_not_null))"""
+
+
+@register("validate_feature_set", _v5_sql(), ("master",))
+def validate_feature_set(c: Ctx):
+    """V5"""
+    num, allc = _master_cols()
+    train, test = FE.temporal_split(_master(c), c.test_snapshot)
+    return FE.validate_features(train, test, num, allc, "target_1m")
