@@ -7,6 +7,7 @@ def _load_all() -> None:
     # importing the modules registers their queries
     from panelscope.plans import (  # noqa: F401
         q_cleaning,
+        q_distribution,
         q_features,
     )
 

@@ -339,3 +339,52 @@ def _master_sql() -> str:
 
 VIEWS["master"] = _master_sql()
 DEPS["master"] = ("clean_panel", "rfm", "art", "supp")
+
+VIEWS["targets_long"] = """
+  SELECT client_id, date_target, target, value
+  FROM panel UNPIVOT (value FOR target IN (target_1m, target_3m, target_1y))"""
+DEPS["targets_long"] = ("panel",)
+
+
+# ---------------------------------------------------------------- stat snippets
+def _g(group) -> tuple[str, str]:
+    g = ", ".join(group)
+    return (g + ", " if g else ""), (f"GROUP BY {g}" if g else "")
+
+
+def sql_percentiles(src: str, x: str, probs: dict, group=(), digits: int = 6) -> str:
+    sel, gb = _g(group)
+    cols = ", ".join(f"round(quantile_cont({x}, {p}), {digits}) AS {n}" for n, p in probs.items())
+    return f"SELECT {sel}{cols} FROM {src} WHERE {x} IS NOT NULL {gb}"
+
+
+def sql_moments(src: str, x: str, group=()) -> str:
+    sel, gb = _g(group)
+    part = f"PARTITION BY {', '.join(group)}" if group else ""
+    return f"""
+SELECT {sel}count({x}) AS count, {mm(x)} AS mean, round(stddev_samp({x}), 6) AS std,
+  min({x}) AS min, max({x}) AS max,
+  round(CASE WHEN var_pop({x}) > 0 THEN avg(_d * _d * _d) / pow(avg(_d * _d), 1.5) END, 6) AS skewness,
+  round(CASE WHEN var_pop({x}) > 0 THEN avg(_d * _d * _d * _d) / pow(avg(_d * _d), 2) - 3 END, 6)
+    AS kurtosis,
+  avg(CAST({x} = 0 AS INTEGER)) * 100.0 AS pct_zero,
+  avg(CAST({x} < 100 AS INTEGER)) * 100.0 AS pct_lt100
+FROM (SELECT *, {x} - avg({x}) OVER ({part}) AS _d FROM {src} WHERE {x} IS NOT NULL) _m {gb}"""
+
+
+def sql_skew(x: str, d: str = "_d") -> str:
+    return f"round(CASE WHEN var_pop({x}) > 0 THEN avg({d}*{d}*{d}) / pow(avg({d}*{d}), 1.5) END, 6)"
+
+
+def sql_kurt(x: str, d: str = "_d") -> str:
+    return (f"round(CASE WHEN var_pop({x}) > 0 THEN avg({d}*{d}*{d}*{d}) / pow(avg({d}*{d}), 2)"
+            f" - 3 END, 6)")
+
+
+def sql_gini(src: str, x: str, group=(), digits: int = 9) -> str:
+    sel, gb = _g(group)
+    part = f"PARTITION BY {', '.join(group)}" if group else ""
+    return f"""
+SELECT {sel}round(2.0 * sum(CAST(_rn AS DOUBLE) * {x}) / (CAST(count(*) AS DOUBLE) * sum({x}))
+  - (CAST(count(*) AS DOUBLE) + 1) / CAST(count(*) AS DOUBLE), {digits}) AS gini
+FROM (SELECT *, row_number() OVER ({part} ORDER BY {x}) AS _rn FROM {src} WHERE {x} > 0) _q {gb}"""
