@@ -32,6 +32,20 @@ PANEL_COLUMNS = (
     "qty_pdt_full_hist", "all_purchased_dates", "all_repair_pdt_categ")
 
 
+VIEW_COLUMNS = {
+    "trs": ("client_id", "article_id", "trs_date", "ship_date", "trs_categ", "channel", "wwprice",
+            "spend", "qty", "serial_number", "categ", "flag_he"),
+    "articles": ("article_id", "world_price", "product_category", "flag_he", "flag_bridal",
+                 "flag_diamond"),
+    "clients": ("client_id", "birth_date", "gender", "country_of_residency", "residency_market",
+                "can_be_contacted", "creation_channel", "first_purchase_date",
+                "first_transaction_date"),
+    "crc": ("client_id", "appointment_id", "creation_date", "origin", "appointment_duration"),
+    "ccp": ("client_id", "serial_number", "article_id", "creation_date", "sale_date", "flag_gift"),
+    "panel": PANEL_COLUMNS,
+}
+
+
 def _d(s: str) -> dt.date:
     return dt.date.fromisoformat(s)
 
