@@ -243,3 +243,39 @@ def row_deltas(df: DataFrame, key: str, order: str, col: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     d = df.select((F.col(col) - F.lag(col).over(w)).alias("delta")).filter(F.col("delta").isNotNull())
     return d.groupBy("delta").agg(F.count(F.lit(1)).alias("n"))
+
+
+def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A38 helper: key groups holding more than one row, with their size."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+
+
+def varying_columns(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Per column, how many keys (clients) carry more than one distinct
+    value - one grouped pass for all columns, then one pass over the keys."""
+    per = df.groupBy(key).agg(*[F.count_distinct(c).alias(c) for c in cols])
+    row = per.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c) > 1).alias(c) for c in cols])
+    return rows_from(row, [[F.lit(c).alias("column_name"), F.col("_n").alias("n_clients"),
+                            F.col(c).alias("n_varying"), pct(c, "_n").alias("pct_varying")]
+                           for c in cols])
+
+
+def schema_check(df: DataFrame, table: str, contract: dict[str, str]) -> DataFrame:
+    """Two-sided diff of the actual schema against a contract (driver
+    metadata, no job) joined with one null-count pass over the data.
+    Columns missing from the data report detected_type 'missing'; columns not
+    in the contract report expected_type 'unexpected'."""
+    actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    present = [c for c in list(contract) + [c for c in actual if c not in contract] if c in actual]
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.count_if(F.col(c).isNull()).alias(c) for c in present])
+    out = []
+    for c in list(contract) + [c for c in actual if c not in contract]:
+        exp = contract.get(c, "unexpected")
+        det = actual.get(c, "missing")
+        n_null = F.col(c) if c in actual else F.lit(None).cast("bigint")
+        out.append([F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
+                    F.lit(exp).alias("expected_type"), F.lit(det).alias("detected_type"),
+                    F.lit(exp == det).alias("type_ok"), n_null.alias("n_null"),
+                    pct(n_null, "_n").alias("pct_null")])
+    return rows_from(row, out)

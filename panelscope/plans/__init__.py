@@ -10,6 +10,7 @@ def _load_all() -> None:
         q_distribution,
         q_features,
         q_quality,
+        q_audits,
     )
 
 
