@@ -365,3 +365,365 @@ def price_checks(c: Ctx):
         count_where(p < 1).alias("n_under_1"), best.alias("_best"))
     return g.select("channel", "max_wwprice", "n_over_100k", "n_under_1",
                     (-F.col("_best.neg_id")).alias("article_of_max"))
+
+
+# ------------------------------------------------------------------ A45 / A58 rule catalogs
+def _ccp_gap(c: Ctx) -> DataFrame:
+    return c.ccp.select("*", F.datediff("sale_date", "creation_date").alias("gap"))
+
+
+_RULE_SRC_SQL = {
+    "trs": "trs", "clients": "clients", "crc": "crc", "panel": "panel",
+    "ccp": "(SELECT *, CAST(date_diff('day', creation_date, sale_date) AS INTEGER) AS gap FROM ccp)",
+}
+
+
+def _rule_frames(c: Ctx) -> dict:
+    return {"trs": c.trs, "clients": c.clients, "crc": c.crc, "ccp": _ccp_gap(c), "panel": c.panel}
+
+
+# Fixed rule catalogue: (name, SQL predicate of the problem, column, class, cause)
+OUTLIER_RULES = {
+    "trs": [("negative_spend", "spend < 0", "spend", "ERROR", "refund adjustment"),
+            ("zero_price", "wwprice = 0", "wwprice", "UNCERTAIN", "catalog price missing"),
+            ("spend_over_100k", "spend > 100000", "spend", "LEGIT", "high-end purchase"),
+            ("quantity_over_45", "qty > 45", "qty", "LEGIT", "bulk purchase")],
+    "clients": [("birth_pre_1900", "year(birth_date) < 1900", "birth_date", "ERROR", "sentinel date"),
+                ("born_after_1992", "birth_date > DATE '1992-01-01'", "birth_date", "ERROR",
+                 "under 18 at the reference date"),
+                ("born_before_1910", "birth_date < DATE '1910-01-01'", "birth_date", "UNCERTAIN",
+                 "over 100 at the reference date")],
+    "crc": [("duration_over_480", "appointment_duration > 480", "appointment_duration", "ERROR",
+             "entry error")],
+    "ccp": [("sale_after_creation_30d", "gap > 30", "sale_date", "ERROR", "serious date inversion"),
+            ("sale_after_creation_7d", "gap BETWEEN 1 AND 7", "sale_date", "LEGIT",
+             "rounding tolerance")],
+    "panel": [("target_order", "target_1m > target_3m", "target_1m", "UNCERTAIN",
+               "refund inside the horizon"),
+              ("frequent_buyer", "nb_trs_full_hist > 50", "nb_trs_full_hist", "LEGIT",
+               "frequent buyer")],
+}
+
+
+def _rules_sql(rules: dict, labels: list[str]) -> str:
+    parts = []
+    for table, rs in rules.items():
+        for r in rs:
+            lab = ", ".join(f"'{v}' AS {n}" for n, v in zip(labels, r[2:]))
+            parts.append(f"SELECT '{table}' AS dataset, '{r[0]}' AS rule, "
+                         f"count(*) FILTER (WHERE {r[1]}) AS n, "
+                         f"{spct(f'count(*) FILTER (WHERE {r[1]})', 'count(*)')} AS pct, {lab} "
+                         f"FROM {_RULE_SRC_SQL[table]} _s")
+    return _u(parts)
+
+
+def _rules_spark(c: Ctx, rules: dict, labels: list[str]) -> DataFrame:
+    frames = _rule_frames(c)
+    parts = [Q.rule_counts(frames[t], t, rs) for t, rs in rules.items()]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("dataset", "rule", "n", "pct",
+                      *[F.col(f"label{i}").alias(n) for i, n in enumerate(labels)])
+
+
+_OUT_LABELS = ["column_name", "outlier_class", "cause"]
+
+
+@register("outlier_classification", _rules_sql(OUTLIER_RULES, _OUT_LABELS),
+          ("trs", "clients", "crc", "ccp", "panel"))
+def outlier_classification(c: Ctx):
+    """12 outlier rules, each with n, %, class and cause; every table's
+    rules are counted in one pass."""
+    return _rules_spark(c, OUTLIER_RULES, _OUT_LABELS)
+
+
+# Fixed decision catalogue: (problem, SQL predicate, decision, reason)
+DQ_RULES = {
+    "trs": [("missing_spend", "spend IS NULL", "IMPUTE", "sale: catalog price, repair: 0"),
+            ("negative_spend", "spend < 0", "DROP", "refund adjustments"),
+            ("placeholder_serial", "serial_number = 'PLACEHOLDER'", "NULLIFY+FLAG",
+             "placeholder is not a serial"),
+            ("zero_price_with_spend", "wwprice = 0 AND spend > 0", "FLAG", "catalog price missing")],
+    "clients": [("implausible_birth", "year(birth_date) < 1900 OR birth_date > DATE '1992-01-01' "
+                 "OR birth_date < DATE '1910-01-01'", "NULLIFY+FLAG", "sentinel or out-of-range age"),
+                ("missing_birth", "birth_date IS NULL", "FLAG", "unknown age")],
+    "crc": [("long_duration", "appointment_duration > 480", "DROP", "over 8 hours"),
+            ("missing_duration", "appointment_duration IS NULL", "FLAG", "structural"),
+            ("missing_client", "client_id IS NULL", "DROP", "no key")],
+    "ccp": [("serious_gap", "gap > 30", "DROP", "sale long after registration"),
+            ("missing_sale_date", "sale_date IS NULL", "FLAG", "unknown sale date")],
+    "panel": [("missing_age", "age IS NULL", "FLAG", "sparse demographic"),
+              ("structural_std", "stddev_price IS NULL", "FLAG", "needs two purchases")],
+}
+_DQ_LABELS = ["decision", "reason"]
+
+
+@register("dq_rule_registry", _rules_sql(DQ_RULES, _DQ_LABELS).replace(" AS rule,", " AS problem,"),
+          ("trs", "clients", "crc", "ccp", "panel"))
+def dq_rule_registry(c: Ctx):
+    """Live n and % for every catalogued problem (no hard-coded counts)."""
+    return _rules_spark(c, DQ_RULES, _DQ_LABELS).withColumnRenamed("rule", "problem")
+
+
+# ------------------------------------------------------------------ A46-A49
+@register("target_order_violations", f"""
+SELECT count(*) FILTER (WHERE target_1m > target_3m) AS n_1m_gt_3m,
+  {spct('count(*) FILTER (WHERE target_1m > target_3m)', 'count(*)')} AS pct_1m_gt_3m,
+  count(*) FILTER (WHERE target_3m > target_1y) AS n_3m_gt_1y,
+  {spct('count(*) FILTER (WHERE target_3m > target_1y)', 'count(*)')} AS pct_3m_gt_1y,
+  count(*) FILTER (WHERE target_3m = target_1y) AS n_3m_eq_1y,
+  {spct('count(*) FILTER (WHERE target_3m = target_1y)', 'count(*)')} AS pct_3m_eq_1y,
+  max(target_1m - target_3m) AS max_diff_1m_3m
+FROM panel""", ("panel",))
+def target_order_violations(c: Ctx):
+    """Nested horizons should not shrink."""
+    t1, t3, t12 = F.col("target_1m"), F.col("target_3m"), F.col("target_1y")
+    return c.panel.agg(
+        count_where(t1 > t3).alias("n_1m_gt_3m"), pct(count_where(t1 > t3), F.count(F.lit(1))).alias("pct_1m_gt_3m"),
+        count_where(t3 > t12).alias("n_3m_gt_1y"), pct(count_where(t3 > t12), F.count(F.lit(1))).alias("pct_3m_gt_1y"),
+        count_where(t3 == t12).alias("n_3m_eq_1y"), pct(count_where(t3 == t12), F.count(F.lit(1))).alias("pct_3m_eq_1y"),
+        F.max(t1 - t3).alias("max_diff_1m_3m"))
+
+
+@register("top_segment_overlap", f"""
+WITH t AS (SELECT * FROM panel WHERE date_target = {TEST}),
+a AS ({sql_percentiles('t', 'to_full_hist', {'p': 0.999})}),
+b AS ({sql_percentiles('t', 'target_1y', {'p': 0.999})})
+SELECT count(*) FILTER (WHERE to_full_hist > (SELECT p FROM a)) AS n_top_history,
+  count(*) FILTER (WHERE target_1y > (SELECT p FROM b)) AS n_top_target,
+  count(*) FILTER (WHERE to_full_hist > (SELECT p FROM a) AND target_1y > (SELECT p FROM b)) AS n_both,
+  count(*) FILTER (WHERE to_full_hist = 0 AND target_1y > 0) AS n_zero_history_positive_target
+FROM t""", ("panel",))
+def top_segment_overlap(c: Ctx):
+    """Clients above p99.9 on history and on target, and their overlap."""
+    t = _test_panel(c)
+    ph = D.exact_percentiles(t, "to_full_hist", {"p": 0.999}).agg(F.first("p")).scalar()
+    pt = D.exact_percentiles(t, "target_1y", {"p": 0.999}).agg(F.first("p")).scalar()
+    a, b = F.col("to_full_hist") > ph, F.col("target_1y") > pt
+    return t.agg(count_where(a).alias("n_top_history"), count_where(b).alias("n_top_target"),
+                 count_where(a & b).alias("n_both"),
+                 count_where((F.col("to_full_hist") == 0) & (F.col("target_1y") > 0))
+                 .alias("n_zero_history_positive_target"))
+
+
+@register("recency_checks", f"""
+SELECT date_target, avg(recency) AS mean_recency, min(recency) AS min_recency,
+  max(recency) AS max_recency, count(*) FILTER (WHERE nb_trs_full_hist = 1) AS n_single,
+  {spct('count(*) FILTER (WHERE nb_trs_full_hist = 1 AND recency = seniority)',
+        'count(*) FILTER (WHERE nb_trs_full_hist = 1)')} AS pct_single_recency_eq_seniority
+FROM panel GROUP BY date_target""", ("panel",))
+def recency_checks(c: Ctx):
+    """A48"""
+    single = F.col("nb_trs_full_hist") == 1
+    return c.panel.groupBy("date_target").agg(
+        F.avg("recency").alias("mean_recency"), F.min("recency").alias("min_recency"),
+        F.max("recency").alias("max_recency"), count_where(single).alias("n_single"),
+        pct(count_where(single & (F.col("recency") == F.col("seniority"))), count_where(single))
+        .alias("pct_single_recency_eq_seniority"))
+
+
+_FLAGS = ["has_crc_interaction", "has_clienteling", "has_ccp", "has_gift_registered",
+          "birth_date_valid", "purchase_date_anomaly"]
+
+
+@register("flag_report", _u(
+    f"SELECT '{f}' AS flag, count(*) FILTER (WHERE {f} = 0) AS n_0, "
+    f"count(*) FILTER (WHERE {f} = 1) AS n_1, count(*) FILTER (WHERE {f} IS NULL) AS n_null, "
+    f"{spct(f'count(*) FILTER (WHERE {f} = 1)', 'count(*)')} AS pct_1 FROM supp" for f in _FLAGS),
+    ("supp",))
+def flag_report(c: Ctx):
+    """0/1/null counts per binary flag (one pass, unpivoted)."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for f in _FLAGS:
+        aggs += [F.count_if(F.col(f) == 0).alias(f"{f}__0"), F.count_if(F.col(f) == 1).alias(f"{f}__1"),
+                 F.count_if(F.col(f).isNull()).alias(f"{f}__null")]
+    row = c.supp.agg(*aggs)
+    return Q.rows_from(row, [[F.lit(f).alias("flag"), F.col(f"{f}__0").alias("n_0"),
+                              F.col(f"{f}__1").alias("n_1"), F.col(f"{f}__null").alias("n_null"),
+                              pct(f"{f}__1", "_n").alias("pct_1")] for f in _FLAGS])
+
+
+# ------------------------------------------------------------------ A57 summary
+_SUMMARY_SQL = [
+    ("trs_rows", "SELECT count(*) FROM trs"),
+    ("trs_negative_spend", "SELECT count(*) FROM trs WHERE spend < 0"),
+    ("trs_null_spend", "SELECT count(*) FROM trs WHERE spend IS NULL"),
+    ("trs_placeholder_serial", "SELECT count(*) FROM trs WHERE serial_number = 'PLACEHOLDER'"),
+    ("trs_orphan_article_rows",
+     "SELECT count(*) FROM trs WHERE article_id NOT IN (SELECT article_id FROM articles)"),
+    ("trs_after_last_snapshot", f"SELECT count(*) FROM trs WHERE trs_date > {TEST}"),
+    ("ccp_gap_over_30",
+     "SELECT count(*) FROM ccp WHERE date_diff('day', creation_date, sale_date) > 30"),
+    ("crc_duration_over_480", "SELECT count(*) FROM crc WHERE appointment_duration > 480"),
+]
+
+
+@register("quality_summary", _u(f"SELECT '{k}' AS check_name, CAST(({q}) AS VARCHAR) AS value"
+                                for k, q in _SUMMARY_SQL), ("trs", "articles", "ccp", "crc"))
+def quality_summary(c: Ctx):
+    """Consolidated (check, value) table; each value is a scalar
+    subquery, the whole report is one plan."""
+    t = c.trs
+    orphan = t.join(c.articles.select("article_id"), "article_id", "left_anti")
+    vals = {
+        "trs_rows": t.agg(F.count(F.lit(1))).scalar(),
+        "trs_negative_spend": t.agg(F.count_if(F.col("spend") < 0)).scalar(),
+        "trs_null_spend": t.agg(F.count_if(F.col("spend").isNull())).scalar(),
+        "trs_placeholder_serial": t.agg(F.count_if(F.col("serial_number") == "PLACEHOLDER")).scalar(),
+        "trs_orphan_article_rows": orphan.agg(F.count(F.lit(1))).scalar(),
+        "trs_after_last_snapshot": t.agg(F.count_if(F.col("trs_date") > F.lit(c.test_snapshot))).scalar(),
+        "ccp_gap_over_30": c.ccp.agg(F.count_if(F.datediff("sale_date", "creation_date") > 30)).scalar(),
+        "crc_duration_over_480": c.crc.agg(F.count_if(F.col("appointment_duration") > 480)).scalar(),
+    }
+    one = c.spark.range(1)
+    return Q.rows_from(one, [[F.lit(k).alias("check_name"), v.cast("string").alias("value")]
+                             for k, v in vals.items()])
+
+
+# ------------------------------------------------------------------ joins and set operations
+@register("semi_join_ids", f"""
+SELECT client_id, trs_date, article_id, spend FROM trs
+WHERE client_id IN (SELECT client_id FROM panel WHERE date_target = {TEST})""", ("trs", "panel"))
+def semi_join_ids(c: Ctx):
+    """``isin(id_set)`` as a left-semi join (no id set on the driver)."""
+    ids = _test_panel(c).select("client_id")
+    return c.trs.join(ids, "client_id", "left_semi").select("client_id", "trs_date", "article_id",
+                                                            "spend")
+
+
+@register("anti_join_orphans", """
+SELECT channel, count(*) AS n_rows, count(DISTINCT article_id) AS n_orphan_ids,
+  CAST(min(year(trs_date)) AS INTEGER) AS min_year, CAST(max(year(trs_date)) AS INTEGER) AS max_year,
+  count(*) FILTER (WHERE spend > 0) AS n_positive_spend
+FROM trs t WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.article_id = t.article_id)
+GROUP BY channel""", ("trs", "articles"))
+def anti_join_orphans(c: Ctx):
+    """Event rows whose article is absent from the dimension, by channel."""
+    o = c.trs.join(c.articles.select("article_id"), "article_id", "left_anti")
+    return o.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("article_id").alias("n_orphan_ids"),
+        F.min(F.year("trs_date")).alias("min_year"), F.max(F.year("trs_date")).alias("max_year"),
+        count_where(F.col("spend") > 0).alias("n_positive_spend"))
+
+
+_SETS = [("panel", f"SELECT client_id FROM panel WHERE date_target = {TEST}"),
+         ("trs", "SELECT client_id FROM trs"), ("clients", "SELECT client_id FROM clients"),
+         ("crc", "SELECT client_id FROM crc"), ("ccp", "SELECT client_id FROM ccp")]
+
+
+def _refmatrix_sql() -> str:
+    tagged = _u(f"SELECT client_id AS id, {1 << i} AS b FROM ({q}) _q{i}"
+                for i, (_, q) in enumerate(_SETS))
+    rows = []
+    for i in range(len(_SETS)):
+        for j in range(i + 1, len(_SETS)):
+            bi, bj, bb = 1 << i, 1 << j, (1 << i) | (1 << j)
+            na = f"count(*) FILTER (WHERE (m & {bi}) <> 0)"
+            nb = f"count(*) FILTER (WHERE (m & {bj}) <> 0)"
+            nx = f"count(*) FILTER (WHERE (m & {bb}) = {bb})"
+            rows.append(f"SELECT '{_SETS[i][0]}' AS a, '{_SETS[j][0]}' AS b, {na} AS n_a, {nb} AS n_b, "
+                        f"{nx} AS n_intersection, {na} - {nx} AS n_only_a, {nb} - {nx} AS n_only_b, "
+                        f"{spct(nx, na)} AS pct_a_in_b, {spct(nx, nb)} AS pct_b_in_a FROM mk")
+    return (f"WITH tg AS ({tagged}),\nmk AS (SELECT id, bit_or(b) AS m FROM tg WHERE id IS NOT NULL "
+            f"GROUP BY id)\n" + _u(rows))
+
+
+@register("referential_integrity_matrix", _refmatrix_sql(),
+          ("panel", "trs", "clients", "crc", "ccp"))
+def referential_integrity_matrix(c: Ctx):
+    """All pairs of five client-id sets from one bitmask per id."""
+    return Q.referential_matrix({"panel": _test_panel(c), "trs": c.trs, "clients": c.clients,
+                                 "crc": c.crc, "ccp": c.ccp}, "client_id")
+
+
+@register("negative_positive_article_match", f"""
+WITH ca AS (SELECT client_id, article_id,
+              max(CAST(coalesce(spend < 0, false) AS INTEGER)) AS neg,
+              max(CAST(coalesce(spend > 0, false) AS INTEGER)) AS pos
+            FROM trs GROUP BY client_id, article_id),
+cl AS (SELECT client_id, max(neg) AS neg, max(neg * pos) AS matched FROM ca GROUP BY client_id)
+SELECT count(*) FILTER (WHERE neg = 1) AS n_clients_negative,
+  count(*) FILTER (WHERE matched = 1) AS n_clients_matched,
+  {spct('count(*) FILTER (WHERE matched = 1)', 'count(*) FILTER (WHERE neg = 1)')} AS pct_matched
+FROM cl""", ("trs",))
+def negative_positive_article_match(c: Ctx):
+    """For every client with a negative row, is there a positive row on
+    the same article? Two grouped passes, all clients (no sample)."""
+    ca = c.trs.groupBy("client_id", "article_id").agg(
+        F.max(F.coalesce(F.col("spend") < 0, F.lit(False)).cast("int")).alias("neg"),
+        F.max(F.coalesce(F.col("spend") > 0, F.lit(False)).cast("int")).alias("pos"))
+    cl = ca.groupBy("client_id").agg(F.max("neg").alias("neg"),
+                                     F.max(F.col("neg") * F.col("pos")).alias("matched"))
+    return cl.agg(F.count_if(F.col("neg") == 1).alias("n_clients_negative"),
+                  F.count_if(F.col("matched") == 1).alias("n_clients_matched"),
+                  pct(F.count_if(F.col("matched") == 1), F.count_if(F.col("neg") == 1))
+                  .alias("pct_matched"))
+
+
+@register("outer_align_fill_zero", """
+SELECT channel, count(*) AS n_rows, count(*) FILTER (WHERE spend IS NULL) AS n_null_spend,
+  count(*) FILTER (WHERE trs_categ = 'Repair') AS n_repairs
+FROM trs GROUP BY channel""", ("trs",))
+def outer_align_fill_zero(c: Ctx):
+    """Counts of all rows and of a condition aligned per key with 0 for
+    absent keys - one groupBy with ``count_if`` instead of an outer join."""
+    return c.trs.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("spend").isNull()).alias("n_null_spend"),
+        count_where(F.col("trs_categ") == "Repair").alias("n_repairs"))
+
+
+@register("union_all_snapshots", _u(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
+                                    for t in ("trs", "articles", "clients", "crc", "ccp", "panel")),
+          ("trs", "articles", "clients", "crc", "ccp", "panel"))
+def union_all_snapshots(c: Ctx):
+    """Stack per-table results with ``unionByName``."""
+    frames = {"trs": c.trs, "articles": c.articles, "clients": c.clients, "crc": c.crc,
+              "ccp": c.ccp, "panel": c.panel}
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+        for n, df in frames.items()])
+
+
+@register("intersect_ids", "SELECT client_id FROM crc WHERE client_id IS NOT NULL "
+                           "INTERSECT SELECT client_id FROM ccp", ("crc", "ccp"))
+def intersect_ids(c: Ctx):
+    """X3"""
+    return c.crc.select("client_id").filter(F.col("client_id").isNotNull()).intersect(
+        c.ccp.select("client_id"))
+
+
+@register("except_ids", "SELECT client_id FROM clients EXCEPT SELECT client_id FROM crc",
+          ("clients", "crc"))
+def except_ids(c: Ctx):
+    """Clients never contacted (EXCEPT DISTINCT)."""
+    return c.clients.select("client_id").subtract(c.crc.select("client_id"))
+
+
+# ------------------------------------------------------------------ W2 / W6
+_MONO = ["seniority", "to_full_hist", "nb_trs_full_hist"]
+
+
+@register("monotonic_violations", """
+WITH x AS (SELECT client_id, """ + ", ".join(
+    f"CAST(coalesce({m} < lag({m}) OVER (PARTITION BY client_id ORDER BY date_target), false) "
+    f"AS INTEGER) AS d_{m}" for m in _MONO) + """ FROM panel),
+pc AS (SELECT client_id, """ + ", ".join(f"max(d_{m}) AS v_{m}" for m in _MONO) + """
+       FROM x GROUP BY client_id)
+SELECT count(*) AS n_clients, """ + ", ".join(
+    f"CAST(sum(v_{m}) AS BIGINT) AS n_violating_{m}" for m in _MONO) + """,
+  avg(CAST(greatest(""" + ", ".join(f"v_{m}" for m in _MONO) + """) = 0 AS INTEGER)) * 100.0
+    AS pct_clean_clients
+FROM pc""", ("panel",))
+def monotonic_violations(c: Ctx):
+    """Cumulative history measures must not decrease across snapshots
+    (all clients; the window is per client, at most one row per snapshot)."""
+    return Q.monotonic_violations(c.panel, "client_id", "date_target", _MONO)
+
+
+@register("row_delta_between_snapshots", """
+SELECT delta, count(*) AS n FROM (
+  SELECT recency - lag(recency) OVER (PARTITION BY client_id ORDER BY date_target) AS delta
+  FROM panel) x
+WHERE delta IS NOT NULL GROUP BY delta""", ("panel",))
+def row_delta_between_snapshots(c: Ctx):
+    """Recency step between consecutive snapshots per client."""
+    return Q.row_deltas(c.panel, "client_id", "date_target", "recency")
