@@ -98,43 +98,56 @@ def ordered_blocks(df: DataFrame, value: str, weights: dict[str, Column] | None
         "n_total", *[f"{m}_total" for m in weights.keys()])
 
 
-def top_n_sums(df: DataFrame, score: str, tiebreak: str, n_top: Column,
-               measures: dict[str, Column], group: tuple[str, ...] | list[str] = (),
-               n_ranges: int | None = None) -> DataFrame:
-    """Per group, the sums of ``measures`` over the ``n_top`` rows with the
-    highest ``score`` (ties broken by ascending ``tiebreak``), exactly.
+def top_n_sums(df: DataFrame, score: str, tiebreak: str, n_tops: dict[str, Column],
+               measures: dict[str, Column], n_ranges: int | None = None) -> DataFrame:
+    """For every named cut k in ``n_tops``: the sums of ``measures`` over the
+    rows ranked 1..k by (``score`` desc, ``tiebreak`` asc), exactly.
 
-    ``n_top`` is an expression of ``n_total`` (the group's row count), e.g.
+    Each cut is an expression of ``n_total`` (the row count), e.g.
     ``greatest(1, floor(n_total * 0.1))``. Whole score blocks are summed from
-    block totals; only the single boundary block per group is ranked row by
-    row, again through ``ordered_blocks`` on the (unique) tiebreak column.
-    Output: group columns, ``n_total``, ``n_top`` and one column per measure.
+    block totals; only the boundary block of each cut (at most one per cut) is
+    ranked row by row, through ``ordered_blocks`` on the unique tiebreak.
+    Output: ``cut``, ``n_total``, ``n_top`` and one column per measure.
     """
-    group = list(group)
-    b = ordered_blocks(df, score, measures, group, descending=True, n_ranges=n_ranges)
-    b = b.withColumn("_k", n_top.cast("bigint"))
-    full = b.filter(F.col("o_c") + F.col("c") <= F.col("_k")).select(
-        *group, *[F.col(k).cast("double").alias(k) for k in measures],
+    b = ordered_blocks(df, score, measures, (), descending=True, n_ranges=n_ranges)
+    cuts = F.array(*[F.struct(F.lit(k).alias("cut"), e.cast("bigint").alias("_k"))
+                     for k, e in n_tops.items()])
+    bk = b.select("*", F.inline(cuts))
+    # keep each measure's own type (DECIMAL money stays exact)
+    types = {k: b.schema[k].dataType.simpleString() for k in measures}
+    m_null = [F.lit(None).cast(types[k]).alias(k) for k in measures]
+    full = bk.filter(F.col("o_c") + F.col("c") <= F.col("_k")).select(
+        "cut", *[F.col(k).cast(types[k]).alias(k) for k in measures],
         F.lit(None).cast("bigint").alias("n_total"), F.lit(None).cast("bigint").alias("_k"))
-    sizes = b.select(*group, *[F.lit(None).cast("double").alias(k) for k in measures],
-                     F.col("n_total").cast("bigint").alias("n_total"), "_k")
-    boundary = b.filter((F.col("o_c") < F.col("_k")) & (F.col("o_c") + F.col("c") > F.col("_k")))
-    boundary = boundary.select(*group, F.col(score).alias("_bs"),
-                               (F.col("_k") - F.col("o_c")).alias("_m"))
-    if group:
-        # at most one boundary row per group: a bounded broadcast
-        rows = df.join(F.broadcast(boundary), group, "inner").filter(F.col(score) == F.col("_bs"))
-    else:
-        bs = boundary.agg(F.first("_bs")).scalar()
-        m = boundary.agg(F.first("_m")).scalar()
-        rows = df.filter(F.col(score) == bs).withColumn("_m", m)
-    rows = rows.select(*group, tiebreak, "_m", *[e.alias(k) for k, e in measures.items()])
-    rb = ordered_blocks(rows, tiebreak, {k: F.col(k) for k in measures}, group + ["_m"],
+    sizes = bk.select("cut", *m_null, F.col("n_total").cast("bigint").alias("n_total"), "_k")
+    boundary = bk.filter((F.col("o_c") < F.col("_k")) & (F.col("o_c") + F.col("c") > F.col("_k"))) \
+        .select("cut", F.col(score).alias("_bs"), (F.col("_k") - F.col("o_c")).alias("_m"))
+    # at most one boundary row per cut: a bounded broadcast
+    rows = df.join(F.broadcast(boundary), F.col(score) == F.col("_bs"))
+    rows = rows.select("cut", "_m", tiebreak, *[e.alias(k) for k, e in measures.items()])
+    rb = ordered_blocks(rows, tiebreak, {k: F.col(k) for k in measures}, ["cut", "_m"],
                         n_ranges=n_ranges)
     part = rb.filter(F.col("o_c") < F.col("_m")).select(
-        *group, *[F.col(k).cast("double").alias(k) for k in measures],
+        "cut", *[F.col(k).cast(types[k]).alias(k) for k in measures],
         F.lit(None).cast("bigint").alias("n_total"), F.lit(None).cast("bigint").alias("_k"))
     allp = full.unionByName(sizes).unionByName(part)
-    return allp.groupBy(*group).agg(F.max("n_total").alias("n_total"),
-                                    F.max("_k").alias("n_top"),
-                                    *[F.sum(k).alias(k) for k in measures])
+    return allp.groupBy("cut").agg(F.max("n_total").alias("n_total"), F.max("_k").alias("n_top"),
+                                   *[F.sum(k).alias(k) for k in measures])
+
+
+def top_rows(df: DataFrame, score: str, tiebreak: str, n_top: Column,
+             n_ranges: int | None = None) -> DataFrame:
+    """The rows ranked 1..n_top by (score desc, tiebreak asc) - exact, with
+    no global sort: rows of whole blocks pass a score threshold, the single
+    boundary block is ranked on the unique tiebreak."""
+    b = ordered_blocks(df, score, None, (), descending=True, n_ranges=n_ranges)
+    b = b.withColumn("_k", n_top.cast("bigint"))
+    full_min = b.filter(F.col("o_c") + F.col("c") <= F.col("_k")).agg(F.min(score)).scalar()
+    bnd = b.filter((F.col("o_c") < F.col("_k")) & (F.col("o_c") + F.col("c") > F.col("_k")))
+    bs = bnd.agg(F.first(score)).scalar()
+    m = bnd.agg(F.first(F.col("_k") - F.col("o_c"))).scalar()
+    whole = df.filter(F.col(score) >= full_min)
+    tied = df.filter(F.col(score) == bs)
+    first_m = ordered_blocks(tied, tiebreak, None, (), n_ranges=n_ranges) \
+        .filter(F.col("o_c") < m).select(tiebreak)
+    return whole.unionByName(tied.join(first_m, tiebreak, "left_semi"))

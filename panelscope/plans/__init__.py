@@ -9,6 +9,7 @@ def _load_all() -> None:
         q_cleaning,
         q_distribution,
         q_features,
+        q_metrics,
         q_quality,
         q_audits,
     )
