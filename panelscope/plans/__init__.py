@@ -11,6 +11,7 @@ def _load_all() -> None:
         q_features,
         q_metrics,
         q_quality,
+        q_selection,
         q_audits,
     )
 
