@@ -10,6 +10,7 @@ def _load_all() -> None:
         q_distribution,
         q_features,
         q_metrics,
+        q_model,
         q_quality,
         q_selection,
         q_audits,

@@ -17,7 +17,7 @@ _B = """b AS (SELECT score, count(*) AS c, sum(label) AS tp FROM scored
          WHERE score IS NOT NULL GROUP BY score)"""
 
 
-@register("average_precision", f"""
+_AVERAGE_PRECISION_SQL = f"""
 WITH {_B},
 r AS (SELECT c, tp, sum(tp) OVER (ORDER BY score DESC) AS ctp,
         sum(c) OVER (ORDER BY score DESC) AS cc FROM b),
@@ -25,21 +25,27 @@ s AS (SELECT sum(CAST(tp AS DOUBLE) * CAST(ctp AS DOUBLE) / CAST(cc AS DOUBLE))
         / CAST((SELECT sum(tp) FROM b) AS DOUBLE) AS ap,
         CAST((SELECT sum(tp) FROM b) AS DOUBLE) / CAST((SELECT sum(c) FROM b) AS DOUBLE) AS prev
       FROM r)
-SELECT round(ap, 9) AS average_precision, prev AS prevalence, round(ap / prev, 9) AS lift FROM s""",
+SELECT round(ap, 9) AS average_precision, prev AS prevalence, round(ap / prev, 9) AS lift FROM s"""
+
+
+@register("average_precision", _AVERAGE_PRECISION_SQL,
           ("scored",))
 def average_precision(c: Ctx):
     """M8 on the stand-in scores of the test snapshot."""
     return M.average_precision(c.scored)
 
 
-@register("roc_auc", f"""
+_ROC_AUC_SQL = f"""
 WITH {_B},
 r AS (SELECT c, tp, coalesce(sum(c) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
         AND 1 PRECEDING), 0) AS oc FROM b),
 s AS (SELECT sum(CAST(tp AS DOUBLE) * (CAST(oc AS DOUBLE) + (CAST(c AS DOUBLE) + 1) / 2)) AS rs,
         CAST((SELECT sum(tp) FROM b) AS DOUBLE) AS p,
         CAST((SELECT sum(c) FROM b) AS DOUBLE) AS n FROM r)
-SELECT round((rs - p * (p + 1) / 2) / (p * (n - p)), 9) AS roc_auc FROM s""", ("scored",))
+SELECT round((rs - p * (p + 1) / 2) / (p * (n - p)), 9) AS roc_auc FROM s"""
+
+
+@register("roc_auc", _ROC_AUC_SQL, ("scored",))
 def roc_auc(c: Ctx):
     """M9"""
     return M.roc_auc(c.scored)
@@ -97,7 +103,7 @@ _BASE = (f"(SELECT avg(ln(1 + target_1m)) FROM panel WHERE date_target < {TEST}
          f"AND target_1m > 0)")
 
 
-@register("regression_metrics", f"""
+_REGRESSION_METRICS_SQL = f"""
 WITH p AS (SELECT ln(1 + score) AS pl, ln(1 + actual) AS tl, score, actual FROM {_POS} q),
 m AS (SELECT round(sqrt(avg((pl - tl) * (pl - tl))), 6) AS rmse_log,
         round(avg(abs(pl - tl)), 6) AS mae_log,
@@ -108,7 +114,10 @@ m AS (SELECT round(sqrt(avg((pl - tl) * (pl - tl))), 6) AS rmse_log,
         round(100.0 * (sqrt(avg(({_BASE} - tl) * ({_BASE} - tl))) - sqrt(avg((pl - tl) * (pl - tl))))
           / sqrt(avg(({_BASE} - tl) * ({_BASE} - tl))), 6) AS improvement_pct
       FROM p)
-SELECT * FROM m""", ("scored", "panel"))
+SELECT * FROM m"""
+
+
+@register("regression_metrics", _REGRESSION_METRICS_SQL, ("scored", "panel"))
 def regression_metrics(c: Ctx):
     """Log-space and money errors of the stand-in prediction on the
     test positives; baseline = mean log target of the train positives."""
@@ -119,9 +128,12 @@ def regression_metrics(c: Ctx):
     return M.regression_metrics(pos, "pl", "tl", "score", "actual", base)
 
 
-@register("combined_error", f"""
+_COMBINED_ERROR_SQL = f"""
 SELECT count(*) AS n, round(avg(abs(score - actual)), 6) AS mae,
-  round(quantile_cont(abs(score - actual), 0.5), 6) AS median_ae FROM {_POS} q""", ("scored",))
+  round(quantile_cont(abs(score - actual), 0.5), 6) AS median_ae FROM {_POS} q"""
+
+
+@register("combined_error", _COMBINED_ERROR_SQL, ("scored",))
 def combined_error(c: Ctx):
     """M12 on the test positives."""
     return M.combined_error(c.scored.filter(F.col("actual") > 0), "score", "actual")
