@@ -42,22 +42,39 @@ def pct(num: ColumnOrName, den: ColumnOrName) -> Column:
     return F.try_divide(col(num).cast("double") * F.lit(100.0), col(den).cast("double"))
 
 
-def money_sum(c: ColumnOrName, scale: int = 2) -> Column:
-    """Order-independent money total: summed as DECIMAL(18,4), rounded while
-    still decimal, returned as double. Null when every input is null."""
+# Money is summed exactly: in fixed point (1/10000 units in a long) for
+# per-entity aggregates, where the total stays below 2^53 units (~9e11), and
+# as DECIMAL for unbounded totals. Both give the value an exact DECIMAL(18,4)
+# sum would give, rounded half-up to cents, independent of partitioning.
+_FIXED = 10000.0
+
+
+def fixed4(c: ColumnOrName) -> Column:
+    """Money as a long count of 1/10000 units (exact for 4-decimal amounts)."""
+    return F.round(col(c) * F.lit(_FIXED)).cast("bigint")
+
+
+def money_sum(c: ColumnOrName, scale: int = 2, fixed: bool = True) -> Column:
+    """Order-independent money total rounded to ``scale`` decimals (half-up),
+    as double; null when every input is null."""
+    if fixed:
+        return F.round(F.sum(fixed4(c)).cast("double") / F.lit(_FIXED), scale)
     s = F.sum(col(c).cast("decimal(18,4)"))
     return F.round(s, scale).cast("double")
 
 
-def money_total(c: ColumnOrName, scale: int = 2) -> Column:
+def money_total(c: ColumnOrName, scale: int = 2, fixed: bool = True) -> Column:
     """``money_sum`` with pandas' ``sum`` of nothing = 0."""
-    return F.coalesce(money_sum(c, scale), F.lit(0.0))
+    return F.coalesce(money_sum(c, scale, fixed), F.lit(0.0))
 
 
-def money_mean(c: ColumnOrName) -> Column:
+def money_mean(c: ColumnOrName, fixed: bool = True) -> Column:
     """Mean of known values, bit-stable across partitionings."""
-    return F.try_divide(F.sum(col(c).cast("decimal(18,4)")).cast("double"),
-                        F.count(col(c)).cast("double"))
+    if fixed:
+        s = F.sum(fixed4(c)).cast("double") / F.lit(_FIXED)
+    else:
+        s = F.sum(col(c).cast("decimal(18,4)")).cast("double")
+    return F.try_divide(s, F.count(col(c)).cast("double"))
 
 
 def fround(c: ColumnOrName, digits: int = 6) -> Column:

@@ -191,10 +191,10 @@ def aggregate_reconciliation(c: Ctx):
     tp = _test_panel(c)
     ids = tp.select("client_id").distinct()
     ev = c.trs.filter(F.col("trs_date") <= F.lit(c.test_snapshot)).join(ids, "client_id", "left_semi")
-    pn = tp.agg(money_total("to_full_hist").alias("panel_total"),
+    pn = tp.agg(money_total("to_full_hist", fixed=False).alias("panel_total"),
                 money_mean("to_full_hist").alias("mean_panel_per_client"),
                 F.count(F.lit(1)).alias("n_clients"))
-    ev_tot = ev.agg(money_total("spend")).scalar()
+    ev_tot = ev.agg(money_total("spend", fixed=False)).scalar()
     n_ev = ev.agg(F.count(F.lit(1))).scalar()
     ratio = F.try_divide(ev_tot, F.when(F.col("panel_total") != 0, F.col("panel_total")))
     return pn.select(
