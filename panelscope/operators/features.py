@@ -32,8 +32,54 @@ def asof_expand(events: DataFrame, snaps: DataFrame, date_col: str = "trs_date",
     return ev.join(F.broadcast(snaps), F.col(date_col) <= F.col(snap_col))
 
 
+def snapshot_tag(date_col: Column, dates) -> Column:
+    """First snapshot date on or after the event date (null after the last
+    snapshot): the snapshot at which an event first becomes visible."""
+    ds = sorted(dates)
+    tag = F.lit(None).cast("date")
+    for d in reversed(ds):
+        tag = F.when(date_col <= F.lit(d), F.lit(d)).otherwise(tag)
+    return tag
+
+
+def _expand_tags(df: DataFrame, dates, tag_col: str = "_tag") -> DataFrame:
+    """Replicate a per-tag row to every snapshot at or after its tag (at most
+    one row per snapshot; the input is already aggregated per key and tag)."""
+    arr = F.array(*[F.lit(d) for d in sorted(dates)])
+    return df.select("*", F.explode(F.filter(arr, lambda s: s >= F.col(tag_col))).alias("date_target"))
+
+
+def asof_distinct_count(events: DataFrame, dates, key: str, item: str,
+                        date_col: str = "trs_date", name: str = "n_distinct") -> DataFrame:
+    """Distinct ``item`` per (key, snapshot) over events on/before the
+    snapshot, without expanding events: each (key, item) pair counts from
+    the first snapshot that sees it (incremental as-of form)."""
+    tag = snapshot_tag(F.col(date_col), dates)
+    first = (events.filter(F.col(item).isNotNull()).select(key, item, tag.alias("_tag"))
+             .filter(F.col("_tag").isNotNull())
+             .groupBy(key, item).agg(F.min("_tag").alias("_tag")))
+    per_tag = first.groupBy(key, "_tag").agg(F.count(F.lit(1)).alias("_n"))
+    return _expand_tags(per_tag, dates).groupBy(key, "date_target").agg(
+        F.sum("_n").alias(name))
+
+
+def asof_set_union(events: DataFrame, dates, key: str, sets: dict[str, Column],
+                   date_col: str = "trs_date") -> DataFrame:
+    """Sorted distinct sets per (key, snapshot) over events on/before the
+    snapshot. Sets are collected once per (key, first-visible snapshot) -
+    partial aggregation keeps hot keys bounded by the set sizes - and the
+    small per-tag sets are unioned per snapshot."""
+    tag = snapshot_tag(F.col(date_col), dates)
+    per_tag = (events.select(key, tag.alias("_tag"), *[e.alias(n) for n, e in sets.items()])
+               .filter(F.col("_tag").isNotNull())
+               .groupBy(key, "_tag").agg(*[F.collect_set(n).alias(n) for n in sets]))
+    out = _expand_tags(per_tag, dates).groupBy(key, "date_target").agg(
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in sets])
+    return out
+
+
 def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = 3,
-                 prior_years: int = 6, upper_bound=None) -> DataFrame:
+                 prior_years: int = 6, upper_bound=None, dates=None) -> DataFrame:
     """A1-A7 + A2 + F18 + W1 fused into one grouped aggregation per
     (client, snapshot).
 
@@ -42,17 +88,25 @@ def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = 3,
     The average gap between consecutive events telescopes to
     tenure / (n - 1), so no window sort is needed (single event -> 0).
     """
+    # window starts are computed once per snapshot on the broadcast side
+    snaps = snaps.select("date_target",
+                         F.add_months("date_target", -12 * recent_years).alias("_recent_start"),
+                         F.add_months("date_target", -12 * prior_years).alias("_prior_start"))
     x = asof_expand(events, snaps, upper_bound=upper_bound)
     d, s = F.col("trs_date"), F.col("date_target")
-    recent_start = F.add_months(s, -12 * recent_years)
-    prior_start = F.add_months(s, -12 * prior_years)
+    recent_start, prior_start = F.col("_recent_start"), F.col("_prior_start")
     spend = F.col("spend")
+    # distinct articles: with the snapshot dates known, counted in the
+    # incremental as-of form (each (client, article) from its first snapshot)
+    # instead of a distinct aggregate over the expanded rows
+    distinct = ([] if dates is not None
+                else [F.count_distinct("article_id").alias("n_distinct_articles")])
     g = x.groupBy(*KEYS).agg(
         F.count(d).alias("n_transactions"),
         money_total(spend).alias("total_spend"),
         money_mean(spend).alias("avg_spend_per_trs"),
         F.max(spend).alias("max_single_spend"),
-        F.count_distinct("article_id").alias("n_distinct_articles"),
+        *distinct,
         F.max(d).alias("_last"),
         F.min(d).alias("_first"),
         money_total(F.when(d > recent_start, spend)).alias("spend_recent"),
@@ -63,6 +117,10 @@ def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = 3,
         count_where(F.month(d).isin(2, 12)).alias("_n_holiday"),
         F.avg("flag_he").alias("flag_he_ratio_trs"),
     )
+    if dates is not None:
+        nd = asof_distinct_count(events, dates, "client_id", "article_id",
+                                 name="n_distinct_articles")
+        g = g.join(nd, list(KEYS), "left").fillna(0, subset=["n_distinct_articles"])
     n = F.col("n_transactions")
     tenure = F.datediff(F.col("_last"), F.col("_first"))
     return g.select(

@@ -14,7 +14,7 @@ _R, _P = 12 * RECENT_YEARS, 12 * PRIOR_YEARS
 
 def _rfm(c: Ctx):
     return FE.rfm_features(c.trs, c.snapshots, RECENT_YEARS, PRIOR_YEARS,
-                           upper_bound=c.last_snapshot)
+                           upper_bound=c.last_snapshot, dates=c.snapshot_dates)
 
 
 _RFM_VIEWS = ("rfm",)

@@ -89,6 +89,10 @@ class Ctx:
         from panelscope.operators.cleaning import supplementary_features
         return supplementary_features(self.clean_clients, self.clean_crc, self.clean_ccp)
 
+    @property
+    def snapshot_dates(self) -> list[dt.date]:
+        return [dt.date.fromisoformat(d) for d in V.SNAPSHOT_DATES]
+
     @property
     def last_snapshot(self) -> dt.date:
         return max(dt.date.fromisoformat(d) for d in V.SNAPSHOT_DATES)

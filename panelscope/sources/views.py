@@ -175,21 +175,27 @@ def panel(t, spark: SparkSession, trs_df: DataFrame | None = None,
     """
     trs_df = trs_df if trs_df is not None else trs(t)
     clients_df = clients_df if clients_df is not None else clients(t, trs_df)
-    snaps = snapshots(spark, dates)
     max_h = max(TARGET_HORIZONS_MONTHS.values())
+    # window bounds are computed once per snapshot on the broadcast side, so
+    # every expanded row only compares dates
+    snaps = snapshots(spark, dates).select(
+        "date_target",
+        *[F.add_months("date_target", h).alias(f"_h_{n}") for n, h in TARGET_HORIZONS_MONTHS.items()],
+        F.add_months("date_target", -12 * RECENT_YEARS).alias("_recent_start"),
+        F.add_months("date_target", -12 * PRIOR_YEARS).alias("_prior_start"))
     d, s = F.col("trs_date"), F.col("date_target")
     # explicit upper bound: a broadcast range join cannot push one into the scan
     last = max(_d(v) for v in dates)
     bound = F.add_months(F.lit(last), max_h)
-    x = trs_df.filter(d <= bound).join(F.broadcast(snaps), d <= F.add_months(s, max_h))
+    hmax = f"_h_{max(TARGET_HORIZONS_MONTHS, key=TARGET_HORIZONS_MONTHS.get)}"
+    x = trs_df.filter(d <= bound).join(F.broadcast(snaps), d <= F.col(hmax))
     hist = d <= s
-    recent_start = F.add_months(s, -12 * RECENT_YEARS)
-    prior_start = F.add_months(s, -12 * PRIOR_YEARS)
+    recent_start, prior_start = F.col("_recent_start"), F.col("_prior_start")
     spend = F.col("spend")
     hs = F.when(hist, spend)
     aggs = [F.count_if(hist).alias("nb_trs_full_hist")]
-    for name, h in TARGET_HORIZONS_MONTHS.items():
-        aggs.append(money_total(F.when((d > s) & (d <= F.add_months(s, h)), spend)).alias(name))
+    for name in TARGET_HORIZONS_MONTHS:
+        aggs.append(money_total(F.when((d > s) & (d <= F.col(f"_h_{name}")), spend)).alias(name))
     aggs += [
         F.min(F.when(hist, d)).alias("_first"),
         F.max(F.when(hist, d)).alias("_last"),
@@ -203,17 +209,21 @@ def panel(t, spark: SparkSession, trs_df: DataFrame | None = None,
         F.count_if(hist & (F.col("channel") == "Web")).alias("nb_trs_web"),
         F.count_if(hist & (F.col("channel") == "CC")).alias("nb_trs_crc"),
         fround(F.stddev_samp(hs)).alias("stddev_price"),
-        F.count_distinct(F.when(hist, d)).alias("_n_dates"),
         F.max(F.when(hist, F.col("wwprice"))).alias("max_price_per_pdt"),
         F.coalesce(F.sum(F.when(hist, F.col("qty"))), F.lit(0)).cast("bigint").alias("qty_pdt_full_hist"),
-        F.array_sort(F.collect_set(F.when(hist, F.date_format("ship_date", "yyyy-MM-dd"))))
-         .alias("_dates"),
-        F.array_sort(F.collect_set(F.when(hist & (F.col("trs_categ") == "Repair"), F.col("categ"))))
-         .alias("_repairs"),
     ]
     g = x.groupBy("client_id", "date_target").agg(*aggs).filter(F.col("nb_trs_full_hist") > 0)
+    # set-valued history (distinct dates, list columns) in the incremental
+    # as-of form: sets per (client, first snapshot that sees the event), then
+    # unioned per snapshot - no set is built over the expanded rows
+    from panelscope.operators.features import asof_set_union
+    sets = asof_set_union(trs_df, [_d(v) for v in dates], "client_id", {
+        "_tdates": F.col("trs_date"), "_dates": F.col("ship_date"),
+        "_repairs": F.when(F.col("trs_categ") == "Repair", F.col("categ"))})
+    g = g.join(sets, ["client_id", "date_target"], "left").withColumn(
+        "_n_dates", F.size("_tdates"))
     cid = F.col("client_id")
-    dates_list = F.concat_ws(",", F.col("_dates"))
+    dates_list = F.concat_ws(",", F.col("_dates").cast("array<string>"))
     # inject unparsable and blank list elements for some clients (edge cases)
     dates_list = (F.when(cid % 7 == 0, F.concat(dates_list, F.lit(",n/a")))
                    .when(cid % 11 == 0, F.concat(dates_list, F.lit(", ")))
