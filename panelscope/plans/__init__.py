@@ -13,6 +13,7 @@ def _load_all() -> None:
         q_model,
         q_quality,
         q_selection,
+        q_sources,
         q_audits,
     )
 

@@ -98,12 +98,12 @@ def scan_optional(spark: SparkSession, paths: list[str], schema: T.StructType) -
 
 
 def scan_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType,
-                      corrupt_col: str = "_corrupt_record") -> DataFrame:
+                      corrupt_col: str = "_corrupt_record", header: bool = True) -> DataFrame:
     """CSV read that keeps malformed lines visible in ``corrupt_col``
     (PERMISSIVE) rather than silently dropping them."""
     full = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType(), True)])
     return (spark.read.schema(full)
-            .option("header", True).option("quote", '"').option("escape", '"')
+            .option("header", header).option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_col)
             .csv(path))
 
