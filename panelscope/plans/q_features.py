@@ -257,3 +257,76 @@ def validate_feature_set(c: Ctx):
     num, allc = _master_cols()
     train, test = FE.temporal_split(_master(c), c.test_snapshot)
     return FE.validate_features(train, test, num, allc, "target_1m")
+
+
+# ------------------------------------------------------------------ SURVEY 2.13 (specified, optional)
+@register("rfm_extended_features", """
+SELECT client_id, date_target, CAST(month(date_target - recency_days) AS INTEGER) AS month_last_purchase,
+  CAST(year(date_target) AS INTEGER) AS snapshot_year,
+  CASE WHEN spend_recent > -1 AND spend_prior > -1
+       THEN round(ln(1 + spend_recent) - ln(1 + spend_prior), 9) END AS spend_trend_log
+FROM rfm""", ("rfm",))
+def rfm_extended_features(c: Ctx):
+    """2.13: month of the last purchase, snapshot year, log spend trend."""
+    r = _rfm(c)
+    ok = (F.col("spend_recent") > -1) & (F.col("spend_prior") > -1)
+    return r.select("client_id", "date_target",
+                    F.month(F.date_sub("date_target", F.col("recency_days"))).alias("month_last_purchase"),
+                    F.year("date_target").alias("snapshot_year"),
+                    F.when(ok, F.round(F.log1p("spend_recent") - F.log1p("spend_prior"), 9))
+                    .alias("spend_trend_log"))
+
+
+@register("asof_supplementary", """
+SELECT r.client_id, s.date_target, count(*) AS n_ccp_products_asof,
+  max(CAST(coalesce(r.flag_gift, false) AS INTEGER)) AS has_gift_asof
+FROM ccp r JOIN snapshots s ON r.creation_date <= s.date_target
+GROUP BY r.client_id, s.date_target""", ("ccp", "snapshots"))
+def asof_supplementary(c: Ctx):
+    """2.13 / D6: registration flags as of each snapshot (creation date on or
+    before it) instead of the reference's leaking all-time flags."""
+    x = FE.asof_expand(c.ccp, c.snapshots, date_col="creation_date", upper_bound=c.last_snapshot)
+    return x.groupBy("client_id", "date_target").agg(
+        F.count(F.lit(1)).alias("n_ccp_products_asof"),
+        F.max(F.coalesce(F.col("flag_gift"), F.lit(False)).cast("int")).alias("has_gift_asof"))
+
+
+@register("age_imputed_by_market_gender", """
+WITH t AS (SELECT * FROM panel WHERE date_target = DATE '2000-01-01'),
+m AS (SELECT residency_market, gender, round(quantile_cont(age, 0.5), 6) AS med FROM t
+      WHERE age IS NOT NULL AND residency_market IS NOT NULL AND gender IS NOT NULL
+      GROUP BY residency_market, gender)
+SELECT t.client_id, t.age, coalesce(t.age, m.med) AS age_imputed
+FROM t LEFT JOIN m ON t.residency_market = m.residency_market AND t.gender = m.gender""",
+          ("panel",))
+def age_imputed_by_market_gender(c: Ctx):
+    """2.13: latest snapshot, null age filled with the exact median age of
+    the client's (market, gender) group; null group keys are not a group."""
+    from panelscope.operators.distribution import exact_percentiles
+    t = c.panel.filter(F.col("date_target") == F.lit(c.test_snapshot))
+    keys = ["residency_market", "gender"]
+    src = t.filter(F.col("residency_market").isNotNull() & F.col("gender").isNotNull())
+    med = exact_percentiles(src, "age", {"med": 0.5}, keys)
+    return t.join(med, keys, "left").select(
+        "client_id", "age", F.coalesce(F.col("age"), F.col("med")).alias("age_imputed"))
+
+
+@register("purchase_sequence_features", """
+WITH p AS (SELECT client_id, date_target,
+  list_filter(list_transform(string_split(all_purchased_dates, ','),
+              lambda e: TRY_CAST(trim(e) AS DATE)), lambda d: d IS NOT NULL) AS ds
+  FROM panel)
+SELECT client_id, date_target, CAST(len(ds) AS INTEGER) AS n_dates,
+  list_min(ds) AS first_date, list_max(ds) AS last_date,
+  CAST(len(list_filter(ds, lambda d: d > date_target)) AS INTEGER) AS n_after_snapshot
+FROM p""", ("panel",))
+def purchase_sequence_features(c: Ctx):
+    """2.13: features read from the comma list with higher-order functions
+    (no explode): parsed dates, first / last, and dates after the snapshot."""
+    ds = F.filter(F.transform(F.split("all_purchased_dates", ","),
+                              lambda e: F.try_to_date(F.trim(e), "yyyy-MM-dd")),
+                  lambda d: d.isNotNull())
+    p = c.panel.select("client_id", "date_target", ds.alias("ds"))
+    return p.select("client_id", "date_target", F.size("ds").alias("n_dates"),
+                    F.array_min("ds").alias("first_date"), F.array_max("ds").alias("last_date"),
+                    F.size(F.filter("ds", lambda d: d > F.col("date_target"))).alias("n_after_snapshot"))
