@@ -59,7 +59,7 @@ def default_ranges(spark) -> int:
 
 def ordered_blocks(df: DataFrame, value: str, weights: dict[str, Column] | None = None,
                    group: tuple[str, ...] | list[str] = (), descending: bool = False,
-                   n_ranges: int | None = None) -> DataFrame:
+                   n_ranges: int | None = None, materialize: bool = True) -> DataFrame:
     """One row per distinct (group, value) with:
 
     ``c`` rows in the block, ``<w>`` weight sums, ``o_c`` / ``o_<w>`` the
@@ -71,6 +71,13 @@ def ordered_blocks(df: DataFrame, value: str, weights: dict[str, Column] | None
     src = df.filter(F.col(value).isNotNull())
     blocks = src.groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("c"), *[F.sum(e).alias(k) for k, e in weights.items()])
+    if materialize:
+        # the blocks feed two jobs (range bounds, then the offsets): write
+        # them once to the shared checkpoint folder instead of recomputing
+        # the upstream plan, which also cuts the lineage
+        from panelscope.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        blocks = blocks.checkpoint(eager=True)
     n = n_ranges or default_ranges(df.sparkSession)
     bounds = range_bounds(blocks, value, n)
     blocks = blocks.withColumn("_r", _bucket_expr(F.col(value), bounds))

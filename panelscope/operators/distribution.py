@@ -43,16 +43,25 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
 def gini(df: DataFrame, value: str, group=(), digits: int = 9,
          blocks: DataFrame | None = None) -> DataFrame:
     """Gini of the positive values, G = 2*sum(i*x)/(n*sum x) - (n+1)/n
-    with i the ascending rank. A tie block of c equal values after o smaller
-    ones contributes x*(c*o + c(c+1)/2) to sum(i*x)."""
+    with i the ascending rank among positives. A tie block of c equal values
+    after o smaller positives contributes x*(c*o + c(c+1)/2) to sum(i*x).
+
+    ``blocks`` may be ascending blocks over ALL values (shared with the
+    percentiles): offsets are then shifted by the non-positive rows, all in
+    the same single aggregation."""
     group = list(group)
     b = blocks if blocks is not None else ordered_blocks(
         df.filter(F.col(value) > 0), value, None, group)
     x, c, o = F.col(value).cast("double"), F.col("c").cast("double"), F.col("o_c").cast("double")
+    pos = F.col(value) > 0
     g = b.groupBy(*group).agg(
-        F.sum(x * (c * o + c * (c + 1) / 2)).alias("_s1"),
-        F.sum(x * c).alias("_s"), F.sum("c").cast("double").alias("_n"))
-    gi = (F.lit(2.0) * F.col("_s1")) / (F.col("_n") * F.col("_s")) - (F.col("_n") + 1) / F.col("_n")
+        F.sum(F.when(pos, x * c * o)).alias("_a"),
+        F.sum(F.when(pos, x * (c * (c + 1) / 2))).alias("_b"),
+        F.sum(F.when(pos, x * c)).alias("_s"),
+        F.sum(F.when(pos, c)).alias("_n"),
+        F.coalesce(F.sum(F.when(~pos, c)), F.lit(0.0)).alias("_n0"))
+    s1 = F.col("_a") - F.col("_n0") * F.col("_s") + F.col("_b")
+    gi = (F.lit(2.0) * s1) / (F.col("_n") * F.col("_s")) - (F.col("_n") + 1) / F.col("_n")
     return g.select(*group, F.round(gi, digits).alias("gini"))
 
 
@@ -97,12 +106,20 @@ TARGET_PCTS = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95,
                "p99": 0.99, "p99_9": 0.999}
 
 
-def target_stats(df: DataFrame, value: str, group=()) -> DataFrame:
-    """Moments + 7 exact percentiles + mean/median ratio + Gini per group."""
+def target_stats(df: DataFrame, value: str, group=(), materialize: bool = True) -> DataFrame:
+    """Moments + 7 exact percentiles + mean/median ratio + Gini per group.
+
+    The input feeds several jobs, so it is written once to the checkpoint
+    folder; percentiles and Gini share one set of value blocks."""
     group = list(group)
+    if materialize:
+        from panelscope.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.select(*group, value).checkpoint(eager=True)
     m = moments(df, value, group)
-    pc = exact_percentiles(df, value, TARGET_PCTS, group)
-    gi = gini(df, value, group)
+    b = ordered_blocks(df, value, None, group)
+    pc = exact_percentiles(df, value, TARGET_PCTS, group, blocks=b)
+    gi = gini(df, value, group, blocks=b)
     out = m.join(pc, group, "left") if group else _attach(m, pc)
     out = out.join(gi, group, "left") if group else _attach(out, gi)
     ratio = F.when(F.col("p50") > 0, fround(F.col("mean") / F.col("p50")))

@@ -33,8 +33,8 @@ def corr_with_target(df: DataFrame, features: list[str], target: str,
                      families: dict[str, str]) -> DataFrame:
     """|Pearson r| of every feature with the target (pairwise complete,
     null for constant columns), with the feature family."""
-    nul = nullable_columns(df, features + [target])
-    row = df.agg(*[_corr(f, target, nul).alias(f"r{i}") for i, f in enumerate(features)])
+    # one pass: every pair uses the pairwise-complete (masked) form
+    row = df.agg(*[guarded_corr(f, target).alias(f"r{i}") for i, f in enumerate(features)])
     return rows_from(row, [[F.lit(f).alias("feature"), F.abs(F.col(f"r{i}")).alias("abs_corr"),
                             F.lit(families.get(f, "Other")).alias("family")]
                            for i, f in enumerate(features)])

@@ -56,7 +56,11 @@ class Ctx:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return V.scored(self.panel)
+        # every metric reads the scored rows in several jobs (bounds, offsets,
+        # totals): materialise them once in the shared checkpoint folder
+        from panelscope.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        return V.scored(self.panel).checkpoint(eager=True)
 
     # cleaned tables
     @cached_property
