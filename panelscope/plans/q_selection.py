@@ -179,3 +179,72 @@ def validate_selection(c: Ctx):
          F.lit(aligned).cast("bigint").alias("n_violations")],
         [F.lit("targets_and_keys_present").alias("check_name"),
          F.lit(present).cast("bigint").alias("n_violations")]])
+
+
+# ------------------------------------------------------------------ A55 / A56
+_DRIFT = ["to_full_hist", "nb_trs_full_hist", "recency"]
+
+
+@register("positive_rate_by_snapshot", f"""
+WITH m AS (SELECT * FROM master),
+a AS (SELECT date_target, count(*) AS n_rows, avg(target_1m_bin) AS positive_rate,
+        round(avg(target_1m_log) FILTER (WHERE target_1m_bin = 1), 9) AS mean_log_pos,
+        round(stddev_samp(target_1m_log) FILTER (WHERE target_1m_bin = 1), 6) AS std_log_pos,
+        round(quantile_cont(target_1m_log, 0.95) FILTER (WHERE target_1m_bin = 1), 6) AS p95_log_pos,
+        {', '.join(f"round(quantile_cont({x}, 0.5), 6) AS median_{x}" for x in _DRIFT)}
+      FROM m GROUP BY date_target)
+SELECT * FROM a""", ("master",))
+def positive_rate_by_snapshot(c: Ctx):
+    """Rows, positive rate and the positives' log-target profile per
+    snapshot, plus exact medians of key features (drift)."""
+    from panelscope.functions.exprs import fround
+    from panelscope.operators.distribution import exact_percentiles
+    m = _master(c)
+    pos = F.col("target_1m_bin") == 1
+    a = m.groupBy("date_target").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("target_1m_bin").alias("positive_rate"),
+        F.round(F.avg(F.when(pos, F.col("target_1m_log"))), 9).alias("mean_log_pos"),
+        fround(F.stddev_samp(F.when(pos, F.col("target_1m_log")))).alias("std_log_pos"))
+    p95 = exact_percentiles(m.filter(pos), "target_1m_log", {"p95_log_pos": 0.95}, ["date_target"])
+    pairs = ", ".join(f"'{x}', CAST({x} AS DOUBLE)" for x in _DRIFT)
+    long = m.selectExpr("date_target", f"stack({len(_DRIFT)}, {pairs}) as (_f, _v)")
+    med = exact_percentiles(long, "_v", {"_med": 0.5}, ["date_target", "_f"])
+    wide = med.groupBy("date_target").pivot("_f", _DRIFT).agg(F.first("_med"))
+    wide = wide.select("date_target", *[F.col(x).alias(f"median_{x}") for x in _DRIFT])
+    return a.join(p95, "date_target", "left").join(wide, "date_target", "left")
+
+
+@register("feature_report", f"""
+WITH prof AS ({_profile_sql()}),
+tr AS (SELECT * FROM master WHERE date_target < {TEST}),
+top AS (SELECT feature, pct_missing FROM prof ORDER BY pct_missing DESC, feature LIMIT 10)
+SELECT 'counts' AS section, 'n_train_rows' AS metric, CAST((SELECT count(*) FROM tr) AS DOUBLE) AS value
+UNION ALL SELECT 'counts', 'n_test_rows',
+  CAST((SELECT count(*) FROM master WHERE date_target = {TEST}) AS DOUBLE)
+UNION ALL SELECT 'counts', 'n_features', CAST({len(FEATURES)} AS DOUBLE)
+UNION ALL SELECT 'target', 'positive_rate_train', (SELECT avg(target_1m_bin) FROM tr)
+UNION ALL SELECT 'missing', 'mean_missing_rate', (SELECT avg(pct_missing) FROM prof)
+UNION ALL SELECT 'missing_top10', feature, pct_missing FROM top
+""" + "".join(f"\nUNION ALL SELECT 'family', '{fam}', CAST({n} AS DOUBLE)" for fam, n in sorted(
+    {f: list(FAMILIES.values()).count(f) for f in set(FAMILIES.values())}.items())), ("master",))
+def feature_report(c: Ctx):
+    """Long (section, metric, value) feature report: sizes, positive
+    rate, top-10 missing features and family sizes - one plan of small parts."""
+    from panelscope.operators.quality import rows_from
+    m = _master(c)
+    tr = m.filter(F.col("date_target") < F.lit(c.test_snapshot))
+    te = m.filter(F.col("date_target") == F.lit(c.test_snapshot))
+    prof = _profile(c)
+    fams = {f: list(FAMILIES.values()).count(f) for f in set(FAMILIES.values())}
+    scal = [("counts", "n_train_rows", tr.agg(F.count(F.lit(1))).scalar().cast("double")),
+            ("counts", "n_test_rows", te.agg(F.count(F.lit(1))).scalar().cast("double")),
+            ("counts", "n_features", F.lit(float(len(FEATURES)))),
+            ("target", "positive_rate_train", tr.agg(F.avg("target_1m_bin")).scalar()),
+            ("missing", "mean_missing_rate", prof.agg(F.avg("pct_missing")).scalar())]
+    scal += [("family", fam, F.lit(float(n))) for fam, n in sorted(fams.items())]
+    head = rows_from(c.spark.range(1), [[F.lit(s).alias("section"), F.lit(k).alias("metric"),
+                                         v.cast("double").alias("value")] for s, k, v in scal])
+    top = prof.orderBy(F.col("pct_missing").desc(), "feature").limit(10).select(
+        F.lit("missing_top10").alias("section"), F.col("feature").alias("metric"),
+        F.col("pct_missing").alias("value"))
+    return head.unionByName(top)
