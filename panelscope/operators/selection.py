@@ -40,14 +40,29 @@ def corr_with_target(df: DataFrame, features: list[str], target: str,
                            for i, f in enumerate(features)])
 
 
-def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = 0.95) -> DataFrame:
-    """All feature pairs with |r| > threshold, full data (no sample)."""
-    nul = nullable_columns(df, features)
+def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = 0.95,
+                    chunk: int = 128) -> DataFrame:
+    """All feature pairs with |r| > threshold, full data (no sample).
+
+    The numeric features are written once to the checkpoint folder (they
+    feed several passes); pairs are then evaluated in chunks of ``chunk``
+    covariances per aggregation, which keeps every aggregation compact enough
+    for whole-stage code generation."""
+    from functools import reduce
+
+    from panelscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    base = df.select(*[F.col(f).cast("double").alias(f) for f in features]).checkpoint(eager=True)
+    nul = nullable_columns(base, features)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    row = df.agg(*[_corr(a, b, nul).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    out = rows_from(row, [[F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                           F.abs(F.col(f"p{i}")).alias("abs_corr")]
-                          for i, (a, b) in enumerate(pairs)])
+    parts = []
+    for start in range(0, len(pairs), chunk):
+        part = pairs[start:start + chunk]
+        row = base.agg(*[_corr(a, b, nul).alias(f"p{i}") for i, (a, b) in enumerate(part)])
+        parts.append(rows_from(row, [[F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
+                                      F.abs(F.col(f"p{i}")).alias("abs_corr")]
+                                     for i, (a, b) in enumerate(part)]))
+    out = reduce(DataFrame.unionByName, parts)
     return out.filter(F.col("abs_corr") > threshold)
 
 

@@ -116,7 +116,13 @@ def _prepared(c: Ctx) -> tuple[DataFrame, DataFrame]:
     (constants fitted on train only)."""
     if "prepared" in c._cache:
         return c._cache["prepared"]
-    train, test = _split(c)
+    # model fitting reads the feature table in many passes (null scan,
+    # medians, scaler, weights, optimiser iterations): stage it once in the
+    # shared checkpoint folder
+    from panelscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(c.spark)
+    staged = _master(c).checkpoint(eager=True)
+    train, test = FE.temporal_split(staged, c.test_snapshot)
     from panelscope.operators.selection import nullable_columns
     nullable = sorted(nullable_columns(train, TREE_FEATURES) | set(IMPUTE) & set(TREE_FEATURES))
     med = ML.fit_medians(train, nullable)
