@@ -38,6 +38,23 @@ def _bucket_expr(v: Column, bounds: list) -> Column:
     return build(0, len(bounds))
 
 
+_CASE_TREE_MAX = 512          # bounds handled by an inline CASE tree
+_TARGET_BLOCKS_PER_RANGE = 2_000_000
+
+
+def range_id(df: DataFrame, value: str, bounds: list, out: str = "_r") -> DataFrame:
+    """Attach the range id (number of bounds <= value). Few bounds: an inline
+    balanced CASE tree inside whole-stage codegen; many bounds: the JVM
+    binary search of ``Bucketizer`` (same [a, b) convention)."""
+    if len(bounds) <= _CASE_TREE_MAX:
+        return df.withColumn(out, _bucket_expr(F.col(value), bounds))
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+    tmp = df.withColumn("_rv", F.col(value).cast("double"))
+    b = Bucketizer(splits=splits, inputCol="_rv", outputCol="_rb", handleInvalid="keep")
+    return b.transform(tmp).withColumn(out, F.col("_rb").cast("int")).drop("_rv", "_rb")
+
+
 def range_bounds(df: DataFrame, value: str, n_ranges: int) -> list:
     """Approximate quantile cut points of a column (n_ranges - 1 literals)."""
     if n_ranges <= 1:
@@ -78,9 +95,15 @@ def ordered_blocks(df: DataFrame, value: str, weights: dict[str, Column] | None
         from panelscope.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         blocks = blocks.checkpoint(eager=True)
-    n = n_ranges or default_ranges(df.sparkSession)
+    n = n_ranges
+    if n is None:
+        n = default_ranges(df.sparkSession)
+        if materialize:
+            # enough ranges that each window sorts at most ~2M blocks
+            n_blocks = blocks.count()          # cheap: reads the checkpoint
+            n = max(n, min(-(-n_blocks // _TARGET_BLOCKS_PER_RANGE), 100_000))
     bounds = range_bounds(blocks, value, n)
-    blocks = blocks.withColumn("_r", _bucket_expr(F.col(value), bounds))
+    blocks = range_id(blocks, value, bounds)
 
     meas = ["c", *weights.keys()]
     rt = blocks.groupBy(*group, "_r").agg(*[F.sum(m).alias(f"_rt_{m}") for m in meas])

@@ -70,3 +70,13 @@ def test_top_n_sums_and_rows(spark):
     k = 50
     ids = sorted(r["id"] for r in top_rows(df, "v", "id", F.lit(k), n_ranges=4).collect())
     assert ids == sorted(x[0] for x in valid[:k])
+
+
+def test_range_id_case_tree_equals_bucketizer(spark, monkeypatch):
+    from panelscope.functions import ranking as R
+    df = spark.range(3000).select((F.col("id") % 499).cast("double").alias("v"))
+    bounds = R.range_bounds(df, "v", 300)
+    a = sorted(map(tuple, R.range_id(df, "v", bounds, "_a").collect()))
+    monkeypatch.setattr(R, "_CASE_TREE_MAX", 0)
+    b = sorted(map(tuple, R.range_id(df, "v", bounds, "_a").collect()))
+    assert a == b
