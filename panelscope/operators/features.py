@@ -55,6 +55,8 @@ def asof_distinct_count(events: DataFrame, dates, key: str, item: str,
     snapshot, without expanding events: each (key, item) pair counts from
     the first snapshot that sees it (incremental as-of form)."""
     tag = snapshot_tag(F.col(date_col), dates)
+    # plain upper bound first, so the scan can skip data after the last snapshot
+    events = events.filter(F.col(date_col) <= F.lit(max(dates)))
     first = (events.filter(F.col(item).isNotNull()).select(key, item, tag.alias("_tag"))
              .filter(F.col("_tag").isNotNull())
              .groupBy(key, item).agg(F.min("_tag").alias("_tag")))
@@ -70,6 +72,7 @@ def asof_set_union(events: DataFrame, dates, key: str, sets: dict[str, Column],
     partial aggregation keeps hot keys bounded by the set sizes - and the
     small per-tag sets are unioned per snapshot."""
     tag = snapshot_tag(F.col(date_col), dates)
+    events = events.filter(F.col(date_col) <= F.lit(max(dates)))
     per_tag = (events.select(key, tag.alias("_tag"), *[e.alias(n) for n, e in sets.items()])
                .filter(F.col("_tag").isNotNull())
                .groupBy(key, "_tag").agg(*[F.collect_set(n).alias(n) for n in sets]))
