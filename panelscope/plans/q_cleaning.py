@@ -363,3 +363,15 @@ def validate_cleaning(c: Ctx):
 def cleaning_report(c: Ctx):
     """V7: rows in / out / removed per table."""
     return CL.row_count_report(_pairs(c))
+
+
+@register("resolve_column_by_name", """
+SELECT appointment_id, appointment_duration AS duration, 'appointment_duration' AS resolved_column
+FROM crc WHERE appointment_duration IS NULL OR appointment_duration <= 480""", ("crc",))
+def resolve_column_by_name(c: Ctx):
+    """the duration column is found by name (schema metadata, no job),
+    then the F3 cap is applied to whatever column was resolved."""
+    from panelscope.functions.columns import resolve_column
+    col = resolve_column(c.crc, "DURATION", numeric=True)
+    return CL.filter_cap_keep_null(c.crc, col, 480).select(
+        "appointment_id", F.col(col).alias("duration"), F.lit(col).alias("resolved_column"))
