@@ -3,14 +3,10 @@ J9, J10, J14; 2.5 W2, W6; 2.7 X1, X3, X4; 2.8 L1, L3)."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from panelscope.functions.exprs import count_where, money_mean, money_total, pct
-from panelscope.operators import distribution as D
+from panelscope.functions.exprs import count_where
 from panelscope.operators import quality as Q
-from panelscope.plans.oracle_views import mm, mt, sql_percentiles
 from panelscope.plans.oracle_views import pct as spct
 from panelscope.plans.registry import Ctx, register
 from panelscope.sources.views import PANEL_COLUMNS, SNAPSHOT_DATES, VIEW_COLUMNS
