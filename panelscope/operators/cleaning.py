@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelscope import constants as K
 from panelscope.functions.exprs import (col, count_where, flag, money_mean, money_total, present)
 
 
@@ -26,13 +27,13 @@ def filter_non_negative_keep_null(df: DataFrame, c: str = "spend") -> DataFrame:
 
 
 def filter_cap_keep_null(df: DataFrame, c: str = "appointment_duration",
-                         cap: float = 480) -> DataFrame:
+                         cap: float = K.MAX_APPOINTMENT_MINUTES) -> DataFrame:
     """keep unknown values or values <= cap."""
     return df.filter(F.col(c).isNull() | (F.col(c) <= cap))
 
 
 def filter_drop_serious_gap(df: DataFrame, gap: str = "sale_creation_gap",
-                            max_gap: int = 30) -> DataFrame:
+                            max_gap: int = K.MAX_SALE_CREATION_GAP_DAYS) -> DataFrame:
     """drop rows whose gap exceeds ``max_gap``; unknown gaps are kept."""
     return df.filter(~F.coalesce(F.col(gap) > max_gap, F.lit(False)))
 
@@ -51,7 +52,7 @@ def drop_null_subset(df: DataFrame, subset: list[str]) -> DataFrame:
 def impute_conditional(spend: Column, categ: Column, price: Column) -> Column:
     """F8: unknown spend -> catalog price for sales, 0 for repairs and the
     rest; a sale without a price falls through to 0."""
-    return F.coalesce(spend, F.when(categ == "Sale", price), F.lit(0.0))
+    return F.coalesce(spend, F.when(categ == K.SALE, price), F.lit(0.0))
 
 
 def sentinel_to_null(c: Column, placeholder: str) -> Column:
@@ -61,11 +62,11 @@ def sentinel_to_null(c: Column, placeholder: str) -> Column:
 
 def age_years(ref_date, birth: Column) -> Column:
     """age in years at an explicit reference date (days / 365.25)."""
-    return F.datediff(F.lit(ref_date), birth) / F.lit(365.25)
+    return F.datediff(F.lit(ref_date), birth) / F.lit(K.DAYS_PER_YEAR)
 
 
-def implausible_birth(birth: Column, ref_date, min_age: float = 18,
-                      max_age: float = 100, min_year: int = 1900) -> Column:
+def implausible_birth(birth: Column, ref_date, min_age: float = K.MIN_AGE_YEARS,
+                      max_age: float = K.MAX_AGE_YEARS, min_year: int = K.MIN_BIRTH_YEAR) -> Column:
     """pre-``min_year`` or age outside [min_age, max_age] at ref date."""
     age = age_years(ref_date, birth)
     return F.coalesce((F.year(birth) < min_year) | (age < min_age) | (age > max_age),
@@ -136,16 +137,16 @@ def clean_clients(df: DataFrame, ref_date) -> DataFrame:
                     .otherwise(F.col("birth_date")).alias("birth_date"),
                     gap.alias("purchase_transaction_gap"))
     return out.select("*", present("birth_date").alias("birth_date_valid"),
-                      flag(F.col("purchase_transaction_gap") > 365).alias("purchase_date_anomaly"))
+                      flag(F.col("purchase_transaction_gap") > K.PURCHASE_GAP_ANOMALY_DAYS).alias("purchase_date_anomaly"))
 
 
-def clean_contacts(df: DataFrame, max_minutes: float = 480) -> DataFrame:
+def clean_contacts(df: DataFrame, max_minutes: float = K.MAX_APPOINTMENT_MINUTES) -> DataFrame:
     """F3, F10 on contacts."""
     return filter_cap_keep_null(df, "appointment_duration", max_minutes).select(
         "*", present("appointment_duration").alias("has_appointment_duration"))
 
 
-def clean_registrations(df: DataFrame, max_gap: int = 30) -> DataFrame:
+def clean_registrations(df: DataFrame, max_gap: int = K.MAX_SALE_CREATION_GAP_DAYS) -> DataFrame:
     """F15, F4, F10, F21 on registrations."""
     gap = F.datediff(F.col("sale_date"), F.col("creation_date"))
     out = df.select("*", gap.alias("sale_creation_gap"))
@@ -159,7 +160,7 @@ def contact_features(crc_clean: DataFrame) -> DataFrame:
     """Contacts per client, clienteling flag, mean known duration."""
     return filter_key_not_null(crc_clean).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("n_crc_interactions"),
-        F.max(flag(F.col("origin") == "Clienteling")).alias("has_clienteling"),
+        F.max(flag(F.col("origin") == K.CLIENTELING)).alias("has_clienteling"),
         money_mean("appointment_duration").alias("avg_appointment_duration"),
         F.lit(1).alias("has_crc_interaction"),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelscope import constants as K
 from panelscope.functions.exprs import fround, money_mean
 from panelscope.functions.ranking import ordered_blocks
 
@@ -65,7 +66,7 @@ def gini(df: DataFrame, value: str, group=(), digits: int = 9,
     return g.select(*group, F.round(gi, digits).alias("gini"))
 
 
-def revenue_concentration(df: DataFrame, value: str, top_pcts=(0.01, 0.05, 0.10, 0.20),
+def revenue_concentration(df: DataFrame, value: str, top_pcts=K.CONCENTRATION_TOP_SHARES,
                           group=()) -> DataFrame:
     """% of the total held by the top p share of rows,
     n_p = max(1, int(n*p)); null when the total is 0. A block of c equal
@@ -102,8 +103,7 @@ def moments(df: DataFrame, value: str, group=()) -> DataFrame:
     )
 
 
-TARGET_PCTS = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95,
-               "p99": 0.99, "p99_9": 0.999}
+TARGET_PCTS = dict(zip(("p25", "p50", "p75", "p90", "p95", "p99", "p99_9"), K.TARGET_PERCENTILES))
 
 
 def target_stats(df: DataFrame, value: str, group=(), materialize: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelscope import constants as K
 from panelscope.functions.exprs import count_where, money_mean, money_total, ratio
 
 KEYS = ("client_id", "date_target")
@@ -81,8 +82,8 @@ def asof_set_union(events: DataFrame, dates, key: str, sets: dict[str, Column],
     return out
 
 
-def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = 3,
-                 prior_years: int = 6, upper_bound=None, dates=None) -> DataFrame:
+def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = K.RECENT_YEARS,
+                 prior_years: int = K.PRIOR_YEARS, upper_bound=None, dates=None) -> DataFrame:
     """A1-A7 + A2 + F18 + W1 fused into one grouped aggregation per
     (client, snapshot).
 
@@ -114,10 +115,10 @@ def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = 3,
         F.min(d).alias("_first"),
         money_total(F.when(d > recent_start, spend)).alias("spend_recent"),
         money_total(F.when((d > prior_start) & (d <= recent_start), spend)).alias("spend_prior"),
-        count_where(F.col("trs_categ") == "Sale").alias("n_sale_trs"),
-        count_where(F.col("trs_categ") == "Repair").alias("n_repair_trs"),
-        count_where(F.col("channel") == "Boutique").alias("_n_btq"),
-        count_where(F.month(d).isin(2, 12)).alias("_n_holiday"),
+        count_where(F.col("trs_categ") == K.SALE).alias("n_sale_trs"),
+        count_where(F.col("trs_categ") == K.REPAIR).alias("n_repair_trs"),
+        count_where(F.col("channel") == K.BOUTIQUE).alias("_n_btq"),
+        count_where(F.month(d).isin(*K.HOLIDAY_MONTHS)).alias("_n_holiday"),
         F.avg("flag_he").alias("flag_he_ratio_trs"),
     )
     if dates is not None:
@@ -146,7 +147,7 @@ def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = 3,
 def spend_trend(recent: Column, prior: Column) -> Column:
     """recent/prior when prior > 0, else 2 if recent > 0, else 1."""
     return (F.when(prior > 0, recent / prior)
-             .when(recent > 0, F.lit(2.0)).otherwise(F.lit(1.0)))
+             .when(recent > 0, F.lit(K.TREND_NO_PRIOR_WITH_RECENT)).otherwise(F.lit(K.TREND_NO_SPEND)))
 
 
 def avg_gap_lag_form(events: DataFrame, snaps: DataFrame, upper_bound=None) -> DataFrame:
@@ -168,7 +169,7 @@ def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
     measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE
     re-checks at runtime) and falls back to a sort-merge join otherwise.
     """
-    sales = events.filter(F.col("trs_categ") == "Sale").select("client_id", "trs_date", "article_id")
+    sales = events.filter(F.col("trs_categ") == K.SALE).select("client_id", "trs_date", "article_id")
     art = articles.select("article_id", "world_price", "product_category",
                           F.col("flag_he").alias("flag_he_art"), "flag_bridal", "flag_diamond")
     joined = sales.join(art, "article_id", "left")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelscope import constants as K
 from panelscope.functions.exprs import fround
 from panelscope.functions.ranking import ordered_blocks, top_n_sums
 from panelscope.operators.distribution import exact_percentiles
@@ -49,7 +50,7 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label", digits: i
     return g.select(F.round(auc, digits).alias("roc_auc"))
 
 
-def recall_at_top(df: DataFrame, fraction: float = 0.1, score: str = "score",
+def recall_at_top(df: DataFrame, fraction: float = K.TOP_DECILE, score: str = "score",
                   label: str = "label", tiebreak: str = "client_id") -> DataFrame:
     """Positives among the top max(1, n*fraction) rows (ties broken by
     ``tiebreak``) over all positives."""
@@ -61,7 +62,7 @@ def recall_at_top(df: DataFrame, fraction: float = 0.1, score: str = "score",
                     F.try_divide(F.col("tp"), total_pos.cast("double")).alias("recall_top"))
 
 
-def revenue_capture(df: DataFrame, pcts=(0.01, 0.02, 0.05, 0.10, 0.20, 0.30), score: str = "score",
+def revenue_capture(df: DataFrame, pcts=K.CAPTURE_TOP_SHARES, score: str = "score",
                     actual: str = "actual", tiebreak: str = "client_id") -> DataFrame:
     """For each top share of rows by score: rows, revenue and % of the
     total revenue (money summed as DECIMAL, so shares are exact)."""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelscope import constants as K
 from panelscope.operators.distribution import exact_percentiles
 
 
@@ -95,7 +96,7 @@ def with_weights(df: DataFrame, weights: DataFrame, label: str) -> DataFrame:
 
 # ------------------------------------------------------------------ M5 / M6 / M7
 def fit_logistic(train: DataFrame, features: list[str], label: str, weight: str = "weight",
-                 c_inv: float = 1.0, max_iter: int = 300):
+                 c_inv: float = K.LOGISTIC_C, max_iter: int = K.LOGISTIC_MAX_ITER):
     """M5: L2 logistic regression. sklearn minimises C*sum(w*loss) + |b|^2/2;
     Spark ML minimises sum(w*loss)/sum(w) + regParam*|b|^2/2, hence
     regParam = 1 / (C * sum(w)). Features are already standardised."""
@@ -108,15 +109,16 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, weight: str
 
 
 def fit_regressor(train_pos: DataFrame, features: list[str], label: str,
-                  validation_col: str | None = None, max_iter: int = 50, seed: int = 42):
+                  validation_col: str | None = None, max_iter: int = 50, seed: int = K.SAMPLE_SEED):
     """M6: boosted trees on the positives' log target (depth 6, step .05,
     row / feature sampling .8, min 10 rows per leaf). Early stopping uses a
     validation flag inside the TRAIN rows (the last train snapshot), never
     the test rows."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    kw = dict(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=6,
-              stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-              minInstancesPerNode=10, seed=seed)
+    kw = dict(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=K.TREES_MAX_DEPTH,
+              stepSize=K.TREES_STEP, subsamplingRate=K.TREES_SUBSAMPLE,
+              featureSubsetStrategy=str(K.TREES_SUBSAMPLE), minInstancesPerNode=K.TREES_MIN_CHILD,
+              seed=seed)
     if validation_col:
         kw["validationIndicatorCol"] = validation_col
     return asm, GBTRegressor(**kw).fit(asm.transform(train_pos))

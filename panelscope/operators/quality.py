@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelscope import constants as K
 from panelscope.functions.exprs import count_where, flag, pct
 
 
@@ -37,7 +38,7 @@ def rows_from(one_row: DataFrame, rows: list[list]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ missingness
-def missing_report(df: DataFrame, dataset: str, threshold: float = 5.0,
+def missing_report(df: DataFrame, dataset: str, threshold: float = K.MISSING_REPORT_THRESHOLD_PCT,
                    cols: list[str] | None = None) -> DataFrame:
     """Null count and % per column in ONE pass, kept when % >= threshold."""
     cols = cols or df.columns
@@ -62,7 +63,8 @@ def missing_by_snapshot(df: DataFrame, date_col: str, cols: list[str],
                 .select("column_name", *[F.col(k).alias(v) for k, v in snapshot_labels.items()]))
 
 
-def missing_by_group(df: DataFrame, col: str, group: str, std_threshold: float = 10.0) -> DataFrame:
+def missing_by_group(df: DataFrame, col: str, group: str,
+                     std_threshold: float = K.MAR_STD_THRESHOLD) -> DataFrame:
     """% null of ``col`` per non-null ``group``; the spread of those %
     across groups (sample std) > threshold suggests MAR, else MNAR. The
     spread is a scalar subquery over the (small) group rows - no join."""

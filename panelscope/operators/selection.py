@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelscope import constants as K
 from panelscope.functions.exprs import flag, fround, guarded_corr
 from panelscope.operators.quality import rows_from
 
@@ -40,7 +41,7 @@ def corr_with_target(df: DataFrame, features: list[str], target: str,
                            for i, f in enumerate(features)])
 
 
-def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = 0.95,
+def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = K.HIGH_CORRELATION,
                     chunk: int = 128) -> DataFrame:
     """All feature pairs with |r| > threshold, full data (no sample).
 
@@ -83,7 +84,7 @@ def column_profile(df: DataFrame, features: list[str], numeric: list[str]) -> Da
 
 
 def selection_decisions(profile: DataFrame, rfm_duplicates, known_near_zero, keep,
-                        near_zero_threshold: float = 0.99) -> DataFrame:
+                        near_zero_threshold: float = K.NEAR_ZERO_SHARE) -> DataFrame:
     """V2/V3: removal = RFM duplicates + known near-zero + detected near-zero,
     minus the keep list; one row per feature with status and reason."""
     f = F.col("feature")
