@@ -161,7 +161,7 @@ def avg_gap_lag_form(events: DataFrame, snaps: DataFrame, upper_bound=None) -> D
 
 
 def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
-                     upper_bound=None) -> DataFrame:
+                     upper_bound=None, dates=None) -> DataFrame:
     """A8 (with J3): per (client, snapshot), sales only, joined to the article
     dimension with orphans kept; orphan rows count as null in the means.
 
@@ -174,14 +174,23 @@ def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
                           F.col("flag_he").alias("flag_he_art"), "flag_bridal", "flag_diamond")
     joined = sales.join(art, "article_id", "left")
     x = asof_expand(joined, snaps, upper_bound=upper_bound)
-    return x.groupBy(*KEYS).agg(
+    distinct = ([] if dates is not None
+                else [F.count_distinct("product_category").alias("n_distinct_categories")])
+    g = x.groupBy(*KEYS).agg(
         money_mean("world_price").alias("avg_article_world_price"),
         F.max("world_price").alias("max_article_world_price"),
         F.avg("flag_he_art").alias("flag_he_ratio"),
-        F.count_distinct("product_category").alias("n_distinct_categories"),
+        *distinct,
         F.avg("flag_bridal").alias("flag_bridal_ratio"),
         F.avg("flag_diamond").alias("flag_diamond_ratio"),
     )
+    if dates is not None:
+        # distinct categories in the incremental as-of form (as in rfm_features)
+        nd = asof_distinct_count(joined, dates, "client_id", "product_category",
+                                 name="n_distinct_categories")
+        g = g.join(nd, list(KEYS), "left").fillna(0, subset=["n_distinct_categories"])
+    return g.select(*KEYS, "avg_article_world_price", "max_article_world_price", "flag_he_ratio",
+                    "n_distinct_categories", "flag_bridal_ratio", "flag_diamond_ratio")
 
 
 def add_log_targets(df: DataFrame, targets) -> DataFrame:
