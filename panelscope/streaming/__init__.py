@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference reads every input as a batch file and has no watermark,
+trigger, window, state or late-data logic (SURVEY 2.9). Its notion of
+"late" data - events after a snapshot date - is handled in batch by the
+as-of operators (``operators.features.asof_expand``, the incremental as-of
+helpers) and audited by ``temporal_coverage`` and ``date_list_leakage``.
+No streaming operator is built, because none exists to match.
+"""
