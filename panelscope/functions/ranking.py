@@ -66,6 +66,26 @@ def range_bounds(df: DataFrame, value: str, n_ranges: int) -> list:
     return sorted(set(x for x in row["q"] if x is not None))
 
 
+_GRID = 1024
+
+
+def _adaptive_bounds(blocks: DataFrame, value: str, min_ranges: int) -> list:
+    """Cut points for enough ranges that each window sorts at most ~2M
+    blocks: one job returns the block count and a 1/1024 quantile grid, from
+    which the bounds are picked; only beyond 1024 ranges a second, finer
+    pass is needed."""
+    grid = [i / _GRID for i in range(1, _GRID)]
+    row = blocks.agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile_approx(F.col(value), grid, 10000).alias("q")).first()
+    n_blocks = row["n"] or 0
+    n = max(min_ranges, min(-(-n_blocks // _TARGET_BLOCKS_PER_RANGE), 100_000))
+    if n >= _GRID:
+        return range_bounds(blocks, value, n)
+    q = row["q"] or []
+    picked = [q[round(i * _GRID / n) - 1] for i in range(1, n)] if q else []
+    return sorted(set(x for x in picked if x is not None))
+
+
 def default_ranges(spark) -> int:
     try:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -95,14 +115,10 @@ def ordered_blocks(df: DataFrame, value: str, weights: dict[str, Column] | None
         from panelscope.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         blocks = blocks.checkpoint(eager=True)
-    n = n_ranges
-    if n is None:
-        n = default_ranges(df.sparkSession)
-        if materialize:
-            # enough ranges that each window sorts at most ~2M blocks
-            n_blocks = blocks.count()          # cheap: reads the checkpoint
-            n = max(n, min(-(-n_blocks // _TARGET_BLOCKS_PER_RANGE), 100_000))
-    bounds = range_bounds(blocks, value, n)
+    if n_ranges is not None:
+        bounds = range_bounds(blocks, value, n_ranges)
+    else:
+        bounds = _adaptive_bounds(blocks, value, default_ranges(df.sparkSession))
     blocks = range_id(blocks, value, bounds)
 
     meas = ["c", *weights.keys()]
