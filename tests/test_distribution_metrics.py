@@ -95,3 +95,18 @@ def test_recall_top_and_capture(spark):
         kk = max(1, int(len(rows) * p))
         assert abs(cap[f"top_{int(p * 100)}pct"]["pct_of_total"]
                    - sum(r[3] for r in order[:kk]) / tot * 100) < 1e-9
+
+
+def test_grouped_percentiles_histogram_and_pr_curve(spark):
+    rows = [(g, float(v)) for g in ("a", "b") for v in range(1 if g == "a" else 5, 40)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["p"] for r in D.exact_percentiles(df, "x", {"p": 0.3}, ["g"]).collect()}
+    for g in ("a", "b"):
+        assert abs(got[g] - float(np.percentile([v for k, v in rows if k == g], 30))) < 1e-9
+    h = {r["bin"]: r["n"] for r in D.histogram(df.filter("g = 'a'"), "x", 4).collect()}
+    ref, _ = np.histogram([v for k, v in rows if k == "a"], bins=4)
+    assert [h.get(i, 0) for i in range(4)] == list(ref)
+    sc = spark.createDataFrame(_scored(60), "client_id long, score double, label int, actual double")
+    pts = M.pr_curve(sc).collect()
+    assert all(0 <= p["precision"] <= 1 and 0 <= p["recall"] <= 1 for p in pts)
+    assert max(p["recall"] for p in pts) == 1.0

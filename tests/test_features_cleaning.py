@@ -102,3 +102,13 @@ def test_clients_rules(spark):
     assert out[1]["birth_date"] is None and out[2]["birth_date"] is None
     assert out[3]["birth_date_valid"] == 1 and out[3]["purchase_date_anomaly"] == 0
     assert out[2]["purchase_date_anomaly"] == 1 and out[4]["purchase_date_anomaly"] == 1
+
+
+def test_asof_distinct_count_bruteforce(spark):
+    t = _trs(spark)
+    got = {(r["client_id"], r["date_target"]): r["n"] for r in
+           FE.asof_distinct_count(t, DATES, "client_id", "article_id", name="n").collect()}
+    for cid in (1, 2, 3, 4):
+        for d in DATES:
+            ref = len({r[1] for r in TRS if r[0] == cid and r[2] <= d})
+            assert got.get((cid, d), 0) == ref

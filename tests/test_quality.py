@@ -50,3 +50,19 @@ def test_monotonic_and_rules(spark):
     assert r["n_violating_v"] == 1 and r["pct_clean_clients"] == 50.0
     rc = {x["rule"]: x for x in Q.rule_counts(df, "t", [("neg", "v < 5", "x"), ("all", "v > 0", "y")]).collect()}
     assert rc["neg"]["n"] == 1 and rc["all"]["n"] == 4 and rc["all"]["pct"] == 100.0
+
+
+def test_by_each_dimension_varying_and_schema(spark):
+    df = spark.createDataFrame([(1, "a", "x", 1.0), (1, "a", "y", 2.0), (2, "b", "x", None),
+                                (2, None, "x", 3.0)], "k long, d1 string, d2 string, v double")
+    g = {(r["dimension"], r["value"]): r["n"] for r in
+         Q.by_each_dimension(df, ["d1", "d2"], [F.count(F.lit(1)).alias("n")]).collect()}
+    assert g == {("d1", "a"): 2, ("d1", "b"): 1, ("d1", None): 1, ("d2", "x"): 3, ("d2", "y"): 1}
+    vc = {r["column_name"]: r for r in Q.varying_columns(df, "k", ["d1", "d2", "v"]).collect()}
+    # nulls are not a value (as pandas nunique): client 2 has d1 = {b}
+    assert vc["d2"]["n_varying"] == 1 and vc["d1"]["n_varying"] == 0 and vc["v"]["n_varying"] == 1
+    sc = {r["column_name"]: r for r in
+          Q.schema_check(df, "t", {"k": "bigint", "d1": "string", "v": "int", "zz": "date"}).collect()}
+    assert sc["k"]["type_ok"] and not sc["v"]["type_ok"]
+    assert sc["zz"]["detected_type"] == "missing" and sc["d2"]["expected_type"] == "unexpected"
+    assert sc["v"]["n_null"] == 1 and sc["v"]["pct_null"] == 25.0
