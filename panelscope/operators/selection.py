@@ -42,7 +42,7 @@ def corr_with_target(df: DataFrame, features: list[str], target: str,
 
 
 def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = K.HIGH_CORRELATION,
-                    chunk: int = 128) -> DataFrame:
+                    chunk: int = 256) -> DataFrame:
     """All feature pairs with |r| > threshold, full data (no sample).
 
     The numeric features are written once to the checkpoint folder (they
