@@ -151,13 +151,22 @@ def spend_trend(recent: Column, prior: Column) -> Column:
 
 
 def avg_gap_lag_form(events: DataFrame, snaps: DataFrame, upper_bound=None) -> DataFrame:
-    """W1 cross-check: mean day gap between consecutive events via ``lag``.
-    Equals the closed form of ``rfm_features``; kept for verification only
-    (it sorts every client's history, which the closed form avoids)."""
+    """W1 cross-check: mean day gap between consecutive events via ``lag``,
+    equal to the closed form of ``rfm_features``.
+
+    Events are first collapsed to one row per (client, snapshot, day) with a
+    count, so each window partition holds at most the calendar days of one
+    client's history (same-day events contribute gaps of 0), never the raw
+    rows of a hot client."""
     x = asof_expand(events, snaps, upper_bound=upper_bound)
+    days = x.groupBy(*KEYS, "trs_date").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*KEYS).orderBy("trs_date")
-    gaps = x.select(*KEYS, F.datediff(F.col("trs_date"), F.lag("trs_date").over(w)).alias("gap"))
-    return gaps.groupBy(*KEYS).agg(F.coalesce(F.avg("gap"), F.lit(0.0)).alias("avg_days_between_trs"))
+    gaps = days.select(*KEYS, "_c", F.datediff(F.col("trs_date"), F.lag("trs_date").over(w)).alias("_gap"))
+    g = gaps.groupBy(*KEYS).agg(F.coalesce(F.sum("_gap"), F.lit(0)).alias("_g"),
+                                F.sum("_c").alias("_n"))
+    return g.select(*KEYS, F.when(F.col("_n") > 1, F.col("_g").cast("double")
+                                  / (F.col("_n") - 1).cast("double"))
+                    .otherwise(F.lit(0.0)).alias("avg_days_between_trs"))
 
 
 def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
