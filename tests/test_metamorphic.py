@@ -56,3 +56,18 @@ def test_gini_in_unit_interval(ctx):
 
 def test_master_keeps_panel_cardinality(ctx):
     assert QF._master(ctx).count() == ctx.clean_panel.count()
+
+
+def test_cleaning_validation_passes(spark):
+    """SURVEY 5: the validation suite returns a DataFrame; any FAIL fails."""
+    import __spark_entry__ as E
+    rows = E.queries()["validate_cleaning"](spark, SF).collect()
+    failed = [(r["table_name"], r["check_name"], r["n_violations"]) for r in rows
+              if r["status"] != "PASS"]
+    assert rows and not failed
+
+
+def test_selection_validation_passes(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["validate_selection"](spark, SF).collect()
+    assert rows and all(r["n_violations"] == 0 for r in rows)
