@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from panelscope.llm.exact_dedup import exact_groups
 from panelscope.llm.near_dedup import near_groups
 from panelscope.llm.packing import pack_documents
+from panelscope.llm.quality_model import quality
 from panelscope.llm.sharding import shard_documents
+from panelscope.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -36,8 +42,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_exact_dedup, op7_packing, op8_minhash, op9_sharding)
+    f.__name__: f for f in (
+        op1_toxicity, op6_exact_dedup, op7_packing, op8_minhash, op9_sharding, op10_quality)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
