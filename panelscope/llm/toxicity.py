@@ -29,15 +29,18 @@ from pyspark.sql import functions as F
 from panelscope.llm.batches import Powers, range_hash, text_slices, words_of
 from panelscope.llm.labelled import MAX_FIT_ROWS, fit_sample, is_held_out
 
-BUCKET_BITS = 18
+BUCKET_BITS = 22
 #: A word gives a feature for itself and one for each of these beginnings.
 PREFIX_BYTES = (4, 5, 6)
 FEATURES = 1 + len(PREFIX_BYTES)
 FIRST_BIAS = -6.0
-EPOCHS = 12
-BATCH_DOCS = 128
-RATE = 0.3
-DECAY = 1e-5
+EPOCHS = 8
+RATE = 1.0
+#: Steps of a feature start small: rare words must not memorise single documents.
+FIRST_SQUARE = 1.0
+#: Features of fewer training documents than this stay at 0.
+MIN_DOCS = 4
+LASSO = 0.05
 THRESHOLD = 0.7
 #: Sentences scored at least this are reported as offending.
 SENTENCE_THRESHOLD = 0.5
@@ -73,7 +76,7 @@ def bags_of(texts, powers: Powers) -> Bags:
     columns = []
     for k, cap in enumerate((None, *PREFIX_BYTES)):
         stop = end if cap is None else np.minimum(end, start + cap)
-        h = range_hash(words.prefix, start, stop, powers) + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        h = range_hash(words.prefix, start, stop, powers) ^ np.uint64(k * 0x1E3779B97F4A7C15)
         columns.append(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
     last = np.isin(buf[words.end - 1], np.frombuffer(b".!?", np.uint8))
     lines = np.concatenate([[0], np.cumsum(buf == 10)])
@@ -94,6 +97,10 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -50.0, 50.0)))
+
+
 def noisy_or(logits: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     """1 - prod(1 - p) of each document's sentences."""
     return -np.expm1(-np.bincount(doc, weights=softplus(logits), minlength=n_docs))
@@ -105,38 +112,64 @@ class Model:
     bias: float
 
 
+def _document_counts(parts: list[Bags]) -> np.ndarray:
+    """In how many documents each feature occurs."""
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for b in parts:
+        if not len(b.first_word):
+            continue
+        doc = np.repeat(b.doc, np.diff(np.append(b.first_word, len(b.features))))
+        pairs = np.unique((doc[:, None] << BUCKET_BITS | b.features).ravel())
+        np.add.at(counts, pairs & ((1 << BUCKET_BITS) - 1), 1)
+    return counts
+
+
 def fit(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Adagrad on the documents' log loss, in a fixed order."""
-    weights, square = np.zeros(1 << BUCKET_BITS), np.full(1 << BUCKET_BITS, 1e-8)
-    bias, bias_square = FIRST_BIAS, 1e-8
+    """Adagrad on the documents' log loss, in a fixed order: ``epochs`` with a
+    lasso penalty, then as many with the features of positive weight alone."""
     powers, parts = Powers(), []
     for t in text_slices(texts, 1 << 18):
         parts.append((bags_of(t, powers), y[t.lo:t.hi]))
-    for epoch in range(epochs):
+    common = np.flatnonzero(_document_counts([bags for bags, _ in parts]) >= MIN_DOCS)
+    number = np.full(1 << BUCKET_BITS, len(common), np.int32)  # the last one: a weight that stays 0
+    number[common] = np.arange(len(common), dtype=np.int32)
+    parts = [(Bags(number[bags.features], bags.first_word, bags.doc, bags.start, bags.end), label)
+             for bags, label in parts if len(bags.first_word)]
+    weights, square = np.zeros(len(common) + 1), np.full(len(common) + 1, FIRST_SQUARE)
+    bias, bias_square = FIRST_BIAS, FIRST_SQUARE
+    for epoch in range(2 * epochs):
+        penalty = LASSO if epoch < epochs else 0.0
+        if epoch == epochs:  # go on with the chosen features alone, without the penalty's bias
+            chosen = weights > 0
+            weights[~chosen] = 0.0
         for k in np.random.default_rng(epoch).permutation(len(parts)):
             bags, label = parts[k]
-            if not len(bags.first_word):
-                continue
             z = sentence_logits(bags, weights, bias)
             p = np.clip(noisy_or(z, bags.doc, len(label)), 1e-9, 1 - 1e-9)
             # d loss / d logit: sigma(z) * (1 for a clean document, -(1 - p) / p for a toxic one)
-            blame = np.where(label == 1, -(1 - p) / p, 1.0)[bags.doc] / (1 + np.exp(-z))
+            blame = np.where(label == 1, -(1 - p) / p, 1.0)[bags.doc] * sigmoid(z)
             per_word = np.repeat(blame, np.diff(np.append(bags.first_word, len(bags.features))))
             g = np.bincount(bags.features.ravel(), weights=np.repeat(per_word, FEATURES),
                             minlength=len(weights))
+            g[-1] = 0.0
+            if epoch >= epochs:
+                g[~chosen] = 0.0
             at = np.flatnonzero(g)
-            g = g[at] + DECAY * weights[at]
-            square[at] += g * g
-            weights[at] -= RATE * g / np.sqrt(square[at])
+            square[at] += g[at] * g[at]
+            step = RATE / np.sqrt(square[at])
+            moved = weights[at] - step * g[at]
+            weights[at] = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0.0)
             g = blame.sum()
             bias_square += g * g
             bias -= RATE * g / np.sqrt(bias_square)
-    return Model(weights.astype(np.float32), float(bias))
+    full = np.zeros(1 << BUCKET_BITS, np.float32)
+    full[common] = weights[:-1]
+    return Model(full, float(bias))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, offending (byte ranges and scores of sentences)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 1 MB, fixed by BUCKET_BITS
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # 16 MB, fixed by BUCKET_BITS
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +179,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
                 bags = bags_of(t, powers)
                 z = sentence_logits(bags, m.weights, m.bias)
                 score = noisy_or(z, bags.doc, len(t))
-                p = 1 / (1 + np.exp(-z))
+                p = sigmoid(z)
                 bad = np.flatnonzero(p >= SENTENCE_THRESHOLD)
                 spans = pa.StructArray.from_arrays(
                     [pa.array(bags.start[bad] - t.off[bags.doc[bad]]),
