@@ -10,6 +10,7 @@ from panelscope.llm.exact_dedup import exact_groups
 from panelscope.llm.near_dedup import near_groups
 from panelscope.llm.packing import pack_documents
 from panelscope.llm.quality_model import quality
+from panelscope.llm.quality_rules import quality_rules
 from panelscope.llm.sharding import shard_documents
 from panelscope.llm.toxicity import toxicity
 
@@ -26,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_toxicity, op6_exact_dedup, op7_packing, op8_minhash, op9_sharding, op10_quality)
+        op1_toxicity, op2_quality_rules, op6_exact_dedup, op7_packing, op8_minhash, op9_sharding, op10_quality)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
