@@ -12,10 +12,11 @@ Work inside a candidate bucket is not quadratic. Texts with equal sets form
 one class, of which one goes on. A shingle that no other candidate has
 cannot be shared, so ``n - unique`` bounds any intersection: classes with too
 many such shingles leave, and each bucket compares its members with a pivot,
-the member with the smallest unique share. Members left outside the pivots'
-components are then compared with the bucket's members of other components,
-as far as those bounds and the triangle inequality of the Jaccard distance to
-the pivot allow a link. Only links that join components matter to the result.
+the member with the smallest unique share. Where members are left outside their
+bucket's main component, an exact prefix join completes the links: with shingles
+ordered by frequency, two sets over the threshold share a shingle among the
+first 15 % of each, at positions that leave enough behind them. Only links that
+join components matter to the result.
 
 With 32 bands of 4 registers a pair at the threshold is missed with
 probability of about 1e-10; the estimate rejects only beyond 6 standard errors.
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelscope.llm.batches import Powers, mix, text_slices, window_hashes, words_of
 from panelscope.llm.layout import cut
@@ -210,21 +212,24 @@ def full_sets(documents: DataFrame) -> DataFrame:
         run, f"doc_id {_id_type(documents)}, set binary")
 
 
-def unique_counts(sets: DataFrame) -> DataFrame:
-    """cls, u: how many of a class's shingles no other class here has."""
+def members_of(sets: DataFrame) -> DataFrame:
+    """(cls, shingle) rows of the sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 found = [np.frombuffer(x.as_py(), np.int64) for x in part.column("set")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found)),
-                     part.column("cls").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))],
-                    names=["shingle", "cls"])
+                    [part.column("cls").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))),
+                     pa.array(np.concatenate(found))], names=["cls", "shingle"])
+
+    return sets.select("cls", "set").mapInArrow(run, f"cls {_id_type(sets, 'cls')}, shingle long")
 
-    rows = sets.select("cls", "set").mapInArrow(run, f"shingle long, cls {_id_type(sets, 'cls')}")
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")) \
-        .filter("c = 1")
+
+def unique_counts(sets: DataFrame) -> DataFrame:
+    """cls, u: how many of a class's shingles no other class here has."""
+    alone = members_of(sets).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).filter("c = 1")
     return alone.groupBy("cls").agg(F.count(F.lit(1)).alias("u"))
 
 
@@ -237,9 +242,9 @@ def can_link(n_a: Column, n_b: Column, most: Column) -> Column:
     return F.lit(100) * most >= F.lit(THRESHOLD_PCT) * (n_a + n_b - most)
 
 
-def judged(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) -> a, b, linked, near, far: bounds of the Jaccard distance;
-    exact for pairs that pass the estimate."""
+def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, among those that
+    the estimate leaves possible."""
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rates = collision_rates()
         for batch in batches:
@@ -249,41 +254,24 @@ def judged(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
                     for c in ("regs_a", "regs_b"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             j, error = estimated(a, b, n_a, n_b, rates)
-            upper = np.minimum(1.0, j + STANDARD_ERRORS * error)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(upper)], names=["a", "b", "upper"])
+            likely = pa.array(j + STANDARD_ERRORS * error >= THRESHOLD_PCT / 100)
+            yield batch.select(["a", "b"]).filter(likely)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, n_a, n_b = [], [], []
+            linked = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both.append(int((y[at] == x).sum()) if len(y) else 0)
-                n_a.append(len(x))
-                n_b.append(len(y))
-            both, union = np.array(both, np.int64), np.array(n_a, np.int64) + np.array(n_b, np.int64)
-            union = union - both
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"),
-                 pa.array((100 * both >= THRESHOLD_PCT * union) & (both > 0)),
-                 pa.array(1.0 - both / np.maximum(union, 1))], names=["a", "b", "linked", "near"])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(both > 0 and 100 * both >= THRESHOLD_PCT * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     kind = _id_type(pairs, "a")
     side = lambda df, x, *cols: df.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    sketched = pairs.join(side(nodes, "a", "regs", "n"), "a").join(side(nodes, "b", "regs", "n"), "b")
-    guessed = cut(sketched.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(
-        estimate, f"a {kind}, b {kind}, upper double"))
-    # small Arrow batches come from the slices of the sets' sizes: rows carry two sets
-    likely = guessed.filter(F.col("upper") >= THRESHOLD_PCT / 100).select("a", "b")
-    exact = likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b") \
-        .select("a", "b", "set_a", "set_b") \
-        .mapInArrow(verify, f"a {kind}, b {kind}, linked boolean, near double")
-    return exact.select("a", "b", "linked", "near", F.col("near").alias("far")).unionByName(
-        guessed.filter(F.col("upper") < THRESHOLD_PCT / 100).select(
-            "a", "b", F.lit(False).alias("linked"), (F.lit(1.0) - F.col("upper")).alias("near"),
-            F.lit(1.0).alias("far")))
+    likely = pairs.join(side(nodes, "a", "regs", "n"), "a").join(side(nodes, "b", "regs", "n"), "b") \
+        .mapInArrow(estimate, f"a {kind}, b {kind}")
+    return likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b") \
+        .mapInArrow(verify, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,27 +329,15 @@ def near_groups(documents: DataFrame) -> DataFrame:
                 .withColumn("most", F.col("n") - F.col("u")))
     live = cut(in_band.join(nodes.select("cls", "n", "u", "most"), "cls"))
 
-    edges = live.sparkSession.createDataFrame([], f"a {_id_type(members, 'cls')}, b {_id_type(members, 'cls')}")
-    comps = None
-    for last in [False] * STAR_ROUNDS + [True]:
-        here = _with_components(live, comps)
-        mixed = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .filter("lo != hi").select("band")
-        here = here.join(mixed, "band", "left_semi")
-        if last:
-            pairs = _leftovers(here, distances)
-        else:
-            pairs, pivots = _stars(here, None if comps is None else pivots)
-        pairs = cut(pairs)
-        if pairs.isEmpty() and (last or comps is not None):
-            continue
-        distances = cut(judged(pairs, nodes, sets))
-        edges = cut(edges.unionByName(distances.filter("linked").select("a", "b")))
-        comps = components(edges)
-        if not last:
-            pivots = cut(pivots)
-            distances = _to_pivot(live, pivots, distances)
-            comps = cut(comps)
+    kind = _id_type(members, "cls")
+    edges = live.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    comps = pivots = None
+    for _ in range(STAR_ROUNDS):
+        pairs, pivots = _stars(_mixed(live, comps), pivots)
+        edges = cut(edges.unionByName(links(pairs, nodes, sets)))
+        comps, pivots = cut(components(edges)), cut(pivots)
+    pairs = _leftovers(_mixed(live, comps), sets)
+    comps = components(edges.unionByName(links(pairs, nodes, sets)))
 
     found = members.join(comps, members["cls"] == comps["node"], "left")
     comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "cls"))
@@ -369,11 +345,16 @@ def near_groups(documents: DataFrame) -> DataFrame:
                         F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
-def _with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _mixed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows of the buckets that hold several components, with ``comp``."""
     if comps is None:
-        return live.withColumn("comp", F.col("cls"))
-    return live.join(comps, live["cls"] == comps["node"], "left") \
-        .withColumn("comp", F.coalesce("comp", "cls")).drop("node")
+        here = live.withColumn("comp", F.col("cls"))
+    else:
+        here = live.join(comps, live["cls"] == comps["node"], "left") \
+            .withColumn("comp", F.coalesce("comp", "cls")).drop("node")
+    mixed = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .filter("lo != hi").select("band")
+    return cut(here.join(mixed, "band", "left_semi"))
 
 
 def _stars(here: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -394,29 +375,30 @@ def _stars(here: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFram
     return pairs, pivots.select("band", "pivot")
 
 
-def _to_pivot(live: DataFrame, pivots: DataFrame, distances: DataFrame) -> DataFrame:
-    """band, cls, near, far: bounds of each member's distance to its bucket's
-    pivot (0 .. 1 where the two were not compared)."""
-    at = live.select("band", "cls").join(pivots, "band") \
-        .withColumn("a", F.least("cls", "pivot")).withColumn("b", F.greatest("cls", "pivot"))
-    return at.join(distances.select("a", "b", "near", "far"), ["a", "b"], "left").select(
-        "band", "cls",
-        F.when(F.col("cls") == F.col("pivot"), F.lit(0.0)).otherwise(F.coalesce("near", F.lit(0.0))).alias("near"),
-        F.when(F.col("cls") == F.col("pivot"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(1.0))).alias("far"))
-
-
-def _leftovers(here: DataFrame, to_pivot: DataFrame) -> DataFrame:
-    """Members outside their bucket's largest component, each with the
-    members of other components that bounds leave possible."""
+def _leftovers(here: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a class outside the largest component of one of its buckets
+    and a class of another component, by a prefix join over frequency-ordered
+    shingles. Where ``rank`` counts a shingle's position (those that nobody
+    shares come first), a first common shingle at ranks r and s leaves an
+    intersection of at most ``1 + min(n - r, m - s)``."""
     sized = here.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sized.groupBy("band").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    placed = here.join(main, "band").join(to_pivot, ["band", "cls"])
-    x = placed.filter("comp != main").select(
-        "band", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "most", "comp", "near", "far")])
-    y = placed.select("band", "main", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "most", "comp", "near", "far")])
-    reach = F.lit(1 - THRESHOLD_PCT / 100 + 1e-9)
-    return x.join(y, "band").filter(
-        "x_comp != y_comp and (y_comp = main or x_cls < y_cls)") \
-        .filter((F.col("x_near") - F.col("y_far") <= reach) & (F.col("y_near") - F.col("x_far") <= reach)) \
-        .filter(can_link(F.col("x_n"), F.col("y_n"), F.least("x_most", "y_most"))) \
+    nodes = cut(here.join(main, "band").groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("comp").alias("comp"),
+        F.max(F.col("comp") != F.col("main")).alias("outside")))
+    rows = cut(members_of(sets.join(nodes.select("cls"), "cls", "left_semi")))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    rows = rows.join(shared, "shingle")
+    by_df = Window.partitionBy("cls").orderBy("df", "shingle")
+    whole = Window.partitionBy("cls")
+    prefix = rows.withColumn("at", F.row_number().over(by_df)) \
+        .withColumn("common", F.count(F.lit(1)).over(whole)).join(nodes, "cls") \
+        .withColumn("rank", F.col("n") - F.col("common") + F.col("at")) \
+        .filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD_PCT) / F.lit(100)) + 1)
+    prefix = cut(prefix.select("shingle", "cls", "n", "comp", "outside", "rank"))
+    x = prefix.filter("outside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "comp", "rank")])
+    y = prefix.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "comp", "rank", "outside")])
+    left = F.lit(1) + F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank"))
+    return x.join(y, "shingle").filter("x_comp != y_comp and (not y_outside or x_cls < y_cls)") \
+        .filter(can_link(F.col("x_n"), F.col("y_n"), F.least(left, "x_n", "y_n"))) \
         .select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
