@@ -34,7 +34,7 @@ from panelscope.llm.batches import text_slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Units remembered by a task before it starts afresh.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 600_000
 LONG_FRAGMENT = 64
 
 
