@@ -45,3 +45,12 @@ def numbered(df: DataFrame, group: list[str], order: list[str], n_parts: int, ou
             .join(offsets, same)
             .withColumn(out, (F.col(f"{out}_ahead") + F.col(f"{out}_in") - 1).cast("long"))
             .select(*df.columns, out))
+
+
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where ``right`` was aggregated by them. Without more,
+    Spark joins in the aggregate's own partitions, whose large keys it can't
+    split; with the keys' hash as one key more it deals both sides out anew and can."""
+    added = F.xxhash64(*keys)
+    return left.withColumn("dealt_", added).join(
+        right.withColumn("dealt_", added), ["dealt_", *keys], how).drop("dealt_")

@@ -14,6 +14,7 @@ from panelscope.llm.packing import pack_documents
 from panelscope.llm.quality_model import quality
 from panelscope.llm.quality_rules import quality_rules
 from panelscope.llm.sharding import shard_documents
+from panelscope.llm.suffix_dedup import suffix_dedup
 from panelscope.llm.toxicity import toxicity
 
 
@@ -37,6 +38,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -59,7 +64,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_toxicity, op2_quality_rules, op4_bpe, op6_exact_dedup, op7_packing, op8_minhash, op9_sharding, op10_quality)
+        op1_toxicity, op2_quality_rules, op4_bpe, op5_suffix_array, op6_exact_dedup,
+        op7_packing, op8_minhash, op9_sharding, op10_quality)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
