@@ -358,8 +358,8 @@ def _mixed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _stars(here: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Each bucket's pivot with its members of other components. A bucket's
-    next pivot comes from outside the component of its last one."""
+    """Each member with the best pivot of another component that its buckets
+    offer. A bucket's next pivot comes from outside the component of its last one."""
     pool = here
     if past is not None:
         was = here.join(past.select("band", F.col("pivot").alias("cls")), ["band", "cls"]) \
@@ -367,10 +367,12 @@ def _stars(here: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFram
         pool = here.join(was, "band").filter("comp != past_comp").drop("past_comp")
     best = pool.groupBy("band").agg(F.min(F.struct(
         (F.col("u") / F.col("n")).alias("share"), "cls", "n", "most", "comp")).alias("p"))
-    pivots = best.select("band", F.col("p.cls").alias("pivot"), F.col("p.n").alias("p_n"),
+    pivots = best.select("band", F.col("p.share").alias("p_share"), F.col("p.cls").alias("pivot"),
+                         F.col("p.n").alias("p_n"),
                          F.col("p.most").alias("p_most"), F.col("p.comp").alias("p_comp"))
     pairs = here.join(pivots, "band").filter("comp != p_comp") \
         .filter(can_link(F.col("n"), F.col("p_n"), F.least("most", "p_most"))) \
+        .groupBy("cls").agg(F.min(F.struct("p_share", "pivot"))["pivot"].alias("pivot")) \
         .select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     return pairs, pivots.select("band", "pivot")
 
