@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelscope.llm import context_mixing
 from panelscope.llm.bpe import round_trip
 from panelscope.llm.exact_dedup import exact_groups
 from panelscope.llm.near_dedup import near_groups
@@ -34,6 +35,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(_documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,8 +69,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_toxicity, op2_quality_rules, op4_bpe, op5_suffix_array, op6_exact_dedup,
-        op7_packing, op8_minhash, op9_sharding, op10_quality)
+        op1_toxicity, op2_quality_rules, op3_lm_scoring, op4_bpe, op5_suffix_array,
+        op6_exact_dedup, op7_packing, op8_minhash, op9_sharding, op10_quality)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
