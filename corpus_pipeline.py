@@ -11,7 +11,10 @@ from panelscope.llm import stages
 from panelscope.session import ensure_checkpoint_dir
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.toxicity),
     ("exact_dedup", stages.exact_dedup),
+    ("near_dedup", stages.near_dedup),
+    ("suffix_dedup", stages.suffix_dedup),
     ("packing", stages.packing),
 ]
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelscope.llm.batches import lower_table, text_slices
-from panelscope.llm.layout import cut
+from panelscope.llm.layout import cut, join_dealt, unused
 
 #: Primes below 2**31 (products of residues fit 64 bits) and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -106,7 +106,8 @@ def _batches(batch: pa.RecordBatch, chunk_bytes: int, primes: tuple[int, ...], p
 
 def fingerprints(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
                  primes: tuple[int, ...] = PRIMES) -> DataFrame:
-    """doc_id, fp_a, fp_b, n_bytes, text_sha256 of every row."""
+    """doc_id, fp_a, fp_b, n_bytes, text_sha256 of every row, and raw_key, a
+    hash of the text as it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = chunk_powers(chunk_bytes, primes)
         for batch in batches:
@@ -115,11 +116,16 @@ def fingerprints(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
                 sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(t.off[:-1], t.off[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(t.lo, len(t)), pa.array(fp_a), pa.array(fp_b),
-                     pa.array(t.sizes), pa.array(sha)],
-                    names=["doc_id", *_FP, "text_sha256"])
+                     pa.array(t.sizes), pa.array(sha), batch.column("raw_key").slice(t.lo, len(t))],
+                    names=["doc_id", *_FP, "text_sha256", "raw_key"])
+
+    return documents.select("doc_id", "text", raw_key().alias("raw_key")).mapInArrow(
+        run, f"doc_id {_id_type(documents)}, fp_a long, fp_b long, n_bytes long, "
+             "text_sha256 string, raw_key long")
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {_id_type(documents)}, fp_a long, fp_b long, n_bytes long, text_sha256 string")
+
+def raw_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
@@ -173,18 +179,27 @@ def colliding(documents: DataFrame, rows: DataFrame, chunk_bytes: int,
 
 def exact_groups(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
                  primes: tuple[int, ...] = PRIMES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+    """doc_id, keep_id, group_size, kept, text_sha256, raw_key of every row."""
     rows = cut(fingerprints(documents, chunk_bytes, primes))
     out = colliding(documents, rows, chunk_bytes, primes).withColumn("apart", F.lit(True))
     marked = rows.join(out, _same(rows, out, ["doc_id", *_FP]), "left").select(
         *[rows[c] for c in rows.columns],
         F.when(out["apart"], rows["text_sha256"]).otherwise(F.lit("")).alias("apart_key"))
     key = [*_FP, "apart_key"]
-    groups = _group(marked, key)
-    same_row = Window.partitionBy("doc_id", "text_sha256").orderBy("fp_a")
-    joined = marked.join(groups, key)
+    joined = join_dealt(marked, _group(marked, key), key)
+    same_row = Window.partitionBy("doc_id", "text_sha256").orderBy("raw_key")
     return joined.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id"))
          & (F.row_number().over(same_row) == 1)).alias("kept"),
-        "text_sha256")
+        "text_sha256", "raw_key")
+
+
+def without_copies(documents: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with all its columns."""
+    kept = exact_groups(documents).filter("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("raw_key").alias("kept_key"))
+    key = unused(documents, "row_key")
+    keyed = documents.withColumn(key, raw_key())
+    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed[key] == kept["kept_key"]),
+                      "left_semi").dropDuplicates(["doc_id", key]).drop(key)

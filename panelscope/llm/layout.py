@@ -47,10 +47,18 @@ def numbered(df: DataFrame, group: list[str], order: list[str], n_parts: int, ou
             .select(*df.columns, out))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where ``right`` was aggregated by them. Without more,
     Spark joins in the aggregate's own partitions, whose large keys it can't
     split; with the keys' hash as one key more it deals both sides out anew and can."""
-    added = F.xxhash64(*keys)
-    return left.withColumn("dealt_", added).join(
-        right.withColumn("dealt_", added), ["dealt_", *keys], how).drop("dealt_")
+    added, name = F.xxhash64(*keys), unused(left, "dealt_")
+    return left.withColumn(name, added).join(
+        right.withColumn(name, added), [name, *keys], how).drop(name)

@@ -15,7 +15,7 @@ from panelscope.llm.packing import pack_documents
 from panelscope.llm.quality_model import quality
 from panelscope.llm.quality_rules import quality_rules
 from panelscope.llm.sharding import shard_documents
-from panelscope.llm.suffix_dedup import suffix_dedup
+from panelscope.llm.suffix_dedup import without_repeats
 from panelscope.llm.toxicity import toxicity
 
 
@@ -44,11 +44,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_documents(spark, sf_dir))
+    return without_repeats(_documents(spark, sf_dir))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(_documents(spark, sf_dir))
+    return exact_groups(_documents(spark, sf_dir)).drop("raw_key")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,43 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of ``docs``. Rows that repeat an id with
+different texts are rows of their own for toxicity, exact copies and passages;
+near-duplicate removal keeps or drops all rows of an id together (they stay if
+one of them heads its group).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelscope.llm.exact_dedup import exact_groups
+from panelscope.llm.exact_dedup import without_copies
+from panelscope.llm.near_dedup import near_groups
 from panelscope.llm.packing import pack_documents
+from panelscope.llm.suffix_dedup import rewritten
+from panelscope.llm.toxicity import clean_rows
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept`` (nulls match nulls)."""
-    ids = kept.select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the model, fitted on the labelled rows among ``docs``, doesn't reject."""
+    return clean_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_ids(docs, exact_groups(docs).filter("kept"))
+    """Of equal texts, the row with the largest id."""
+    return without_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id."""
+    kept = near_groups(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the passages that repeat."""
+    return rewritten(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, bucket, width, batch, slot of every row."""
     return pack_documents(docs)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from panelscope.llm.batches import SLICE_BYTES, Powers, Texts, mix, range_hash, text_slices
 from panelscope.llm.grouped_suffixes import suffix_array
-from panelscope.llm.layout import cut, join_dealt
+from panelscope.llm.layout import cut, join_dealt, unused
 
 WINDOW = 200
 ANCHOR = 128
@@ -326,36 +326,51 @@ def repeated_spans(keyed: DataFrame, bin_contexts: int = BIN_CONTEXTS) -> DataFr
     return found.groupBy("k", "n").agg(F.collect_set("span").alias("spans"))
 
 
+def _kept(raw: bytes, found: pa.ListScalar) -> tuple[bytes, int]:
+    """The bytes that no span covers, and the number of removed runs."""
+    ranges = united(np.array(found.values, np.int64)) if found.is_valid else []
+    starts, ends = [0, *[r[1] for r in ranges]], [*[r[0] for r in ranges], len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(starts, ends)), len(ranges)
+
+
 def without_repeats(documents: DataFrame, bin_contexts: int = BIN_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     keyed = _keyed(documents)
     spans = cut(repeated_spans(keyed, bin_contexts))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of = batch.column("spans")
             for t in text_slices(batch.column("text")):
-                removed, runs, sha, kept_text = [], [], [], []
-                for i in range(len(t)):
-                    raw = t.raw(i)
-                    found = spans_of[t.lo + i]
-                    ranges = united(np.array(found.values, np.int64)) if found.is_valid else []
-                    kept = b"".join(raw[a:b] for a, b in zip(
-                        [0, *[r[1] for r in ranges]], [*[r[0] for r in ranges], len(raw)]))
-                    removed.append(len(raw) - len(kept))
-                    runs.append(len(ranges))
-                    sha.append(hashlib.sha256(kept).hexdigest())
-                    kept_text.append(kept.decode(errors="replace"))
+                kept = [_kept(t.raw(i), batch.column("spans")[t.lo + i]) for i in range(len(t))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(t.lo, len(t)), pa.array(t.sizes), pa.array(removed, pa.int64()),
-                     pa.array(runs, pa.int64()), pa.array(sha), pa.array(kept_text, pa.string())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                    [batch.column("doc_id").slice(t.lo, len(t)), pa.array(t.sizes),
+                     pa.array(t.sizes - np.array([len(k) for k, _ in kept])),
+                     pa.array([n for _, n in kept], pa.int64()),
+                     pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept])],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return join_dealt(keyed, spans, ["k", "n"], "left").select("doc_id", "text", "spans").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def suffix_dedup(documents: DataFrame) -> DataFrame:
-    """The same without the kept texts."""
-    return without_repeats(documents).drop("kept_text")
+def rewritten(documents: DataFrame, bin_contexts: int = BIN_CONTEXTS) -> DataFrame:
+    """The rows of ``documents`` with their kept texts; n_chars, where there is
+    such a column, counts anew."""
+    k, n, found = (unused(documents, c) for c in ("k", "n", "spans"))
+    spans = cut(repeated_spans(_keyed(documents), bin_contexts)).toDF(k, n, found)
+    text = F.coalesce("text", F.lit(""))
+    keyed = documents.withColumn(k, F.xxhash64(text)).withColumn(n, F.octet_length(text).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in text_slices(batch.column("text")):
+                kept = [_kept(t.raw(i), batch.column(found)[t.lo + i])[0].decode(errors="replace")
+                        for i in range(len(t))]
+                part = batch.slice(t.lo, len(t)).drop_columns([found])
+                yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
+
+    out = join_dealt(keyed, spans, [k, n], "left").select(*documents.columns, found) \
+        .mapInArrow(run, documents.schema)
+    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) \
+        if "n_chars" in documents.columns else out

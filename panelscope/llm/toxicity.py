@@ -203,3 +203,20 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FI
     return scored(documents, model).select(
         "doc_id", is_held_out().alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
+
+
+def clean_rows(documents: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that score below
+    the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(
+        fit(*fit_sample(documents, labels, "toxic", max_fit_rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, m = Powers(), shared.value
+        for batch in batches:
+            for t in text_slices(batch.column("text")):
+                bags = bags_of(t, powers)
+                score = noisy_or(sentence_logits(bags, m.weights, m.bias), bags.doc, len(t))
+                yield batch.slice(t.lo, len(t)).filter(pa.array(score < THRESHOLD))
+
+    return documents.mapInArrow(run, documents.schema)
