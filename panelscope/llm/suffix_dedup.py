@@ -319,9 +319,10 @@ def repeated_spans(keyed: DataFrame, bin_contexts: int = BIN_CONTEXTS) -> DataFr
     whole = join_dealt(rows, groups.filter("c > 1").select("anchor", "ctx"), ["anchor", "ctx"]) \
         .select("k", "n", "span")
     mixed = cut(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
-    detail = _bytes(keyed, _bitmap(mixed)).join(mixed, "anchor", "left_semi")
-    contexts = cut(detail.groupBy("anchor", "ctx").agg(F.min(F.struct("k", "n", "at", "before", "after")).alias("r"))
-                   .select("anchor", "ctx", "r.*"))
+    # equal contexts meet before the rows of an anchor do: a hot anchor's many copies are one row
+    detail = _bytes(keyed, _bitmap(mixed)).groupBy("anchor", "ctx").agg(
+        F.min(F.struct("k", "n", "at", "before", "after")).alias("r")).select("anchor", "ctx", "r.*")
+    contexts = cut(join_dealt(detail, mixed, ["anchor"], "left_semi"))
     found = whole.unionByName(_windows_in_part(contexts, bin_contexts))
     return found.groupBy("k", "n").agg(F.collect_set("span").alias("spans"))
 
