@@ -8,15 +8,15 @@ how much weight come before it in a global order. A ``Window`` without
 1. rows collapse to one *block* per distinct (group, value) with its row
    count and weight sums (map-side partial aggregation absorbs hot values:
    a value held by a third of all rows is still one block);
-2. blocks are cut into value ranges at approximate quantile bounds (a few
-   hundred literals collected to the driver; the data never is);
-3. per-range totals (tiny) get exclusive running sums with a window over
-   the range ids, broadcast back (size = ranges x groups, bounded);
+2. blocks are dealt into value ranges (``repartitionByRange``, which takes any
+   orderable type) and written with their range id to the checkpoint folder;
+3. per-range totals (ranges x groups rows) get exclusive running sums with a
+   window over the range ids and are joined back;
 4. inside a range a window partitioned by (group, range) adds the local
    running sums.
 
-The results are exact: approximation only affects how balanced the ranges
-are, never the offsets.
+The results are exact: the sampled range bounds only affect how balanced the
+ranges are, never the offsets. There is one code path for every type and size.
 """
 
 from __future__ import annotations
@@ -25,101 +25,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _bucket_expr(v: Column, bounds: list) -> Column:
-    """Range id of ``v`` among sorted ``bounds`` (number of bounds <= v),
-    as a balanced CASE tree: O(log n) comparisons per row, all JVM-side."""
-    def build(lo: int, hi: int) -> Column:
-        # ids lo..hi; bounds[lo..hi-1] separate them
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(v < F.lit(bounds[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
-    return build(0, len(bounds))
-
-
-_CASE_TREE_MAX = 512          # bounds handled by an inline CASE tree
-_TARGET_BLOCKS_PER_RANGE = 2_000_000
-
-
-def range_id(df: DataFrame, value: str, bounds: list, out: str = "_r") -> DataFrame:
-    """Attach the range id (number of bounds <= value). Few bounds: an inline
-    balanced CASE tree inside whole-stage codegen; many bounds: the JVM
-    binary search of ``Bucketizer`` (same [a, b) convention)."""
-    if len(bounds) <= _CASE_TREE_MAX:
-        return df.withColumn(out, _bucket_expr(F.col(value), bounds))
-    from pyspark.ml.feature import Bucketizer
-    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-    tmp = df.withColumn("_rv", F.col(value).cast("double"))
-    b = Bucketizer(splits=splits, inputCol="_rv", outputCol="_rb", handleInvalid="keep")
-    return b.transform(tmp).withColumn(out, F.col("_rb").cast("int")).drop("_rv", "_rb")
-
-
-def range_bounds(df: DataFrame, value: str, n_ranges: int) -> list:
-    """Approximate quantile cut points of a column (n_ranges - 1 literals)."""
-    if n_ranges <= 1:
-        return []
-    qs = [i / n_ranges for i in range(1, n_ranges)]
-    row = df.agg(F.percentile_approx(F.col(value), qs, 10000).alias("q")).first()
-    if row is None or row["q"] is None:
-        return []
-    return sorted(set(x for x in row["q"] if x is not None))
-
-
-_GRID = 1024
-
-
-def _adaptive_bounds(blocks: DataFrame, value: str, min_ranges: int) -> list:
-    """Cut points for enough ranges that each window sorts at most ~2M
-    blocks: one job returns the block count and a 1/1024 quantile grid, from
-    which the bounds are picked; only beyond 1024 ranges a second, finer
-    pass is needed."""
-    grid = [i / _GRID for i in range(1, _GRID)]
-    row = blocks.agg(F.count(F.lit(1)).alias("n"),
-                     F.percentile_approx(F.col(value), grid, 10000).alias("q")).first()
-    n_blocks = row["n"] or 0
-    n = max(min_ranges, min(-(-n_blocks // _TARGET_BLOCKS_PER_RANGE), 100_000))
-    if n >= _GRID:
-        return range_bounds(blocks, value, n)
-    q = row["q"] or []
-    picked = [q[round(i * _GRID / n) - 1] for i in range(1, n)] if q else []
-    return sorted(set(x for x in picked if x is not None))
-
-
-def default_ranges(spark) -> int:
-    try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001
-        n = 200
-    return max(4, min(n, 4096))
+from panelscope.session import ensure_checkpoint_dir
 
 
 def ordered_blocks(df: DataFrame, value: str, weights: dict[str, Column] | None = None,
                    group: tuple[str, ...] | list[str] = (), descending: bool = False,
-                   n_ranges: int | None = None, materialize: bool = True) -> DataFrame:
+                   n_ranges: int | None = None) -> DataFrame:
     """One row per distinct (group, value) with:
 
     ``c`` rows in the block, ``<w>`` weight sums, ``o_c`` / ``o_<w>`` the
     rows / weight strictly before the block in the (per-group) order, and
     ``n_total`` / ``<w>_total`` the group totals. Null values are ignored.
+    ``n_ranges`` defaults to the session's shuffle partitions. Runs a job.
     """
     weights = weights or {}
     group = list(group)
     src = df.filter(F.col(value).isNotNull())
     blocks = src.groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("c"), *[F.sum(e).alias(k) for k, e in weights.items()])
-    if materialize:
-        # the blocks feed two jobs (range bounds, then the offsets): write
-        # them once to the shared checkpoint folder instead of recomputing
-        # the upstream plan, which also cuts the lineage
-        from panelscope.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        blocks = blocks.checkpoint(eager=True)
-    if n_ranges is not None:
-        bounds = range_bounds(blocks, value, n_ranges)
-    else:
-        bounds = _adaptive_bounds(blocks, value, default_ranges(df.sparkSession))
-    blocks = range_id(blocks, value, bounds)
+    # the range id is the partition's number, so the blocks are written once:
+    # every later step reads the same ids, and the lineage ends there
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = blocks.repartitionByRange(n_ranges, value) if n_ranges else blocks.repartitionByRange(value)
+    blocks = dealt.withColumn("_r", F.spark_partition_id()).checkpoint(eager=True)
 
     meas = ["c", *weights.keys()]
     rt = blocks.groupBy(*group, "_r").agg(*[F.sum(m).alias(f"_rt_{m}") for m in meas])
@@ -132,8 +60,7 @@ def ordered_blocks(df: DataFrame, value: str, weights: dict[str, Column] | None
         *[F.coalesce(F.sum(f"_rt_{m}").over(w_before), F.lit(0)).alias(f"_base_{m}") for m in meas],
         *[F.sum(f"_rt_{m}").over(w_all).alias("n_total" if m == "c" else f"{m}_total")
           for m in meas])
-    # rt has (ranges x groups) rows: a proven bound, so broadcasting is safe
-    j = blocks.join(F.broadcast(rt), [*group, "_r"])
+    j = blocks.join(rt, [*group, "_r"])
     vorder = F.col(value).desc() if descending else F.col(value).asc()
     w_local = Window.partitionBy(*group, "_r").orderBy(vorder).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -156,29 +83,31 @@ def top_n_sums(df: DataFrame, score: str, tiebreak: str, n_tops: dict[str, Colum
     Output: ``cut``, ``n_total``, ``n_top`` and one column per measure.
     """
     b = ordered_blocks(df, score, measures, (), descending=True, n_ranges=n_ranges)
-    cuts = F.array(*[F.struct(F.lit(k).alias("cut"), e.cast("bigint").alias("_k"))
-                     for k, e in n_tops.items()])
-    bk = b.select("*", F.inline(cuts))
-    # keep each measure's own type (DECIMAL money stays exact)
-    types = {k: b.schema[k].dataType.simpleString() for k in measures}
-    m_null = [F.lit(None).cast(types[k]).alias(k) for k in measures]
-    full = bk.filter(F.col("o_c") + F.col("c") <= F.col("_k")).select(
-        "cut", *[F.col(k).cast(types[k]).alias(k) for k in measures],
-        F.lit(None).cast("bigint").alias("n_total"), F.lit(None).cast("bigint").alias("_k"))
-    sizes = bk.select("cut", *m_null, F.col("n_total").cast("bigint").alias("n_total"), "_k")
-    boundary = bk.filter((F.col("o_c") < F.col("_k")) & (F.col("o_c") + F.col("c") > F.col("_k"))) \
-        .select("cut", F.col(score).alias("_bs"), (F.col("_k") - F.col("o_c")).alias("_m"))
-    # at most one boundary row per cut: a bounded broadcast
-    rows = df.join(F.broadcast(boundary), F.col(score) == F.col("_bs"))
-    rows = rows.select("cut", "_m", tiebreak, *[e.alias(k) for k, e in measures.items()])
-    rb = ordered_blocks(rows, tiebreak, {k: F.col(k) for k in measures}, ["cut", "_m"],
-                        n_ranges=n_ranges)
-    part = rb.filter(F.col("o_c") < F.col("_m")).select(
-        "cut", *[F.col(k).cast(types[k]).alias(k) for k in measures],
-        F.lit(None).cast("bigint").alias("n_total"), F.lit(None).cast("bigint").alias("_k"))
-    allp = full.unionByName(sizes).unionByName(part)
-    return allp.groupBy("cut").agg(F.max("n_total").alias("n_total"), F.max("_k").alias("n_top"),
-                                   *[F.sum(k).alias(k) for k in measures])
+    # one pass over the blocks, one conditional sum per cut and measure
+    aggs = []
+    for i, e in enumerate(n_tops.values()):
+        k = e.cast("bigint")
+        whole = F.col("o_c") + F.col("c") <= k
+        across = (F.col("o_c") < k) & ~whole
+        aggs += [F.max(k).alias(f"_k{i}"),
+                 F.max(F.when(across, F.struct(F.col(score).alias("s"), (k - F.col("o_c")).alias("m")))).alias(f"_b{i}"),
+                 *[F.sum(F.when(whole, F.col(m))).alias(f"_{m}{i}") for m in measures]]
+    one = b.agg(F.max("n_total").cast("bigint").alias("n_total"), *aggs)
+    cuts = one.select(F.inline(F.array(*[F.struct(
+        F.lit(name).alias("cut"), F.col("n_total"), F.col(f"_k{i}").alias("n_top"),
+        F.col(f"_b{i}").alias("_b"), *[F.col(f"_{m}{i}").alias(m) for m in measures])
+        for i, name in enumerate(n_tops)]))).checkpoint(eager=True)
+    # the block that a cut divides: one row per cut, a bounded broadcast
+    edges = cuts.filter("_b is not null").select("cut", F.col("_b.s").alias("_bs"), F.col("_b.m").alias("_m"))
+    rows = df.join(F.broadcast(edges), F.col(score) == F.col("_bs")) \
+        .select("cut", "_m", tiebreak, *[e.alias(k) for k, e in measures.items()])
+    rb = ordered_blocks(rows, tiebreak, {k: F.col(k) for k in measures}, ["cut", "_m"], n_ranges=n_ranges)
+    part = rb.filter(F.col("o_c") < F.col("_m")).groupBy("cut").agg(
+        *[F.sum(k).alias(f"_part_{k}") for k in measures])
+    zero = {k: F.lit(0).cast(cuts.schema[k].dataType) for k in measures}
+    return cuts.join(part, "cut", "left").select(
+        "cut", "n_total", "n_top",
+        *[(F.coalesce(F.col(k), zero[k]) + F.coalesce(F.col(f"_part_{k}"), zero[k])).alias(k) for k in measures])
 
 
 def top_rows(df: DataFrame, score: str, tiebreak: str, n_top: Column,

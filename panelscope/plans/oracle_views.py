@@ -54,7 +54,7 @@ def _h(expr: str) -> str:
 
 VIEWS: dict[str, str] = {
     "trs": """
-SELECT o.o_custkey AS client_id,
+SELECT lpad(CAST(o.o_custkey AS VARCHAR), 20, '0') AS client_id,
   CASE WHEN l.l_partkey % 11 = 0 THEN l.l_partkey + 1000000 ELSE l.l_partkey END AS article_id,
   CAST(o.o_orderdate AS DATE) AS trs_date,
   CAST(l.l_shipdate AS DATE) AS ship_date,
@@ -80,7 +80,7 @@ SELECT p_partkey AS article_id, p_retailprice AS world_price,
   CAST(p_size < 5 AS INTEGER) AS flag_diamond
 FROM part""",
     "clients": """
-SELECT c.c_custkey AS client_id,
+SELECT lpad(CAST(c.c_custkey AS VARCHAR), 20, '0') AS client_id,
   CASE WHEN c.c_custkey % 3 = 0 THEN CAST(NULL AS DATE)
        ELSE DATE '1880-01-01' + CAST((c.c_custkey * 7919) % 55000 AS INTEGER) END AS birth_date,
   CASE WHEN c.c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'F'
@@ -95,9 +95,9 @@ LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN (SELECT client_id, min(trs_date) AS first_purchase_date,
                   min(ship_date) AS first_transaction_date
-           FROM trs GROUP BY client_id) f ON f.client_id = c.c_custkey""",
+           FROM trs GROUP BY client_id) f ON f.client_id = lpad(CAST(c.c_custkey AS VARCHAR), 20, '0')""",
     "crc": """
-SELECT CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS BIGINT) ELSE user_id END AS client_id,
+SELECT CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS VARCHAR) ELSE lpad(CAST(user_id AS VARCHAR), 20, '0') END AS client_id,
   event_id AS appointment_id, ts AS creation_date,
   CASE WHEN event_type = 'error' THEN CAST(NULL AS VARCHAR)
        WHEN event_type = 'purchase' THEN 'Clienteling' ELSE event_type END AS origin,
@@ -105,7 +105,7 @@ SELECT CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS BIGINT) ELSE user_id END AS
        ELSE value * CAST(2.0 AS DOUBLE) END AS appointment_duration
 FROM events""",
     "ccp": """
-SELECT o.o_custkey AS client_id, CAST(l.l_orderkey AS VARCHAR) AS serial_number,
+SELECT lpad(CAST(o.o_custkey AS VARCHAR), 20, '0') AS client_id, CAST(l.l_orderkey AS VARCHAR) AS serial_number,
   CASE WHEN l.l_partkey % 50 = 0 THEN CAST(NULL AS BIGINT) ELSE l.l_partkey END AS article_id,
   CAST(l.l_shipdate AS DATE) AS creation_date,
   CASE WHEN l.l_quantity < 30 THEN CAST(NULL AS DATE) ELSE CAST(o.o_orderdate AS DATE) END AS sale_date,
@@ -153,8 +153,8 @@ SELECT g.client_id, g.date_target, g.target_1m, g.target_3m, g.target_1y,
   CASE WHEN g._n_dates >= 2 THEN CAST(date_diff('day', g._first, g._last) AS DOUBLE)
        / CAST(g._n_dates - 1 AS DOUBLE) END AS avg_timelapse_trs,
   g.max_price_per_pdt, g.qty_pdt_full_hist,
-  CASE WHEN g.client_id % 7 = 0 THEN g._dates || ',n/a'
-       WHEN g.client_id % 11 = 0 THEN g._dates || ', ' ELSE g._dates END AS all_purchased_dates,
+  CASE WHEN CAST(g.client_id AS BIGINT) % 7 = 0 THEN g._dates || ',n/a'
+       WHEN CAST(g.client_id AS BIGINT) % 11 = 0 THEN g._dates || ', ' ELSE g._dates END AS all_purchased_dates,
   g._repairs AS all_repair_pdt_categ
 FROM panel_g g LEFT JOIN clients c ON g.client_id = c.client_id""",
     "scored": """

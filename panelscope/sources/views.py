@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.functions.exprs import money_total, months_between_int
@@ -56,6 +56,11 @@ def snapshots(spark: SparkSession, dates=SNAPSHOT_DATES) -> DataFrame:
     return spark.range(1).select(F.explode(arr).alias("date_target"))
 
 
+def client_key(number: Column) -> Column:
+    """The contract's client id: a string of 20 characters."""
+    return F.lpad(number.cast("string"), 20, "0")
+
+
 def trs(t) -> DataFrame:
     """Transactions: one row per order line, keyed by client and date."""
     o = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -65,7 +70,7 @@ def trs(t) -> DataFrame:
     q, price, disc = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
     supp_mod = F.col("l_suppkey") % 10
     return j.select(
-        F.col("o_custkey").alias("client_id"),
+        client_key(F.col("o_custkey")).alias("client_id"),
         F.when(F.col("l_partkey") % 11 == 0, F.col("l_partkey") + 1000000)
          .otherwise(F.col("l_partkey")).alias("article_id"),
         F.col("o_orderdate").cast("date").alias("trs_date"),
@@ -114,7 +119,7 @@ def clients(t, trs_df: DataFrame | None = None) -> DataFrame:
              .join(r, F.col("n_regionkey") == r.r_regionkey, "left"))
     seg = F.col("c_mktsegment")
     out = base.select(
-        key.alias("client_id"),
+        client_key(key).alias("client_id"),
         F.when(key % 3 == 0, F.lit(None).cast("date"))
          .otherwise(F.date_add(F.lit(_d("1880-01-01")), ((key * 7919) % 55000).cast("int")))
          .alias("birth_date"),
@@ -135,8 +140,8 @@ def crc(t) -> DataFrame:
     et = F.col("event_type")
     return e.select(
         # a few contacts lose their client key (null-key edge case)
-        F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("bigint"))
-         .otherwise(F.col("user_id")).alias("client_id"),
+        F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("string"))
+         .otherwise(client_key(F.col("user_id"))).alias("client_id"),
         F.col("event_id").alias("appointment_id"),
         F.col("ts").alias("creation_date"),
         F.when(et == "error", F.lit(None).cast("string"))
@@ -153,7 +158,7 @@ def ccp(t) -> DataFrame:
     o = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
-        F.col("o_custkey").alias("client_id"),
+        client_key(F.col("o_custkey")).alias("client_id"),
         F.col("l_orderkey").cast("string").alias("serial_number"),
         F.when(F.col("l_partkey") % 50 == 0, F.lit(None).cast("bigint"))
          .otherwise(F.col("l_partkey")).alias("article_id"),
@@ -222,7 +227,7 @@ def panel(t, spark: SparkSession, trs_df: DataFrame | None = None,
         "_repairs": F.when(F.col("trs_categ") == "Repair", F.col("categ"))})
     g = g.join(sets, ["client_id", "date_target"], "left").withColumn(
         "_n_dates", F.size("_tdates"))
-    cid = F.col("client_id")
+    cid = F.col("client_id").cast("bigint")
     dates_list = F.concat_ws(",", F.col("_dates").cast("array<string>"))
     # inject unparsable and blank list elements for some clients (edge cases)
     dates_list = (F.when(cid % 7 == 0, F.concat(dates_list, F.lit(",n/a")))

@@ -3,6 +3,7 @@ against brute force on small inline frames with ties, nulls and a hot value."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelscope.functions.exprs import flag, guarded_corr, money_mean, money_sum, money_total
@@ -72,11 +73,27 @@ def test_top_n_sums_and_rows(spark):
     assert ids == sorted(x[0] for x in valid[:k])
 
 
-def test_range_id_case_tree_equals_bucketizer(spark, monkeypatch):
-    from panelscope.functions import ranking as R
-    df = spark.range(3000).select((F.col("id") % 499).cast("double").alias("v"))
-    bounds = R.range_bounds(df, "v", 300)
-    a = sorted(map(tuple, R.range_id(df, "v", bounds, "_a").collect()))
-    monkeypatch.setattr(R, "_CASE_TREE_MAX", 0)
-    b = sorted(map(tuple, R.range_id(df, "v", bounds, "_a").collect()))
-    assert a == b
+@pytest.mark.parametrize("n_ranges", [5, 2000])
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,4)", "bigint", "double"])
+def test_ordered_blocks_of_any_type(spark, kind, n_ranges):
+    df = spark.range(3000).select((F.col("id") % 499).alias("k"), F.lit("g").alias("g"))
+    as_kind = {"string": F.lpad(F.col("k").cast("string"), 20, "0"),
+               "date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("k").cast("int"))}
+    df = df.withColumn("v", as_kind.get(kind, F.col("k").cast(kind)))
+    got = ordered_blocks(df, "v", None, ["g"], n_ranges=n_ranges).collect()
+    values = sorted(r["v"] for r in df.collect())
+    assert len(got) == 499 and all(r["n_total"] == 3000 for r in got)
+    first = {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+    assert all(r["o_c"] == first[r["v"]] and r["c"] == values.count(r["v"]) for r in got)
+
+
+def test_top_cut_with_string_tiebreak(spark):
+    rows = [(f"client-{i:012d}", float(i % 3), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "client_id string, v double, w int")
+    got = top_n_sums(df, "v", "client_id", {"top": F.lit(30)}, {"w": F.col("w").cast("double")}).first()
+    best = sorted(rows, key=lambda r: (-r[1], r[0]))[:30]
+    assert (got["n_top"], got["w"]) == (30, sum(r[2] for r in best))
+    ids = sorted(r["client_id"] for r in top_rows(df, "v", "client_id", F.lit(30)).collect())
+    assert ids == sorted(r[0] for r in best)
