@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelscope.llm.batches import Powers, mix, text_slices, window_hashes, words_of
-from panelscope.llm.layout import cut
+from panelscope.llm.layout import cut, join_dealt
 
 SHINGLE_WORDS = 5
 REGISTER_BITS = 7
@@ -47,7 +47,6 @@ MANTISSA_BITS = 10
 BAND_ROWS = 4
 THRESHOLD_PCT = 85
 STANDARD_ERRORS = 6.0
-STAR_ROUNDS = 2
 
 _REST_BITS = 64 - REGISTER_BITS
 
@@ -289,7 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.col("m").alias("a"), F.col("v").alias("b"))
         if not large:
             out = out.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return out.filter("a != b").distinct()
+        return out.filter("a != b")
 
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .filter("a != b").distinct())
@@ -299,7 +298,7 @@ def components(edges: DataFrame) -> DataFrame:
         if before == now:
             break
         before = now
-        e = cut(star(star(e, True), False))
+        e = cut(star(star(e, True), False).distinct())
     return e.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(
         e.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
@@ -309,7 +308,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     rows = cut(sketches(documents))
     key = ["set_a", "set_b", "n"]
     classes = rows.groupBy(*key).agg(F.min("doc_id").alias("cls"))
-    members = cut(rows.select("doc_id", *key).join(classes, key).select("doc_id", "n", "cls"))
+    members = cut(join_dealt(rows.select("doc_id", *key), classes, key).select("doc_id", "n", "cls"))
 
     heads = rows.filter("n > 0").join(
         classes.select(*[F.col(c).alias(f"k_{c}") for c in key], F.col("cls").alias("doc_id")), "doc_id") \
@@ -318,7 +317,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     spread = heads.select("cls", F.explode(F.array_distinct("bands")).alias("band"))
     shared = spread.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
         .filter("lo != hi").select("band")
-    in_band = cut(spread.join(shared, "band").distinct())
+    in_band = cut(join_dealt(spread, shared, ["band"]))
     candidates = in_band.select("cls").distinct()
     ids = candidates.select(F.col("cls").alias("doc_id"))
     sets = cut(full_sets(documents.join(ids, "doc_id", "left_semi")).withColumnRenamed("doc_id", "cls")
@@ -329,15 +328,10 @@ def near_groups(documents: DataFrame) -> DataFrame:
                 .withColumn("most", F.col("n") - F.col("u")))
     live = cut(in_band.join(nodes.select("cls", "n", "u", "most"), "cls"))
 
-    kind = _id_type(members, "cls")
-    edges = live.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    comps = pivots = None
-    for _ in range(STAR_ROUNDS):
-        pairs, pivots = _stars(_mixed(live, comps), pivots)
-        edges = cut(edges.unionByName(links(pairs, nodes, sets)))
-        comps, pivots = cut(components(edges)), cut(pivots)
-    pairs = _leftovers(_mixed(live, comps), sets)
-    comps = components(edges.unionByName(links(pairs, nodes, sets)))
+    stars = roots(links(_stars(live), nodes, sets))
+    pairs = _leftovers(_mixed(live, stars), sets)
+    comps = components(links(pairs, nodes, sets).unionByName(
+        stars.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     found = members.join(comps, members["cls"] == comps["node"], "left")
     comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "cls"))
@@ -345,36 +339,39 @@ def near_groups(documents: DataFrame) -> DataFrame:
                         F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
-def _mixed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+def roots(links: DataFrame) -> DataFrame:
+    """node, comp for links (a, b) that lead from each a to one b which comes
+    earlier in a fixed order: the end of the chain, by pointer jumping."""
+    now = cut(links.select(F.col("a").alias("node"), F.col("b").alias("comp")))
+    while True:
+        ahead = now.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+        jumped = cut(now.join(ahead, "comp", "left").select("node", "comp", "further"))
+        if jumped.filter("further is not null").isEmpty():
+            return now
+        now = jumped.select("node", F.coalesce("further", "comp").alias("comp"))
+
+
+def _mixed(live: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, with ``comp``."""
-    if comps is None:
-        here = live.withColumn("comp", F.col("cls"))
-    else:
-        here = live.join(comps, live["cls"] == comps["node"], "left") \
-            .withColumn("comp", F.coalesce("comp", "cls")).drop("node")
+    here = live.join(comps, live["cls"] == comps["node"], "left") \
+        .withColumn("comp", F.coalesce("comp", "cls")).drop("node")
     mixed = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
         .filter("lo != hi").select("band")
-    return cut(here.join(mixed, "band", "left_semi"))
-
-
-def _stars(here: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Each member with the best pivot of another component that its buckets
-    offer. A bucket's next pivot comes from outside the component of its last one."""
-    pool = here
-    if past is not None:
-        was = here.join(past.select("band", F.col("pivot").alias("cls")), ["band", "cls"]) \
-            .select("band", F.col("comp").alias("past_comp"))
-        pool = here.join(was, "band").filter("comp != past_comp").drop("past_comp")
-    best = pool.groupBy("band").agg(F.min(F.struct(
-        (F.col("u") / F.col("n")).alias("share"), "cls", "n", "most", "comp")).alias("p"))
-    pivots = best.select("band", F.col("p.share").alias("p_share"), F.col("p.cls").alias("pivot"),
-                         F.col("p.n").alias("p_n"),
-                         F.col("p.most").alias("p_most"), F.col("p.comp").alias("p_comp"))
-    pairs = here.join(pivots, "band").filter("comp != p_comp") \
-        .filter(can_link(F.col("n"), F.col("p_n"), F.least("most", "p_most"))) \
-        .groupBy("cls").agg(F.min(F.struct("p_share", "pivot"))["pivot"].alias("pivot")) \
-        .select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    return pairs, pivots.select("band", "pivot")
+    return cut(join_dealt(here, mixed, ["band"], "left_semi"))
+
+
+def _stars(live: DataFrame) -> DataFrame:
+    """(a, b): each class a with the pivot b that it shares most buckets with.
+    A bucket's pivot is its first member by (unique share, id), so that chains
+    of pairs end."""
+    pivots = live.groupBy("band").agg(F.min(F.struct(
+        (F.col("u") / F.col("n")).alias("share"), "cls", "n", "most")).alias("p"))
+    offers = join_dealt(live, pivots, ["band"]).filter(F.col("cls") != F.col("p.cls")) \
+        .filter(can_link(F.col("n"), F.col("p.n"), F.least("most", F.col("p.most"))))
+    counted = offers.groupBy("cls", F.col("p.share").alias("share"), F.col("p.cls").alias("pivot")) \
+        .agg(F.count(F.lit(1)).alias("c"))
+    return counted.groupBy("cls").agg(F.min(F.struct((-F.col("c")).alias("c"), "share", "pivot")).alias("best")) \
+        .select(F.col("cls").alias("a"), F.col("best.pivot").alias("b"))
 
 
 def _leftovers(here: DataFrame, sets: DataFrame) -> DataFrame:
