@@ -34,7 +34,7 @@ from panelscope.llm.batches import text_slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Units remembered by a task before it starts afresh.
-MEMO_UNITS = 600_000
+MEMO_UNITS = 250_000
 LONG_FRAGMENT = 64
 
 
@@ -187,46 +187,53 @@ def _lists(ends: list[int], values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.array([0, *ends], np.int32)), pa.array(values))
 
 
+def _encoder(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(v)
+    for batch in batches:
+        for t in text_slices(batch.column("text")):
+            found = [encoder.encode(t.raw(i).decode()) for i in range(len(t))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(t.lo, len(t)),
+                 _lists(np.cumsum([len(f) // 4 for f in found]).tolist(),
+                        np.frombuffer(b"".join(found), np.int32))], names=["doc_id", "ids"])
+
+
+def _decoder(tokens: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    token = tokens.__getitem__
+    for batch in batches:
+        ids = batch.column("ids")
+        values, off = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
+        text = [b"".join(map(token, values[a:b])).decode(errors="replace") for a, b in zip(off, off[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
+
+
+def _schema(df: DataFrame) -> str:
+    return f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, ids of every text, with the tokenizer file at ``path`` (read
     by the driver; executors get its tables by broadcast, bounded by the file)."""
     shared = documents.sparkSession.sparkContext.broadcast(load(path))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in batches:
-            for t in text_slices(batch.column("text")):
-                found = [encoder.encode(t.raw(i).decode()) for i in range(len(t))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(t.lo, len(t)),
-                     _lists(np.cumsum([len(f) // 4 for f in found]).tolist(),
-                            np.frombuffer(b"".join(found), np.int32))], names=["doc_id", "ids"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(lambda b: _encoder(shared.value, b), _schema(documents))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with its ids (at most once in the table) decoded as ``decoded``."""
+    """doc_id, ids, and the text they stand for as ``decoded``."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(path).tokens())
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
-        for batch in batches:
-            ids = batch.column("ids")
-            values = ids.values.to_numpy().tolist()
-            off = ids.offsets.to_numpy().tolist()
-            text = [b"".join(map(token, values[a:b])).decode(errors="replace") for a, b in zip(off, off[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(
+        lambda b: _decoder(shared.value, b), _schema(encoded) + ", decoded string")
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return decode(encode(documents, path), path).select(
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; encoder and
+    decoder share a Python worker."""
+    shared = documents.sparkSession.sparkContext.broadcast(load(path))
+    both = documents.select("doc_id", "text").mapInArrow(
+        lambda b: _decoder(shared.value.tokens(), _encoder(shared.value, b)),
+        _schema(documents) + ", decoded string")
+    return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
