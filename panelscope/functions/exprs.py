@@ -59,7 +59,7 @@ def money_sum(c: ColumnOrName, scale: int = 2, fixed: bool = True) -> Column:
     as double; null when every input is null."""
     if fixed:
         return F.round(F.sum(fixed4(c)).cast("double") / F.lit(_FIXED), scale)
-    s = F.sum(col(c).cast("decimal(18,4)"))
+    s = F.sum(col(c).cast("decimal(28,4)"))
     return F.round(s, scale).cast("double")
 
 
@@ -68,12 +68,13 @@ def money_total(c: ColumnOrName, scale: int = 2, fixed: bool = True) -> Column:
     return F.coalesce(money_sum(c, scale, fixed), F.lit(0.0))
 
 
-def money_mean(c: ColumnOrName, fixed: bool = True) -> Column:
-    """Mean of known values, bit-stable across partitionings."""
+def money_mean(c: ColumnOrName, fixed: bool) -> Column:
+    """Mean of known values, bit-stable across partitionings: ``fixed`` for
+    per-entity means only, as a long overflows on unbounded groups."""
     if fixed:
         s = F.sum(fixed4(c)).cast("double") / F.lit(_FIXED)
     else:
-        s = F.sum(col(c).cast("decimal(18,4)")).cast("double")
+        s = F.sum(col(c).cast("decimal(28,4)")).cast("double")
     return F.try_divide(s, F.count(col(c)).cast("double"))
 
 
@@ -83,15 +84,6 @@ def fround(c: ColumnOrName, digits: int = 6) -> Column:
     return F.round(col(c), digits)
 
 
-def days_between(end: ColumnOrName, start: ColumnOrName) -> Column:
-    """Whole days between two DATE values (end - start)."""
-    return F.datediff(col(end), col(start))
-
-
-def floor_days(end: ColumnOrName, start: ColumnOrName) -> Column:
-    """pandas ``Timedelta.days`` for timestamps: floor of elapsed 24h periods."""
-    secs = F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))
-    return F.floor(secs / F.lit(86400 * 1_000_000)).cast("int")
 
 
 def months_between_int(end: ColumnOrName, start: ColumnOrName) -> Column:
@@ -109,12 +101,3 @@ def guarded_corr(x: ColumnOrName, y: ColumnOrName, digits: int = 9) -> Column:
     den = F.stddev_pop(xm) * F.stddev_pop(ym)
     r = F.try_divide(F.covar_pop(xm, ym), F.when(den > 0, den))
     return F.round(r, digits)
-
-
-def zero_share(c: ColumnOrName) -> Column:
-    """Share of rows equal to 0 over all rows; null counts as non-zero."""
-    return F.avg(flag(col(c) == 0))
-
-
-def null_share_pct(c: ColumnOrName) -> Column:
-    return F.avg(col(c).isNull().cast("int")) * F.lit(100.0)

@@ -161,7 +161,7 @@ def contact_features(crc_clean: DataFrame) -> DataFrame:
     return filter_key_not_null(crc_clean).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("n_crc_interactions"),
         F.max(flag(F.col("origin") == K.CLIENTELING)).alias("has_clienteling"),
-        money_mean("appointment_duration").alias("avg_appointment_duration"),
+        money_mean("appointment_duration", fixed=True).alias("avg_appointment_duration"),
         F.lit(1).alias("has_crc_interaction"),
     )
 
@@ -202,7 +202,7 @@ def client_totals_v1(events: DataFrame, crc_df: DataFrame, ccp_df: DataFrame) ->
     ev = events.groupBy("client_id").agg(
         money_total("spend").alias("spend_sum"),
         F.count(F.lit(1)).alias("n_trs"),
-        money_mean("spend").alias("spend_mean"),
+        money_mean("spend", fixed=True).alias("spend_mean"),
         F.coalesce(F.sum("qty"), F.lit(0)).cast("bigint").alias("qty_sum"))
     ct = crc_df.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_contacts"),
                                          F.max("creation_date").alias("last_contact"))

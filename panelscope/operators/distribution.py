@@ -16,8 +16,9 @@ from panelscope.functions.ranking import ordered_blocks
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
-                      group=(), digits: int = 6, blocks: DataFrame | None = None) -> DataFrame:
-    """Exact linear-interpolation percentiles (numpy's default) per group.
+                      group=(), digits: int | None = 6, blocks: DataFrame | None = None) -> DataFrame:
+    """Exact linear-interpolation percentiles (numpy's default) per group,
+    rounded for reports; ``digits=None`` where values are compared with them.
 
     The value at 0-based rank r is the block with o_c <= r < o_c + c, so each
     percentile is two block look-ups and an interpolation - computed inside
@@ -37,7 +38,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     out = []
     for name in probs:
         lo_v, hi_v, f = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_f_{name}")
-        out.append(F.round(lo_v + (hi_v - lo_v) * f, digits).alias(name))
+        value_at = lo_v + (hi_v - lo_v) * f
+        out.append((value_at if digits is None else F.round(value_at, digits)).alias(name))
     return g.select(*group, *out)
 
 
@@ -93,7 +95,7 @@ def moments(df: DataFrame, value: str, group=()) -> DataFrame:
     x = F.col(value)
     return df.filter(x.isNotNull()).groupBy(*group).agg(
         F.count(x).alias("count"),
-        money_mean(x).alias("mean"),
+        money_mean(x, fixed=False).alias("mean"),
         fround(F.stddev_samp(x)).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"),
         fround(F.skewness(x)).alias("skewness"),
@@ -142,7 +144,7 @@ def log_transform_check(df: DataFrame, value: str, group=()) -> DataFrame:
         fround(F.skewness(lp)).alias("skew_log1p"), fround(F.kurtosis(lp)).alias("kurt_log1p"),
         fround(F.skewness(ln)).alias("skew_log_pos"), fround(F.kurtosis(ln)).alias("kurt_log_pos"),
         (F.avg((x == 0).cast("int")) * F.lit(100.0)).alias("pct_zero"),
-        money_mean(x).alias("_mean"))
+        money_mean(x, fixed=False).alias("_mean"))
     med = exact_percentiles(df, value, {"_med": 0.5}, group)
     out = agg.join(med, list(group), "left") if group else _attach(agg, med)
     return out.select(*group, "skew_raw", "kurt_raw", "skew_log1p", "kurt_log1p",
@@ -161,14 +163,14 @@ def percentile_profile(df: DataFrame, value: str, group=()) -> DataFrame:
     mx = nz.groupBy(*group).agg(F.max(value).alias("max"))
     if group:
         th = pc.join(mx, group)
-        above = nz.join(F.broadcast(th.select(*group, "p99_9")), group)
+        above = nz.join(th.select(*group, "p99_9"), group)
         above = above.filter(F.col(value) > F.col("p99_9")).groupBy(*group).agg(
-            F.count(F.lit(1)).alias("n_above_p99_9"), money_mean(value).alias("mean_above_p99_9"))
+            F.count(F.lit(1)).alias("n_above_p99_9"), money_mean(value, fixed=False).alias("mean_above_p99_9"))
         return th.join(above, group, "left").fillna(0, subset=["n_above_p99_9"])
     th = _attach(pc, mx)
     t = pc.agg(F.first("p99_9")).scalar()
     above = nz.filter(F.col(value) > t).agg(
-        F.count(F.lit(1)).alias("n_above_p99_9"), money_mean(value).alias("mean_above_p99_9"))
+        F.count(F.lit(1)).alias("n_above_p99_9"), money_mean(value, fixed=False).alias("mean_above_p99_9"))
     return _attach(th, above)
 
 

@@ -108,7 +108,7 @@ def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = K.RECE
     g = x.groupBy(*KEYS).agg(
         F.count(d).alias("n_transactions"),
         money_total(spend).alias("total_spend"),
-        money_mean(spend).alias("avg_spend_per_trs"),
+        money_mean(spend, fixed=True).alias("avg_spend_per_trs"),
         F.max(spend).alias("max_single_spend"),
         *distinct,
         F.max(d).alias("_last"),
@@ -186,7 +186,7 @@ def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
     distinct = ([] if dates is not None
                 else [F.count_distinct("product_category").alias("n_distinct_categories")])
     g = x.groupBy(*KEYS).agg(
-        money_mean("world_price").alias("avg_article_world_price"),
+        money_mean("world_price", fixed=True).alias("avg_article_world_price"),
         F.max("world_price").alias("max_article_world_price"),
         F.avg("flag_he_art").alias("flag_he_ratio"),
         *distinct,

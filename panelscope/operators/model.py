@@ -15,20 +15,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelscope import constants as K
+from panelscope.functions.ranking import ordered_blocks
 from panelscope.operators.distribution import exact_percentiles
 
 
 # ------------------------------------------------------------------ M1 ordinal encoding
 def fit_ordinal_codes(train: DataFrame, col: str) -> DataFrame:
     """M1 fit: lexical codes 0..k-1 of the distinct train values (null is the
-    string 'nan'). The window runs over the distinct values only, i.e. over
-    the column's cardinality, never over rows."""
+    string 'nan'). A value's code is the number of distinct values before it,
+    counted by value ranges, so that no task holds them all."""
     v = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
     d = train.select(v.alias("_v")).distinct()
-    return d.select("_v", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("bigint").alias("_code"))
+    return ordered_blocks(d, "_v").select("_v", F.col("o_c").cast("bigint").alias("_code"))
 
 
 def apply_ordinal(df: DataFrame, col: str, codes: DataFrame, out: str | None = None) -> DataFrame:

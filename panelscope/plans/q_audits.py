@@ -49,7 +49,7 @@ def dimension_category_summary(c: Ctx):
     flag share and whether the category occurs in the events."""
     a = c.articles
     g = a.groupBy("product_category").agg(
-        F.count(F.lit(1)).alias("n_articles"), money_mean("world_price").alias("mean_price"),
+        F.count(F.lit(1)).alias("n_articles"), money_mean("world_price", fixed=False).alias("mean_price"),
         (F.avg("flag_he") * F.lit(100.0)).alias("pct_flag_he"))
     med = D.exact_percentiles(a, "world_price", {"median_price": 0.5}, ["product_category"])
     out = g.join(med, "product_category").join(_membership(c), "product_category", "left")
@@ -177,32 +177,35 @@ def date_order_violations(c: Ctx):
 
 @register("aggregate_reconciliation", f"""
 WITH ids AS (SELECT DISTINCT client_id FROM panel WHERE date_target = {TEST}),
-ev AS (SELECT {mt('spend')} AS events_total, count(*) AS n_events FROM trs
+ev AS (SELECT {mt('spend')} AS events_total, count(*) AS n_events,
+         count(DISTINCT client_id) AS n_event_clients FROM trs
        WHERE trs_date <= {TEST} AND client_id IN (SELECT client_id FROM ids)),
 pn AS (SELECT {mt('to_full_hist')} AS panel_total, {mm('to_full_hist')} AS mean_panel_per_client,
          count(*) AS n_clients FROM panel WHERE date_target = {TEST})
 SELECT events_total, panel_total, events_total / NULLIF(panel_total, 0) AS ratio,
   coalesce(events_total / NULLIF(panel_total, 0) BETWEEN 0.5 AND 2, false) AS consistent,
-  events_total / CAST(n_clients AS DOUBLE) AS mean_events_per_client_spend,
-  mean_panel_per_client, CAST(n_events AS DOUBLE) / CAST(n_clients AS DOUBLE) AS mean_events_per_client
+  events_total / CAST(n_event_clients AS DOUBLE) AS mean_events_per_client_spend,
+  mean_panel_per_client, CAST(n_events AS DOUBLE) / CAST(n_event_clients AS DOUBLE) AS mean_events_per_client
 FROM ev, pn""", ("trs", "panel"))
 def aggregate_reconciliation(c: Ctx):
-    """Events of the snapshot's clients (on/before DT) vs the panel total."""
+    """Events of the snapshot's clients (on/before DT) vs the panel total;
+    event means are over the clients that have events."""
     tp = _test_panel(c)
     ids = tp.select("client_id").distinct()
     ev = c.trs.filter(F.col("trs_date") <= F.lit(c.test_snapshot)).join(ids, "client_id", "left_semi")
     pn = tp.agg(money_total("to_full_hist", fixed=False).alias("panel_total"),
-                money_mean("to_full_hist").alias("mean_panel_per_client"),
+                money_mean("to_full_hist", fixed=False).alias("mean_panel_per_client"),
                 F.count(F.lit(1)).alias("n_clients"))
     ev_tot = ev.agg(money_total("spend", fixed=False)).scalar()
     n_ev = ev.agg(F.count(F.lit(1))).scalar()
+    n_with = ev.select("client_id").distinct().agg(F.count(F.lit(1))).scalar().cast("double")
     ratio = F.try_divide(ev_tot, F.when(F.col("panel_total") != 0, F.col("panel_total")))
     return pn.select(
         ev_tot.alias("events_total"), "panel_total", ratio.alias("ratio"),
         F.coalesce(ratio.between(0.5, 2), F.lit(False)).alias("consistent"),
-        (ev_tot / F.col("n_clients").cast("double")).alias("mean_events_per_client_spend"),
+        F.try_divide(ev_tot, n_with).alias("mean_events_per_client_spend"),
         "mean_panel_per_client",
-        (n_ev.cast("double") / F.col("n_clients").cast("double")).alias("mean_events_per_client"))
+        F.try_divide(n_ev.cast("double"), n_with).alias("mean_events_per_client"))
 
 
 @register("granularity_profile", f"""
@@ -260,21 +263,33 @@ def varying_columns(c: Ctx):
 
 
 # ------------------------------------------------------------------ A40-A44
-TRS_CONTRACT = {"client_id": "bigint", "article_id": "bigint", "trs_date": "date",
+TRS_CONTRACT = {"client_id": "string", "article_id": "bigint", "trs_date": "date",
                 "ship_date": "date", "trs_categ": "string", "channel": "string",
                 "wwprice": "double", "spend": "double", "qty": "bigint",
                 "serial_number": "string", "categ": "string", "flag_he": "int"}
 
 
+# contacts carry a numeric appointment id and text dates are expected: two drifted columns
+CRC_CONTRACT = {"client_id": "string", "appointment_id": "string", "creation_date": "date",
+                "origin": "string", "appointment_duration": "double"}
+CCP_CONTRACT = {"client_id": "string", "serial_number": "string", "article_id": "bigint",
+                "creation_date": "date", "sale_date": "date", "flag_gift": "boolean"}
+_CONTRACTS = {"trs": TRS_CONTRACT, "crc": CRC_CONTRACT, "ccp": CCP_CONTRACT}
+_DETECTED = ("CASE typeof(any_value({k})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' "
+             "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof(any_value({k}))) END")
+
+
 @register("schema_check", _u(
-    f"SELECT 'trs' AS table_name, '{k}' AS column_name, '{v}' AS expected_type, "
-    f"'{v}' AS detected_type, true AS type_ok, "
+    f"SELECT '{t}' AS table_name, '{k}' AS column_name, '{v}' AS expected_type, "
+    f"{_DETECTED.format(k=k)} AS detected_type, {_DETECTED.format(k=k)} = '{v}' AS type_ok, "
     f"count(*) FILTER (WHERE {k} IS NULL) AS n_null, "
-    f"{spct(f'count(*) FILTER (WHERE {k} IS NULL)', 'count(*)')} AS pct_null FROM trs"
-    for k, v in TRS_CONTRACT.items()), ("trs",))
+    f"{spct(f'count(*) FILTER (WHERE {k} IS NULL)', 'count(*)')} AS pct_null FROM {t}"
+    for t, contract in _CONTRACTS.items() for k, v in contract.items()), ("trs", "crc", "ccp"))
 def schema_check(c: Ctx):
-    """Two-sided schema diff against a contract plus one null-count pass."""
-    return Q.schema_check(c.trs, "trs", TRS_CONTRACT)
+    """Two-sided schema diff against each table's contract plus one
+    null-count pass a table; the contacts' contract differs from the data in places."""
+    parts = [Q.schema_check(getattr(c, t), t, contract) for t, contract in _CONTRACTS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _TH = (5, 10, 20, 50)
@@ -486,18 +501,20 @@ def target_order_violations(c: Ctx):
 
 @register("top_segment_overlap", f"""
 WITH t AS (SELECT * FROM panel WHERE date_target = {TEST}),
-a AS ({sql_percentiles('t', 'to_full_hist', {'p': 0.999})}),
-b AS ({sql_percentiles('t', 'target_1y', {'p': 0.999})})
+a AS (SELECT quantile_cont(to_full_hist, 0.999) AS p FROM t),
+b AS (SELECT quantile_cont(target_1y, 0.999) AS p FROM t WHERE target_1y > 0)
 SELECT count(*) FILTER (WHERE to_full_hist > (SELECT p FROM a)) AS n_top_history,
   count(*) FILTER (WHERE target_1y > (SELECT p FROM b)) AS n_top_target,
   count(*) FILTER (WHERE to_full_hist > (SELECT p FROM a) AND target_1y > (SELECT p FROM b)) AS n_both,
   count(*) FILTER (WHERE to_full_hist = 0 AND target_1y > 0) AS n_zero_history_positive_target
 FROM t""", ("panel",))
 def top_segment_overlap(c: Ctx):
-    """Clients above p99.9 on history and on target, and their overlap."""
+    """Clients above p99.9 on history and on target (of the positive
+    targets), and their overlap."""
     t = _test_panel(c)
-    ph = D.exact_percentiles(t, "to_full_hist", {"p": 0.999}).agg(F.first("p")).scalar()
-    pt = D.exact_percentiles(t, "target_1y", {"p": 0.999}).agg(F.first("p")).scalar()
+    ph = D.exact_percentiles(t, "to_full_hist", {"p": 0.999}, digits=None).agg(F.first("p")).scalar()
+    pt = D.exact_percentiles(t.filter("target_1y > 0"), "target_1y", {"p": 0.999}, digits=None) \
+        .agg(F.first("p")).scalar()
     a, b = F.col("to_full_hist") > ph, F.col("target_1y") > pt
     return t.agg(count_where(a).alias("n_top_history"), count_where(b).alias("n_top_target"),
                  count_where(a & b).alias("n_both"),

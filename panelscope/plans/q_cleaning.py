@@ -8,8 +8,8 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from panelscope.functions.exprs import fround
 from panelscope.operators import cleaning as CL
+from panelscope.operators import distribution as D
 from panelscope.plans.oracle_views import mm, mt, pct
 from panelscope.plans.registry import Ctx, register
 from panelscope.sources.views import CLIENT_REFERENCE_DATE, PANEL_COLUMNS
@@ -175,8 +175,8 @@ SELECT client_id, date_target,
     AS to_full_hist_clipped
 FROM panel""", ("panel",))
 def clip_values(c: Ctx):
-    """clip at the exact 99th percentile (scalar subquery, no join)."""
-    p99 = c.panel.agg(fround(F.percentile("to_full_hist", 0.99))).scalar()
+    """clip at the exact 99th percentile, read off value ranges."""
+    p99 = D.exact_percentiles(c.panel, "to_full_hist", {"p": 0.99}).agg(F.first("p")).scalar()
     return c.panel.select("client_id", "date_target",
                           CL.clip(F.col("to_full_hist"), hi=p99).alias("to_full_hist_clipped"))
 

@@ -118,7 +118,7 @@ def describe_numeric(c: Ctx):
     from panelscope.functions.exprs import money_mean
     x = F.col("spend")
     src = c.clean_trs.filter(x.isNotNull())
-    m = src.groupBy("channel").agg(F.count(x).alias("count"), money_mean(x).alias("mean"),
+    m = src.groupBy("channel").agg(F.count(x).alias("count"), money_mean(x, fixed=False).alias("mean"),
                                    fround(F.stddev_samp(x)).alias("std"),
                                    F.min(x).alias("min"), F.max(x).alias("max"))
     p = D.exact_percentiles(src, "spend", _DESC, ["channel"])

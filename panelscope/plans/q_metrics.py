@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from panelscope.operators import distribution as D
 from panelscope.operators import metrics as M
 from panelscope.plans.registry import Ctx, register
-from panelscope.sources.tables import table_row_counts
+from panelscope.sources.tables import SCHEMAS, table_row_counts
 
 TEST = "DATE '2000-01-01'"
 
@@ -231,7 +231,7 @@ def seeded_sample(c: Ctx):
 
 @register("scan_typed_tables", "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")))
+    for t in SCHEMAS))
 def scan_typed_tables(c: Ctx):
     """Typed scans of every input table (schema enforced at read)."""
     return table_row_counts(c.spark, c.sf_dir)
