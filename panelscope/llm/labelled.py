@@ -12,7 +12,7 @@ from panelscope.llm.layout import id_remainder
 HOLD_OUT_MODULUS = 3
 HOLD_OUT_REMAINDER = 1
 #: At most this many labelled rows are fitted on, chosen by a hash of the id.
-MAX_FIT_ROWS = 12_000
+MAX_FIT_ROWS = 6_000
 
 
 def is_held_out():

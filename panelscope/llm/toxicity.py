@@ -68,7 +68,7 @@ def bags_of(texts, powers: Powers) -> Bags:
     n = len(words.doc)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Bags(np.zeros((0, FEATURES), np.int64), none, none, none, none)
+        return Bags(np.zeros((0, FEATURES), np.int32), none, none, none, none)
     start, end = words.start.copy(), words.end.copy()
     for _ in range(3):
         end -= trim[buf[end - 1]] & (end - start > 1)
@@ -77,7 +77,7 @@ def bags_of(texts, powers: Powers) -> Bags:
     for k, cap in enumerate((None, *PREFIX_BYTES)):
         stop = end if cap is None else np.minimum(end, start + cap)
         h = range_hash(words.prefix, start, stop, powers) ^ np.uint64(k * 0x1E3779B97F4A7C15)
-        columns.append(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        columns.append(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
     last = np.isin(buf[words.end - 1], np.frombuffer(b".!?", np.uint8))
     lines = np.concatenate([[0], np.cumsum(buf == 10)])
     new = np.ones(n, bool)
@@ -112,29 +112,30 @@ class Model:
     bias: float
 
 
-def _document_counts(parts: list[Bags]) -> np.ndarray:
-    """In how many documents each feature occurs."""
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for b in parts:
-        if not len(b.first_word):
-            continue
-        doc = np.repeat(b.doc, np.diff(np.append(b.first_word, len(b.features))))
-        pairs = np.unique((doc[:, None] << BUCKET_BITS | b.features).ravel())
-        np.add.at(counts, pairs & ((1 << BUCKET_BITS) - 1), 1)
-    return counts
+def _document_features(b: Bags) -> np.ndarray:
+    """Each feature once for every document that it occurs in."""
+    doc = np.repeat(b.doc, np.diff(np.append(b.first_word, len(b.features))))
+    pairs = np.unique((doc[:, None].astype(np.int64) << BUCKET_BITS | b.features).ravel())
+    return pairs & ((1 << BUCKET_BITS) - 1)
 
 
 def fit(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Adagrad on the documents' log loss, in a fixed order: ``epochs`` with a
-    lasso penalty, then as many with the features of positive weight alone."""
+    lasso penalty, then as many with the features of positive weight alone.
+    Memory is four 32-bit features a word of the (bounded) sample."""
     powers, parts = Powers(), []
+    counts = np.zeros(1 << BUCKET_BITS, np.int32)
     for t in text_slices(texts, 1 << 18):
-        parts.append((bags_of(t, powers), y[t.lo:t.hi]))
-    common = np.flatnonzero(_document_counts([bags for bags, _ in parts]) >= MIN_DOCS)
+        bags = bags_of(t, powers)
+        if len(bags.first_word):
+            np.add.at(counts, _document_features(bags), 1)
+            parts.append((bags, y[t.lo:t.hi]))
+    common = np.flatnonzero(counts >= MIN_DOCS)
     number = np.full(1 << BUCKET_BITS, len(common), np.int32)  # the last one: a weight that stays 0
     number[common] = np.arange(len(common), dtype=np.int32)
-    parts = [(Bags(number[bags.features], bags.first_word, bags.doc, bags.start, bags.end), label)
-             for bags, label in parts if len(bags.first_word)]
+    for bags, _ in parts:
+        bags.features = number[bags.features]
+    del counts, number
     weights, square = np.zeros(len(common) + 1), np.full(len(common) + 1, FIRST_SQUARE)
     bias, bias_square = FIRST_BIAS, FIRST_SQUARE
     for epoch in range(2 * epochs):
