@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope import constants as K
+from panelscope.functions.exprs import ColumnOrName, col
 from panelscope.functions.ranking import ordered_blocks
 from panelscope.operators.distribution import exact_percentiles
 
@@ -108,30 +108,42 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, weight: str
     return asm, lr.fit(asm.transform(train))
 
 
-def fit_regressor(train_pos: DataFrame, features: list[str], label: str,
-                  validation_col: str | None = None, max_iter: int = 50, seed: int = K.SAMPLE_SEED):
+def fit_regressor(train_pos: DataFrame, features: list[str], label: str, validation: Column,
+                  max_rounds: int = 500, patience: int = 20, first_rounds: int = 32,
+                  seed: int = K.SAMPLE_SEED):
     """M6: boosted trees on the positives' log target (depth 6, step .05,
-    row / feature sampling .8, min 10 rows per leaf). Early stopping uses a
-    validation flag inside the TRAIN rows (the last train snapshot), never
-    the test rows."""
+    row / feature sampling .8, min 10 rows per leaf).
+
+    The number of trees is chosen inside the TRAIN rows: a model of the rows
+    outside ``validation`` is evaluated on it after every round, and rounds go
+    on (doubling, up to ``max_rounds``) until none of the last ``patience`` was
+    better. The model is then fitted on all positives with that many trees.
+    Without rows on either side ``first_rounds`` trees are fitted."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    kw = dict(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=K.TREES_MAX_DEPTH,
-              stepSize=K.TREES_STEP, subsamplingRate=K.TREES_SUBSAMPLE,
-              featureSubsetStrategy=str(K.TREES_SUBSAMPLE), minInstancesPerNode=K.TREES_MIN_CHILD,
-              seed=seed)
-    if validation_col:
-        kw["validationIndicatorCol"] = validation_col
-    return asm, GBTRegressor(**kw).fit(asm.transform(train_pos))
-
-
-def score_two_part(df: DataFrame, clf, clf_asm, reg, reg_asm) -> DataFrame:
-    """M7: probability of spending x expm1(predicted log spend), every row."""
-    p = clf.transform(clf_asm.transform(df)).select(
-        *df.columns, vector_to_array("probability")[1].alias("p_spend"))
-    p = p.drop("features") if "features" in p.columns else p
-    r = reg.transform(reg_asm.transform(p)).withColumnRenamed("prediction", "pred_log")
-    return r.select(*p.columns, "pred_log",
-                    (F.col("p_spend") * F.expm1(F.col("pred_log"))).alias("pred_spend"))
+    rows = asm.transform(train_pos.withColumn("_validation", validation))
+
+    def boosted(part: DataFrame, rounds: int):
+        return GBTRegressor(
+            featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=K.TREES_MAX_DEPTH,
+            stepSize=K.TREES_STEP, subsamplingRate=K.TREES_SUBSAMPLE,
+            featureSubsetStrategy=str(K.TREES_SUBSAMPLE), minInstancesPerNode=K.TREES_MIN_CHILD,
+            seed=seed).fit(part)
+
+    inside, outside = rows.filter("_validation"), rows.filter("NOT _validation")
+    rounds = best = first_rounds
+    if not (inside.isEmpty() or outside.isEmpty()):
+        while True:
+            losses = boosted(outside, rounds).evaluateEachIteration(inside, "squared")
+            best = 1 + min(range(len(losses)), key=losses.__getitem__)
+            if best + patience <= rounds or rounds >= max_rounds:
+                break
+            rounds = min(2 * rounds, max_rounds)
+    return asm, boosted(rows, best)
+
+
+def combined_spend(p_spend: ColumnOrName, pred_log: ColumnOrName) -> Column:
+    """M7: probability of spending x expm1(predicted log spend)."""
+    return col(p_spend) * F.expm1(col(pred_log))
 
 
 def feature_importance(spark, clf, reg, lin_features: list[str], tree_features: list[str]) -> DataFrame:

@@ -143,9 +143,8 @@ def _models(c: Ctx):
     lin_train = ML.with_weights(lin_train, w, "target_1m_bin")
     clf_asm, clf = ML.fit_logistic(lin_train.select(*LINEAR_FEATURES, "target_1m_bin", "weight"),
                                    LINEAR_FEATURES, "target_1m_bin")
-    pos = train_i.filter(F.col("target_1m_bin") == 1).select(
-        *TREE_FEATURES, "target_1m_log", (F.col("date_target") == F.lit(LAST_TRAIN)).alias("_val"))
-    reg_asm, reg = ML.fit_regressor(pos, TREE_FEATURES, "target_1m_log", "_val", max_iter=30)
+    pos = train_i.filter(F.col("target_1m_bin") == 1).select(*TREE_FEATURES, "target_1m_log", "date_target")
+    reg_asm, reg = ML.fit_regressor(pos, TREE_FEATURES, "target_1m_log", F.col("date_target") == F.lit(LAST_TRAIN))
     c._cache["models"] = (stats, clf_asm, clf, reg_asm, reg)
     return c._cache["models"]
 
@@ -160,7 +159,7 @@ def _scored_test(c: Ctx) -> DataFrame:
     r = reg.transform(reg_asm.transform(base)).select("client_id", "date_target", "target_1m",
                                                       F.col("prediction").alias("pred_log"))
     out = r.join(p, "client_id")
-    return out.select("*", (F.col("p_spend") * F.expm1("pred_log")).alias("pred_spend"))
+    return out.select("*", ML.combined_spend("p_spend", "pred_log").alias("pred_spend"))
 
 
 @register("fit_logistic")
@@ -182,6 +181,15 @@ def score_two_part(c: Ctx):
                                   F.col("target_1m").alias("actual"))
 
 
+@register("score_two_part_given", """
+SELECT client_id, round(score / (1 + score) * (exp(ln(1 + score)) - 1), 4) AS pred_spend
+FROM scored""", ("scored",))
+def score_two_part_given(c: Ctx):
+    """M7 on given parts: the stand-in score as odds and as spend."""
+    p, log = F.col("score") / (1 + F.col("score")), F.log1p("score")
+    return c.scored.select("client_id", F.round(ML.combined_spend(p, log), 4).alias("pred_spend"))
+
+
 @register("feature_importance")
 def feature_importance(c: Ctx):
     """|coefficients| and tree importances (model metadata)."""

@@ -110,3 +110,24 @@ def test_grouped_percentiles_histogram_and_pr_curve(spark):
     pts = M.pr_curve(sc).collect()
     assert all(0 <= p["precision"] <= 1 and 0 <= p["recall"] <= 1 for p in pts)
     assert max(p["recall"] for p in pts) == 1.0
+
+
+def test_spend_model_uses_all_positives_and_several_trees(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from panelscope.operators.model import fit_regressor
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        x, y = rnd.random(), rnd.random()
+        rows.append((x, y, math.log1p(50 * x + 10 * y) + rnd.gauss(0, 0.05), i % 4 == 0))
+    df = spark.createDataFrame(rows, "x double, y double, t double, last boolean")
+    asm, model = fit_regressor(df, ["x", "y"], "t", F.col("last"), max_rounds=16, patience=3, first_rounds=8)
+    assert 1 < model.getNumTrees <= 16
+    err = model.transform(asm.transform(df)).select(F.avg(F.pow(F.col("prediction") - F.col("t"), 2))).first()[0]
+    spread = df.select(F.var_pop("t")).first()[0]
+    assert err < spread
