@@ -21,7 +21,7 @@ def test_money_sum_matches_decimal_path(spark):
     df = spark.createDataFrame(vals, "x double")
     fast, exact = df.agg(money_sum("x"), money_sum("x", fixed=False)).first()
     assert fast == exact == 12344.47
-    m_fast, m_exact = df.agg(money_mean("x"), money_mean("x", fixed=False)).first()
+    m_fast, m_exact = df.agg(money_mean("x", fixed=True), money_mean("x", fixed=False)).first()
     assert m_fast == m_exact
     empty = df.filter("x IS NULL").agg(money_sum("x"), money_total("x")).first()
     assert empty[0] is None and empty[1] == 0.0
@@ -97,3 +97,8 @@ def test_top_cut_with_string_tiebreak(spark):
     assert (got["n_top"], got["w"]) == (30, sum(r[2] for r in best))
     ids = sorted(r["client_id"] for r in top_rows(df, "v", "client_id", F.lit(30)).collect())
     assert ids == sorted(r[0] for r in best)
+
+
+def test_mean_of_large_amounts_does_not_overflow(spark):
+    df = spark.range(10).select(F.lit(1e14).alias("x"))
+    assert df.agg(money_mean("x", fixed=False)).first()[0] == 1e14
