@@ -13,6 +13,7 @@ from panelscope.llm.exact_dedup import exact_groups
 from panelscope.llm.near_dedup import near_groups
 from panelscope.llm.packing import pack_documents
 from panelscope.llm.quality_model import quality
+from panelscope.llm import quality_rules as rules
 from panelscope.llm.quality_rules import quality_rules
 from panelscope.llm.sharding import shard_documents
 from panelscope.llm.suffix_dedup import without_repeats
@@ -75,7 +76,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _any(condition: str, values: tuple[str, ...]) -> str:
+    quoted = (v.replace("'", "''") for v in values)
+    return "(" + " OR ".join(condition.format(f"'{v}'") for v in quoted) + ")"
+
+
+_RULES = f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+             l AS (SELECT doc_id, line, {_WORDS.format("line")} AS lw
+                   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+             judged AS (
+                SELECT doc_id, line, len(lw) AS n,
+                       len(list_filter(lw, lambda x: {_any("x = {}", rules.SEPARATORS)})) AS sep,
+                       len(list_filter(lw, lambda x: regexp_matches(x, '[{rules.SYMBOLS}]'))) AS sym,
+                       len(list_filter(lw, lambda x: ends_with(x, '!!'))) AS shout,
+                       len(list_filter(lw, lambda x: {_any("ends_with(x, {})", rules.TERMINAL)})) AS stops,
+                       {_any("contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {})",
+                             rules.BOILERPLATE)} AS phrase
+                FROM l WHERE len(lw) > 0),
+             lines AS (
+                SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN stops = 0 OR phrase
+                       OR (sep >= {rules.MIN_SEPARATORS} AND 100 * sep >= {rules.MIN_SEPARATOR_PCT} * n)
+                       OR 100 * sym > {rules.MAX_SYMBOL_PCT} * n OR 100 * shout > {rules.MAX_SHOUT_PCT} * n
+                       THEN n ELSE 0 END) AS lost
+                FROM judged GROUP BY doc_id),
+             windows AS (
+                SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS v
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+             covered AS (
+                SELECT doc_id, count(DISTINCT k) AS c
+                FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k
+                      FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS times FROM windows)
+                      WHERE times > 1)
+                GROUP BY doc_id),
+             counted AS (
+                SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+                       CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                       CAST(length(regexp_replace(t, '[^{rules.SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+                       CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words,
+                       CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words
+                FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+             based AS (
+                SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PCT} * n_words
+                       AS base_failed FROM counted)
+        SELECT *, NOT base_failed AND 100 * n_lost_words <= {rules.MAX_LOST_PCT} * n_words AS kept FROM based"""
+
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": _RULES,
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size
