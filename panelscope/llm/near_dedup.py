@@ -15,11 +15,11 @@ many such shingles leave, and each bucket compares its members with a pivot,
 the member with the smallest unique share. Where members are left outside their
 bucket's main component, an exact prefix join completes the links: with shingles
 ordered by frequency, two sets over the threshold share a shingle among the
-first 15 % of each, at positions that leave enough behind them. Only links that
-join components matter to the result.
+first ``100 - threshold_pct`` % of each, at positions that leave enough behind them.
+Only links that join components matter to the result.
 
 With 32 bands of 4 registers a pair at the threshold is missed with
-probability of about 1e-10; the estimate rejects only beyond 6 standard errors.
+probability of about 6e-11 at 85 % and 5e-8 at 80 %; the estimate rejects only beyond 6 standard errors.
 
 Defined results: a text without words has an empty set, no links and itself as
 component; with 1-4 words the whole sequence is its one shingle; null texts
@@ -45,6 +45,7 @@ REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA_BITS = 10
 BAND_ROWS = 4
+#: Least Jaccard similarity of a link, unless the caller gives another.
 THRESHOLD_PCT = 85
 STANDARD_ERRORS = 6.0
 
@@ -148,14 +149,14 @@ def collision_rates() -> np.ndarray:
 
 
 def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
-              rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+              rates: np.ndarray, threshold_pct: int = THRESHOLD_PCT) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimate from unborrowed registers, and its
     standard error at the threshold."""
     used = ((a > 0) | (b > 0)).sum(axis=1)
     equal = ((a == b) & (a > 0)).sum(axis=1)
     c = np.interp(np.log2(np.sqrt(n_a.astype(float) * n_b)), np.arange(len(rates)), rates)
     j = (equal / np.maximum(used, 1) - c) / (1 - c)
-    t = THRESHOLD_PCT / 100
+    t = threshold_pct / 100
     return j, np.sqrt(t * (1 - t) / np.maximum(used, 1))
 
 
@@ -236,12 +237,12 @@ def _id_type(df: DataFrame, name: str = "doc_id") -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def can_link(n_a: Column, n_b: Column, most: Column) -> Column:
+def can_link(n_a: Column, n_b: Column, most: Column, threshold_pct: int) -> Column:
     """Whether an intersection of at most ``most`` can reach the threshold."""
-    return F.lit(100) * most >= F.lit(THRESHOLD_PCT) * (n_a + n_b - most)
+    return F.lit(100) * most >= F.lit(threshold_pct) * (n_a + n_b - most)
 
 
-def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, among those that
     the estimate leaves possible."""
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +253,8 @@ def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
                     for c in ("regs_a", "regs_b"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            j, error = estimated(a, b, n_a, n_b, rates)
-            likely = pa.array(j + STANDARD_ERRORS * error >= THRESHOLD_PCT / 100)
+            j, error = estimated(a, b, n_a, n_b, rates, threshold_pct)
+            likely = pa.array(j + STANDARD_ERRORS * error >= threshold_pct / 100)
             yield batch.select(["a", "b"]).filter(likely)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +263,7 @@ def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= THRESHOLD_PCT * (len(x) + len(y) - both))
+                linked.append(both > 0 and 100 * both >= threshold_pct * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     kind = _id_type(pairs, "a")
@@ -303,8 +304,9 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
-def near_groups(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def near_groups(documents: DataFrame, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; texts are linked from
+    a Jaccard similarity of ``threshold_pct`` % on."""
     rows = cut(sketches(documents))
     key = ["set_a", "set_b", "n"]
     classes = rows.groupBy(*key).agg(F.min("doc_id").alias("cls"))
@@ -324,13 +326,13 @@ def near_groups(documents: DataFrame) -> DataFrame:
                .dropDuplicates(["cls"]))
     nodes = cut(heads.dropDuplicates(["cls"]).join(candidates, "cls", "left_semi").drop("bands")
                 .join(unique_counts(sets), "cls", "left").fillna(0, ["u"])
-                .filter(F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(THRESHOLD_PCT) * F.col("n"))
+                .filter(F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(threshold_pct) * F.col("n"))
                 .withColumn("most", F.col("n") - F.col("u")))
     live = cut(in_band.join(nodes.select("cls", "n", "u", "most"), "cls"))
 
-    stars = roots(links(_stars(live), nodes, sets))
-    pairs = _leftovers(_mixed(live, stars), sets)
-    comps = components(links(pairs, nodes, sets).unionByName(
+    stars = roots(links(_stars(live, threshold_pct), nodes, sets, threshold_pct))
+    pairs = _leftovers(_mixed(live, stars), sets, threshold_pct)
+    comps = components(links(pairs, nodes, sets, threshold_pct).unionByName(
         stars.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     found = members.join(comps, members["cls"] == comps["node"], "left")
@@ -360,21 +362,21 @@ def _mixed(live: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(join_dealt(here, mixed, ["band"], "left_semi"))
 
 
-def _stars(live: DataFrame) -> DataFrame:
+def _stars(live: DataFrame, threshold_pct: int) -> DataFrame:
     """(a, b): each class a with the pivot b that it shares most buckets with.
     A bucket's pivot is its first member by (unique share, id), so that chains
     of pairs end."""
     pivots = live.groupBy("band").agg(F.min(F.struct(
         (F.col("u") / F.col("n")).alias("share"), "cls", "n", "most")).alias("p"))
     offers = join_dealt(live, pivots, ["band"]).filter(F.col("cls") != F.col("p.cls")) \
-        .filter(can_link(F.col("n"), F.col("p.n"), F.least("most", F.col("p.most"))))
+        .filter(can_link(F.col("n"), F.col("p.n"), F.least("most", F.col("p.most")), threshold_pct))
     counted = offers.groupBy("cls", F.col("p.share").alias("share"), F.col("p.cls").alias("pivot")) \
         .agg(F.count(F.lit(1)).alias("c"))
     return counted.groupBy("cls").agg(F.min(F.struct((-F.col("c")).alias("c"), "share", "pivot")).alias("best")) \
         .select(F.col("cls").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def _leftovers(here: DataFrame, sets: DataFrame) -> DataFrame:
+def _leftovers(here: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
     """Pairs of a class outside the largest component of one of its buckets
     and a class of another component, by a prefix join over frequency-ordered
     shingles. Where ``rank`` counts a shingle's position (those that nobody
@@ -393,11 +395,11 @@ def _leftovers(here: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = rows.withColumn("at", F.row_number().over(by_df)) \
         .withColumn("common", F.count(F.lit(1)).over(whole)).join(nodes, "cls") \
         .withColumn("rank", F.col("n") - F.col("common") + F.col("at")) \
-        .filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD_PCT) / F.lit(100)) + 1)
+        .filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold_pct) / F.lit(100)) + 1)
     prefix = cut(prefix.select("shingle", "cls", "n", "comp", "outside", "rank"))
     x = prefix.filter("outside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "comp", "rank")])
     y = prefix.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "comp", "rank", "outside")])
     left = F.lit(1) + F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank"))
     return x.join(y, "shingle").filter("x_comp != y_comp and (not y_outside or x_cls < y_cls)") \
-        .filter(can_link(F.col("x_n"), F.col("y_n"), F.least(left, "x_n", "y_n"))) \
+        .filter(can_link(F.col("x_n"), F.col("y_n"), F.least(left, "x_n", "y_n"), threshold_pct)) \
         .select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()

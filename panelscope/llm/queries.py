@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelscope.llm import context_mixing
 from panelscope.llm.bpe import round_trip
 from panelscope.llm.exact_dedup import exact_groups
-from panelscope.llm.near_dedup import near_groups
+from panelscope.llm.near_dedup import THRESHOLD_PCT, near_groups
 from panelscope.llm.packing import pack_documents
 from panelscope.llm.quality_model import quality
 from panelscope.llm import quality_rules as rules
@@ -57,7 +57,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(_documents(spark, sf_dir))
+    return near_groups(_documents(spark, sf_dir), THRESHOLD_PCT)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

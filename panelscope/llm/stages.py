@@ -16,6 +16,9 @@ from panelscope.llm.packing import pack_documents
 from panelscope.llm.suffix_dedup import rewritten
 from panelscope.llm.toxicity import clean_rows
 
+#: Least similarity of near-duplicates in the pipeline (op8_minhash has 85).
+NEAR_THRESHOLD_PCT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the model, fitted on the labelled rows among ``docs``, doesn't reject."""
@@ -29,7 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id."""
-    kept = near_groups(docs).filter("kept").select("doc_id").distinct()
+    kept = near_groups(docs, NEAR_THRESHOLD_PCT).filter("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
