@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelscope.llm import context_mixing
 from panelscope.llm.bpe import round_trip
+from panelscope.llm.centroid_clustering import CLUSTERS, ROUNDS, clustered
 from panelscope.llm.exact_dedup import exact_groups
+from panelscope.llm.hard_negatives import mined
 from panelscope.llm.near_dedup import THRESHOLD_PCT, near_groups
 from panelscope.llm.packing import pack_documents
 from panelscope.llm.quality_model import quality
@@ -17,6 +19,7 @@ from panelscope.llm import quality_rules as rules
 from panelscope.llm.quality_rules import quality_rules
 from panelscope.llm.sharding import shard_documents
 from panelscope.llm.suffix_dedup import without_repeats
+from panelscope.llm.token_counts import token_counts
 from panelscope.llm.toxicity import toxicity
 
 
@@ -24,6 +27,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -68,10 +75,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(_embeddings(spark, sf_dir))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(_embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_quality_rules, op3_lm_scoring, op4_bpe, op5_suffix_array,
-        op6_exact_dedup, op7_packing, op8_minhash, op9_sharding, op10_quality)
+        op6_exact_dedup, op7_packing, op8_minhash, op9_sharding, op10_quality,
+        op11_token_counts, op12_hard_negatives, op13_centroid_clustering)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,7 +144,62 @@ _RULES = f"""
                        AS base_failed FROM counted)
         SELECT *, NOT base_failed AND 100 * n_lost_words <= {rules.MAX_LOST_PCT} * n_words AS kept FROM based"""
 
+_INTEGERS = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_NEGATIVES = f"""
+        WITH v AS MATERIALIZED (
+                SELECT row_number() OVER () AS r, vec_id, {_INTEGERS} AS e,
+                       CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+                FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+             s AS MATERIALIZED (
+                SELECT a.r AS ar, a.vec_id AS anchor_id, v.r, v.vec_id, a.label = v.label AS alike,
+                       CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+                FROM v AS a JOIN v ON a.r <> v.r WHERE a.vec_id % 50 = 0),
+             p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS k FROM s WHERE alike),
+             n AS (
+                SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+                       s.score AS negative_score,
+                       row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id) AS k
+                FROM p JOIN s ON p.ar = s.ar WHERE p.k <= 5 AND NOT s.alike
+                 AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE k <= 3"""
+
+
+def _clusters() -> str:
+    """Every round as two CTEs: the assignment and the centroids that follow."""
+    parts = [f"""v AS MATERIALIZED (
+                SELECT row_number() OVER () AS r, vec_id, {_INTEGERS} AS e FROM embeddings
+                WHERE len(embedding) = 64 AND {_FINITE})""",
+             f"""c0 AS MATERIALIZED (
+                SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e AS c
+                FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, e FROM v
+                      ORDER BY h, e LIMIT {CLUSTERS}))"""]
+    for n in range(ROUNDS + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (
+                SELECT r, min(d).k AS k, min(d).d AS d
+                FROM (SELECT r, {{'d': CAST(list_dot_product(e, e) - 2 * list_dot_product(e, c)
+                      + list_dot_product(c, c) AS BIGINT), 'k': k}} AS d FROM v, c{n}) GROUP BY r)""")
+        if n < ROUNDS:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (
+                SELECT k, coalesce(m, c) AS c FROM c{n} LEFT JOIN (
+                    SELECT k, list(f ORDER BY i) AS m FROM (
+                        SELECT k, i, floor(sum(x) / count(*)) AS f
+                        FROM (SELECT k, unnest(e) AS x, unnest(range(64)) AS i FROM v JOIN a{n} USING (r))
+                        GROUP BY k, i) GROUP BY k) USING (k))""")
+    return "WITH " + ",\n             ".join(parts) + f"""
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance,
+               CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','))
+                   AS centroid_sha256
+        FROM v JOIN a{ROUNDS} USING (r) JOIN c{ROUNDS} USING (k)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": _NEGATIVES,
+    "op13_centroid_clustering": _clusters(),
     "op2_quality_rules": _RULES,
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents),
