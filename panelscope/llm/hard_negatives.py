@@ -58,10 +58,12 @@ MAX_CELLS = 256
 SAMPLE_ROWS = 4_096
 LEAF_ROWS = 32
 MAX_CHILDREN = 64
-#: Rows scored at once in a descent.
+#: Anchors that descend together, and points scored at once.
+BATCH_ANCHORS = 64
 STEP_ROWS = 512
 
 _NO_ID = np.iinfo(np.int64).max
+_NONE = -_NO_ID  # no score; scores are above this
 _ROWS = "block int, row long, id long, label long, vec array<double>"
 _INDEX = _ROWS + ", node int, parent int, radius double, least double"
 
@@ -105,11 +107,11 @@ def widened(x: np.ndarray, dims: int) -> np.ndarray:
 
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of ``x`` with ``q``, as long."""
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q)) < 2.0 ** 53:
-        return (x @ q).astype(np.int64)
-    whole = [int(v) for v in q]
-    return np.array([sum(int(a) * b for a, b in zip(row, whole)) for row in x], dtype=np.int64)
+    """Exact inner products of the rows of ``q`` with those of ``x``, as long."""
+    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, q.shape[1]) < 2.0 ** 53:
+        return (q @ x.T).astype(np.int64)
+    a, b = ([[int(v) for v in row] for row in m] for m in (q, x))
+    return np.array([[sum(map(int.__mul__, u, v)) for v in b] for u in a], dtype=np.int64).reshape(len(a), len(b))
 
 
 def norms(x: np.ndarray) -> np.ndarray:
@@ -226,71 +228,84 @@ def _block(table: pa.Table, dims: int = 0) -> Block:
         nodes.column("parent").to_numpy(), nodes.column("radius").to_numpy(), leaves, np.append(edge, len(leaf)))
 
 
-def _steps(block: Block, order: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """Points of the leaves in this order, about ``STEP_ROWS`` at once, with
-    the place in the order that follows."""
-    sizes = (block.edge[1:] - block.edge[:-1])[order]
-    at = 0
-    done = np.cumsum(sizes)
-    while at < len(order):
-        to = int(np.searchsorted(done, (done[at - 1] if at else 0) + STEP_ROWS)) + 1
-        part = order[at:to]
-        yield np.concatenate([np.arange(block.edge[k], block.edge[k + 1]) for k in part]), min(to, len(order))
-        at = to
-
-
-def _best(score: np.ndarray, id_: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` first by (score descending, id)."""
-    if len(score) > 4 * k:  # all that can be among them, ties included
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        some = np.flatnonzero(score >= edge)
-        return some[np.lexsort((id_[some], -score[some]))[:k]]
-    return np.lexsort((id_, -score))[:k]
-
-
-def positives_in(block: Block, row: int, label: int, q: np.ndarray, high: np.ndarray, least: float,
-                 k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the first ``k`` other points of this label, but for
-    those below ``least``."""
-    order = np.argsort(-high, kind="stable")
-    score, id_ = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = order[high[order] >= least]
-    for rows, then in _steps(block, order):
-        rows = rows[(block.label[rows] == label) & (block.row[rows] != row)]
-        if len(rows):
-            score = np.concatenate([score, scores(block.x[rows], q)])
-            id_ = np.concatenate([id_, block.id[rows]])
-            first = _best(score, id_, k)
-            score, id_ = score[first], id_[first]
-        if len(score) == k and then < len(order) and high[order[then]] < score[-1]:
-            break
+@dataclass
+class Asked:
+    """Searches of some anchors: the first points by score within a window
+    each, an anchor having one or more of them."""
+    row: np.ndarray      # of each anchor
+    label: np.ndarray
+    q: np.ndarray
+    anchor: np.ndarray   # of each search
+    least: np.ndarray
+    most: np.ndarray
+    alike: bool          # points of the anchor's label, or of others
+
+    def batches(self, block: Block) -> Iterator[tuple[Asked, np.ndarray]]:
+        """Searches of at most ``BATCH_ANCHORS`` anchors that lie near the same
+        leaf, with their numbers."""
+        near = (self.q @ block.centre[block.leaves].T).argmax(1)
+        order = np.argsort(near, kind="stable")
+        for at in range(0, len(order), BATCH_ANCHORS):
+            part = order[at:at + BATCH_ANCHORS]
+            place = np.full(len(self.q), -1)
+            place[part] = np.arange(len(part))
+            own = np.flatnonzero(place[self.anchor] >= 0)
+            yield Asked(self.row[part], self.label[part], self.q[part], place[self.anchor[own]], self.least[own],
+                        self.most[own], self.alike), own
+
+
+def descended(block: Block, asked: Asked, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Search, score and id of the first ``k`` points of each search, by
+    (score descending, id)."""
+    out = []
+    for part, number in asked.batches(block):
+        score, id_ = _best_first(block, part, k)
+        search, place = np.nonzero(score != _NONE)
+        out.append((number[search], score[search, place], id_[search, place]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _best_first(block: Block, asked: Asked, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves in the order of their upper bounds, about ``STEP_ROWS`` points at
+    once; a leaf outside all windows, which rise as points are found, is skipped."""
+    n = len(asked.anchor)
+    score, id_ = np.full((n, k), _NONE), np.full((n, k), _NO_ID)
+    floor = asked.least.copy()
+    low, high = block.leaf_bounds(asked.q)
+    low, high = low[asked.anchor], high[asked.anchor]
+
+    def useful(leaves: np.ndarray) -> np.ndarray:
+        return ((high[:, leaves] >= floor[:, None]) & (low[:, leaves] <= asked.most[:, None])).any(0)
+
+    order = np.flatnonzero(useful(np.arange(len(block.leaves))))
+    order = order[np.argsort(-high[:, order].max(0), kind="stable")]
+    sizes = np.diff(block.edge)
+    while len(order):
+        to = int(np.searchsorted(np.cumsum(sizes[order]), STEP_ROWS)) + 1
+        part, order = order[:to], order[to:]
+        rows = np.concatenate([np.arange(block.edge[i], block.edge[i + 1]) for i in part])
+        found = scores(block.x[rows], asked.q)
+        other = block.label[rows][None, :] != asked.label[:, None]
+        allowed = ~other & (block.row[rows][None, :] != asked.row[:, None]) if asked.alike else other
+        found = np.where(allowed, found, _NONE)[asked.anchor]
+        search, at = np.nonzero((found >= floor[:, None]) & (found <= asked.most[:, None]) & (found != _NONE))
+        if len(search):
+            # the k first of what was there and what is new; every search has k entries already
+            who = np.concatenate([search, np.repeat(np.arange(n), k)])
+            s = np.concatenate([found[search, at], score.ravel()])
+            i = np.concatenate([block.id[rows[at]], id_.ravel()])
+            by = np.lexsort((i, -s, who))
+            first = np.searchsorted(who[by], np.arange(n))[:, None] + np.arange(k)[None, :]
+            score, id_ = s[by][first], i[by][first]
+            floor = np.maximum(floor, score[:, -1])
+        order = order[useful(order)]
     return score, id_
 
 
-def negatives_in(block: Block, label: int, q: np.ndarray, low: np.ndarray, high: np.ndarray,
-                 windows: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each window (least, largest score): scores and ids of its first
-    ``k`` points of other labels."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
-    floor = windows[:, 0].astype(np.float64)
-    useful = ((high[:, None] >= floor[None, :]) & (low[:, None] <= windows[None, :, 1])).any(1)
-    order = np.flatnonzero(useful)
-    order = order[np.argsort(-high[order], kind="stable")]
-    for rows, then in _steps(block, order):
-        rows = rows[block.label[rows] != label]
-        score, id_ = scores(block.x[rows], q), block.id[rows]
-        for w, (a, b) in enumerate(windows):
-            inside = (score >= floor[w]) & (score <= b)
-            if inside.any():
-                s = np.concatenate([found[w][0], score[inside]])
-                i = np.concatenate([found[w][1], id_[inside]])
-                first = _best(s, i, k)
-                found[w] = s[first], i[first]
-                if len(first) == k:
-                    floor[w] = max(floor[w], s[first[-1]])
-        if then < len(order) and high[order[then]] < floor.min():
-            break
-    return found
+def _for_positives(row: np.ndarray, label: np.ndarray, q: np.ndarray, least: np.ndarray) -> Asked:
+    """One search an anchor among its label, for scores of ``least`` (if known) at least."""
+    floor = np.where(np.isnan(least), float(_NONE // 2), least).astype(np.int64)
+    return Asked(row, label, q, np.arange(len(q)), floor, np.full(len(q), _NO_ID), True)
 
 
 # --- Spark steps --------------------------------------------------------------------
@@ -347,12 +362,10 @@ def index(placed: DataFrame, positives: int = POSITIVES, anchor_every: int = ANC
                     tree.parent, tree.radius, leaves, np.append(edge, len(order)))
         least = np.full(len(x), np.nan)
         asked = np.flatnonzero((id_ % anchor_every == 0) & (id_ != _NO_ID))
-        for part in np.split(asked, range(256, len(asked), 256)):
-            _, high = own.leaf_bounds(x[part])
-            for i, h in zip(part, high):
-                got, _ = positives_in(own, row[i], label[i], x[i], h, -np.inf, positives)
-                if len(got) == positives:
-                    least[i] = float(got[-1])
+        search, score, _ = descended(own, _for_positives(row[asked], label[asked], x[asked], least[asked]), positives)
+        full, last = np.bincount(search, minlength=len(asked)) == positives, np.full(len(asked), _NO_ID)
+        np.minimum.at(last, search, score)
+        least[asked[full]] = last[full]
         m, block = len(tree.parent), table.column("block")[0].as_py()
         vec = table.column("vec").combine_chunks()
         empty = lambda kind: pa.nulls(m, kind)
@@ -391,21 +404,15 @@ def mined(embeddings: DataFrame, positives: int = POSITIVES, negatives: int = NE
         F.col("row").alias("anchor"), F.col("id").alias("anchor_id"), "label", "vec", "least")
 
     def find_positives(block: pa.Table, asked: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        search, score, id_ = (np.zeros(0, np.int64),) * 3
+        row = asked.column("anchor").to_numpy()
         if len(block) and len(asked):
             q = matrix(asked.column("vec"))
             b = _block(block, q.shape[1])
-            q = widened(q, b.x.shape[1])
-            _, high = b.leaf_bounds(q)
-            least = asked.column("least").to_numpy()
-            for i, (row, label) in enumerate(zip(asked.column("anchor").to_pylist(), asked.column("label").to_pylist())):
-                s, id_ = positives_in(b, row, label, q[i], high[i],
-                                      -np.inf if np.isnan(least[i]) else least[i], positives)
-                out[0] += [row] * len(s)
-                out[1] += s.tolist()
-                out[2] += id_.tolist()
-        return pa.table({"anchor": pa.array(out[0], pa.int64()), "score": pa.array(out[1], pa.int64()),
-                         "id": pa.array(out[2], pa.int64())})
+            search, score, id_ = descended(b, _for_positives(
+                row, asked.column("label").to_numpy(), widened(q, b.x.shape[1]), asked.column("least").to_numpy()),
+                positives)
+        return pa.table({"anchor": row[search], "score": score, "id": id_})
 
     near = _meet(indexed, n_blocks, anchors, group_anchors, find_positives, "anchor long, score long, id long")
     by_score = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
@@ -415,22 +422,18 @@ def mined(embeddings: DataFrame, positives: int = POSITIVES, negatives: int = NE
     asking = cut(anchors.drop("least").join(lists, "anchor"))
 
     def find_negatives(block: pa.Table, asked: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
+        search, score, id_ = (np.zeros(0, np.int64),) * 3
+        row, given = asked.column("anchor").to_numpy(), asked.column("p").to_pylist()
+        anchor = np.repeat(np.arange(len(given)), np.array([len(p) for p in given], np.int64))
+        place, of = (np.array([e[c] for p in given for e in p], np.int64) for c in ("place", "score"))
         if len(block) and len(asked):
             q = matrix(asked.column("vec"))
             b = _block(block, q.shape[1])
-            q = widened(q, b.x.shape[1])
-            low, high = b.leaf_bounds(q)
-            for i, (row, label, p) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("anchor", "label", "p")))):
-                spans = [(-(-window_pct[0] * e["score"] // 100), window_pct[1] * e["score"] // 100) for e in p]
-                got = negatives_in(b, label, q[i], low[i], high[i], np.array(spans, np.int64), negatives)
-                for e, (s, id_) in zip(p, got):
-                    out[0] += [row] * len(s)
-                    out[1] += [e["place"]] * len(s)
-                    out[2] += s.tolist()
-                    out[3] += id_.tolist()
-        return pa.table({"anchor": pa.array(out[0], pa.int64()), "place": pa.array(out[1], pa.int32()),
-                         "negative_score": pa.array(out[2], pa.int64()), "id": pa.array(out[3], pa.int64())})
+            least, most = -(-window_pct[0] * of // 100), window_pct[1] * of // 100
+            search, score, id_ = descended(b, Asked(
+                row, asked.column("label").to_numpy(), widened(q, b.x.shape[1]), anchor, least, most, False), negatives)
+        return pa.table({"anchor": row[anchor[search]], "place": place[search].astype(np.int32),
+                         "negative_score": score, "id": id_})
 
     far = _meet(indexed, n_blocks, asking, group_anchors, find_negatives,
                 "anchor long, place int, negative_score long, id long")
