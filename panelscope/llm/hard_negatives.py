@@ -96,7 +96,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int = 0) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     wide = max(dims, int(size.max(initial=0)))
     if len(size) and size.min() == wide:
-        return values.reshape(-1, wide)
+        return values.reshape(len(size), wide)
     out = np.zeros((len(size), wide))
     out[np.arange(wide)[None, :] < size[:, None]] = values
     return out
@@ -202,7 +202,7 @@ class Block:
     def leaf_bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the scores (queries x leaves), level by level: a node's
         bounds are never wider than its parent's."""
-        length = np.maximum(norms(q), 1e-300)[:, None]
+        length = np.maximum(norms(q), 1.0)[:, None]
         cos = np.clip((q @ self.centre.T) / (length * self.size), -1.0, 1.0)
         low, high = bounds(cos, self.radius[None, :], self.size)
         for node in range(1, len(self.parent)):  # parents come first
@@ -224,7 +224,7 @@ def _block(table: pa.Table, dims: int = 0) -> Block:
     leaves, edge = np.unique(leaf, return_index=True)
     return Block(
         points.column("row").to_numpy(), points.column("id").to_numpy(), points.column("label").to_numpy(), x,
-        max(float(norms(x).max(initial=0)), 1e-300), widened(matrix(nodes.column("vec")), x.shape[1]),
+        max(float(norms(x).max(initial=0)), 1.0), widened(matrix(nodes.column("vec")), x.shape[1]),
         nodes.column("parent").to_numpy(), nodes.column("radius").to_numpy(), leaves, np.append(edge, len(leaf)))
 
 
@@ -354,7 +354,7 @@ def index(placed: DataFrame, positives: int = POSITIVES, anchor_every: int = ANC
     def build(table: pa.Table) -> pa.Table:
         x = matrix(table.column("vec"))
         row, id_, label = (table.column(c).to_numpy() for c in ("row", "id", "label"))
-        size = max(float(norms(x).max(initial=0)), 1e-300)
+        size = max(float(norms(x).max(initial=0)), 1.0)
         tree = cover_tree(augmented(x, size))
         order = np.argsort(tree.leaf, kind="stable")
         leaves, edge = np.unique(tree.leaf[order], return_index=True)
