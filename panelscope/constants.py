@@ -20,6 +20,8 @@ HOLIDAY_MONTHS = (2, 12)
 SALE = "Sale"
 REPAIR = "Repair"
 BOUTIQUE = "Boutique"
+CHANNELS = (BOUTIQUE, "Web", "CC")
+ARTICLE_FLAGS = ("flag_he", "flag_bridal", "flag_diamond")
 CLIENTELING = "Clienteling"
 TREND_NO_PRIOR_WITH_RECENT = 2.0       # spend trend when only recent spend exists
 TREND_NO_SPEND = 1.0

@@ -54,18 +54,35 @@ def fixed4(c: ColumnOrName) -> Column:
     return F.round(col(c) * F.lit(_FIXED)).cast("bigint")
 
 
-def money_sum(c: ColumnOrName, scale: int = 2, fixed: bool = True) -> Column:
+# The same as SQL text: a table of many columns is built far faster from text
+# than from column objects. ``format`` takes the columns' names.
+UNITS = "CAST(round({0} * 10000D) AS BIGINT)"
+#: a total of units as money, rounded half-up to cents; nothing is 0
+CENTS = "round(CAST(coalesce({0}, 0) AS DOUBLE) / 10000D, 2)"
+#: mean of {1} amounts whose total is given in units; of none: null
+UNITS_MEAN = "try_divide(CAST({0} AS DOUBLE) / 10000D, CAST({1} AS DOUBLE))"
+#: sample deviation of {2} amounts from the totals of their units and of the units'
+#: squares: exact up to the root while the products fit a decimal
+UNITS_STDDEV = (
+    "CASE WHEN {2} > 1 THEN sqrt(greatest(coalesce(CAST(try_subtract("
+    "try_multiply(CAST({2} AS DECIMAL(38,0)), CAST({1} AS DECIMAL(38,0))), "
+    "try_multiply(CAST({0} AS DECIMAL(38,0)), CAST({0} AS DECIMAL(38,0)))) AS DOUBLE), "
+    "{2} * CAST({1} AS DOUBLE) - pow(CAST({0} AS DOUBLE), 2)), 0D) / ({2} * CAST({2} - 1 AS DOUBLE))) / 10000D END")
+
+
+def money_sum(c: ColumnOrName, scale: int = 2, *, fixed: bool) -> Column:
     """Order-independent money total rounded to ``scale`` decimals (half-up),
-    as double; null when every input is null."""
+    as double; null when every input is null. ``fixed`` for per-entity totals
+    only, as a long overflows on unbounded groups."""
     if fixed:
         return F.round(F.sum(fixed4(c)).cast("double") / F.lit(_FIXED), scale)
     s = F.sum(col(c).cast("decimal(28,4)"))
     return F.round(s, scale).cast("double")
 
 
-def money_total(c: ColumnOrName, scale: int = 2, fixed: bool = True) -> Column:
+def money_total(c: ColumnOrName, scale: int = 2, *, fixed: bool) -> Column:
     """``money_sum`` with pandas' ``sum`` of nothing = 0."""
-    return F.coalesce(money_sum(c, scale, fixed), F.lit(0.0))
+    return F.coalesce(money_sum(c, scale, fixed=fixed), F.lit(0.0))
 
 
 def money_mean(c: ColumnOrName, fixed: bool) -> Column:

@@ -99,13 +99,16 @@ def clip(c: Column, lo=None, hi=None) -> Column:
 
 
 # ---------------------------------------------------------------- table cleaners
-def clean_panel(df: DataFrame) -> DataFrame:
-    """F1 + F10 on the panel: drop null keys, add presence flags."""
+def clean_panel(df: DataFrame, gap_deviation: str = "stddev_timelapse_trs",
+                repairs: str = "all_repair_pdt_categ") -> DataFrame:
+    """F1 + F10 on the panel: drop null keys, add presence flags. Multiple
+    purchases are told by the deviation of the gaps between them (known from
+    the third purchase day on)."""
     return filter_key_not_null(df).select(
         "*",
         present("age").cast("int").alias("age_known"),
-        present("avg_timelapse_trs").alias("has_multiple_purchases"),
-        present("all_repair_pdt_categ").alias("has_repair_history"),
+        present(gap_deviation).alias("has_multiple_purchases"),
+        present(repairs).alias("has_repair_history"),
     )
 
 
@@ -200,7 +203,7 @@ def supplementary_features(clients_clean: DataFrame, crc_clean: DataFrame,
 def client_totals_v1(events: DataFrame, crc_df: DataFrame, ccp_df: DataFrame) -> DataFrame:
     """A12 / J13 parts: per-client totals without an as-of cut (early variant)."""
     ev = events.groupBy("client_id").agg(
-        money_total("spend").alias("spend_sum"),
+        money_total("spend", fixed=True).alias("spend_sum"),
         F.count(F.lit(1)).alias("n_trs"),
         money_mean("spend", fixed=True).alias("spend_mean"),
         F.coalesce(F.sum("qty"), F.lit(0)).cast("bigint").alias("qty_sum"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelscope import constants as K
-from panelscope.functions.exprs import count_where, money_mean, money_total, ratio
+from panelscope.functions.exprs import CENTS, UNITS, UNITS_MEAN, count_where, money_mean, money_total, ratio
+from panelscope.operators.asof import INTERVAL, Timeline, day_gaps, first_seen, merged, windows_of
 
 KEYS = ("client_id", "date_target")
 
@@ -82,16 +83,99 @@ def asof_set_union(events: DataFrame, dates, key: str, sets: dict[str, Column],
     return out
 
 
+def timeline_of(dates, recent_years: int = K.RECENT_YEARS, prior_years: int = K.PRIOR_YEARS,
+                horizons: dict[str, int] | None = None) -> Timeline:
+    """Windows of the client history: all of it, recent, prior, and the
+    horizons (months after the snapshot) of the targets."""
+    r, p = -12 * recent_years, -12 * prior_years
+    return Timeline(list(dates), {"hist": (None, 0), "recent": (r, 0), "prior": (p, r),
+                                  **{n: (0, m) for n, m in (horizons or {}).items()}})
+
+
+def event_state(tagged: DataFrame) -> DataFrame:
+    """Additive measures of a client's events per interval (money in 1/10000 units)."""
+    units = UNITS.format("spend")
+    measures = {
+        "n": "count(trs_date)", "n_spend": "count(spend)", "units": f"sum({units})",
+        "units_sq": f"sum(CAST({units} AS DECIMAL(38,0)) * CAST({units} AS DECIMAL(38,0)))",
+        **{f"units_{c}": f"sum(CASE WHEN channel = '{c}' THEN {units} END)" for c in K.CHANNELS},
+        **{f"n_{c}": f"count_if(channel = '{c}')" for c in K.CHANNELS},
+        "n_sale": f"count_if(trs_categ = '{K.SALE}')", "n_repair": f"count_if(trs_categ = '{K.REPAIR}')",
+        "n_holiday": f"count_if(month(trs_date) IN {K.HOLIDAY_MONTHS})",
+        "he": "sum(CAST(flag_he AS BIGINT))", "n_he": "count(flag_he)",
+        "first": "min(trs_date)", "last": "max(trs_date)", "max_spend": "max(spend)",
+        **({"qty": "sum(qty)"} if "qty" in tagged.columns else {}),
+        **({"max_wwprice": "max(wwprice)"} if "wwprice" in tagged.columns else {})}
+    return tagged.groupBy("client_id", INTERVAL).agg(*[F.expr(f"{e} AS `{n}`") for n, e in measures.items()])
+
+
+_HISTORY = ("n", "n_spend", "units", "units_sq", *[f"units_{c}" for c in K.CHANNELS], *[f"n_{c}" for c in K.CHANNELS],
+            "n_sale", "n_repair", "n_holiday", "he", "n_he", "qty", "n_articles", "n_days", "gap_sq",
+            "n_sales", "price_units", "n_price", "n_categories", *[f"{k}_{f}" for f in K.ARTICLE_FLAGS for k in ("sum", "n")])
+
+
+def client_history(events: DataFrame, timeline: Timeline, articles: DataFrame | None = None,
+                   distinct_articles: bool = True, gaps: bool = False, with_events: bool = True) -> DataFrame:
+    """Everything that A1-A8, F18, W1 and the panel know of a client as of each
+    snapshot, from one state per (client, interval); columns that nobody asks
+    for are pruned from it."""
+    tagged = timeline.tagged(events, "trs_date")
+    parts = []
+    if with_events:
+        parts.append(event_state(tagged))
+        if distinct_articles:
+            parts.append(first_seen(tagged, "client_id", "article_id", "n_articles"))
+        if gaps:
+            parts.append(day_gaps(tagged, "client_id", "trs_date", "n_days", "gap_sq"))
+    if articles is not None:
+        sales = with_dimension(tagged.filter(F.col("trs_categ") == K.SALE)
+                               .select("client_id", INTERVAL, "article_id"), articles)
+        parts += [article_state(sales), first_seen(sales, "client_id", "product_category", "n_categories")]
+    state = merged(parts)
+    sums = {c: (c, "hist") for c in _HISTORY if c in state.columns}
+    if with_events:
+        sums |= {f"units_{w}": ("units", w) for w in timeline.windows if w != "hist"}
+    return windows_of(state, "client_id", timeline, sums,
+                      {"first": "first"} if with_events else {},
+                      {c: c for c in ("last", "max_spend", "max_wwprice", "max_price") if c in state.columns})
+
+
+def rfm_from() -> list[Column]:
+    """A1-A7, F18 and W1 as columns of a client history. The average gap
+    between consecutive events telescopes to tenure / (n - 1)."""
+    recent, prior = CENTS.format("units_recent"), CENTS.format("units_prior")
+    share = lambda x: f"CAST({x} AS DOUBLE) / CAST(n AS DOUBLE)"  # noqa: E731  a history has events
+    return [F.expr(f"{e} AS {n}") for n, e in {
+        "n_transactions": "n", "total_spend": CENTS.format("units"), "avg_spend_per_trs": UNITS_MEAN.format("units", "n_spend"),
+        "max_single_spend": "max_spend", "n_distinct_articles": "n_articles",
+        "recency_days": "datediff(date_target, last)", "tenure_days": "datediff(last, first)",
+        "spend_recent": recent, "spend_prior": prior,
+        "spend_trend": f"CASE WHEN {prior} > 0 THEN {recent} / {prior} "
+                       f"WHEN {recent} > 0 THEN {K.TREND_NO_PRIOR_WITH_RECENT}D ELSE {K.TREND_NO_SPEND}D END",
+        "n_sale_trs": "n_sale", "n_repair_trs": "n_repair", "repair_ratio": share("n_repair"),
+        "boutique_ratio": share(f"n_{K.BOUTIQUE}"), "holiday_purchase_ratio": share("n_holiday"),
+        "avg_days_between_trs": "CASE WHEN n > 1 THEN CAST(datediff(last, first) AS DOUBLE) / CAST(n - 1 AS DOUBLE) "
+                                "ELSE 0D END",
+        "flag_he_ratio_trs": "try_divide(CAST(he AS DOUBLE), CAST(n_he AS DOUBLE))"}.items()]
+
+
 def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = K.RECENT_YEARS,
                  prior_years: int = K.PRIOR_YEARS, upper_bound=None, dates=None) -> DataFrame:
-    """A1-A7 + A2 + F18 + W1 fused into one grouped aggregation per
-    (client, snapshot).
+    """A1-A7 + A2 + F18 + W1 per (client, snapshot).
 
     Windows are half-open on the left: recent = (DT - r, DT], prior =
     (DT - p, DT - r]. Sums of nothing are 0; mean/max of nothing are null.
-    The average gap between consecutive events telescopes to
-    tenure / (n - 1), so no window sort is needed (single event -> 0).
-    """
+    With the snapshot ``dates`` known they come from the mergeable as-of state;
+    a table of snapshots that only Spark knows is joined to the events."""
+    if dates is not None:
+        h = client_history(events, timeline_of(dates, recent_years, prior_years))
+        return h.select(*KEYS, *rfm_from())
+    return rfm_expanded(events, snaps, recent_years, prior_years, upper_bound)
+
+
+def rfm_expanded(events: DataFrame, snaps: DataFrame, recent_years: int, prior_years: int,
+                 upper_bound=None) -> DataFrame:
+    """``rfm_features`` by joining every event to every snapshot that sees it."""
     # window starts are computed once per snapshot on the broadcast side
     snaps = snaps.select("date_target",
                          F.add_months("date_target", -12 * recent_years).alias("_recent_start"),
@@ -100,31 +184,22 @@ def rfm_features(events: DataFrame, snaps: DataFrame, recent_years: int = K.RECE
     d, s = F.col("trs_date"), F.col("date_target")
     recent_start, prior_start = F.col("_recent_start"), F.col("_prior_start")
     spend = F.col("spend")
-    # distinct articles: with the snapshot dates known, counted in the
-    # incremental as-of form (each (client, article) from its first snapshot)
-    # instead of a distinct aggregate over the expanded rows
-    distinct = ([] if dates is not None
-                else [F.count_distinct("article_id").alias("n_distinct_articles")])
     g = x.groupBy(*KEYS).agg(
         F.count(d).alias("n_transactions"),
-        money_total(spend).alias("total_spend"),
+        money_total(spend, fixed=True).alias("total_spend"),
         money_mean(spend, fixed=True).alias("avg_spend_per_trs"),
         F.max(spend).alias("max_single_spend"),
-        *distinct,
+        F.count_distinct("article_id").alias("n_distinct_articles"),
         F.max(d).alias("_last"),
         F.min(d).alias("_first"),
-        money_total(F.when(d > recent_start, spend)).alias("spend_recent"),
-        money_total(F.when((d > prior_start) & (d <= recent_start), spend)).alias("spend_prior"),
+        money_total(F.when(d > recent_start, spend), fixed=True).alias("spend_recent"),
+        money_total(F.when((d > prior_start) & (d <= recent_start), spend), fixed=True).alias("spend_prior"),
         count_where(F.col("trs_categ") == K.SALE).alias("n_sale_trs"),
         count_where(F.col("trs_categ") == K.REPAIR).alias("n_repair_trs"),
         count_where(F.col("channel") == K.BOUTIQUE).alias("_n_btq"),
         count_where(F.month(d).isin(*K.HOLIDAY_MONTHS)).alias("_n_holiday"),
         F.avg("flag_he").alias("flag_he_ratio_trs"),
     )
-    if dates is not None:
-        nd = asof_distinct_count(events, dates, "client_id", "article_id",
-                                 name="n_distinct_articles")
-        g = g.join(nd, list(KEYS), "left").fillna(0, subset=["n_distinct_articles"])
     n = F.col("n_transactions")
     tenure = F.datediff(F.col("_last"), F.col("_first"))
     return g.select(
@@ -169,55 +244,68 @@ def avg_gap_lag_form(events: DataFrame, snaps: DataFrame, upper_bound=None) -> D
                     .otherwise(F.lit(0.0)).alias("avg_days_between_trs"))
 
 
+def with_dimension(sales: DataFrame, articles: DataFrame) -> DataFrame:
+    """Sales with their article's columns, orphans kept with nulls. An
+    article id that occurs twice would repeat sales: the job fails instead (J11).
+
+    Spark broadcasts the dimension only when its measured size is under
+    ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and
+    falls back to a sort-merge join otherwise."""
+    art = articles.select("article_id", F.col("world_price"), F.col("product_category"),
+                          *[F.col(c).alias(f"art_{c}") for c in K.ARTICLE_FLAGS])
+    return sales.join(one_row_per_key(art, ["article_id"]), "article_id", "left")
+
+
+def article_state(sales: DataFrame) -> DataFrame:
+    """Additive measures of the articles that a client bought, per interval."""
+    return sales.groupBy("client_id", INTERVAL).agg(*[F.expr(f"{e} AS {n}") for n, e in {
+        "n_sales": "count(1)", "price_units": f"sum({UNITS.format('world_price')})", "n_price": "count(world_price)",
+        "max_price": "max(world_price)",
+        **{f"sum_{c}": f"sum(CAST(art_{c} AS BIGINT))" for c in K.ARTICLE_FLAGS},
+        **{f"n_{c}": f"count(art_{c})" for c in K.ARTICLE_FLAGS}}.items()])
+
+
+def articles_from() -> list[Column]:
+    """A8 as columns of a client history."""
+    share = lambda f: f"try_divide(CAST(sum_{f} AS DOUBLE), CAST(n_{f} AS DOUBLE))"
+    return [F.expr(f"{e} AS {n}") for n, e in {
+        "avg_article_world_price": UNITS_MEAN.format("price_units", "n_price"), "max_article_world_price": "max_price",
+        "flag_he_ratio": share("flag_he"),
+        "n_distinct_categories": "CASE WHEN n_sales > 0 THEN n_categories END",
+        "flag_bridal_ratio": share("flag_bridal"), "flag_diamond_ratio": share("flag_diamond")}.items()]
+
+
 def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
                      upper_bound=None, dates=None) -> DataFrame:
     """A8 (with J3): per (client, snapshot), sales only, joined to the article
-    dimension with orphans kept; orphan rows count as null in the means.
-
-    The dimension is a regular join input: Spark broadcasts it only when its
-    measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE
-    re-checks at runtime) and falls back to a sort-merge join otherwise.
-    """
+    dimension with orphans kept; orphan rows count as null in the means. With
+    the snapshot ``dates`` known, from the mergeable as-of state."""
+    if dates is not None:
+        h = client_history(events, Timeline(list(dates), {"hist": (None, 0)}), articles, with_events=False)
+        return h.select(*KEYS, *articles_from())
     sales = events.filter(F.col("trs_categ") == K.SALE).select("client_id", "trs_date", "article_id")
-    art = articles.select("article_id", "world_price", "product_category",
-                          F.col("flag_he").alias("flag_he_art"), "flag_bridal", "flag_diamond")
-    joined = sales.join(art, "article_id", "left")
-    x = asof_expand(joined, snaps, upper_bound=upper_bound)
-    distinct = ([] if dates is not None
-                else [F.count_distinct("product_category").alias("n_distinct_categories")])
-    g = x.groupBy(*KEYS).agg(
+    x = asof_expand(with_dimension(sales, articles), snaps, upper_bound=upper_bound)
+    return x.groupBy(*KEYS).agg(
         money_mean("world_price", fixed=True).alias("avg_article_world_price"),
         F.max("world_price").alias("max_article_world_price"),
-        F.avg("flag_he_art").alias("flag_he_ratio"),
-        *distinct,
-        F.avg("flag_bridal").alias("flag_bridal_ratio"),
-        F.avg("flag_diamond").alias("flag_diamond_ratio"),
-    )
-    if dates is not None:
-        # distinct categories in the incremental as-of form (as in rfm_features)
-        nd = asof_distinct_count(joined, dates, "client_id", "product_category",
-                                 name="n_distinct_categories")
-        g = g.join(nd, list(KEYS), "left").fillna(0, subset=["n_distinct_categories"])
-    return g.select(*KEYS, "avg_article_world_price", "max_article_world_price", "flag_he_ratio",
-                    "n_distinct_categories", "flag_bridal_ratio", "flag_diamond_ratio")
+        F.avg("art_flag_he").alias("flag_he_ratio"),
+        F.count_distinct("product_category").alias("n_distinct_categories"),
+        F.avg("art_flag_bridal").alias("flag_bridal_ratio"),
+        F.avg("art_flag_diamond").alias("flag_diamond_ratio"))
 
 
 def add_log_targets(df: DataFrame, targets) -> DataFrame:
     """``log1p`` and binary (> 0) versions of each target (log is null
     below -1, where it is undefined)."""
-    cols = []
-    for t in targets:
-        x = F.col(t)
-        cols += [F.when(x > -1, F.round(F.log1p(x), 9)).alias(f"{t}_log"),
-                 (x > 0).cast("int").alias(f"{t}_bin")]
-    return df.select("*", *cols)
+    return df.selectExpr("*", *[e for t in targets for e in (
+        f"CASE WHEN `{t}` > -1 THEN round(log1p(`{t}`), 9) END AS `{t}_log`", f"CAST(`{t}` > 0 AS INT) AS `{t}_bin`")])
 
 
 # Column roles (defaults follow the test panel; the reference's own lists are
 # the same idea: targets, sparse age, structurally missing measures, lists).
 TARGETS = ("target_1m", "target_3m", "target_1y")
 LOG_TARGETS = ("target_1m", "target_3m")
-PANEL_EXCLUDE = TARGETS + ("age", "stddev_price", "avg_timelapse_trs")
+PANEL_EXCLUDE = TARGETS + ("age", "stddev_price", "avg_timelapse_trs", "stddev_timelapse_trs")
 LIST_PREFIXES = ("all_",)
 RFM_COLS = ("n_transactions", "total_spend", "avg_spend_per_trs", "max_single_spend",
             "n_distinct_articles", "recency_days", "tenure_days", "spend_recent", "spend_prior",
@@ -266,6 +354,15 @@ def key_is_unique(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """J11 guard inside the plan: ``df`` with one row a key; a key that occurs
+    again makes the job fail instead of multiplying the rows that join it."""
+    rest = [c for c in df.columns if c not in keys]
+    twice = F.raise_error(F.concat_ws(" ", F.lit("join key is not unique:"), *[F.col(k).cast("string") for k in keys]))
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in rest])
+    return g.filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(twice.cast("boolean"))).select(*df.columns)
+
+
 def join_panel_features(panel: DataFrame, rfm: DataFrame, art: DataFrame) -> DataFrame:
     """Panel LEFT JOIN event and article features on (client, snapshot)."""
     return panel.join(rfm, list(KEYS), "left").join(art, list(KEYS), "left")
@@ -289,11 +386,20 @@ def build_master(clean_panel: DataFrame, rfm: DataFrame, art: DataFrame,
     Every right side is grouped on its join key, so the master has exactly
     one row per panel row (J11 checks it)."""
     feats = select_panel_features(clean_panel)
-    keep = [c for c in feats.columns] + list(TARGETS)
-    base = clean_panel.select(*keep)
-    out = join_supplementary(join_panel_features(base, rfm, art), supp)
-    front = [c for c in out.columns if c not in TARGETS] + list(TARGETS)
-    return add_log_targets(out.select(*front), LOG_TARGETS)
+    base = clean_panel.select(*feats.columns, *TARGETS)
+    return finish_master(join_panel_features(base, rfm, art), feats.columns, supp)
+
+
+def build_master_from(wide: DataFrame, panel_columns, supp: DataFrame) -> DataFrame:
+    """V8 where panel rows already carry their event and article features."""
+    return finish_master(wide, panel_feature_columns(panel_columns), supp)
+
+
+def finish_master(wide: DataFrame, panel_columns: list[str], supp: DataFrame) -> DataFrame:
+    """J2 and F19, columns in the order of the master. A client that occurs
+    twice in ``supp`` makes the job fail (J11)."""
+    out = join_supplementary(wide, one_row_per_key(supp.select("client_id", *SUPP_SAFE), ["client_id"]))
+    return add_log_targets(out.select(*panel_columns, *RFM_COLS, *ART_COLS, *SUPP_SAFE, *TARGETS), LOG_TARGETS)
 
 
 def validate_features(train: DataFrame, test: DataFrame, numeric_cols, all_cols,

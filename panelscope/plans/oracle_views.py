@@ -142,6 +142,13 @@ SELECT t.client_id, s.date_target,
 FROM trs t JOIN snapshots s ON t.trs_date <= s.date_target + INTERVAL 12 MONTH
 GROUP BY t.client_id, s.date_target
 HAVING count(*) FILTER (WHERE {_HIST}) > 0""",
+    "panel_gaps": """
+SELECT client_id, date_target, round(stddev_samp(gap), 6) AS stddev_timelapse_trs FROM (
+  SELECT client_id, date_target,
+    date_diff('day', lag(trs_date) OVER (PARTITION BY client_id, date_target ORDER BY trs_date), trs_date) AS gap
+  FROM (SELECT DISTINCT t.client_id, s.date_target, t.trs_date
+        FROM trs t JOIN snapshots s ON t.trs_date <= s.date_target) d) x
+GROUP BY client_id, date_target""",
     "panel": f"""
 SELECT g.client_id, g.date_target, g.target_1m, g.target_3m, g.target_1y,
   CAST(floor(CAST(date_diff('day', c.birth_date, g.date_target) AS DOUBLE) / CAST(365.25 AS DOUBLE)) AS DOUBLE) AS age,
@@ -151,12 +158,13 @@ SELECT g.client_id, g.date_target, g.target_1m, g.target_3m, g.target_1y,
   g.to_full_hist, g.to_past_1y, g.to_past_1y_2y, g.to_btq, g.to_web, g.to_crc,
   g.nb_trs_full_hist, g.nb_trs_btq, g.nb_trs_web, g.nb_trs_crc, g.stddev_price,
   CASE WHEN g._n_dates >= 2 THEN CAST(date_diff('day', g._first, g._last) AS DOUBLE)
-       / CAST(g._n_dates - 1 AS DOUBLE) END AS avg_timelapse_trs,
+       / CAST(g._n_dates - 1 AS DOUBLE) END AS avg_timelapse_trs, w.stddev_timelapse_trs,
   g.max_price_per_pdt, g.qty_pdt_full_hist,
   CASE WHEN CAST(g.client_id AS BIGINT) % 7 = 0 THEN g._dates || ',n/a'
        WHEN CAST(g.client_id AS BIGINT) % 11 = 0 THEN g._dates || ', ' ELSE g._dates END AS all_purchased_dates,
   g._repairs AS all_repair_pdt_categ
-FROM panel_g g LEFT JOIN clients c ON g.client_id = c.client_id""",
+FROM panel_g g LEFT JOIN clients c ON g.client_id = c.client_id
+LEFT JOIN panel_gaps w ON g.client_id = w.client_id AND g.date_target = w.date_target""",
     "scored": """
 SELECT client_id, date_target,
   to_full_hist / NULLIF(CAST(recency + 1 AS DOUBLE), 0) AS score,
@@ -200,7 +208,7 @@ SELECT client_id, serial_number, article_id, creation_date, sale_date, flag_gift
 FROM ccp WHERE NOT coalesce(date_diff('day', creation_date, sale_date) > 30, false)""",
     "clean_panel": """
 SELECT *, CAST(age IS NOT NULL AS INTEGER) AS age_known,
-  CAST(avg_timelapse_trs IS NOT NULL AS INTEGER) AS has_multiple_purchases,
+  CAST(stddev_timelapse_trs IS NOT NULL AS INTEGER) AS has_multiple_purchases,
   CAST(all_repair_pdt_categ IS NOT NULL AS INTEGER) AS has_repair_history
 FROM panel WHERE client_id IS NOT NULL""",
     "contact_feats": f"""
@@ -239,7 +247,8 @@ DEPS: dict[str, tuple[str, ...]] = {
     "trs": (), "articles": (), "crc": (), "ccp": (), "snapshots": (),
     "clients": ("trs",),
     "panel_g": ("trs", "snapshots"),
-    "panel": ("panel_g", "clients"),
+    "panel_gaps": ("trs", "snapshots"),
+    "panel": ("panel_g", "panel_gaps", "clients"),
     "scored": ("panel",),
 }
 

@@ -88,7 +88,11 @@ def _art(c: Ctx):
 
 def _master(c: Ctx):
     if "master" not in c._cache:
-        c._cache["master"] = FE.build_master(c.clean_panel, _rfm(c), _art(c), c.supp)
+        from panelscope.operators.cleaning import clean_panel
+        from panelscope.sources import views as V
+        wide = clean_panel(V.panel_with_features(c.trs, c.clients, c.articles), repairs="repairs_known")
+        c._cache["master"] = FE.build_master_from(
+            wide, [*V.PANEL_COLUMNS, "age_known", "has_multiple_purchases", "has_repair_history"], c.supp)
     return c._cache["master"]
 
 

@@ -34,7 +34,7 @@ def missing_report(c: Ctx):
     return Q.missing_report(c.panel, "panel", 5.0)
 
 
-STRUCTURAL = ("stddev_price", "avg_timelapse_trs", "all_repair_pdt_categ", "age", "birth_date",
+STRUCTURAL = ("stddev_price", "avg_timelapse_trs", "stddev_timelapse_trs", "all_repair_pdt_categ", "age", "birth_date",
               "sale_date", "appointment_duration")
 
 

@@ -13,8 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.functions.exprs import money_total, months_between_int
-from panelscope.functions.exprs import fround
+from panelscope.functions.exprs import CENTS, UNITS_STDDEV
 
 # Fixed values of the test mapping.
 SNAPSHOT_DATES = ("1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01")
@@ -28,7 +27,7 @@ PANEL_COLUMNS = (
     "client_id", "date_target", "target_1m", "target_3m", "target_1y", "age", "seniority",
     "recency", "residency_country", "gender", "residency_market", "to_full_hist", "to_past_1y",
     "to_past_1y_2y", "to_btq", "to_web", "to_crc", "nb_trs_full_hist", "nb_trs_btq",
-    "nb_trs_web", "nb_trs_crc", "stddev_price", "avg_timelapse_trs", "max_price_per_pdt",
+    "nb_trs_web", "nb_trs_crc", "stddev_price", "avg_timelapse_trs", "stddev_timelapse_trs", "max_price_per_pdt",
     "qty_pdt_full_hist", "all_purchased_dates", "all_repair_pdt_categ")
 
 
@@ -67,29 +66,21 @@ def trs(t) -> DataFrame:
     li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
                               "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    q, price, disc = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
-    supp_mod = F.col("l_suppkey") % 10
-    return j.select(
-        client_key(F.col("o_custkey")).alias("client_id"),
-        F.when(F.col("l_partkey") % 11 == 0, F.col("l_partkey") + 1000000)
-         .otherwise(F.col("l_partkey")).alias("article_id"),
-        F.col("o_orderdate").cast("date").alias("trs_date"),
-        F.col("l_shipdate").cast("date").alias("ship_date"),
-        F.when(F.col("l_returnflag") == "R", "Repair").otherwise("Sale").alias("trs_categ"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "Web")
-         .when(F.col("o_orderpriority") == "2-HIGH", "CC")
-         .otherwise("Boutique").alias("channel"),
-        F.when(q == 7, F.lit(0.0)).otherwise(price).alias("wwprice"),
-        F.when(q == 13, F.lit(None).cast("double"))
-         .when((q == 29) & (disc > 0.095), F.lit(-0.01) * price)
-         .otherwise(price * (F.lit(1.0) - disc)).alias("spend"),
-        q.cast("bigint").alias("qty"),
-        F.when(supp_mod == 3, F.lit(None).cast("string"))
-         .when(supp_mod == 7, F.lit(SERIAL_PLACEHOLDER))
-         .otherwise(F.col("l_suppkey").cast("string")).alias("serial_number"),
-        F.concat(F.lit("C"), (F.col("l_partkey") % 4).cast("string")).alias("categ"),
-        (price > 90000).cast("int").alias("flag_he"),
-    )
+    return j.selectExpr(
+        "lpad(CAST(o_custkey AS STRING), 20, '0') AS client_id",
+        "CASE WHEN l_partkey % 11 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS article_id",
+        "CAST(o_orderdate AS DATE) AS trs_date", "CAST(l_shipdate AS DATE) AS ship_date",
+        "CASE WHEN l_returnflag = 'R' THEN 'Repair' ELSE 'Sale' END AS trs_categ",
+        "CASE WHEN o_orderpriority = '1-URGENT' THEN 'Web' WHEN o_orderpriority = '2-HIGH' THEN 'CC' "
+        "ELSE 'Boutique' END AS channel",
+        "CASE WHEN l_quantity = 7 THEN 0D ELSE l_extendedprice END AS wwprice",
+        "CASE WHEN l_quantity = 13 THEN CAST(NULL AS DOUBLE) WHEN l_quantity = 29 AND l_discount > 0.095D "
+        "THEN -0.01D * l_extendedprice ELSE l_extendedprice * (1D - l_discount) END AS spend",
+        "CAST(l_quantity AS BIGINT) AS qty",
+        "CASE WHEN l_suppkey % 10 = 3 THEN NULL "
+        f"WHEN l_suppkey % 10 = 7 THEN '{SERIAL_PLACEHOLDER}' ELSE CAST(l_suppkey AS STRING) END AS serial_number",
+        "concat('C', CAST(l_partkey % 4 AS STRING)) AS categ",
+        "CAST(l_extendedprice > 90000 AS INT) AS flag_he")
 
 
 def articles(t) -> DataFrame:
@@ -169,64 +160,56 @@ def ccp(t) -> DataFrame:
     )
 
 
+def panel_timeline(dates=SNAPSHOT_DATES):
+    from panelscope.operators.features import timeline_of
+    return timeline_of([_d(v) for v in dates], RECENT_YEARS, PRIOR_YEARS, TARGET_HORIZONS_MONTHS)
+
+
+def panel_measures() -> list[Column]:
+    """The panel's columns that a client history holds."""
+    months = lambda since: (f"CAST((year(date_target) - year({since})) * 12 "
+                            f"+ month(date_target) - month({since}) AS BIGINT)")
+    tenure = "CAST(datediff(last, first) AS BIGINT)"
+    return [F.expr(f"{e} AS {n}") for n, e in {
+        **{n: CENTS.format(f"units_{n}") for n in TARGET_HORIZONS_MONTHS},
+        "seniority": months("first"), "recency": months("last"),
+        "to_full_hist": CENTS.format("units"), "to_past_1y": CENTS.format("units_recent"),
+        "to_past_1y_2y": CENTS.format("units_prior"), "to_btq": CENTS.format("units_Boutique"),
+        "to_web": CENTS.format("units_Web"), "to_crc": CENTS.format("units_CC"),
+        "nb_trs_full_hist": "n", "nb_trs_btq": "n_Boutique", "nb_trs_web": "n_Web", "nb_trs_crc": "n_CC",
+        "stddev_price": f"round({UNITS_STDDEV.format('units', 'units_sq', 'n_spend')}, 6)",
+        "avg_timelapse_trs": f"CASE WHEN n_days > 1 THEN CAST({tenure} AS DOUBLE) / CAST(n_days - 1 AS DOUBLE) END",
+        # of n_days - 1 gaps
+        "stddev_timelapse_trs": f"CASE WHEN n_days > 2 THEN round(sqrt(CAST((n_days - 1) * gap_sq - {tenure} * {tenure} "
+                                "AS DOUBLE) / CAST((n_days - 1) * (n_days - 2) AS DOUBLE)), 6) END",
+        "max_price_per_pdt": "max_wwprice", "qty_pdt_full_hist": "CAST(qty AS BIGINT)"}.items()]
+
+
+def with_client(df: DataFrame, clients_df: DataFrame) -> DataFrame:
+    """Age and residency of the row's client."""
+    cl = clients_df.select("client_id", "birth_date", F.col("country_of_residency").alias("residency_country"),
+                           "gender", "residency_market")
+    age = F.floor(F.datediff(F.col("date_target"), F.col("birth_date")) / F.lit(365.25)).cast("double")
+    return df.join(cl, "client_id", "left").withColumn("age", age)
+
+
 def panel(t, spark: SparkSession, trs_df: DataFrame | None = None,
           clients_df: DataFrame | None = None, dates=SNAPSHOT_DATES) -> DataFrame:
     """Client x snapshot panel: history measures as of ``date_target`` plus
     spend targets in (date_target, date_target + h]. A client appears in a
     snapshot once it has a transaction on or before the snapshot date.
 
-    One broadcast range join of transactions against the (few) snapshots and a
-    single grouped aggregation; no per-snapshot loop.
+    From the mergeable as-of state: transactions are never joined to snapshots.
     """
+    from panelscope.operators.features import asof_set_union, client_history
     trs_df = trs_df if trs_df is not None else trs(t)
     clients_df = clients_df if clients_df is not None else clients(t, trs_df)
-    max_h = max(TARGET_HORIZONS_MONTHS.values())
-    # window bounds are computed once per snapshot on the broadcast side, so
-    # every expanded row only compares dates
-    snaps = snapshots(spark, dates).select(
-        "date_target",
-        *[F.add_months("date_target", h).alias(f"_h_{n}") for n, h in TARGET_HORIZONS_MONTHS.items()],
-        F.add_months("date_target", -12 * RECENT_YEARS).alias("_recent_start"),
-        F.add_months("date_target", -12 * PRIOR_YEARS).alias("_prior_start"))
-    d, s = F.col("trs_date"), F.col("date_target")
-    # explicit upper bound: a broadcast range join cannot push one into the scan
-    last = max(_d(v) for v in dates)
-    bound = F.add_months(F.lit(last), max_h)
-    hmax = f"_h_{max(TARGET_HORIZONS_MONTHS, key=TARGET_HORIZONS_MONTHS.get)}"
-    x = trs_df.filter(d <= bound).join(F.broadcast(snaps), d <= F.col(hmax))
-    hist = d <= s
-    recent_start, prior_start = F.col("_recent_start"), F.col("_prior_start")
-    spend = F.col("spend")
-    hs = F.when(hist, spend)
-    aggs = [F.count_if(hist).alias("nb_trs_full_hist")]
-    for name in TARGET_HORIZONS_MONTHS:
-        aggs.append(money_total(F.when((d > s) & (d <= F.col(f"_h_{name}")), spend)).alias(name))
-    aggs += [
-        F.min(F.when(hist, d)).alias("_first"),
-        F.max(F.when(hist, d)).alias("_last"),
-        money_total(hs).alias("to_full_hist"),
-        money_total(F.when(hist & (d > recent_start), spend)).alias("to_past_1y"),
-        money_total(F.when(hist & (d <= recent_start) & (d > prior_start), spend)).alias("to_past_1y_2y"),
-        money_total(F.when(hist & (F.col("channel") == "Boutique"), spend)).alias("to_btq"),
-        money_total(F.when(hist & (F.col("channel") == "Web"), spend)).alias("to_web"),
-        money_total(F.when(hist & (F.col("channel") == "CC"), spend)).alias("to_crc"),
-        F.count_if(hist & (F.col("channel") == "Boutique")).alias("nb_trs_btq"),
-        F.count_if(hist & (F.col("channel") == "Web")).alias("nb_trs_web"),
-        F.count_if(hist & (F.col("channel") == "CC")).alias("nb_trs_crc"),
-        fround(F.stddev_samp(hs)).alias("stddev_price"),
-        F.max(F.when(hist, F.col("wwprice"))).alias("max_price_per_pdt"),
-        F.coalesce(F.sum(F.when(hist, F.col("qty"))), F.lit(0)).cast("bigint").alias("qty_pdt_full_hist"),
-    ]
-    g = x.groupBy("client_id", "date_target").agg(*aggs).filter(F.col("nb_trs_full_hist") > 0)
-    # set-valued history (distinct dates, list columns) in the incremental
-    # as-of form: sets per (client, first snapshot that sees the event), then
-    # unioned per snapshot - no set is built over the expanded rows
-    from panelscope.operators.features import asof_set_union
+    h = client_history(trs_df, panel_timeline(dates), distinct_articles=False, gaps=True)
+    # list columns: sets per (client, first snapshot that sees the event), then
+    # unioned per snapshot
     sets = asof_set_union(trs_df, [_d(v) for v in dates], "client_id", {
-        "_tdates": F.col("trs_date"), "_dates": F.col("ship_date"),
-        "_repairs": F.when(F.col("trs_categ") == "Repair", F.col("categ"))})
-    g = g.join(sets, ["client_id", "date_target"], "left").withColumn(
-        "_n_dates", F.size("_tdates"))
+        "_dates": F.col("ship_date"), "_repairs": F.when(F.col("trs_categ") == "Repair", F.col("categ"))})
+    g = h.join(sets, ["client_id", "date_target"], "left")
     cid = F.col("client_id").cast("bigint")
     dates_list = F.concat_ws(",", F.col("_dates").cast("array<string>"))
     # inject unparsable and blank list elements for some clients (edge cases)
@@ -234,33 +217,21 @@ def panel(t, spark: SparkSession, trs_df: DataFrame | None = None,
                    .when(cid % 11 == 0, F.concat(dates_list, F.lit(", ")))
                    .otherwise(dates_list))
     g = g.select(
-        "client_id", "date_target", *TARGET_HORIZONS_MONTHS.keys(),
-        months_between_int(s, F.col("_first")).alias("seniority"),
-        months_between_int(s, F.col("_last")).alias("recency"),
-        "to_full_hist", "to_past_1y", "to_past_1y_2y", "to_btq", "to_web", "to_crc",
-        "nb_trs_full_hist", "nb_trs_btq", "nb_trs_web", "nb_trs_crc",
-        "stddev_price",
-        F.when(F.col("_n_dates") >= 2,
-               F.datediff(F.col("_last"), F.col("_first")).cast("double")
-               / (F.col("_n_dates") - 1).cast("double")).alias("avg_timelapse_trs"),
-        "max_price_per_pdt", "qty_pdt_full_hist",
-        dates_list.alias("all_purchased_dates"),
-        F.when(F.size("_repairs") > 0, F.concat_ws(",", F.col("_repairs")))
-         .alias("all_repair_pdt_categ"),
-    )
-    cl = clients_df.select("client_id", "birth_date", "gender", "country_of_residency",
-                           "residency_market")
-    out = g.join(cl, "client_id", "left")
-    age = F.floor(F.datediff(s, F.col("birth_date")) / F.lit(365.25)).cast("double")
-    return out.select(
-        "client_id", "date_target", *TARGET_HORIZONS_MONTHS.keys(),
-        age.alias("age"), "seniority", "recency",
-        F.col("country_of_residency").alias("residency_country"), "gender", "residency_market",
-        "to_full_hist", "to_past_1y", "to_past_1y_2y", "to_btq", "to_web", "to_crc",
-        "nb_trs_full_hist", "nb_trs_btq", "nb_trs_web", "nb_trs_crc",
-        "stddev_price", "avg_timelapse_trs", "max_price_per_pdt", "qty_pdt_full_hist",
-        "all_purchased_dates", "all_repair_pdt_categ",
-    )
+        "client_id", "date_target", *panel_measures(), dates_list.alias("all_purchased_dates"),
+        F.when(F.size("_repairs") > 0, F.concat_ws(",", F.col("_repairs"))).alias("all_repair_pdt_categ"))
+    return with_client(g, clients_df).select(*PANEL_COLUMNS)
+
+
+def panel_with_features(trs_df: DataFrame, clients_df: DataFrame, articles_df: DataFrame,
+                        dates=SNAPSHOT_DATES) -> DataFrame:
+    """The panel but for its list columns (``repairs_known`` says whether the
+    repair list holds anything), with the client's event and article features,
+    all from one state."""
+    from panelscope.operators.features import articles_from, client_history, rfm_from
+    h = client_history(trs_df, panel_timeline(dates), articles_df, gaps=True)
+    g = h.select("client_id", "date_target", *panel_measures(), *rfm_from(), *articles_from(),
+                 F.when(F.col("n_repair") > 0, F.lit(1)).alias("repairs_known"))
+    return with_client(g, clients_df)
 
 
 def scored(panel_df: DataFrame, snapshot: str = TEST_SNAPSHOT) -> DataFrame:
