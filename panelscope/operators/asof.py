@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 INTERVAL = "_interval"
 
@@ -69,20 +68,26 @@ class Timeline:
                 "array(" + ", ".join(map(str, ahead)) + ")")
 
 
-def first_seen(tagged: DataFrame, key: str, item: str, name: str) -> DataFrame:
-    """State of a distinct count: each (key, item) counts in its first interval."""
-    first = tagged.filter(F.col(item).isNotNull()).groupBy(key, item).agg(F.min(INTERVAL).alias(INTERVAL))
-    return first.groupBy(key, INTERVAL).agg(F.count(F.lit(1)).alias(name))
-
-
-def day_gaps(tagged: DataFrame, key: str, date_col: str, days: str, squares: str) -> DataFrame:
-    """State of the gaps between a key's consecutive event days: number of
-    days and sum of squared gaps, each in the interval of the later day. The
-    window runs over calendar days, never over a key's raw events."""
-    per_day = tagged.groupBy(key, date_col, INTERVAL).agg(F.count(F.lit(1)).alias("_n"))
-    gap = F.datediff(F.col(date_col), F.lag(date_col).over(Window.partitionBy(key).orderBy(date_col))).cast("long")
-    return per_day.select(key, INTERVAL, gap.alias("_gap")).groupBy(key, INTERVAL).agg(
-        F.count(F.lit(1)).alias(days), F.sum(F.col("_gap") * F.col("_gap")).alias(squares))
+def first_seen(tagged: DataFrame, key: str, items: dict[str, str], day: str | None = None,
+               squares: str = "gap_sq") -> DataFrame:
+    """State of distinct counts: each (key, item) counts in its first interval,
+    as the column that ``items`` names for the item's column. All items come
+    from one pass (grouping sets). For the item ``day``, the squared gaps
+    between a key's consecutive days are summed as well, each in the interval of
+    the later day; that window runs over distinct days, never over raw events."""
+    sets = tagged.groupingSets([[key, c] for c in items], key, *items).agg(
+        F.min(INTERVAL).alias(INTERVAL), *[F.grouping(c).alias(f"_g_{c}") for c in items])
+    kind = "CASE " + " ".join(f"WHEN _g_{c} = 0 AND `{c}` IS NOT NULL THEN {i}" for i, c in enumerate(items)) + " END"
+    first = sets.selectExpr(f"`{key}`", INTERVAL, f"{kind} AS _kind", *([f"`{day}` AS _day"] if day else [])) \
+        .filter("_kind IS NOT NULL")
+    counts = [f"count_if(_kind = {i}) AS `{n}`" for i, n in enumerate(items.values())]
+    if day is None:
+        return first.groupBy(key, INTERVAL).agg(*[F.expr(c) for c in counts])
+    gap = f"CAST(datediff(_day, lag(_day) OVER (PARTITION BY `{key}` ORDER BY _kind, _day)) AS BIGINT)"
+    which = list(items).index(day)
+    # days alone have a day, so that a lag into another kind is null
+    return first.selectExpr(f"`{key}`", INTERVAL, "_kind", f"CASE WHEN _kind = {which} THEN {gap} END AS _gap") \
+        .groupBy(key, INTERVAL).agg(*[F.expr(c) for c in counts], F.expr(f"sum(_gap * _gap) AS `{squares}`"))
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:

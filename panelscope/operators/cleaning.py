@@ -186,20 +186,24 @@ def union_distinct_ids(*dfs: DataFrame, key: str = "client_id") -> DataFrame:
     return out.filter(F.col(key).isNotNull()).distinct()
 
 
-def supplementary_features(clients_clean: DataFrame, crc_clean: DataFrame,
-                           ccp_clean: DataFrame) -> DataFrame:
-    """Every known client id with contact, registration and client
-    flags; clients absent from a table get 0 counts/flags."""
-    ids = union_distinct_ids(crc_clean, ccp_clean, clients_clean)
+def client_flags(clients: DataFrame, crc_clean: DataFrame, ccp_clean: DataFrame) -> DataFrame:
+    """Every known client id with contact and registration flags; clients
+    absent from a table get 0 counts/flags."""
+    ids = union_distinct_ids(crc_clean, ccp_clean, clients)
     out = (ids.join(contact_features(crc_clean), "client_id", "left")
-              .join(registration_features(ccp_clean), "client_id", "left")
-              .join(clients_clean.select("client_id", "birth_date_valid", "purchase_date_anomaly"),
-                    "client_id", "left"))
+              .join(registration_features(ccp_clean), "client_id", "left"))
     zero = ["has_crc_interaction", "has_clienteling", "n_crc_interactions",
             "has_ccp", "has_gift_registered", "n_ccp_products"]
     return out.fillna(0, subset=zero)
 
 
+def supplementary_features(clients_clean: DataFrame, crc_clean: DataFrame,
+                           ccp_clean: DataFrame) -> DataFrame:
+    """``client_flags`` with the flags of the client's own row."""
+    return client_flags(clients_clean, crc_clean, ccp_clean).join(
+        clients_clean.select("client_id", "birth_date_valid", "purchase_date_anomaly"), "client_id", "left")
+
+
 def client_totals_v1(events: DataFrame, crc_df: DataFrame, ccp_df: DataFrame) -> DataFrame:
     """A12 / J13 parts: per-client totals without an as-of cut (early variant)."""
     ev = events.groupBy("client_id").agg(

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from panelscope import constants as K
 from panelscope.functions.exprs import CENTS, UNITS, UNITS_MEAN, count_where, money_mean, money_total, ratio
-from panelscope.operators.asof import INTERVAL, Timeline, day_gaps, first_seen, merged, windows_of
+from panelscope.operators.asof import INTERVAL, Timeline, first_seen, merged, windows_of
 
 KEYS = ("client_id", "date_target")
 
@@ -92,10 +92,10 @@ def timeline_of(dates, recent_years: int = K.RECENT_YEARS, prior_years: int = K.
                                   **{n: (0, m) for n, m in (horizons or {}).items()}})
 
 
-def event_state(tagged: DataFrame) -> DataFrame:
-    """Additive measures of a client's events per interval (money in 1/10000 units)."""
+def event_measures(columns: list[str]) -> dict[str, str]:
+    """Additive measures of a client's events (money in 1/10000 units)."""
     units = UNITS.format("spend")
-    measures = {
+    return {
         "n": "count(trs_date)", "n_spend": "count(spend)", "units": f"sum({units})",
         "units_sq": f"sum(CAST({units} AS DECIMAL(38,0)) * CAST({units} AS DECIMAL(38,0)))",
         **{f"units_{c}": f"sum(CASE WHEN channel = '{c}' THEN {units} END)" for c in K.CHANNELS},
@@ -104,9 +104,17 @@ def event_state(tagged: DataFrame) -> DataFrame:
         "n_holiday": f"count_if(month(trs_date) IN {K.HOLIDAY_MONTHS})",
         "he": "sum(CAST(flag_he AS BIGINT))", "n_he": "count(flag_he)",
         "first": "min(trs_date)", "last": "max(trs_date)", "max_spend": "max(spend)",
-        **({"qty": "sum(qty)"} if "qty" in tagged.columns else {}),
-        **({"max_wwprice": "max(wwprice)"} if "wwprice" in tagged.columns else {})}
-    return tagged.groupBy("client_id", INTERVAL).agg(*[F.expr(f"{e} AS `{n}`") for n, e in measures.items()])
+        **({"qty": "sum(qty)"} if "qty" in columns else {}),
+        **({"max_wwprice": "max(wwprice)"} if "wwprice" in columns else {})}
+
+
+def article_measures() -> dict[str, str]:
+    """Additive measures of the articles that a client bought."""
+    return {
+        "n_sales": f"count_if(trs_categ = '{K.SALE}')", "price_units": f"sum({UNITS.format('world_price')})",
+        "n_price": "count(world_price)", "max_price": "max(world_price)",
+        **{f"sum_{c}": f"sum(CAST(art_{c} AS BIGINT))" for c in K.ARTICLE_FLAGS},
+        **{f"n_{c}": f"count(art_{c})" for c in K.ARTICLE_FLAGS}}
 
 
 _HISTORY = ("n", "n_spend", "units", "units_sq", *[f"units_{c}" for c in K.CHANNELS], *[f"n_{c}" for c in K.CHANNELS],
@@ -117,20 +125,24 @@ _HISTORY = ("n", "n_spend", "units", "units_sq", *[f"units_{c}" for c in K.CHANN
 def client_history(events: DataFrame, timeline: Timeline, articles: DataFrame | None = None,
                    distinct_articles: bool = True, gaps: bool = False, with_events: bool = True) -> DataFrame:
     """Everything that A1-A8, F18, W1 and the panel know of a client as of each
-    snapshot, from one state per (client, interval); columns that nobody asks
-    for are pruned from it."""
-    tagged = timeline.tagged(events, "trs_date")
-    parts = []
+    snapshot, from one state per (client, interval): one pass for the additive
+    measures and one for what is counted once; columns that nobody asks for
+    are pruned from both."""
+    tagged = timeline.tagged(events if with_events else events.filter(F.col("trs_categ") == K.SALE), "trs_date")
+    measures, items = {}, {}
     if with_events:
-        parts.append(event_state(tagged))
+        measures |= event_measures(tagged.columns)
         if distinct_articles:
-            parts.append(first_seen(tagged, "client_id", "article_id", "n_articles"))
+            items["article_id"] = "n_articles"
         if gaps:
-            parts.append(day_gaps(tagged, "client_id", "trs_date", "n_days", "gap_sq"))
+            items["trs_date"] = "n_days"
     if articles is not None:
-        sales = with_dimension(tagged.filter(F.col("trs_categ") == K.SALE)
-                               .select("client_id", INTERVAL, "article_id"), articles)
-        parts += [article_state(sales), first_seen(sales, "client_id", "product_category", "n_categories")]
+        tagged = with_dimension(tagged, articles)
+        measures |= article_measures()
+        items["product_category"] = "n_categories"
+    parts = [tagged.groupBy("client_id", INTERVAL).agg(*[F.expr(f"{e} AS `{n}`") for n, e in measures.items()])]
+    if items:
+        parts.append(first_seen(tagged, "client_id", items, "trs_date" if gaps else None))
     state = merged(parts)
     sums = {c: (c, "hist") for c in _HISTORY if c in state.columns}
     if with_events:
@@ -244,25 +256,19 @@ def avg_gap_lag_form(events: DataFrame, snaps: DataFrame, upper_bound=None) -> D
                     .otherwise(F.lit(0.0)).alias("avg_days_between_trs"))
 
 
-def with_dimension(sales: DataFrame, articles: DataFrame) -> DataFrame:
-    """Sales with their article's columns, orphans kept with nulls. An
-    article id that occurs twice would repeat sales: the job fails instead (J11).
+def with_dimension(events: DataFrame, articles: DataFrame) -> DataFrame:
+    """Events with their article's columns; orphans, and events that are no
+    sales, are kept with nulls. An article id that occurs twice would repeat
+    sales: the job fails instead (J11).
 
     Spark broadcasts the dimension only when its measured size is under
     ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and
     falls back to a sort-merge join otherwise."""
-    art = articles.select("article_id", F.col("world_price"), F.col("product_category"),
-                          *[F.col(c).alias(f"art_{c}") for c in K.ARTICLE_FLAGS])
-    return sales.join(one_row_per_key(art, ["article_id"]), "article_id", "left")
-
-
-def article_state(sales: DataFrame) -> DataFrame:
-    """Additive measures of the articles that a client bought, per interval."""
-    return sales.groupBy("client_id", INTERVAL).agg(*[F.expr(f"{e} AS {n}") for n, e in {
-        "n_sales": "count(1)", "price_units": f"sum({UNITS.format('world_price')})", "n_price": "count(world_price)",
-        "max_price": "max(world_price)",
-        **{f"sum_{c}": f"sum(CAST(art_{c} AS BIGINT))" for c in K.ARTICLE_FLAGS},
-        **{f"n_{c}": f"count(art_{c})" for c in K.ARTICLE_FLAGS}}.items()])
+    art = one_row_per_key(articles.select(
+        "article_id", "world_price", "product_category", *[F.col(c).alias(f"art_{c}") for c in K.ARTICLE_FLAGS]),
+        ["article_id"]).withColumnRenamed("article_id", "_dim_id")
+    return events.join(art, (F.col("article_id") == F.col("_dim_id")) & (F.col("trs_categ") == K.SALE),
+                       "left").drop("_dim_id")
 
 
 def articles_from() -> list[Column]:
@@ -283,7 +289,7 @@ def article_features(events: DataFrame, articles: DataFrame, snaps: DataFrame,
     if dates is not None:
         h = client_history(events, Timeline(list(dates), {"hist": (None, 0)}), articles, with_events=False)
         return h.select(*KEYS, *articles_from())
-    sales = events.filter(F.col("trs_categ") == K.SALE).select("client_id", "trs_date", "article_id")
+    sales = events.filter(F.col("trs_categ") == K.SALE).select("client_id", "trs_date", "article_id", "trs_categ")
     x = asof_expand(with_dimension(sales, articles), snaps, upper_bound=upper_bound)
     return x.groupBy(*KEYS).agg(
         money_mean("world_price", fixed=True).alias("avg_article_world_price"),

@@ -1,32 +1,21 @@
 """Feature screening and selection: A50-A54, V2, V3, V6.
 
 Per-column statistics for every feature are computed in ONE aggregation
-and unpivoted; the pairwise correlation matrix is one aggregation with one
-covariance per pair (standard deviations are shared across pairs whenever a
-column has no nulls, so the pairwise-complete rule costs nothing extra).
+and unpivoted; correlations come from a masked Gram matrix (``gram``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope import constants as K
-from panelscope.functions.exprs import flag, fround, guarded_corr
-from panelscope.operators.quality import rows_from
-
-
-def _corr(a: str, b: str, nullable: set, digits: int = 9) -> Column:
-    if a in nullable or b in nullable:
-        return guarded_corr(a, b, digits)
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    den = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.round(F.try_divide(F.covar_pop(x, y), F.when(den > 0, den)), digits)
+from panelscope.operators.gram import correlations
 
 
 def nullable_columns(df: DataFrame, cols: list[str]) -> set:
     """Columns that actually hold nulls (one bounded metadata row)."""
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    row = df.agg(*[F.expr(f"count_if(`{c}` IS NULL) AS `{c}`") for c in cols]).first()
     return {c for c in cols if row[c]}
 
 
@@ -34,53 +23,32 @@ def corr_with_target(df: DataFrame, features: list[str], target: str,
                      families: dict[str, str]) -> DataFrame:
     """|Pearson r| of every feature with the target (pairwise complete,
     null for constant columns), with the feature family."""
-    # one pass: every pair uses the pairwise-complete (masked) form
-    row = df.agg(*[guarded_corr(f, target).alias(f"r{i}") for i, f in enumerate(features)])
-    return rows_from(row, [[F.lit(f).alias("feature"), F.abs(F.col(f"r{i}")).alias("abs_corr"),
-                            F.lit(families.get(f, "Other")).alias("family")]
-                           for i, f in enumerate(features)])
-
-
-def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = K.HIGH_CORRELATION,
-                    chunk: int = 256) -> DataFrame:
-    """All feature pairs with |r| > threshold, full data (no sample).
+    found = correlations(df, features, [target]).select(F.col("left").alias("feature"), "r")
+    # one row a feature: the list of features, not data
+    named = df.sparkSession.createDataFrame([(f, families.get(f, "Other")) for f in features],
+                                            "feature string, family string")
+    return named.join(found, "feature", "left").select("feature", F.round(F.abs("r"), 9).alias("abs_corr"), "family")
 
-    The numeric features are written once to the checkpoint folder (they
-    feed several passes); pairs are then evaluated in chunks of ``chunk``
-    covariances per aggregation, which keeps every aggregation compact enough
-    for whole-stage code generation."""
-    from functools import reduce
 
-    from panelscope.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    base = df.select(*[F.col(f).cast("double").alias(f) for f in features]).checkpoint(eager=True)
-    nul = nullable_columns(base, features)
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        part = pairs[start:start + chunk]
-        row = base.agg(*[_corr(a, b, nul).alias(f"p{i}") for i, (a, b) in enumerate(part)])
-        parts.append(rows_from(row, [[F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                                      F.abs(F.col(f"p{i}")).alias("abs_corr")]
-                                     for i, (a, b) in enumerate(part)]))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.filter(F.col("abs_corr") > threshold)
+def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = K.HIGH_CORRELATION) -> DataFrame:
+    """All feature pairs with |r| > threshold (compared unrounded), full
+    data (no sample), any number of features in one pass."""
+    return correlations(df, features).filter(F.abs("r") > threshold).select(
+        F.col("left").alias("feature_1"), F.col("right").alias("feature_2"),
+        F.round(F.abs("r"), 9).alias("abs_corr"))
 
 
 def column_profile(df: DataFrame, features: list[str], numeric: list[str]) -> DataFrame:
     """Per column: share of zeros (null = non-zero, non-numeric = 0), share
     of nulls, sample std - one pass over the table."""
-    aggs = []
-    for f in features:
-        aggs.append(F.avg(flag(F.col(f) == 0)).alias(f"z_{f}") if f in numeric
-                    else F.lit(0.0).alias(f"z_{f}"))
-        aggs.append(F.avg(F.col(f).isNull().cast("int")).alias(f"m_{f}"))
-        aggs.append(fround(F.stddev_samp(F.col(f))).alias(f"s_{f}") if f in numeric
-                    else F.lit(None).cast("double").alias(f"s_{f}"))
-    row = df.agg(*aggs)
-    return rows_from(row, [[F.lit(f).alias("feature"), F.col(f"z_{f}").alias("pct_zero"),
-                            F.col(f"m_{f}").alias("pct_missing"), F.col(f"s_{f}").alias("std")]
-                           for f in features])
+    number = set(numeric)
+    measured = [(f"avg(CAST(coalesce(`{f}` = 0, false) AS INT))", f"round(stddev_samp(`{f}`), 6)") if f in number
+                else ("0D", "CAST(NULL AS DOUBLE)") for f in features]
+    row = df.agg(*[F.expr(e) for i, (f, (zero, std)) in enumerate(zip(features, measured)) for e in (
+        f"{zero} AS z{i}", f"avg(CAST(`{f}` IS NULL AS INT)) AS m{i}", f"{std} AS s{i}")])
+    rows = ", ".join(f"named_struct('feature', {f!r}, 'pct_zero', z{i}, 'pct_missing', m{i}, 'std', s{i})"
+                     for i, f in enumerate(features))
+    return row.selectExpr(f"inline(array({rows}))")
 
 
 def selection_decisions(profile: DataFrame, rfm_duplicates, known_near_zero, keep,

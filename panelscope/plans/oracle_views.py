@@ -28,11 +28,12 @@ def ratio(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
 
 
-def corr(x: str, y: str, digits: int = 9) -> str:
+def corr(x: str, y: str, digits: int | None = 9) -> str:
     xm = f"CASE WHEN ({x}) IS NOT NULL AND ({y}) IS NOT NULL THEN CAST({x} AS DOUBLE) END"
     ym = f"CASE WHEN ({x}) IS NOT NULL AND ({y}) IS NOT NULL THEN CAST({y} AS DOUBLE) END"
     den = f"(stddev_pop({xm}) * stddev_pop({ym}))"
-    return f"round(covar_pop({xm}, {ym}) / CASE WHEN {den} > 0 THEN {den} END, {digits})"
+    r = f"covar_pop({xm}, {ym}) / CASE WHEN {den} > 0 THEN {den} END"
+    return r if digits is None else f"round({r}, {digits})"
 
 
 def months(end: str, start: str) -> str:

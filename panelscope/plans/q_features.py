@@ -90,9 +90,9 @@ def _master(c: Ctx):
     if "master" not in c._cache:
         from panelscope.operators.cleaning import clean_panel
         from panelscope.sources import views as V
-        wide = clean_panel(V.panel_with_features(c.trs, c.clients, c.articles), repairs="repairs_known")
+        wide = clean_panel(V.panel_with_features(c.trs, c.client_dimension, c.articles), repairs="repairs_known")
         c._cache["master"] = FE.build_master_from(
-            wide, [*V.PANEL_COLUMNS, "age_known", "has_multiple_purchases", "has_repair_history"], c.supp)
+            wide, [*V.PANEL_COLUMNS, "age_known", "has_multiple_purchases", "has_repair_history"], c.client_flags)
     return c._cache["master"]
 
 

@@ -50,14 +50,14 @@ def corr_with_target(c: Ctx):
 
 def _pairs_sql() -> str:
     pairs = [(a, b) for i, a in enumerate(NUM_FEATURES) for b in NUM_FEATURES[i + 1:]]
-    cols = ", ".join(f"abs({scorr(a, b)}) AS p{i}" for i, (a, b) in enumerate(pairs))
+    cols = ", ".join(f"abs({scorr(a, b, None)}) AS p{i}" for i, (a, b) in enumerate(pairs))
     unp = ", ".join(f"p{i}" for i in range(len(pairs)))
     case_a = " ".join(f"WHEN 'p{i}' THEN '{a}'" for i, (a, _) in enumerate(pairs))
     case_b = " ".join(f"WHEN 'p{i}' THEN '{b}'" for i, (_, b) in enumerate(pairs))
     return f"""
 WITH r AS (SELECT {cols} FROM {_TRAIN} t),
 u AS (SELECT k, v FROM r UNPIVOT (v FOR k IN ({unp})))
-SELECT CASE k {case_a} END AS feature_1, CASE k {case_b} END AS feature_2, v AS abs_corr
+SELECT CASE k {case_a} END AS feature_1, CASE k {case_b} END AS feature_2, round(v, 9) AS abs_corr
 FROM u WHERE v > 0.95"""
 
 

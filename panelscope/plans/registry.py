@@ -38,6 +38,10 @@ class Ctx:
     def clients(self) -> DataFrame:
         return V.clients(self.t, self.trs)
 
+    @cached_property
+    def client_dimension(self) -> DataFrame:
+        return V.client_dimension(self.t)
+
     @cached_property
     def crc(self) -> DataFrame:
         return V.crc(self.t)
@@ -52,7 +56,7 @@ class Ctx:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return V.panel(self.t, self.spark, self.trs, self.clients)
+        return V.panel(self.t, self.spark, self.trs, self.client_dimension)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -93,6 +97,11 @@ class Ctx:
         from panelscope.operators.cleaning import supplementary_features
         return supplementary_features(self.clean_clients, self.clean_crc, self.clean_ccp)
 
+    @cached_property
+    def client_flags(self) -> DataFrame:
+        from panelscope.operators.cleaning import client_flags
+        return client_flags(self.client_dimension, self.clean_crc, self.clean_ccp)
+
     @property
     def snapshot_dates(self) -> list[dt.date]:
         return [dt.date.fromisoformat(d) for d in V.SNAPSHOT_DATES]

@@ -102,6 +102,11 @@ def clients(t, trs_df: DataFrame | None = None) -> DataFrame:
     firsts = trs_df.groupBy("client_id").agg(
         F.min("trs_date").alias("first_purchase_date"),
         F.min("ship_date").alias("first_transaction_date"))
+    return client_dimension(t).join(firsts, "client_id", "left")
+
+
+def client_dimension(t) -> DataFrame:
+    """What is known of a client without a look at transactions."""
     c = t["customer"].select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = t["nation"].select("n_nationkey", "n_name", "n_regionkey")
     r = t["region"].select("r_regionkey", "r_name")
@@ -109,7 +114,7 @@ def clients(t, trs_df: DataFrame | None = None) -> DataFrame:
     base = (c.join(n, c.c_nationkey == n.n_nationkey, "left")
              .join(r, F.col("n_regionkey") == r.r_regionkey, "left"))
     seg = F.col("c_mktsegment")
-    out = base.select(
+    return base.select(
         client_key(key).alias("client_id"),
         F.when(key % 3 == 0, F.lit(None).cast("date"))
          .otherwise(F.date_add(F.lit(_d("1880-01-01")), ((key * 7919) % 55000).cast("int")))
@@ -122,7 +127,6 @@ def clients(t, trs_df: DataFrame | None = None) -> DataFrame:
         (F.col("c_acctbal") > 0).alias("can_be_contacted"),
         F.when(key % 2 == 0, "Boutique").otherwise("Web").alias("creation_channel"),
     )
-    return out.join(firsts, "client_id", "left")
 
 
 def crc(t) -> DataFrame:
@@ -203,7 +207,7 @@ def panel(t, spark: SparkSession, trs_df: DataFrame | None = None,
     """
     from panelscope.operators.features import asof_set_union, client_history
     trs_df = trs_df if trs_df is not None else trs(t)
-    clients_df = clients_df if clients_df is not None else clients(t, trs_df)
+    clients_df = clients_df if clients_df is not None else client_dimension(t)
     h = client_history(trs_df, panel_timeline(dates), distinct_articles=False, gaps=True)
     # list columns: sets per (client, first snapshot that sees the event), then
     # unioned per snapshot
