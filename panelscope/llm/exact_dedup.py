@@ -4,12 +4,14 @@ A text (A-Z lower-cased, UTF-8) is cut into chunks; each chunk is hashed on
 its own as a polynomial over several primes, and chunk hashes combine by
 length-shifted arithmetic, ``h(xy) = h(x) * r**len(y) + h(y)``. Rows with
 equal fingerprint and length form a group, and each member is then compared
-chunk by chunk with the row that stays; a member that differs anywhere (a
+chunk by chunk with the group's head; a member that differs anywhere (a
 fingerprint collision) leaves the group and is grouped by its digest.
 
-Groups are never gathered: sizes and survivors are aggregates, and the
-comparison is an equi-join on (fingerprint, chunk number), whose large keys
-Spark splits.
+Groups are never gathered: sizes and survivors are aggregates, chunks of
+groups of one are left out by the join that fetches the others, and the
+comparison is an equi-join on (fingerprint, chunk number). Both joins are dealt
+by a key more than their aggregates (``join_dealt``), so that Spark can split
+a large group over tasks.
 
 Defined results: a null text equals an empty one; of rows that repeat both
 id and text one is kept; a null doc_id is smaller than any other; an empty
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelscope.llm.batches import lower_table, text_slices
-from panelscope.llm.layout import cut, join_dealt, unused
+from panelscope.llm.layout import cut, join_dealt, raw_key, unused
 
 #: Primes below 2**31 (products of residues fit 64 bits) and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -124,28 +126,24 @@ def fingerprints(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
              "text_sha256 string, raw_key long")
 
 
-def raw_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
            primes: tuple[int, ...] = PRIMES) -> DataFrame:
-    """doc_id, fp_a, fp_b, n_bytes, chunk_no, chunk of every row."""
+    """doc_id, raw_key, fp_a, fp_b, n_bytes, chunk_no, chunk of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = chunk_powers(chunk_bytes, primes)
         for batch in batches:
             for t, low, doc, start, end, fp_a, fp_b in _batches(batch, chunk_bytes, primes, powers):
                 raw = low.tobytes()
-                first = np.searchsorted(doc, np.arange(len(t)))
+                first, row = np.searchsorted(doc, np.arange(len(t))), pa.array(t.lo + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(t.lo + doc)), pa.array(fp_a[doc]),
+                    [batch.column("doc_id").take(row), batch.column("raw_key").take(row), pa.array(fp_a[doc]),
                      pa.array(fp_b[doc]), pa.array(t.sizes[doc]),
                      pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)),
                      pa.array([raw[a:b] for a, b in zip(start, end)], pa.binary())],
-                    names=["doc_id", *_FP, "chunk_no", "chunk"])
+                    names=["doc_id", "raw_key", *_FP, "chunk_no", "chunk"])
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {_id_type(documents)}, fp_a long, fp_b long, n_bytes long, "
+    return documents.select("doc_id", "text", raw_key().alias("raw_key")).mapInArrow(
+        run, f"doc_id {_id_type(documents)}, raw_key long, fp_a long, fp_b long, n_bytes long, "
              "chunk_no int, chunk binary")
 
 
@@ -167,14 +165,16 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
 
 def colliding(documents: DataFrame, rows: DataFrame, chunk_bytes: int,
               primes: tuple[int, ...]) -> DataFrame:
-    """Ids and fingerprints of members that differ from their group's kept row."""
-    groups = _group(rows, _FP).filter("group_size > 1")
-    parts = chunks(documents, chunk_bytes, primes)
-    kept = parts.join(groups.select(*_FP, F.col("keep_id").alias("doc_id")), [*_FP, "doc_id"])
-    kept = kept.groupBy(*_FP, "chunk_no").agg(F.max("chunk").alias("kept_chunk"))
-    compared = parts.join(kept, [*_FP, "chunk_no"])
-    return (compared.filter(F.col("chunk") != F.col("kept_chunk"))
-            .select("doc_id", *_FP).distinct())
+    """Ids, text keys and fingerprints of members that differ from their
+    group's head, its row with the largest id (and text key)."""
+    heads = rows.groupBy(*_FP).agg(F.max(F.struct("doc_id", "raw_key")).alias("head"), F.count(F.lit(1)).alias("c")) \
+        .filter("c > 1").select(*_FP, F.col("head.doc_id").alias("head_id"), F.col("head.raw_key").alias("head_key"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("raw_key") == F.col("head_key"))
+    members = cut(join_dealt(chunks(documents, chunk_bytes, primes), heads, _FP)
+                  .withColumn("is_head", is_head).drop("head_id", "head_key"))
+    kept = members.filter("is_head").groupBy(*_FP, "chunk_no").agg(F.max("chunk").alias("kept_chunk"))
+    compared = join_dealt(members.filter("NOT is_head"), kept, [*_FP, "chunk_no"])
+    return compared.filter(F.col("chunk") != F.col("kept_chunk")).select("doc_id", "raw_key", *_FP).distinct()
 
 
 def exact_groups(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
@@ -182,7 +182,7 @@ def exact_groups(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
     """doc_id, keep_id, group_size, kept, text_sha256, raw_key of every row."""
     rows = cut(fingerprints(documents, chunk_bytes, primes))
     out = colliding(documents, rows, chunk_bytes, primes).withColumn("apart", F.lit(True))
-    marked = rows.join(out, _same(rows, out, ["doc_id", *_FP]), "left").select(
+    marked = rows.join(out, _same(rows, out, ["doc_id", "raw_key", *_FP]), "left").select(
         *[rows[c] for c in rows.columns],
         F.when(out["apart"], rows["text_sha256"]).otherwise(F.lit("")).alias("apart_key"))
     key = [*_FP, "apart_key"]
@@ -196,10 +196,15 @@ def exact_groups(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES,
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, with all its columns."""
-    kept = exact_groups(documents).filter("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("raw_key").alias("kept_key"))
-    key = unused(documents, "row_key")
+    """One row of each group of equal texts, with all its columns. Texts are
+    shuffled once; only rows that repeat id and text are once more, to drop
+    the repetitions."""
+    groups = cut(exact_groups(documents).select("doc_id", "raw_key", "kept"))
+    key, id_, flag = (unused(documents, n) for n in ("row_key", "kept_id", "again"))
+    rows = groups.groupBy("doc_id", "raw_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")) \
+        .filter("kept").select(F.col("doc_id").alias(id_), F.col("raw_key").alias(key), (F.col("n") > 1).alias(flag))
     keyed = documents.withColumn(key, raw_key())
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed[key] == kept["kept_key"]),
-                      "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    found = keyed.join(rows, keyed["doc_id"].eqNullSafe(rows[id_]) & (keyed[key] == rows[key])).select(
+        *[keyed[c] for c in keyed.columns], flag)
+    once = found.filter(~F.col(flag))
+    return once.unionByName(found.filter(F.col(flag)).dropDuplicates(["doc_id", key])).drop(key, flag)

@@ -47,6 +47,11 @@ def numbered(df: DataFrame, group: list[str], order: list[str], n_parts: int, ou
             .select(*df.columns, out))
 
 
+def raw_key() -> Column:
+    """A hash of the text as it is; with the id it finds a row's text again."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
