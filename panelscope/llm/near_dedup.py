@@ -21,10 +21,15 @@ Only links that join components matter to the result.
 With 32 bands of 4 registers a pair at the threshold is missed with
 probability of about 6e-11 at 85 % and 5e-8 at 80 %; the estimate rejects only beyond 6 standard errors.
 
+Classes go by their sets' identity, numbered by their first row, whatever the
+ids of their rows; a component's smallest id is found last.
+
 Defined results: a text without words has an empty set, no links and itself as
 component; with 1-4 words the whole sequence is its one shingle; null texts
-count as empty; repeated rows share a class; an empty table gives no rows;
-other columns are ignored.
+count as empty; repeated rows share a class; an id with several texts is a row
+each, linked by its own text; a null id is larger than any other, and in a
+component of null ids alone the rows of one text are kept; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelscope.llm.batches import Powers, mix, text_slices, window_hashes, words_of
-from panelscope.llm.layout import cut, join_dealt
+from panelscope.llm.layout import cut, join_dealt, raw_key
 
 SHINGLE_WORDS = 5
 REGISTER_BITS = 7
@@ -163,7 +168,7 @@ def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
 # --- Spark steps ------------------------------------------------------------
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n, set_a, set_b (identity of the set), regs, bands."""
+    """doc_id, raw_key, n, set_a, set_b (identity of the set), regs, bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, order = Powers(), lenders()
         for batch in batches:
@@ -177,16 +182,16 @@ def sketches(documents: DataFrame) -> DataFrame:
                 keys = band_keys(filled_up(regs, filled, order))
                 width = keys.shape[1]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(t.lo, len(t)), pa.array(n),
+                    *[batch.column(c).slice(t.lo, len(t)) for c in ("doc_id", "raw_key")], pa.array(n),
                     *[pa.array((x[off[1:]] - x[off[:-1]]).view(np.int64)) for x in total],
                     _rows_as_binary(regs.tobytes(), len(t)),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(len(t) + 1, dtype=np.int32) * width),
                         pa.array(keys.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "n", "set_a", "set_b", "regs", "bands"])
+                    names=["doc_id", "raw_key", "n", "set_a", "set_b", "regs", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {_id_type(documents)}, n long, set_a long, set_b long, regs binary, "
+    return documents.select("doc_id", "text", raw_key().alias("raw_key")).mapInArrow(
+        run, f"doc_id {_id_type(documents)}, raw_key long, n long, set_a long, set_b long, regs binary, "
              "bands array<long>")
 
 
@@ -196,20 +201,19 @@ def _rows_as_binary(data: bytes, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, off, pa.py_buffer(data)])
 
 
-def full_sets(documents: DataFrame) -> DataFrame:
-    """doc_id, set (ascending 64-bit hashes as bytes)."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """cls, set (ascending 64-bit hashes as bytes) of cls, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             for t in text_slices(batch.column("text")):
                 h, off = shingle_sets(t, powers)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(t.lo, len(t)),
+                    [batch.column("cls").slice(t.lo, len(t)),
                      pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())],
-                    names=["doc_id", "set"])
+                    names=["cls", "set"])
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {_id_type(documents)}, set binary")
+    return texts.select("cls", "text").mapInArrow(run, "cls long, set binary")
 
 
 def members_of(sets: DataFrame) -> DataFrame:
@@ -285,7 +289,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not large:
             hood = hood.filter("v < u")
         least = hood.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = hood.join(least, "u").filter("v > u" if large else "v != m") \
+        out = join_dealt(hood, least, ["u"]).filter("v > u" if large else "v != m") \
             .select(F.col("m").alias("a"), F.col("v").alias("b"))
         if not large:
             out = out.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
@@ -306,25 +310,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(documents: DataFrame, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; texts are linked from
-    a Jaccard similarity of ``threshold_pct`` % on."""
-    rows = cut(sketches(documents))
+    a Jaccard similarity of ``threshold_pct`` % on. ``raw_key`` (of the text) and
+    ``stays`` single out one id and text of each component."""
+    rows = cut(sketches(documents).withColumn("row", F.monotonically_increasing_id()))
     key = ["set_a", "set_b", "n"]
-    classes = rows.groupBy(*key).agg(F.min("doc_id").alias("cls"))
-    members = cut(join_dealt(rows.select("doc_id", *key), classes, key).select("doc_id", "n", "cls"))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_key")
+    classes = cut(rows.groupBy(*key).agg(F.min("row").alias("cls"), F.min(name).alias("first")))
+    members = cut(join_dealt(rows.select("doc_id", "raw_key", *key), classes, key)
+                  .select("doc_id", "raw_key", "n", "cls", "first"))
 
-    heads = rows.filter("n > 0").join(
-        classes.select(*[F.col(c).alias(f"k_{c}") for c in key], F.col("cls").alias("doc_id")), "doc_id") \
-        .filter(" and ".join(f"{c} = k_{c}" for c in key)) \
-        .select(F.col("doc_id").alias("cls"), "n", "regs", "bands")
+    heads = rows.filter("n > 0").withColumnRenamed("row", "cls").join(classes.select("cls"), "cls", "left_semi")
     spread = heads.select("cls", F.explode(F.array_distinct("bands")).alias("band"))
     shared = spread.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")) \
         .filter("lo != hi").select("band")
     in_band = cut(join_dealt(spread, shared, ["band"]))
     candidates = in_band.select("cls").distinct()
-    ids = candidates.select(F.col("cls").alias("doc_id"))
-    sets = cut(full_sets(documents.join(ids, "doc_id", "left_semi")).withColumnRenamed("doc_id", "cls")
-               .dropDuplicates(["cls"]))
-    nodes = cut(heads.dropDuplicates(["cls"]).join(candidates, "cls", "left_semi").drop("bands")
+    wanted = heads.join(candidates, "cls", "left_semi").select(
+        "cls", F.col("doc_id").alias("head_id"), F.col("raw_key").alias("head_key"))
+    keyed = documents.select("doc_id", "text", raw_key().alias("raw_key"))
+    # rows that repeat id and text give the same set more than once
+    sets = cut(full_sets(keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["head_id"])
+                                    & (keyed["raw_key"] == wanted["head_key"]))).dropDuplicates(["cls"]))
+    nodes = cut(heads.select("cls", "n", "regs").join(candidates, "cls", "left_semi")
                 .join(unique_counts(sets), "cls", "left").fillna(0, ["u"])
                 .filter(F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(threshold_pct) * F.col("n"))
                 .withColumn("most", F.col("n") - F.col("u")))
@@ -335,10 +342,18 @@ def near_groups(documents: DataFrame, threshold_pct: int = THRESHOLD_PCT) -> Dat
     comps = components(links(pairs, nodes, sets, threshold_pct).unionByName(
         stars.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
-    found = members.join(comps, members["cls"] == comps["node"], "left")
-    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "cls"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    least = comps.join(classes.select(F.col("cls").alias("node"), "first"), "node") \
+        .groupBy("comp").agg(F.min("first").alias("comp_first"))
+    named = join_dealt(comps, least, ["comp"]).select(F.col("node").alias("cls"), "comp_first")
+    found = members.join(named, "cls", "left").withColumn("first", F.coalesce("comp_first", "first"))
+    empty = F.col("n") == 0
+    at_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    same_text = F.col("raw_key") == F.col("first.raw_key")
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (empty | (at_first & (F.col("doc_id").isNotNull() | same_text))).alias("kept"),
+        "raw_key", (empty | (at_first & same_text)).alias("stays"))
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -384,7 +399,7 @@ def _leftovers(here: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFram
     intersection of at most ``1 + min(n - r, m - s)``."""
     sized = here.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sized.groupBy("band").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    nodes = cut(here.join(main, "band").groupBy("cls").agg(
+    nodes = cut(join_dealt(here, main, ["band"]).groupBy("cls").agg(
         F.first("n").alias("n"), F.first("comp").alias("comp"),
         F.max(F.col("comp") != F.col("main")).alias("outside")))
     rows = cut(members_of(sets.join(nodes.select("cls"), "cls", "left_semi")))

@@ -64,7 +64,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(_documents(spark, sf_dir), THRESHOLD_PCT)
+    return near_groups(_documents(spark, sf_dir), THRESHOLD_PCT).drop("raw_key", "stays")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
