@@ -64,3 +64,50 @@ def selection_decisions(profile: DataFrame, rfm_duplicates, known_near_zero, kee
     return profile.select("feature",
                           F.when(reason == "kept", "kept").otherwise("removed").alias("status"),
                           reason.alias("reason"), "pct_zero", "pct_missing")
+
+
+# ------------------------------------------------------------------ V2 applied, V6 on what was stored
+def drop_list(decisions: DataFrame) -> list[str]:
+    """The removed features (at most a row a column of the table)."""
+    return sorted(r["feature"] for r in decisions.filter("status = 'removed'").select("feature").collect())
+
+
+def store_selection(train: DataFrame, test: DataFrame, decisions: DataFrame,
+                    folder: str) -> tuple[DataFrame, DataFrame]:
+    """V2: the decisions and the train and test tables without the removed
+    columns, written below ``folder``; the tables as read again."""
+    spark = train.sparkSession
+    decisions.write.parquet(f"{folder}/decisions")
+    drop = drop_list(spark.read.parquet(f"{folder}/decisions"))
+    for name, df in (("train", train), ("test", test)):
+        df.drop(*drop).write.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/train"), spark.read.parquet(f"{folder}/test")
+
+
+def stored_columns(train: DataFrame, test: DataFrame) -> DataFrame:
+    """split, column_name, position, n_rows, n_known of the reduced tables, one pass each."""
+    parts = []
+    for split, df in (("train", train), ("test", test)):
+        names = df.columns
+        row = df.agg(F.expr("count(1) AS n"), *[F.expr(f"count(`{c}`) AS k{i}") for i, c in enumerate(names)])
+        rows = ", ".join(f"named_struct('column_name', '{c}', 'position', {i + 1}, 'n_rows', n, 'n_known', k{i})"
+                         for i, c in enumerate(names))
+        parts.append(row.selectExpr(f"'{split}' AS split", f"inline(array({rows}))"))
+    return parts[0].unionByName(parts[1])
+
+
+def validate_selection(train: DataFrame, test: DataFrame, numeric: list[str], duplicates, required,
+                       near_zero_threshold: float = K.NEAR_ZERO_SHARE) -> DataFrame:
+    """V6: violations found in reduced tables, by their stored schemas and one
+    pass over train: columns of too many zeros or that repeat others, columns
+    on one side only, required columns that are missing on a side."""
+    left = [c for c in numeric if c in train.columns]
+    sides = (set(train.columns), set(test.columns))
+    counted = {"no_rfm_duplicate_left": len(set(duplicates) & (sides[0] | sides[1])),
+               "train_test_aligned": len(sides[0] ^ sides[1]),
+               "targets_and_keys_present": sum(len(set(required) - side) for side in sides)}
+    near = " + ".join(["0", *[f"CAST(coalesce(avg(CAST(coalesce(`{c}` = 0, false) AS INT)) > {near_zero_threshold}, "
+                              "false) AS INT)" for c in left]])
+    rows = ", ".join(f"named_struct('check_name', '{n}', 'n_violations', CAST({v} AS BIGINT))"
+                     for n, v in {"no_near_zero_left": "near", **counted}.items())
+    return train.agg(F.expr(f"{near} AS near")).selectExpr(f"inline(array({rows}))")

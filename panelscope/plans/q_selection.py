@@ -151,34 +151,61 @@ def feature_selection_report(c: Ctx):
     return _decisions(c)
 
 
-@register("validate_selection", _DECISION_SQL + f"""
+REQUIRED = ("client_id", "date_target", "target_1m", "target_1m_log", "target_1m_bin")
+
+# the reduced tables' columns in SQL: all columns of the master but those removed
+_REDUCED = _DECISION_SQL + """, cols(position, column_name) AS (VALUES """ + ", ".join(
+    f"({i}, '{x}')" for i, x in enumerate(ALL_COLS)) + """),
+left_over AS (SELECT position, column_name FROM cols
+  WHERE column_name NOT IN (SELECT feature FROM d WHERE reason <> 'kept')),
+train_cols AS (SELECT * FROM left_over), test_cols AS (SELECT * FROM left_over)
+"""
+
+
+def _reduced(c: Ctx):
+    """Train and test as the selection leaves them, stored and read again."""
+    if "reduced" not in c._cache:
+        import uuid
+
+        from panelscope.session import ensure_checkpoint_dir
+        folder = f"{ensure_checkpoint_dir(c.spark)}/selection-{uuid.uuid4().hex}"
+        c._cache["master"] = _master(c).checkpoint(eager=True)  # profile, train and test read it
+        train, test = FE.temporal_split(_master(c), c.test_snapshot)
+        c._cache["reduced"] = S.store_selection(train, test, _decisions(c), folder)
+    return c._cache["reduced"]
+
+
+def _known_sql(split: str, op: str) -> str:
+    counts = " UNION ALL ".join(f"SELECT '{x}' AS column_name, count(*) AS n_rows, count({x}) AS n_known FROM "
+                                f"(SELECT * FROM master WHERE date_target {op} {TEST}) m" for x in ALL_COLS)
+    return (f"SELECT '{split}' AS split, column_name, CAST(row_number() OVER (ORDER BY position) AS INTEGER) "
+            f"AS position, n_rows, n_known FROM left_over JOIN ({counts}) k USING (column_name)")
+
+
+@register("reduced_tables", _REDUCED + _known_sql("train", "<") + " UNION ALL " + _known_sql("test", "="),
+          ("master",))
+def reduced_tables(c: Ctx):
+    """V2 applied: columns, rows and known values of the stored reduced tables."""
+    return S.stored_columns(*_reduced(c))
+
+
+@register("validate_selection", _REDUCED + f"""
 SELECT 'no_near_zero_left' AS check_name,
-  count(*) FILTER (WHERE reason = 'kept' AND pct_zero > 0.99) AS n_violations FROM d
+  (SELECT count(*) FROM d JOIN train_cols ON feature = column_name WHERE pct_zero > 0.99) AS n_violations
+UNION ALL
+SELECT 'no_rfm_duplicate_left', (SELECT count(DISTINCT column_name) FROM
+  (SELECT * FROM train_cols UNION ALL SELECT * FROM test_cols) x WHERE column_name IN ({_lst(RFM_DUPLICATES)}))
 UNION ALL
-SELECT 'no_rfm_duplicate_left', count(*) FILTER (WHERE reason = 'kept'
-  AND feature IN ({_lst(RFM_DUPLICATES)})) FROM d
+SELECT 'train_test_aligned', (SELECT count(*) FROM train_cols FULL JOIN test_cols USING (column_name)
+  WHERE train_cols.position IS NULL OR test_cols.position IS NULL)
 UNION ALL
-SELECT 'train_test_aligned', 0 UNION ALL SELECT 'targets_and_keys_present', 0""", ("master",))
+SELECT 'targets_and_keys_present', (SELECT count(*) FROM (SELECT unnest([{_lst(REQUIRED)}]) AS r) q
+  WHERE r NOT IN (SELECT column_name FROM train_cols))
+  + (SELECT count(*) FROM (SELECT unnest([{_lst(REQUIRED)}]) AS r) q
+     WHERE r NOT IN (SELECT column_name FROM test_cols))""", ("master",))
 def validate_selection(c: Ctx):
-    """V6: nothing near-zero or duplicated survives; train/test columns align
-    (same drop list on both sides, checked on the driver's schemas)."""
-    d = _decisions(c)
-    train, test = FE.temporal_split(_master(c), c.test_snapshot)
-    drop = [r for r in RFM_DUPLICATES]
-    aligned = 0 if train.drop(*drop).columns == test.drop(*drop).columns else 1
-    present = 0 if {"client_id", "date_target", "target_1m", "target_1m_log",
-                    "target_1m_bin"} <= set(train.columns) else 1
-    kept = F.col("status") == "kept"
-    row = d.agg(F.count_if(kept & (F.col("pct_zero") > 0.99)).alias("a"),
-                F.count_if(kept & F.col("feature").isin(*RFM_DUPLICATES)).alias("b"))
-    from panelscope.operators.quality import rows_from
-    return rows_from(row, [
-        [F.lit("no_near_zero_left").alias("check_name"), F.col("a").alias("n_violations")],
-        [F.lit("no_rfm_duplicate_left").alias("check_name"), F.col("b").alias("n_violations")],
-        [F.lit("train_test_aligned").alias("check_name"),
-         F.lit(aligned).cast("bigint").alias("n_violations")],
-        [F.lit("targets_and_keys_present").alias("check_name"),
-         F.lit(present).cast("bigint").alias("n_violations")]])
+    """V6: checks of the stored reduced tables."""
+    return S.validate_selection(*_reduced(c), NUM_FEATURES, RFM_DUPLICATES, REQUIRED)
 
 
 # ------------------------------------------------------------------ A55 / A56
