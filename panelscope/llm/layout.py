@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from panelscope.session import ensure_checkpoint_dir
 
+#: Copies of a row that are numbered as one block.
+COPIES = 4096
+
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``. A null id counts
@@ -22,29 +25,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], n_parts: int, out: str) -> DataFrame:
-    """Add ``out``: 0, 1, 2, ... without gaps inside each ``group``.
-
-    Rows are dealt into ``n_parts`` parts by the hash of their ``order``
-    columns and ordered inside a part; counts of the parts (a small table of
-    ``n_parts`` rows a group) give the parts' offsets. No task holds more than
-    one part of a group. The numbering depends on the rows and ``n_parts`` only.
+    """Add ``out``: 0, 1, 2, ... without gaps inside each ``group``. All
+    columns are small and orderable.
+
+    Rows equal in all columns are counted, and the copies cut into blocks of
+    at most ``COPIES``. Blocks are dealt into ``n_parts`` parts by a hash of
+    all columns and the block's number, and ordered inside a part by ``order``,
+    then by all columns; the parts' totals (a small table of ``n_parts`` rows a group) give their offsets. So
+    neither a group nor a row that repeats meets in one task, and the result
+    follows from the rows and ``n_parts`` alone, however the rows lie.
     """
-    part = f"{out}_part"
-    dealt = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(n_parts)).cast("int"))
-    inside = Window.partitionBy(*group, part).orderBy(*order)
-    ahead = Window.partitionBy(*(group or [F.lit(0)])).orderBy(part).rowsBetween(
-        Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*group, part).agg(F.count(F.lit(1)).alias("part_rows"))
-    offsets = counts.select(
+    names = df.columns
+    sort = [*order, *(c for c in names if c not in order)]
+    n, block, held, part, before = (f"{out}_{x}" for x in ("n", "block", "held", "part", "before"))
+    last = F.floor((F.col(n) - F.lit(1)) / F.lit(COPIES)).cast("long")
+    blocks = (df.groupBy(*names).agg(F.count(F.lit(1)).alias(n))
+              .withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+              .withColumn(held, F.least(F.lit(COPIES), F.col(n) - F.col(block) * F.lit(COPIES)))
+              .withColumn(part, F.pmod(F.xxhash64(*sort, block), F.lit(n_parts)).cast("int")).drop(n))
+    inside = Window.partitionBy(*group, part).orderBy(*sort, block).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*(group or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.groupBy(*group, part).agg(F.sum(held).alias("part_rows")).select(
         *[F.col(g).alias(f"{out}_{g}") for g in group], F.col(part).alias(f"{out}_p"),
         F.coalesce(F.sum("part_rows").over(ahead), F.lit(0)).alias(f"{out}_ahead"))
     same = F.col(part) == F.col(f"{out}_p")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"{out}_{g}"))
-    return (dealt.withColumn(f"{out}_in", F.row_number().over(inside))
-            .join(offsets, same)
-            .withColumn(out, (F.col(f"{out}_ahead") + F.col(f"{out}_in") - 1).cast("long"))
-            .select(*df.columns, out))
+    first = F.col(f"{out}_ahead") + F.coalesce(before, F.lit(0))
+    return (blocks.withColumn(before, F.sum(held).over(inside)).join(offsets, same)
+            .select(*names, F.explode(F.sequence(first, first + F.col(held) - F.lit(1))).alias(out)))
 
 
 def raw_key() -> Column:

@@ -7,8 +7,10 @@ quotient), so shard sizes differ by one row at most, a seed reproduces the
 shuffle, and a row's place is computable from its number alone.
 
 Defined results: null texts have size 1 (no bytes, plus 1) and crc32 of the
-empty text, 0; rows repeated in full are told apart by position only; an
-empty table gives no rows; other columns of the input are ignored.
+empty text, 0; rows that share id, size and crc32 are copies, which take the
+places of all of them; so results don't depend on how the rows lie, also where
+an id (or null) has many texts. An empty table gives no rows; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.layout import numbered
+from panelscope.llm.layout import cut, numbered
 
 ROUNDS = 4
 #: Steps along a cycle. A step stays outside with probability below
@@ -57,7 +59,10 @@ def permuted(x: Column, n_rows: int, seed: int) -> Column:
 
 def shard_rows(rows: DataFrame, key: list[str], n_shards: int, seed: int = 1,
                rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Add ``shard`` and ``slot`` to ``rows``; ``key`` orders them."""
+    """Add ``shard`` and ``slot`` to ``rows`` (small columns only, written
+    once to the checkpoint folder and read from there); ``key`` orders them,
+    then all other columns."""
+    rows = cut(rows)
     n = rows.count()
     parts = max(1, -(-n // rows_per_part))
     out = numbered(rows, [], key, parts, "row_number_")

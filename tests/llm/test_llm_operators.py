@@ -179,13 +179,6 @@ def test_packing(docs, empty):
     assert packing.pack_documents(clashing(docs)).count() == len(corpus())
 
 
-def test_grid_never_below(spark):
-    lengths = [0, 1, 2, 511, 512, 513, 600, 1023, 1024, 1025, 99_999, 2**40 + 1]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in lengths], "n long").select(packing.grid(F.col("n"))).collect()]
-    assert got[:5] == lengths[:5]
-    assert all(x <= g <= x * (1 + 1 / 128) for x, g in zip(lengths, got))
-
-
 # --- near dedup -------------------------------------------------------------
 
 def near_brute(rows):
