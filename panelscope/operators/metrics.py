@@ -8,7 +8,7 @@ handled exactly and no single task ever sees every row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope import constants as K
@@ -110,3 +110,8 @@ def combined_error(df: DataFrame, pred: str, actual: str) -> DataFrame:
     med = exact_percentiles(ae, "_ae", {"m": 0.5}).agg(F.first("m")).scalar()
     return ae.agg(fround(F.avg("_ae")).alias("mae"), F.count(F.lit(1)).alias("n")).select(
         "n", "mae", med.alias("median_ae"))
+
+
+def sample_key(key: str, seed: int) -> Column:
+    """The order of a seeded sample; its first k rows are the sample."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))

@@ -40,6 +40,23 @@ def apply_ordinal(df: DataFrame, col: str, codes: DataFrame, out: str | None = N
     return j.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1).cast("bigint"))).drop("_v", "_code")
 
 
+def as_nominal(df: DataFrame, code: str, n_codes: int, out: str) -> DataFrame:
+    """The code as a category of ``n_codes + 1`` for the trees, told by the
+    column's metadata: 0 is a value that train doesn't have, the rest follow."""
+    values = {"ml_attr": {"type": "nominal", "name": out, "num_vals": n_codes + 1}}
+    return df.withColumn(out, (F.col(code) + F.lit(1)).cast("double")).withMetadata(out, values)
+
+
+def encode_categories(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """M1 on both sides: ``<col>_code`` by train's values, and how many train has."""
+    sizes = {}
+    for c in cols:
+        codes = fit_ordinal_codes(train, c)
+        sizes[c] = codes.count()
+        train, test = apply_ordinal(train, c, codes), apply_ordinal(test, c, codes)
+    return train, test, sizes
+
+
 # ------------------------------------------------------------------ M2 / M3
 def fit_medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
     """M2 fit: exact train medians of several columns in one pass (columns
@@ -104,13 +121,30 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, weight: str
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight,
                             maxIter=max_iter, regParam=1.0 / (c_inv * sum_w), elasticNetParam=0.0,
-                            standardization=False)
+                            standardization=False, tol=K.LOGISTIC_TOLERANCE)
     return asm, lr.fit(asm.transform(train))
 
 
+def logistic_gradient(rows: DataFrame, features: list[str], label: str, weight: str, coefficients: list[float],
+                      intercept: float, c_inv: float = K.LOGISTIC_C) -> DataFrame:
+    """M5 check: (feature, gradient) of the mean weighted loss with its L2 penalty
+    at the given coefficients, and of the unpenalised intercept; all are 0 at the
+    optimum, the loss being convex. One aggregate of built-ins over ``rows``."""
+    margin = " + ".join([f"CAST('{intercept!r}' AS DOUBLE)", *[
+        f"CAST('{b!r}' AS DOUBLE) * `{f}`" for f, b in zip(features, coefficients)]])
+    error = rows.selectExpr(*[f"`{f}`" for f in features], f"CAST(`{weight}` AS DOUBLE) AS w_",
+                            f"`{weight}` * (1 / (1 + exp(-({margin}))) - `{label}`) AS e_")
+    sums = error.agg(F.expr("sum(w_) AS w_"), F.expr("sum(e_) AS g_"),
+                     *[F.expr(f"sum(e_ * `{f}`) AS g{i}_") for i, f in enumerate(features)])
+    parts = ["named_struct('feature', 'intercept', 'gradient', try_divide(g_, w_))"]
+    parts += [f"named_struct('feature', '{f}', 'gradient', try_divide(g{i}_ + CAST('{b / c_inv!r}' AS DOUBLE), w_))"
+              for i, (f, b) in enumerate(zip(features, coefficients))]
+    return sums.selectExpr(f"inline(array({', '.join(parts)}))")
+
+
 def fit_regressor(train_pos: DataFrame, features: list[str], label: str, validation: Column,
                   max_rounds: int = 500, patience: int = 20, first_rounds: int = 32,
-                  seed: int = K.SAMPLE_SEED):
+                  seed: int = K.SAMPLE_SEED, max_bins: int = 32):
     """M6: boosted trees on the positives' log target (depth 6, step .05,
     row / feature sampling .8, min 10 rows per leaf).
 
@@ -118,7 +152,8 @@ def fit_regressor(train_pos: DataFrame, features: list[str], label: str, validat
     outside ``validation`` is evaluated on it after every round, and rounds go
     on (doubling, up to ``max_rounds``) until none of the last ``patience`` was
     better. The model is then fitted on all positives with that many trees.
-    Without rows on either side ``first_rounds`` trees are fitted."""
+    Without rows on either side ``first_rounds`` trees are fitted. ``max_bins``
+    is at least the number of values of the largest category (``as_nominal``)."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     rows = asm.transform(train_pos.withColumn("_validation", validation))
 
@@ -127,7 +162,7 @@ def fit_regressor(train_pos: DataFrame, features: list[str], label: str, validat
             featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=K.TREES_MAX_DEPTH,
             stepSize=K.TREES_STEP, subsamplingRate=K.TREES_SUBSAMPLE,
             featureSubsetStrategy=str(K.TREES_SUBSAMPLE), minInstancesPerNode=K.TREES_MIN_CHILD,
-            seed=seed).fit(part)
+            maxBins=max_bins, seed=seed).fit(part)
 
     inside, outside = rows.filter("_validation"), rows.filter("NOT _validation")
     rounds = best = first_rounds

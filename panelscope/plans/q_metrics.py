@@ -221,12 +221,27 @@ def top_fraction(c: Ctx):
     return top_rows(c.scored, "score", "client_id", k).select("client_id", "score", "label")
 
 
-@register("seeded_sample")
+SEED = 42
+
+
+@register("seeded_sample", f"""
+SELECT client_id, score FROM scored ORDER BY md5(client_id || ':{SEED}'), client_id LIMIT 100""", ("scored",))
 def seeded_sample(c: Ctx):
-    """100 clients by a seeded hash order - stable across partitionings
-    (unlike ``sample``). Rows-only check."""
-    return c.scored.orderBy(F.xxhash64(F.col("client_id"), F.lit(42)), "client_id").limit(100) \
-        .select("client_id", "score")
+    """100 clients, those of least md5 of id and seed: the same rows however
+    they are partitioned (unlike ``sample``), and in any engine."""
+    return c.scored.orderBy(M.sample_key("client_id", SEED), "client_id").limit(100).select("client_id", "score")
+
+
+@register("seeded_sample_per_group", f"""
+SELECT date_target, client_id FROM (SELECT date_target, client_id, row_number() OVER (
+  PARTITION BY date_target ORDER BY md5(client_id || ':{SEED}'), client_id) AS rn FROM panel) x
+WHERE rn <= 25""", ("panel",))
+def seeded_sample_per_group(c: Ctx):
+    """25 clients a snapshot; a window group limit keeps 25 rows a group
+    and task before the shuffle."""
+    w = Window.partitionBy("date_target").orderBy(M.sample_key("client_id", SEED), "client_id")
+    return c.panel.select("date_target", "client_id", F.row_number().over(w).alias("_rn")) \
+        .filter(F.col("_rn") <= 25).drop("_rn")
 
 
 @register("scan_typed_tables", "\nUNION ALL\n".join(

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from panelscope import constants as K
 from panelscope.operators import features as FE
 from panelscope.operators import model as ML
 from panelscope.operators.quality import rows_from
 from panelscope.plans import q_metrics as QM
 from panelscope.plans.q_features import _master
-from panelscope.plans.q_selection import NUM_FEATURES, RFM_DUPLICATES
+from panelscope.plans.q_selection import _DECISION_SQL, NUM_FEATURES, _lst
 from panelscope.plans.registry import Ctx, register
 
 TEST = "DATE '2000-01-01'"
@@ -25,8 +26,6 @@ SCALE = ["to_full_hist", "nb_trs_full_hist", "recency", "seniority"]
 # one of the channel totals is the sum of the others minus the rest: drop it
 # from the linear model (collinear), keep it for the trees
 COLLINEAR = ("to_btq",)
-TREE_FEATURES = [c for c in NUM_FEATURES if c not in RFM_DUPLICATES]
-LINEAR_FEATURES = [c for c in TREE_FEATURES if c not in COLLINEAR]
 
 
 def _split(c: Ctx):
@@ -111,74 +110,125 @@ def class_weights(c: Ctx):
     return ML.class_weights(fit_rows, "target_1m_bin")
 
 
-def _prepared(c: Ctx) -> tuple[DataFrame, DataFrame]:
-    """Train / test with medians imputed and linear features standardised
-    (constants fitted on train only)."""
-    if "prepared" in c._cache:
-        return c._cache["prepared"]
-    # model fitting reads the feature table in many passes (null scan,
-    # medians, scaler, weights, optimiser iterations): stage it once in the
-    # shared checkpoint folder
-    from panelscope.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(c.spark)
-    staged = _master(c).checkpoint(eager=True)
-    train, test = FE.temporal_split(staged, c.test_snapshot)
-    from panelscope.operators.selection import nullable_columns
-    nullable = sorted(nullable_columns(train, TREE_FEATURES) | set(IMPUTE) & set(TREE_FEATURES))
-    med = ML.fit_medians(train, nullable)
-    train_i = ML.apply_medians(train, med, nullable)
-    test_i = ML.apply_medians(test, med, nullable)
-    c._cache["prepared"] = (train_i, test_i)
-    return train_i, test_i
-
-
-def _models(c: Ctx):
-    if "models" in c._cache:
-        return c._cache["models"]
-    train_i, test_i = _prepared(c)
-    fit_rows = train_i.filter(F.col("date_target") == F.lit(LAST_TRAIN))
-    stats = ML.fit_scaler(fit_rows, LINEAR_FEATURES)
-    lin_train = ML.apply_scaler(fit_rows, stats, LINEAR_FEATURES)
-    w = ML.class_weights(lin_train, "target_1m_bin")
-    lin_train = ML.with_weights(lin_train, w, "target_1m_bin")
-    clf_asm, clf = ML.fit_logistic(lin_train.select(*LINEAR_FEATURES, "target_1m_bin", "weight"),
-                                   LINEAR_FEATURES, "target_1m_bin")
-    pos = train_i.filter(F.col("target_1m_bin") == 1).select(*TREE_FEATURES, "target_1m_log", "date_target")
-    reg_asm, reg = ML.fit_regressor(pos, TREE_FEATURES, "target_1m_log", F.col("date_target") == F.lit(LAST_TRAIN))
-    c._cache["models"] = (stats, clf_asm, clf, reg_asm, reg)
-    return c._cache["models"]
-
-
-def _scored_test(c: Ctx) -> DataFrame:
-    stats, clf_asm, clf, reg_asm, reg = _models(c)
-    _, test_i = _prepared(c)
-    base = test_i.select("client_id", "date_target", "target_1m", *TREE_FEATURES)
-    lin = ML.apply_scaler(base.select("client_id", *LINEAR_FEATURES), stats, LINEAR_FEATURES)
-    p = clf.transform(clf_asm.transform(lin)).select(
+def _prepared(c: Ctx) -> tuple[DataFrame, DataFrame, list[str], dict[str, int]]:
+    """Train and test as the stored selection leaves them, categories coded and
+    medians imputed (all fitted on train), the numeric features that are left,
+    and how many values each category has."""
+    if "prepared" not in c._cache:
+        from panelscope.operators.selection import nullable_columns
+        from panelscope.plans.q_selection import _reduced
+        train, test = _reduced(c)
+        numeric = [x for x in NUM_FEATURES if x in train.columns]
+        train, test, sizes = ML.encode_categories(train, test, [x for x in CATEGORICAL if x in train.columns])
+        nullable = sorted(nullable_columns(train, numeric) | set(IMPUTE) & set(numeric))
+        med = ML.fit_medians(train, nullable)
+        # fitting reads both in many passes: staged once in the shared folder
+        train, test = (ML.apply_medians(df, med, nullable).checkpoint(eager=True) for df in (train, test))
+        c._cache["prepared"] = (train, test, numeric, sizes)
+    return c._cache["prepared"]
+
+
+def _linear_features(c: Ctx) -> list[str]:
+    _, _, numeric, sizes = _prepared(c)
+    return [x for x in numeric if x not in COLLINEAR] + [f"{x}_code" for x in sizes]
+
+
+def _tree_features(c: Ctx) -> list[str]:
+    _, _, numeric, sizes = _prepared(c)
+    return numeric + [f"{x}_category" if n < K.TREES_MAX_CATEGORIES else f"{x}_code" for x, n in sizes.items()]
+
+
+def _with_categories(c: Ctx, df: DataFrame) -> DataFrame:
+    for x, n in _prepared(c)[3].items():
+        df = ML.as_nominal(df, f"{x}_code", n, f"{x}_category")
+    return df
+
+
+def _linear_train(c: Ctx, fit_snapshot: dt.date = LAST_TRAIN) -> tuple[DataFrame, dict]:
+    """The classifier's rows, scaled and weighted, and the scaler's constants."""
+    features = _linear_features(c)
+    rows = _prepared(c)[0].filter(F.col("date_target") == F.lit(fit_snapshot))
+    stats = ML.fit_scaler(rows, features)
+    rows = ML.apply_scaler(rows, stats, features)
+    rows = ML.with_weights(rows, ML.class_weights(rows, "target_1m_bin"), "target_1m_bin")
+    return rows.select(*features, "target_1m_bin", "weight"), stats
+
+
+def _classifier(c: Ctx, fit_snapshot: dt.date = LAST_TRAIN):
+    """M5, fitted on the rows of ``fit_snapshot``: scaler, assembler, model."""
+    key = ("classifier", fit_snapshot)
+    if key not in c._cache:
+        rows, stats = _linear_train(c, fit_snapshot)
+        c._cache[key] = (stats, *ML.fit_logistic(rows, _linear_features(c), "target_1m_bin"))
+    return c._cache[key]
+
+
+def _regressor(c: Ctx, fit_snapshot: dt.date = LAST_TRAIN):
+    """M6: assembler and model; ``fit_snapshot`` chooses the rounds."""
+    key = ("regressor", fit_snapshot)
+    if key not in c._cache:
+        pos = _with_categories(c, _prepared(c)[0].filter(F.col("target_1m_bin") == 1))
+        bins = max([32, *[n + 1 for n in _prepared(c)[3].values() if n < K.TREES_MAX_CATEGORIES]])
+        c._cache[key] = ML.fit_regressor(pos, _tree_features(c), "target_1m_log",
+                                         F.col("date_target") == F.lit(fit_snapshot), max_bins=bins)
+    return c._cache[key]
+
+
+def _p_spend(c: Ctx, fit_snapshot: dt.date = LAST_TRAIN) -> DataFrame:
+    stats, asm, clf = _classifier(c, fit_snapshot)
+    features = _linear_features(c)
+    rows = ML.apply_scaler(_prepared(c)[1].select("client_id", *features), stats, features)
+    return clf.transform(asm.transform(rows)).select(
         "client_id", vector_to_array("probability")[1].alias("p_spend"))
-    r = reg.transform(reg_asm.transform(base)).select("client_id", "date_target", "target_1m",
-                                                      F.col("prediction").alias("pred_log"))
-    out = r.join(p, "client_id")
-    return out.select("*", ML.combined_spend("p_spend", "pred_log").alias("pred_spend"))
+
+
+def _pred_log(c: Ctx, fit_snapshot: dt.date = LAST_TRAIN) -> DataFrame:
+    asm, reg = _regressor(c, fit_snapshot)
+    return reg.transform(asm.transform(_with_categories(c, _prepared(c)[1]))).select(
+        "client_id", "date_target", "target_1m", F.col("prediction").alias("pred_log"))
+
+
+@register("logistic_certificate", _DECISION_SQL + f""",
+fit AS (SELECT count(*) AS n_rows, CAST(sum(target_1m_bin) AS BIGINT) AS n_positive
+        FROM master WHERE date_target = DATE '{LAST_TRAIN}'),
+names AS (SELECT CASE WHEN feature IN ({_lst(CATEGORICAL)}) THEN feature || '_code' ELSE feature END AS feature
+          FROM d WHERE reason = 'kept' AND feature NOT IN ({_lst(COLLINEAR)})
+            AND feature IN ({_lst([*NUM_FEATURES, *CATEGORICAL])})
+          UNION ALL SELECT 'intercept')
+SELECT feature, n_rows, n_positive, true AS optimal FROM names, fit""", ("master",))
+def logistic_certificate(c: Ctx):
+    """M5 value check: the fitted coefficients are the optimum, as the gradient
+    of the penalised loss is 0 (to 1e-4 of a feature's deviation) in each; the
+    features are what the selection left, with the coded categories."""
+    rows, _ = _linear_train(c)
+    _, _, clf = _classifier(c)
+    g = ML.logistic_gradient(rows, _linear_features(c), "target_1m_bin", "weight",
+                             [float(b) for b in clf.coefficients.toArray()], float(clf.intercept))
+    return g.select(
+        "feature", rows.agg(F.count(F.lit(1))).scalar().alias("n_rows"),
+        rows.agg(F.sum("target_1m_bin").cast("bigint")).scalar().alias("n_positive"),
+        F.coalesce(F.abs("gradient") < 1e-4, F.lit(False)).alias("optimal"))
 
 
 @register("fit_logistic")
 def fit_logistic(c: Ctx):
     """M5: P(spend > 0) for every test row (rows-only check: a fitted model)."""
-    return _scored_test(c).select("client_id", "p_spend")
+    return _p_spend(c)
 
 
 @register("fit_spend_regressor")
 def fit_spend_regressor(c: Ctx):
     """M6: predicted log spend for the test positives (rows-only)."""
-    return _scored_test(c).filter(F.col("target_1m") > 0).select("client_id", "pred_log")
+    return _pred_log(c).filter(F.col("target_1m") > 0).select("client_id", "pred_log")
 
 
 @register("score_two_part")
 def score_two_part(c: Ctx):
     """M7: combined prediction P * expm1(log prediction) for every test row."""
-    return _scored_test(c).select("client_id", "date_target", "p_spend", "pred_log", "pred_spend",
-                                  F.col("target_1m").alias("actual"))
+    both = _pred_log(c).join(_p_spend(c), "client_id")
+    return both.select("client_id", "date_target", "p_spend", "pred_log",
+                       ML.combined_spend("p_spend", "pred_log").alias("pred_spend"),
+                       F.col("target_1m").alias("actual"))
 
 
 @register("score_two_part_given", """
@@ -193,8 +243,8 @@ def score_two_part_given(c: Ctx):
 @register("feature_importance")
 def feature_importance(c: Ctx):
     """|coefficients| and tree importances (model metadata)."""
-    _, _, clf, _, reg = _models(c)
-    return ML.feature_importance(c.spark, clf, reg, LINEAR_FEATURES, TREE_FEATURES)
+    clf, reg = _classifier(c)[2], _regressor(c)[1]
+    return ML.feature_importance(c.spark, clf, reg, _linear_features(c), _tree_features(c))
 
 
 # ------------------------------------------------------------------ M15

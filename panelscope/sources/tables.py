@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,12 +101,14 @@ def table_row_counts(spark: SparkSession, sf_dir: str, names=tuple(SCHEMAS)) ->
 def scan_optional(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     """First existing path among candidates, else an empty typed table so
     downstream joins still resolve."""
-    jvm_fs = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001 - Hadoop FS probe, no data read
-    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
     for p in paths:
-        hp = jvm_fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
-            return spark.read.schema(schema).parquet(p)
+        try:
+            found = spark.read.schema(schema).parquet(p)
+            _ = found.columns  # a remote session looks for the path only now
+            return found
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.createDataFrame([], schema)
 
 
