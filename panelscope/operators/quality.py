@@ -50,17 +50,18 @@ def missing_report(df: DataFrame, dataset: str, threshold: float = K.MISSING_REP
     return out.filter(F.col("pct_missing") >= threshold)
 
 
-def missing_by_snapshot(df: DataFrame, date_col: str, cols: list[str],
-                        snapshot_labels: dict) -> DataFrame:
-    """% null per column x snapshot, pivoted to one column per snapshot.
-    One grouped pass; the pivot values are given, so no extra job."""
-    g = df.groupBy(date_col).agg(*[(F.avg(F.col(c).isNull().cast("int")) * F.lit(100.0)).alias(c)
-                                   for c in cols])
-    long = stack_one_row(g, cols, "column_name", "pct_missing", keep=[date_col])
-    long = long.withColumn("_snap", F.date_format(F.col(date_col), "yyyy-MM-dd"))
-    return (long.groupBy("column_name").pivot("_snap", list(snapshot_labels))
-                .agg(F.first("pct_missing"))
-                .select("column_name", *[F.col(k).alias(v) for k, v in snapshot_labels.items()]))
+def missing_by_snapshot(df: DataFrame, date_col: str, snapshot_labels: dict, cols: list[str] | None = None,
+                        threshold: float = K.MISSING_REPORT_THRESHOLD_PCT) -> DataFrame:
+    """% null per column x snapshot, one column per snapshot; of all columns
+    (or ``cols``) those with at least ``threshold`` % nulls over all rows.
+    One pass counts per snapshot, the rest works on a row a snapshot."""
+    cols = cols or [c for c in df.columns if c != date_col]
+    g = df.groupBy(date_col).agg(F.expr("count(1) AS n_"), *[F.expr(f"count_if(`{c}` IS NULL) AS `{c}`") for c in cols])
+    long = stack_one_row(g, cols, "column_name", "n_null_", keep=[date_col, "n_"])
+    label = F.date_format(F.col(date_col), "yyyy-MM-dd")
+    shares = [F.max(F.when(label == day, pct("n_null_", "n_"))).alias(name) for day, name in snapshot_labels.items()]
+    return (long.groupBy("column_name").agg(pct(F.sum("n_null_"), F.sum("n_")).alias("all_"), *shares)
+            .filter(F.col("all_") >= threshold).drop("all_"))
 
 
 def missing_by_group(df: DataFrame, col: str, group: str,
@@ -254,30 +255,45 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def varying_columns(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Per column, how many keys (clients) carry more than one distinct
-    value - one grouped pass for all columns, then one pass over the keys."""
-    per = df.groupBy(key).agg(*[F.count_distinct(c).alias(c) for c in cols])
-    row = per.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c) > 1).alias(c) for c in cols])
+    value (least and largest differ) - one grouped pass for all columns, without
+    distinct counts, then one pass over the keys."""
+    per = df.groupBy(key).agg(*[F.expr(f"min(`{c}`) <> max(`{c}`) AS `{c}`") for c in cols])
+    row = per.agg(F.expr("count(1) AS _n"), *[F.expr(f"count_if(`{c}`) AS `{c}`") for c in cols])
     return rows_from(row, [[F.lit(c).alias("column_name"), F.col("_n").alias("n_clients"),
                             F.col(c).alias("n_varying"), pct(c, "_n").alias("pct_varying")]
                            for c in cols])
 
 
-def schema_check(df: DataFrame, table: str, contract: dict[str, str]) -> DataFrame:
+def column_roles(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """role, size of the role's class and % null of each column, one pass."""
+    row = df.agg(F.expr("count(1) AS _n"), *[F.expr(f"count_if(`{c}` IS NULL) AS `{c}`") for c in roles])
+    sizes = {r: sum(x == r for x in roles.values()) for r in roles.values()}
+    return rows_from(row, [[F.lit(c).alias("column_name"), F.lit(r).alias("role"),
+                            F.lit(sizes[r]).alias("n_columns_of_role"), pct(c, "_n").alias("pct_null")]
+                           for c, r in roles.items()])
+
+
+def schema_check(df: DataFrame, table: str, contract: dict[str, str], key: str | None = None) -> DataFrame:
     """Two-sided diff of the actual schema against a contract (driver
     metadata, no job) joined with one null-count pass over the data.
     Columns missing from the data report detected_type 'missing'; columns not
-    in the contract report expected_type 'unexpected'."""
+    in the contract report expected_type 'unexpected'. Notes: the least value of
+    ``key``, and dates kept as text."""
     actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     present = [c for c in list(contract) + [c for c in actual if c not in contract] if c in actual]
     row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(F.col(c).isNull()).alias(c) for c in present])
+                 *[F.count_if(F.col(c).isNull()).alias(c) for c in present],
+                 *([F.min(key).cast("string").alias("_least")] if key in actual else []))
     out = []
     for c in list(contract) + [c for c in actual if c not in contract]:
         exp = contract.get(c, "unexpected")
         det = actual.get(c, "missing")
         n_null = F.col(c) if c in actual else F.lit(None).cast("bigint")
+        note = F.lit("dates as text" if "date" in c.lower() and det == "string" else "")
+        if c == key and c in actual:
+            note = F.concat(F.lit("least: "), F.coalesce("_least", F.lit("none")))
         out.append([F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
                     F.lit(exp).alias("expected_type"), F.lit(det).alias("detected_type"),
                     F.lit(exp == det).alias("type_ok"), n_null.alias("n_null"),
-                    pct(n_null, "_n").alias("pct_null")])
+                    pct(n_null, "_n").alias("pct_null"), note.alias("note")])
     return rows_from(row, out)

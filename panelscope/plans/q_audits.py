@@ -14,6 +14,8 @@ from panelscope.operators import quality as Q
 from panelscope.plans.oracle_views import mm, mt, sql_percentiles
 from panelscope.plans.oracle_views import pct as spct
 from panelscope.plans.registry import Ctx, register
+from panelscope.sources.catalogue import CONTRACTS, PANEL_ROLES, described, noted
+from panelscope.sources.views import PANEL_COLUMNS, VIEW_COLUMNS
 
 TEST = "DATE '2000-01-01'"
 
@@ -246,7 +248,7 @@ def duplicate_key_count(c: Ctx):
                  F.count(F.lit(1)).alias("n_duplicate_keys"))
 
 
-_VARY = ["gender", "residency_country", "residency_market", "age", "seniority", "recency"]
+_VARY = [x for x in PANEL_COLUMNS if PANEL_ROLES[x] != "TEMPORAL_ID"]
 
 
 @register("varying_columns", f"""
@@ -257,38 +259,47 @@ WITH pc AS (SELECT client_id, {', '.join(f'count(DISTINCT {x}) AS {x}' for x in
          f"{spct(f'count(*) FILTER (WHERE {x} > 1)', 'count(*)')} AS pct_varying FROM pc"
          for x in _VARY), ("panel",))
 def varying_columns(c: Ctx):
-    """For each column, clients whose value changes across snapshots
-    (all clients, one grouped pass)."""
-    return Q.varying_columns(c.panel, "client_id", _VARY)
+    """For each column of the panel but its keys, clients whose value
+    changes across snapshots (all clients, one grouped pass)."""
+    roles = noted(described(c.panel, "panel"), "role")
+    return Q.varying_columns(c.panel, "client_id", [x for x, r in roles.items() if r != "TEMPORAL_ID"])
+
+
+@register("column_time_roles", _u(
+    f"SELECT '{x}' AS column_name, '{r}' AS role, {list(PANEL_ROLES.values()).count(r)} AS n_columns_of_role, "
+    f"{spct(f'count(*) FILTER (WHERE {x} IS NULL)', 'count(*)')} AS pct_null FROM panel"
+    for x, r in PANEL_ROLES.items()), ("panel",))
+def column_time_roles(c: Ctx):
+    """each panel column's class by its role in time (target, key, static,
+    risk of leakage, safe feature), the class's size and the column's % null."""
+    return Q.column_roles(c.panel, noted(described(c.panel, "panel"), "role"))
 
 
 # ------------------------------------------------------------------ A40-A44
-TRS_CONTRACT = {"client_id": "string", "article_id": "bigint", "trs_date": "date",
-                "ship_date": "date", "trs_categ": "string", "channel": "string",
-                "wwprice": "double", "spend": "double", "qty": "bigint",
-                "serial_number": "string", "categ": "string", "flag_he": "int"}
-
-
-# contacts carry a numeric appointment id and text dates are expected: two drifted columns
-CRC_CONTRACT = {"client_id": "string", "appointment_id": "string", "creation_date": "date",
-                "origin": "string", "appointment_duration": "double"}
-CCP_CONTRACT = {"client_id": "string", "serial_number": "string", "article_id": "bigint",
-                "creation_date": "date", "sale_date": "date", "flag_gift": "boolean"}
-_CONTRACTS = {"trs": TRS_CONTRACT, "crc": CRC_CONTRACT, "ccp": CCP_CONTRACT}
 _DETECTED = ("CASE typeof(any_value({k})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' "
              "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof(any_value({k}))) END")
 
 
+def _note_sql(column: str) -> str:
+    if column == "client_id":
+        return "'least: ' || coalesce(CAST(min(client_id) AS VARCHAR), 'none')"
+    dated = f"{_DETECTED.format(k=column)} = 'string'" if "date" in column else "false"
+    return f"CASE WHEN {dated} THEN 'dates as text' ELSE '' END"
+
+
 @register("schema_check", _u(
     f"SELECT '{t}' AS table_name, '{k}' AS column_name, '{v}' AS expected_type, "
     f"{_DETECTED.format(k=k)} AS detected_type, {_DETECTED.format(k=k)} = '{v}' AS type_ok, "
     f"count(*) FILTER (WHERE {k} IS NULL) AS n_null, "
-    f"{spct(f'count(*) FILTER (WHERE {k} IS NULL)', 'count(*)')} AS pct_null FROM {t}"
-    for t, contract in _CONTRACTS.items() for k, v in contract.items()), ("trs", "crc", "ccp"))
+    f"{spct(f'count(*) FILTER (WHERE {k} IS NULL)', 'count(*)')} AS pct_null, {_note_sql(k)} AS note FROM {t}"
+    for t, contract in CONTRACTS.items() for k, v in contract.items()), tuple(CONTRACTS))
 def schema_check(c: Ctx):
-    """Two-sided schema diff against each table's contract plus one
+    """Two-sided schema diff of all six tables against the catalogue, one
     null-count pass a table; the contacts' contract differs from the data in places."""
-    parts = [Q.schema_check(getattr(c, t), t, contract) for t, contract in _CONTRACTS.items()]
+    parts = []
+    for t in CONTRACTS:
+        view = described(getattr(c, t).select(*VIEW_COLUMNS[t]), t)
+        parts.append(Q.schema_check(view, t, CONTRACTS[t], "client_id"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -66,19 +66,19 @@ def missing_complete(c: Ctx):
         F.when(p == 0, "OK").when(p < 5, "LOW").otherwise("MEDIUM").alias("criticality"))
 
 
-_MISS_COLS = ["age", "residency_market", "stddev_price", "avg_timelapse_trs", "all_repair_pdt_categ"]
 _SNAP_LABELS = {d: "s_" + d.replace("-", "_") for d in SNAPSHOT_DATES}
 
 
 @register("missing_by_snapshot", "SELECT column_name, " + ", ".join(
     f"max(CASE WHEN date_target = DATE '{d}' THEN pct END) AS {lab}"
     for d, lab in _SNAP_LABELS.items()) + " FROM (" + _u(
-    f"SELECT date_target, '{c}' AS column_name, avg(CAST({c} IS NULL AS INTEGER)) * 100.0 AS pct "
-    f"FROM panel GROUP BY date_target" for c in _MISS_COLS) + ") x GROUP BY column_name",
-    ("panel",))
+    f"SELECT date_target, '{c}' AS column_name, count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS n_null, "
+    f"{spct(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')} AS pct "
+    f"FROM panel GROUP BY date_target" for c in PANEL_COLUMNS if c != "date_target")
+    + ") x GROUP BY column_name HAVING 100.0 * sum(n_null) >= 5.0 * sum(n)", ("panel",))
 def missing_by_snapshot(c: Ctx):
-    """% null per column x snapshot, one column per snapshot."""
-    return Q.missing_by_snapshot(c.panel, "date_target", _MISS_COLS, _SNAP_LABELS)
+    """% null per snapshot of every column with at least 5 % null."""
+    return Q.missing_by_snapshot(c.panel, "date_target", _SNAP_LABELS)
 
 
 @register("missing_by_group_diagnosis", f"""
