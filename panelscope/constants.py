@@ -37,7 +37,7 @@ TOP_DECILE = 0.10
 RECONCILIATION_RATIO_RANGE = (0.5, 2.0)
 LOGISTIC_C = 1.0
 LOGISTIC_MAX_ITER = 300
-LOGISTIC_TOLERANCE = 1e-10
+LOGISTIC_TOLERANCE = 1e-8
 # a category of more values stays an ordinal number in the trees
 TREES_MAX_CATEGORIES = 256
 TREES_MAX_DEPTH = 6

@@ -15,6 +15,7 @@ def _load_all() -> None:
         q_selection,
         q_sources,
         q_audits,
+        q_reports,
     )
 
 
