@@ -221,18 +221,29 @@ def client_totals_v1(events: DataFrame, crc_df: DataFrame, ccp_df: DataFrame) ->
 
 
 # ---------------------------------------------------------------- validation
-def validate_table(df: DataFrame, table: str, checks: list[tuple[str, str]]) -> DataFrame:
+def validate_table(df: DataFrame, table: str, checks: list[tuple[str, str]],
+                   raw: DataFrame | None = None, untouched: tuple[str, ...] = (),
+                   key: str = "client_id") -> DataFrame:
     """V4 building block: evaluate every check of one table in one pass.
 
     A check is (name, SQL predicate that must hold on every row); a row
-    whose predicate is false or null is a violation. Output is long:
-    (table_name, check_name, n_violations, status).
+    whose predicate is false or null is a violation. With ``raw``, one pass over
+    it more: rows beyond its number, and known values of ``untouched`` columns
+    (of rows with a key) that cleaning lost or made, are violations. Output is
+    long: (table_name, check_name, n_violations, status).
     """
-    aggs = [count_where(~F.coalesce(F.expr(pred), F.lit(False))).alias(f"c{i}")
-            for i, (_, pred) in enumerate(checks)]
-    one = df.agg(*aggs)
-    pairs = ", ".join(f"'{name}', c{i}" for i, (name, _) in enumerate(checks))
-    long = one.selectExpr(f"stack({len(checks)}, {pairs}) as (check_name, n_violations)")
+    known = [F.count(x).alias(f"known_{x}") for x in untouched]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *known, *[
+        count_where(~F.coalesce(F.expr(pred), F.lit(False))).alias(f"c{i}") for i, (_, pred) in enumerate(checks)])
+    found = {name: f"c{i}" for i, (name, _) in enumerate(checks)}
+    if raw is not None:
+        before = raw.agg(F.struct(F.count(F.lit(1)).alias("rows"), *[
+            F.count(F.when(col(key).isNotNull(), col(x))).alias(f"known_{x}") for x in untouched])).scalar()
+        one = one.select("*", before.alias("before"))
+        found["rows_not_increased"] = "greatest(rows - before.rows, 0)"
+        found |= {f"{x}_untouched": f"abs(known_{x} - before.known_{x})" for x in untouched}
+    pairs = ", ".join(f"'{name}', {x}" for name, x in found.items())
+    long = one.selectExpr(f"stack({len(found)}, {pairs}) as (check_name, n_violations)")
     return long.select(F.lit(table).alias("table_name"), "check_name",
                        F.col("n_violations").cast("bigint").alias("n_violations"),
                        F.when(F.col("n_violations") == 0, "PASS").otherwise("FAIL").alias("status"))

@@ -16,6 +16,7 @@ def _load_all() -> None:
         q_sources,
         q_audits,
         q_reports,
+        q_breakdowns,
     )
 
 

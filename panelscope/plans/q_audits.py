@@ -638,17 +638,17 @@ _SETS = [("panel", f"SELECT client_id FROM panel WHERE date_target = {TEST}"),
          ("crc", "SELECT client_id FROM crc"), ("ccp", "SELECT client_id FROM ccp")]
 
 
-def _refmatrix_sql() -> str:
+def _refmatrix_sql(sets: list[tuple[str, str]] = _SETS) -> str:
     tagged = _u(f"SELECT client_id AS id, {1 << i} AS b FROM ({q}) _q{i}"
-                for i, (_, q) in enumerate(_SETS))
+                for i, (_, q) in enumerate(sets))
     rows = []
-    for i in range(len(_SETS)):
-        for j in range(i + 1, len(_SETS)):
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
             bi, bj, bb = 1 << i, 1 << j, (1 << i) | (1 << j)
             na = f"count(*) FILTER (WHERE (m & {bi}) <> 0)"
             nb = f"count(*) FILTER (WHERE (m & {bj}) <> 0)"
             nx = f"count(*) FILTER (WHERE (m & {bb}) = {bb})"
-            rows.append(f"SELECT '{_SETS[i][0]}' AS a, '{_SETS[j][0]}' AS b, {na} AS n_a, {nb} AS n_b, "
+            rows.append(f"SELECT '{sets[i][0]}' AS a, '{sets[j][0]}' AS b, {na} AS n_a, {nb} AS n_b, "
                         f"{nx} AS n_intersection, {na} - {nx} AS n_only_a, {nb} - {nx} AS n_only_b, "
                         f"{spct(nx, na)} AS pct_a_in_b, {spct(nx, nb)} AS pct_b_in_a FROM mk")
     return (f"WITH tg AS ({tagged}),\nmk AS (SELECT id, bit_or(b) AS m FROM tg WHERE id IS NOT NULL "

@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events labels".sp
 SAMPLE = ["rfm_snapshot_features", "article_features", "supplementary_features",
           "validate_cleaning", "target_stats", "revenue_concentration", "referential_integrity_matrix",
           "serial_number_profile", "average_precision", "roc_auc", "revenue_capture", "top_fraction",
-          "date_list_leakage", "missing_by_snapshot", "build_master_features"]
+          "date_list_leakage", "missing_by_snapshot", "build_master_features", "outlier_rules",
+          "decision_catalogue", "orphan_clients", "quality_summary_full", "zero_price_classes"]
 
 
 def _norm(v):
