@@ -154,24 +154,27 @@ def log_transform_check(df: DataFrame, value: str, group=()) -> DataFrame:
 
 
 def percentile_profile(df: DataFrame, value: str, group=()) -> DataFrame:
-    """p90..p99.9 and max of the non-zero values, and the count / mean of
-    values above p99.9 (threshold joined back per group, bounded size)."""
+    """p90..p99.9 (rounded when reported) and max of the non-zero values, and
+    the count / mean of values above the unrounded p99.9 (threshold joined back
+    per group, bounded size)."""
     group = list(group)
     nz = df.filter(F.col(value).isNotNull() & (F.col(value) != 0))
     probs = {"p90": 0.90, "p95": 0.95, "p99": 0.99, "p99_5": 0.995, "p99_9": 0.999}
-    pc = exact_percentiles(nz, value, probs, group)
+    pc = exact_percentiles(nz, value, probs, group, digits=None)
+    reported = [F.round(p, 6).alias(p) for p in probs]
     mx = nz.groupBy(*group).agg(F.max(value).alias("max"))
     if group:
         th = pc.join(mx, group)
         above = nz.join(th.select(*group, "p99_9"), group)
         above = above.filter(F.col(value) > F.col("p99_9")).groupBy(*group).agg(
             F.count(F.lit(1)).alias("n_above_p99_9"), money_mean(value, fixed=False).alias("mean_above_p99_9"))
-        return th.join(above, group, "left").fillna(0, subset=["n_above_p99_9"])
+        out = th.join(above, group, "left").fillna(0, subset=["n_above_p99_9"])
+        return out.select(*group, *reported, "max", "n_above_p99_9", "mean_above_p99_9")
     th = _attach(pc, mx)
     t = pc.agg(F.first("p99_9")).scalar()
     above = nz.filter(F.col(value) > t).agg(
         F.count(F.lit(1)).alias("n_above_p99_9"), money_mean(value, fixed=False).alias("mean_above_p99_9"))
-    return _attach(th, above)
+    return _attach(th, above).select(*reported, "max", "n_above_p99_9", "mean_above_p99_9")
 
 
 def histogram(df: DataFrame, value: str, bins: int, lo: Column | None = None,

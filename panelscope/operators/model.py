@@ -64,7 +64,7 @@ def fit_medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
     number per column - are the only thing brought to the driver."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = train.selectExpr(f"stack({len(cols)}, {pairs}) as (_feature, _value)")
-    med = exact_percentiles(long, "_value", {"_median": 0.5}, ["_feature"])
+    med = exact_percentiles(long, "_value", {"_median": 0.5}, ["_feature"], digits=None)
     got = {r["_feature"]: r["_median"] for r in med.collect()}
     return {c: got.get(c) for c in cols}
 

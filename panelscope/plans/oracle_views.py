@@ -362,9 +362,10 @@ def _g(group) -> tuple[str, str]:
     return (g + ", " if g else ""), (f"GROUP BY {g}" if g else "")
 
 
-def sql_percentiles(src: str, x: str, probs: dict, group=(), digits: int = 6) -> str:
+def sql_percentiles(src: str, x: str, probs: dict, group=(), digits: int | None = 6) -> str:
     sel, gb = _g(group)
-    cols = ", ".join(f"round(quantile_cont({x}, {p}), {digits}) AS {n}" for n, p in probs.items())
+    at = "quantile_cont({x}, {p})" if digits is None else "round(quantile_cont({x}, {p}), {digits})"
+    cols = ", ".join(f"{at.format(x=x, p=p, digits=digits)} AS {n}" for n, p in probs.items())
     return f"SELECT {sel}{cols} FROM {src} WHERE {x} IS NOT NULL {gb}"
 
 

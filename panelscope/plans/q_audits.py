@@ -28,6 +28,10 @@ def _test_panel(c: Ctx) -> DataFrame:
     return c.panel.filter(F.col("date_target") == F.lit(c.test_snapshot))
 
 
+def _staged_test_panel(c: Ctx) -> DataFrame:
+    return c.staged_panel.filter(F.col("date_target") == F.lit(c.test_snapshot))
+
+
 # ------------------------------------------------------------------ A31 / J14 / A32 / A33
 _A31_SQL = f"""
 WITH g AS (SELECT product_category, count(*) AS n_articles, {mm('world_price')} AS mean_price,
@@ -222,12 +226,13 @@ SELECT count(*) AS n_clients, avg(n_rows) AS mean_rows_per_client,
 FROM pc""", ("panel",))
 def granularity_profile(c: Ctx):
     """Rows and snapshots per client (two-level groupBy)."""
-    pc = c.panel.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_rows"),
-                                          F.count_distinct("date_target").alias("n_snaps"))
+    panel = c.staged_panel
+    pc = panel.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_rows"),
+                                        F.count_distinct("date_target").alias("n_snaps"))
     med = D.exact_percentiles(pc, "n_rows", {"median_rows_per_client": 0.5}).agg(
         F.first("median_rows_per_client")).scalar()
-    nc = c.panel.agg(F.count_distinct("residency_country")).scalar()
-    nm = c.panel.agg(F.count_distinct("residency_market")).scalar()
+    nc = panel.agg(F.count_distinct("residency_country")).scalar()
+    nm = panel.agg(F.count_distinct("residency_market")).scalar()
     return pc.agg(F.count(F.lit(1)).alias("n_clients"), F.avg("n_rows").alias("mean_rows_per_client"),
                   F.min("n_rows").alias("min_rows_per_client"),
                   F.max("n_rows").alias("max_rows_per_client"),
@@ -321,20 +326,20 @@ def threshold_exceedance(c: Ctx):
 
 @register("frequency_spend_contradiction", f"""
 WITH t AS (SELECT * FROM panel WHERE date_target = {TEST}),
-a AS ({sql_percentiles('t', 'nb_trs_full_hist', {'p99_n_trs': 0.99})}),
-b AS ({sql_percentiles('t', 'to_full_hist', {'p10_spend': 0.10})})
-SELECT (SELECT p99_n_trs FROM a) AS p99_n_trs, (SELECT p10_spend FROM b) AS p10_spend,
+a AS ({sql_percentiles('t', 'nb_trs_full_hist', {'p99_n_trs': 0.99}, (), None)}),
+b AS ({sql_percentiles('t', 'to_full_hist', {'p10_spend': 0.10}, (), None)})
+SELECT (SELECT round(p99_n_trs, 6) FROM a) AS p99_n_trs, (SELECT round(p10_spend, 6) FROM b) AS p10_spend,
   count(*) FILTER (WHERE nb_trs_full_hist > (SELECT p99_n_trs FROM a)
                    AND to_full_hist < (SELECT p10_spend FROM b)) AS n_contradictions
 FROM t""", ("panel",))
 def frequency_spend_contradiction(c: Ctx):
     """Frequent buyers (> p99 count) with tiny spend (< p10)."""
-    t = _test_panel(c)
-    p99 = D.exact_percentiles(t, "nb_trs_full_hist", {"p": 0.99}).agg(F.first("p")).scalar()
-    p10 = D.exact_percentiles(t, "to_full_hist", {"p": 0.10}).agg(F.first("p")).scalar()
+    t = _staged_test_panel(c)
+    p99 = D.exact_percentiles(t, "nb_trs_full_hist", {"p": 0.99}, digits=None).agg(F.first("p")).scalar()
+    p10 = D.exact_percentiles(t, "to_full_hist", {"p": 0.10}, digits=None).agg(F.first("p")).scalar()
     return t.agg(count_where((F.col("nb_trs_full_hist") > p99) & (F.col("to_full_hist") < p10))
                  .alias("n_contradictions")).select(
-        p99.alias("p99_n_trs"), p10.alias("p10_spend"), "n_contradictions")
+        F.round(p99, 6).alias("p99_n_trs"), F.round(p10, 6).alias("p10_spend"), "n_contradictions")
 
 
 _AGE = "(CAST(date_diff('day', birth_date, DATE '2010-01-01') AS DOUBLE) / CAST(365.25 AS DOUBLE))"
@@ -522,7 +527,7 @@ FROM t""", ("panel",))
 def top_segment_overlap(c: Ctx):
     """Clients above p99.9 on history and on target (of the positive
     targets), and their overlap."""
-    t = _test_panel(c)
+    t = _staged_test_panel(c)
     ph = D.exact_percentiles(t, "to_full_hist", {"p": 0.999}, digits=None).agg(F.first("p")).scalar()
     pt = D.exact_percentiles(t.filter("target_1y > 0"), "target_1y", {"p": 0.999}, digits=None) \
         .agg(F.first("p")).scalar()

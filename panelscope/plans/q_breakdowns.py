@@ -15,7 +15,7 @@ from panelscope.operators import distribution as D
 from panelscope.operators import quality as Q
 from panelscope.operators.features import PANEL_EXCLUDE, TARGETS
 from panelscope.plans.oracle_views import pct as spct
-from panelscope.plans.q_audits import _refmatrix_sql, _SETS
+from panelscope.plans.q_audits import _refmatrix_sql, _SETS, _staged_test_panel
 from panelscope.plans.registry import Ctx, register
 from panelscope.plans.q_cleaning import _CLEAN_VIEW, _pairs
 from panelscope.plans.q_selection import FEATURES, _profile, _profile_sql
@@ -232,7 +232,7 @@ def _outliers_sql() -> str:
 
 
 def _outliers(c: Ctx) -> DataFrame:
-    t = _test_panel(c)
+    t = _staged_test_panel(c)
     at = {"t": D.exact_percentiles(t.filter("target_1y > 0"), "target_1y", {"p": 0.999}, digits=None),
           "h": D.exact_percentiles(t, "to_full_hist", {"p": 0.999}, digits=None)}
     frames = {"panel": t, "trs": c.trs, "articles": c.articles, "clients": c.clients, "crc": c.crc,

@@ -172,14 +172,15 @@ def coerce_dates(c: Ctx):
 
 @register("clip_values", """
 SELECT client_id, date_target,
-  least(to_full_hist, (SELECT round(quantile_cont(to_full_hist, 0.99), 6) FROM panel))
+  round(least(to_full_hist, (SELECT quantile_cont(to_full_hist, 0.99) FROM panel)), 6)
     AS to_full_hist_clipped
 FROM panel""", ("panel",))
 def clip_values(c: Ctx):
-    """clip at the exact 99th percentile, read off value ranges."""
-    p99 = D.exact_percentiles(c.panel, "to_full_hist", {"p": 0.99}).agg(F.first("p")).scalar()
-    return c.panel.select("client_id", "date_target",
-                          CL.clip(F.col("to_full_hist"), hi=p99).alias("to_full_hist_clipped"))
+    """clip at the exact, unrounded 99th percentile, read off value ranges."""
+    panel = c.staged_panel
+    p99 = D.exact_percentiles(panel, "to_full_hist", {"p": 0.99}, digits=None).agg(F.first("p")).scalar()
+    return panel.select("client_id", "date_target",
+                        F.round(CL.clip(F.col("to_full_hist"), hi=p99), 6).alias("to_full_hist_clipped"))
 
 
 def _miss_bins_sql() -> str:

@@ -91,17 +91,17 @@ _PP = {"p90": 0.90, "p95": 0.95, "p99": 0.99, "p99_5": 0.995, "p99_9": 0.999}
 
 @register("percentile_profile", f"""
 WITH nz AS (SELECT * FROM panel WHERE to_full_hist IS NOT NULL AND to_full_hist <> 0),
-p AS ({sql_percentiles('nz', 'to_full_hist', _PP, ('date_target',))}),
+p AS ({sql_percentiles('nz', 'to_full_hist', _PP, ('date_target',), None)}),
 mx AS (SELECT date_target, max(to_full_hist) AS max FROM nz GROUP BY date_target),
 ab AS (SELECT nz.date_target, count(*) AS n_above_p99_9, {mm('nz.to_full_hist')} AS mean_above_p99_9
        FROM nz JOIN p ON nz.date_target = p.date_target
        WHERE nz.to_full_hist > p.p99_9 GROUP BY nz.date_target)
-SELECT p.*, mx.max, coalesce(ab.n_above_p99_9, 0) AS n_above_p99_9, ab.mean_above_p99_9
+SELECT p.date_target, {', '.join(f'round(p.{x}, 6) AS {x}' for x in _PP)}, mx.max, coalesce(ab.n_above_p99_9, 0) AS n_above_p99_9, ab.mean_above_p99_9
 FROM p JOIN mx ON p.date_target = mx.date_target
 LEFT JOIN ab ON p.date_target = ab.date_target""", ("panel",))
 def percentile_profile(c: Ctx):
     """A25 on history spend per snapshot"""
-    return D.percentile_profile(c.panel, "to_full_hist", ["date_target"])
+    return D.percentile_profile(c.staged_panel, "to_full_hist", ["date_target"])
 
 
 _DESC = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -128,7 +128,7 @@ def describe_numeric(c: Ctx):
 @register("histogram", """
 WITH pos AS (SELECT target_1y AS x FROM panel
              WHERE date_target = DATE '2000-01-01' AND target_1y > 0),
-cl AS (SELECT least(x, (SELECT round(quantile_cont(x, 0.99), 6) FROM pos)) AS x FROM pos),
+cl AS (SELECT least(x, (SELECT quantile_cont(x, 0.99) FROM pos)) AS x FROM pos),
 b AS (SELECT min(x) AS lo, max(x) AS hi FROM cl)
 SELECT CAST(CASE WHEN (b.hi - b.lo) / 20.0 = 0 THEN 0
             ELSE least(greatest(floor((cl.x - b.lo) / ((b.hi - b.lo) / 20.0)), 0), 19) END
@@ -139,7 +139,7 @@ def histogram(c: Ctx):
     snapshot, clipped at its exact p99."""
     pos = c.panel.filter((F.col("date_target") == F.lit(c.test_snapshot))
                          & (F.col("target_1y") > 0)).select(F.col("target_1y").alias("x"))
-    p99 = D.exact_percentiles(pos, "x", {"p99": 0.99}).agg(F.first("p99")).scalar()
+    p99 = D.exact_percentiles(pos, "x", {"p99": 0.99}, digits=None).agg(F.first("p99")).scalar()
     cl = pos.select(F.least(F.col("x"), p99).alias("x"))
     return D.histogram(cl, "x", 20)
 

@@ -96,6 +96,16 @@ def _master(c: Ctx):
     return c._cache["master"]
 
 
+def _staged_master(c: Ctx):
+    """The master table written once, for reports that read it in several jobs."""
+    if not c._cache.get("master_staged"):
+        from panelscope.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(c.spark)
+        c._cache["master"] = _master(c).checkpoint(eager=True)
+        c._cache["master_staged"] = True
+    return c._cache["master"]
+
+
 @register("article_features", "SELECT * FROM art", ("art",))
 def article_features(c: Ctx):
     """A8"""
@@ -259,7 +269,7 @@ FROM r UNPIVOT (n_violations FOR check_name IN (test_not_empty, no_zero_variance
 def validate_feature_set(c: Ctx):
     """V5"""
     num, allc = _master_cols()
-    train, test = FE.temporal_split(_master(c), c.test_snapshot)
+    train, test = FE.temporal_split(_staged_master(c), c.test_snapshot)
     return FE.validate_features(train, test, num, allc, "target_1m")
 
 

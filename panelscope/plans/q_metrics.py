@@ -141,7 +141,7 @@ def combined_error(c: Ctx):
 
 @register("prediction_error_distribution", f"""
 WITH e AS (SELECT score - actual AS x FROM {_POS} q),
-lim AS (SELECT round(quantile_cont(x, 0.01), 6) AS lo, round(quantile_cont(x, 0.99), 6) AS hi FROM e),
+lim AS (SELECT quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM e),
 cl AS (SELECT least(greatest(x, (SELECT lo FROM lim)), (SELECT hi FROM lim)) AS x FROM e),
 b AS (SELECT min(x) AS lo, max(x) AS hi FROM cl)
 SELECT CAST(CASE WHEN (b.hi - b.lo) / 20.0 = 0 THEN 0
@@ -151,7 +151,7 @@ FROM cl, b GROUP BY 1""", ("scored",))
 def prediction_error_distribution(c: Ctx):
     """Histogram of prediction errors clipped at their p1 / p99."""
     e = c.scored.filter(F.col("actual") > 0).select((F.col("score") - F.col("actual")).alias("x"))
-    lim = D.exact_percentiles(e, "x", {"lo": 0.01, "hi": 0.99})
+    lim = D.exact_percentiles(e, "x", {"lo": 0.01, "hi": 0.99}, digits=None)
     lo, hi = lim.agg(F.first("lo")).scalar(), lim.agg(F.first("hi")).scalar()
     cl = e.select(F.least(F.greatest(F.col("x"), lo), hi).alias("x"))
     return D.histogram(cl, "x", 20)

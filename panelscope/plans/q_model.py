@@ -67,7 +67,7 @@ def ordinal_encode(c: Ctx):
 
 
 @register("impute_median", "SELECT client_id, date_target, " + ", ".join(
-    f"coalesce(CAST({x} AS DOUBLE), (SELECT round(quantile_cont({x}, 0.5), 6) FROM master "
+    f"coalesce(CAST({x} AS DOUBLE), (SELECT quantile_cont({x}, 0.5) FROM master "
     f"WHERE date_target < {TEST} AND {x} IS NOT NULL)) AS {x}" for x in IMPUTE)
     + f" FROM master WHERE date_target = {TEST}", ("master",))
 def impute_median(c: Ctx):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelscope.operators import features as FE
 from panelscope.operators import selection as S
 from panelscope.plans.oracle_views import corr as scorr
-from panelscope.plans.q_features import _master, _master_cols
+from panelscope.plans.q_features import _master, _master_cols, _staged_master
 from panelscope.plans.registry import Ctx, register
 
 TEST = "DATE '2000-01-01'"
@@ -169,7 +169,7 @@ def _reduced(c: Ctx):
 
         from panelscope.session import ensure_checkpoint_dir
         folder = f"{ensure_checkpoint_dir(c.spark)}/selection-{uuid.uuid4().hex}"
-        c._cache["master"] = _master(c).checkpoint(eager=True)  # profile, train and test read it
+        _staged_master(c)  # profile, train and test read it
         train, test = FE.temporal_split(_master(c), c.test_snapshot)
         c._cache["reduced"] = S.store_selection(train, test, _decisions(c), folder)
     return c._cache["reduced"]
@@ -226,7 +226,7 @@ def positive_rate_by_snapshot(c: Ctx):
     snapshot, plus exact medians of key features (drift)."""
     from panelscope.functions.exprs import fround
     from panelscope.operators.distribution import exact_percentiles
-    m = _master(c)
+    m = _staged_master(c)
     pos = F.col("target_1m_bin") == 1
     a = m.groupBy("date_target").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("target_1m_bin").alias("positive_rate"),
@@ -258,7 +258,7 @@ def feature_report(c: Ctx):
     """Long (section, metric, value) feature report: sizes, positive
     rate, top-10 missing features and family sizes - one plan of small parts."""
     from panelscope.operators.quality import rows_from
-    m = _master(c)
+    m = _staged_master(c)
     tr = m.filter(F.col("date_target") < F.lit(c.test_snapshot))
     te = m.filter(F.col("date_target") == F.lit(c.test_snapshot))
     prof = _profile(c)

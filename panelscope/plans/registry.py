@@ -58,6 +58,14 @@ class Ctx:
     def panel(self) -> DataFrame:
         return V.panel(self.t, self.spark, self.trs, self.client_dimension)
 
+    @cached_property
+    def staged_panel(self) -> DataFrame:
+        """The panel written once, for reports that read it in several jobs
+        (percentile limits first, then the rows compared with them)."""
+        from panelscope.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        return self.panel.checkpoint(eager=True)
+
     @cached_property
     def scored(self) -> DataFrame:
         # every metric reads the scored rows in several jobs (bounds, offsets,
