@@ -50,6 +50,9 @@ BIN_CONTEXTS = 512
 RANGES = (16, 4, 1)
 #: Symbols sorted together (whole bins).
 SORT_SYMBOLS = 30_000
+#: Contexts a sorting task gets on average, and the most such tasks of a stage.
+TASK_CONTEXTS = 4096
+MAX_TASKS = 20_000
 MAX_BITMAP_BITS = 30
 
 _U = np.uint64
@@ -236,8 +239,9 @@ def _bytes(keyed: DataFrame, bitmap) -> DataFrame:
         run, "anchor long, ctx long, k long, n long, at long, before binary, after binary")
 
 
-def _sorted_bins(rows: DataFrame) -> DataFrame:
-    """k, n, span of the repeated windows inside each ``bin``."""
+def _sorted_bins(rows: DataFrame, n_tasks: int) -> DataFrame:
+    """k, n, span of the repeated windows inside each ``bin``. The number of tasks
+    is given, as sorting costs far more than the bins' bytes let Spark expect."""
     def matched(part: list[tuple]) -> pa.RecordBatch:
         ks, ns, spans = [], [], []
         found = repeated_windows([(r[1], r[5], r[6]) for r in part])
@@ -266,7 +270,7 @@ def _sorted_bins(rows: DataFrame) -> DataFrame:
         if part:
             yield matched(part)
 
-    return rows.select("bin", "anchor", "k", "n", "at", "before", "after").repartition("bin") \
+    return rows.select("bin", "anchor", "k", "n", "at", "before", "after").repartition(n_tasks, "bin") \
         .sortWithinPartitions("bin").mapInArrow(run, "k long, n long, span long")
 
 
@@ -293,7 +297,8 @@ def _windows_in_part(contexts: DataFrame, bin_contexts: int) -> DataFrame:
     for width in (*RANGES, None):
         counts = todo.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         sized = join_dealt(todo, counts, ["bin"])
-        part = _sorted_bins(sized.filter(F.col("c") <= bin_contexts))
+        n_tasks = min(MAX_TASKS, 1 + todo.count() // TASK_CONTEXTS)  # todo is a written table
+        part = _sorted_bins(sized.filter(F.col("c") <= bin_contexts), n_tasks)
         if out is not None and width is None:
             # places of width 1: an equal key is an equal window
             part = sized.select("k", "n", ((F.col("at") - F.col("place")) * F.lit(_SPAN)).alias("span"))
