@@ -527,7 +527,7 @@ FROM t""", ("panel",))
 def top_segment_overlap(c: Ctx):
     """Clients above p99.9 on history and on target (of the positive
     targets), and their overlap."""
-    t = _staged_test_panel(c)
+    t = c.staged(_test_panel(c).select("to_full_hist", "target_1y"))
     ph = D.exact_percentiles(t, "to_full_hist", {"p": 0.999}, digits=None).agg(F.first("p")).scalar()
     pt = D.exact_percentiles(t.filter("target_1y > 0"), "target_1y", {"p": 0.999}, digits=None) \
         .agg(F.first("p")).scalar()
