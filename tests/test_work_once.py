@@ -94,3 +94,13 @@ def test_windows_need_no_sort(spark):
                               "spend double, flag_he int, article_id long")
     plan = FE.rfm_features(t, None, 1, 2, dates=DAYS)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort " not in plan
+
+
+def test_days_keep_their_number_of_partitions(spark):
+    t = spark.createDataFrame([(*e, "Sale", "Web", 2.5, 1, 7) for e in EVENTS],
+                              "client_id string, trs_date date, item string, trs_categ string, channel string, "
+                              "spend double, flag_he int, article_id long")
+    h = FE.client_history(t, FE.timeline_of(DAYS), gaps=True)
+    assert "REPARTITION_BY_NUM" in h._jdf.queryExecution().executedPlan().toString()
+    assert {(r["client_id"], r["date_target"]): r["gap_sq"] for r in h.collect()}[("a", DAYS[3])] == \
+        sum((b[1] - a[1]).days ** 2 for a, b in zip(EVENTS[:3], EVENTS[1:4]))
