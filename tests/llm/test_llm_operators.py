@@ -496,6 +496,81 @@ def test_lm_probabilities_sum_to_one(monkeypatch):
     assert math.isclose(total, math.exp(-context_mixing.coding_nats(prefix, model)[0]), rel_tol=1e-4)
 
 
+def test_lm_odds_reach_each_bucket_once(monkeypatch):
+    """Entries of two buckets: a context's bytes are counted over both, one answer an
+    entry, without keys; the left-out bucket's counts are missing in its second answer."""
+    monkeypatch.setattr(context_mixing, "SLICE", 40)
+    texts = [["the cat sat on the mat", "", "thermos thermal a b"], ["the cat ran", "\x01 a\x01b\x1cc", "the mat"]]
+    buckets = [context_mixing.bucket_of(pa.table({"text": t, "trained": [True] * len(t)})) for t in texts]
+    tree = context_mixing.huffman(np.bincount(np.frombuffer("".join(map("".join, texts)).encode(), np.uint8), minlength=256))
+    n_ranges, left_out = 3, np.array([False, True])
+    sent = [dict(context_mixing.entries_in(b.entries, n_ranges)) for b in buckets]
+    answers = {}
+    for r in range(n_ranges):
+        mine = [k for k in range(2) if r in sent[k]]
+        odds, left, *_ = context_mixing.answered([context_mixing.entries_of(sent[k][r]) for k in mine], left_out[mine], tree)
+        answers |= {(k, r): (o, x) for k, o, x in zip(mine, odds, left)}
+
+    def words(of, at):  # context, byte: the word so far, and that with the word before
+        out, counts = [], collections.Counter()
+        for k, group in enumerate(of):
+            for t in group:
+                tokens = [w + b" " for w in t.encode().split()] + [b"\n"]
+                for i, w in enumerate(tokens):
+                    for d in range(len(w)):
+                        cell = ((tokens[i - 1] if i else b"") * at, w[:d]), w[d]
+                        out.append((k, cell))
+                        counts[k, cell] += 1
+        return out, counts
+
+    for at, path in ((0, 1), (1, 2)):
+        cells, counts = words(texts, at)
+        for without in (False, True):
+            for k, b in enumerate(buckets):
+                if without and not left_out[k]:
+                    continue
+                ranges = [r for r in range(n_ranges) if (k, r) in answers]
+                _, flat = context_mixing.flat_odds([answers[k, r][without] for r in ranges], b, tree, n_ranges, ranges, not without)
+                got = []
+                for s in context_mixing.with_paths(b, flat, tree):
+                    pos, odds = s.paths[path]
+                    got += [odds[p:p + tree.length[c]].tolist() for p, c in zip(pos, s.data)]
+                total = collections.Counter()
+                for (j, cell), n in counts.items():
+                    if not (without and left_out[j]):
+                        total[cell] += n
+                want = []
+                for context, byte in (cell for j, cell in cells if j == k):
+                    row = []
+                    for d in range(tree.length[byte]):
+                        side = [0.0, 0.0]
+                        for (c, other), n in total.items():
+                            at_node = [e for e in range(tree.length[other]) if tree.nodes[other, e] == tree.nodes[byte, d]]
+                            if c == context and at_node:
+                                side[int(tree.bits[other, at_node[0]] == tree.bits[byte, d])] += n
+                        row.append(int(np.clip(np.rint(12 * np.log((side[1] + 0.1) / (side[0] + 0.1))), -127, 127)))
+                    want.append(row)
+                assert got == want
+
+
+def test_lm_sends_few_bytes_a_token():
+    """Entries of a bucket: under 15 bytes for each word (a cell of
+    each of their bytes in Spark's rows took over 100)."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(500)]
+    b = context_mixing.bucket_of(pa.table({"text": texts, "trained": [True] * 500}))
+    sent = sum(len(x) for _, x in context_mixing.entries_in(b.entries, 4))
+    assert sent < 15 * 400 * 500
+
+
+def test_lm_words_of_control_characters(spark):
+    """Bytes below a space are parts of words (a word of these alone failed the job)."""
+    rows = [(i, "a\x01b \x02 \x1cc d") for i in range(30)]
+    got = context_mixing.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 30 and all(r["n_tokens"] == 5 and r["n_known"] == 5 for r in got)
+
+
 # --- BPE --------------------------------------------------------------------
 
 def test_bpe_round_trip(docs, empty):
